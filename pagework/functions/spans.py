@@ -1,0 +1,67 @@
+"""Sets of pages kept as short arrays of ``{s, e}`` spans inside one row.
+
+A selection stays in this form until rows per page are really needed. Union, complement and counting then happen inside
+the row, without a shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SPANS = "array<struct<s:int,e:int>>"
+
+
+def span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPANS)
+
+
+def whole(page_count: Column) -> Column:
+    return F.when(page_count >= 1, F.array(span(F.lit(1), page_count))).otherwise(no_spans())
+
+
+def clamp(spans: Column, page_count: Column) -> Column:
+    """Spans of any integers cut to ``1..page_count``; empty and null ones are dropped."""
+    cut = F.transform(
+        spans,
+        lambda x: F.struct(
+            F.greatest(F.lit(1).cast("bigint"), x["s"].cast("bigint")).alias("s"),
+            F.least(page_count.cast("bigint"), x["e"].cast("bigint")).alias("e"),
+            (x["s"].isNull() | x["e"].isNull()).alias("bad"),
+        ),
+    )
+    kept = F.filter(cut, lambda x: ~x["bad"] & (x["s"] <= x["e"]))
+    return F.coalesce(F.transform(kept, lambda x: span(x["s"], x["e"])), no_spans())
+
+
+def merge(spans: Column) -> Column:
+    """The same pages as sorted spans that do not overlap."""
+    start = F.struct(no_spans().alias("out"), F.lit(0).alias("hi"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = span(F.greatest(x["s"], acc["hi"] + 1), x["e"])
+        return F.struct(
+            F.when(x["e"] > acc["hi"], F.array_append(acc["out"], fresh)).otherwise(acc["out"]).alias("out"),
+            F.greatest(acc["hi"], x["e"]).alias("hi"),
+        )
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["out"])
+
+
+def complement(merged: Column, page_count: Column) -> Column:
+    """Pages of ``1..page_count`` outside sorted, disjoint spans."""
+    lows = F.concat(F.array(F.lit(1)), F.transform(merged, lambda x: x["e"] + 1))
+    highs = F.concat(F.transform(merged, lambda x: x["s"] - 1), F.array(page_count.cast("int")))
+    return F.filter(F.zip_with(lows, highs, lambda a, b: span(a, b)), lambda x: x["s"] <= x["e"])
+
+
+def count(merged: Column) -> Column:
+    return F.aggregate(merged, F.lit(0), lambda acc, x: acc + (x["e"] - x["s"] + 1))
+
+
+def holds(spans: Column, page_no: Column) -> Column:
+    return F.exists(spans, lambda x: page_no.between(x["s"], x["e"]))
