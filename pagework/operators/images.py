@@ -120,7 +120,7 @@ def compression_outcome(sizes: DataFrame) -> DataFrame:
     original, compressed = F.col("original_size"), F.col("compressed_size")
     grew = compressed >= original
     ratio = F.when(grew | (original <= 0), F.lit(0.0)).otherwise(
-        F.bround((original - compressed) / original * 100, 2)
+        F.rint((original - compressed) / original * 100 * 100) / 100  # half-even at two decimals
     )
     final = F.when(grew, original).otherwise(compressed)
     return sizes.select(

@@ -48,16 +48,13 @@ def read_info(docs: DataFrame) -> DataFrame:
 def tag_text(packet: Column, tag: str) -> Column:
     """Text from the first ``<tag`` to the next ``</tag>``, without a CDATA wrapper; blank or unclosed is null.
 
-    ``<tag`` is a prefix search, and markup inside the value stays.
+    ``<tag`` is a prefix search, and markup inside the value stays. Each step feeds the next once, so the generated code
+    stays small however many tags are read.
     """
-    opened = F.instr(packet, f"<{tag}")
-    rest = F.substr(packet, opened)
-    inner = F.substr(rest, F.instr(rest, ">") + 1)
-    length = F.instr(inner, f"</{tag}>") - 1
-    value = tx.strip(F.when((opened > 0) & (length >= 0), F.substr(inner, F.lit(1), length)))
-    wrapped = value.startswith("<![CDATA[") & value.endswith("]]>")
-    bare = F.when(wrapped, F.substr(value, F.lit(10), F.length(value) - 12)).otherwise(value)
-    return F.when(~tx.is_blank(bare), bare)
+    closing = f"</{tag}>"
+    found = F.when(F.contains(packet, F.lit(closing)), F.regexp_extract(packet, f"(?s)<{tag}[^>]*>(.*?){closing}", 1))
+    bare = F.regexp_replace(tx.strip(found), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
+    return F.nullif(F.regexp_replace(bare, f"^[{tx.DOTNET_BLANKS}]+$", ""), F.lit(""))
 
 
 def extract_tag(df: DataFrame, column: str, tag: str, out: str = "value") -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def results(checked: DataFrame) -> DataFrame:
-    """``request_id, success, error`` from requests that carry ``errors``; a projection."""
+def results(checked: DataFrame, *keep: str) -> DataFrame:
+    """``request_id, success, error`` and the columns to ``keep`` of requests that carry ``errors``; a projection."""
     failed = F.size("errors") > 0
     return checked.select(
-        "request_id", (~failed).alias("success"), F.when(failed, F.array_join("errors", "; ")).alias("error")
+        "request_id", *keep, (~failed).alias("success"), F.when(failed, F.array_join("errors", "; ")).alias("error")
     )
 
 

@@ -376,7 +376,7 @@ def _planned(i: Inputs) -> DataFrame:
 
 @query
 def e4_recompress_plan(i: Inputs) -> DataFrame:
-    return im.object_plan(_planned(i))
+    return im.object_plan(_planned(i)).withColumn("jpeg_quality", F.coalesce("jpeg_quality", F.lit(0)))
 
 
 @query
@@ -445,7 +445,7 @@ def f7_stream_index(i: Inputs) -> DataFrame:
     folder = f"{shared_folder(i.spark)}/live-index-{_run_number()}"
     opens = read_opens(
         i.spark,
-        f"{i.sf_dir}/events.parquet",
+        f"{i.sf_dir}/events*.parquet",
         [
             "user_id % 5 as owner",
             "concat('/d', cast(user_id % 7 as string), '/', event_type, '_', cast(event_id % 300 as string), '.pdf') as file_path",
@@ -453,7 +453,7 @@ def f7_stream_index(i: Inputs) -> DataFrame:
         ],
         "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
     )
-    return finish(start_live_index(opens, folder), folder)
+    return finish(i.spark, start_live_index(opens, folder), folder)
 
 
 def _run_number() -> str:
@@ -468,5 +468,4 @@ def _run_number() -> str:
 
 @query
 def g1_validate_requests(i: Inputs) -> DataFrame:
-    checked = validate_requests(i.tool_requests, i.docs)
-    return results(checked).join(checked.select("request_id", "tool"), "request_id")
+    return results(validate_requests(i.tool_requests, i.docs), "tool")

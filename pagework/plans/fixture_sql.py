@@ -61,10 +61,10 @@ SQL["raw_metadata"] = """
 select doc_id,
        case doc_id % 3 when 0 then concat(' Title ', cast(doc_id as varchar(20)), ' ') when 1 then '  ' end as title,
        case when doc_id % 6 = 0 then source end as author,
-       cast(null as varchar(20)) as subject,
+       case when doc_id % 12 = 0 then concat(lang, ' notes') end as subject,
        case when doc_id % 3 = 0 then lang end as keywords,
-       cast(null as varchar(20)) as creator,
-       cast(null as varchar(20)) as producer,
+       case when doc_id % 15 = 0 then concat(chr(9), 'writer', chr(160)) end as creator,
+       case when doc_id % 21 = 0 then 'press' when doc_id % 3 = 1 then chr(160) end as producer,
        case when doc_id % 2 = 0 then concat('D:20240131123059+02', chr(39), '00', chr(39))
             when doc_id % 5 = 0 then '2024' end as creation_date,
        case when doc_id % 7 = 0 then 'D:202402' when doc_id % 11 = 0 then '' end as mod_date,
@@ -72,7 +72,10 @@ select doc_id,
        case when doc_id % 9 = 2 then 'app' end as alt_source_application,
        case when doc_id % 9 = 5 then 'maker' end as alt_pdf_producer,
        case when doc_id % 3 = 1 then concat('<x><dc:title a="1"> Xmp ', cast(doc_id as varchar(20)), ' </dc:title>',
-            case when doc_id % 2 = 0 then '<dc:creator><![CDATA[Ann]]></dc:creator>' else '<dc:creator>open' end, '</x>')
+            case when doc_id % 2 = 0 then '<dc:creator><![CDATA[Ann]]></dc:creator>' else '<dc:creator>open' end,
+            case when doc_id % 4 = 0 then '<dc:descriptionX>On <b>pages</b></dc:description>' else '' end,
+            case when doc_id % 5 = 0 then '<xmp:CreatorTool> </xmp:CreatorTool><pdf:Producer><![CDATA[ ]]></pdf:Producer>'
+                 else '<pdf:Producer>q</pdf:Producer>' end, '</x>')
             end as xmp,
        cast(ceil(n_chars / 1000.0) as int) as page_count
 from {documents}
@@ -246,7 +249,7 @@ from {events}
 SQL["index_control"] = """
 select user_id % 5 as owner, ts,
        case event_type when 'signup' then 'enable' when 'error' then 'disable'
-            else case when value > 45 and event_type = 'purchase' then 'clear' else 'none' end end as action
+            else case when value > 45 and ts < timestamp '2024-01-09 00:00:00' then 'clear' else 'none' end end as action
 from {events}
 """
 

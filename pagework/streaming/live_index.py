@@ -93,10 +93,10 @@ def _start(writer, write, folder: str) -> StreamingQuery:
     )
 
 
-def finish(query: StreamingQuery, folder: str) -> DataFrame:
+def finish(spark: SparkSession, query: StreamingQuery, folder: str) -> DataFrame:
     """Waits until all opens that were there are taken in, and reads the version of the last batch."""
     query.awaitTermination()
     numbers = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
     if not numbers:
         raise RuntimeError("no opens arrived")
-    return query.sparkSession.read.parquet(_version(f"{folder}/index", max(numbers)))
+    return spark.read.parquet(_version(f"{folder}/index", max(numbers)))
