@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
-from pagework.functions import spans as sp
+from pagework.functions import sqltext as sq
 from pagework.operators.rows import block_of, join_all_pages, join_pages
 
 # Quality presets, and the limits by quality: (up to quality, longest side, JPEG quality).
@@ -45,7 +45,7 @@ def extraction_summary(selection: DataFrame, images: DataFrame) -> DataFrame:
         "request_id",
         "doc_id",
         F.coalesce("_found", F.lit(0)).cast("int").alias("extracted_count"),
-        sp.count(F.col("spans")).alias("processed_pages"),
+        F.expr(sq.count("spans")).alias("processed_pages"),
     )
 
 

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
-from pagework.functions import spans as sp
+from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
 from pagework.operators.manifest import output_name
 from pagework.operators.rows import attach_docs, join_all_pages, join_pages
-from pagework.operators.selection import crop_mode_spans, select_pages
+from pagework.operators.selection import select_pages
 
 NUMBER_MARGIN = 20
 STAMP_DPI = 300
@@ -91,9 +91,13 @@ def number_pages(
 
 
 def crop_selection(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """Selection of crop requests, which carry ``pages_range`` and ``custom_pages``."""
+    """Selection of crop requests: ``pages_range`` all, or ``custom_pages`` whatever the range says; no text, no page."""
     known = attach_docs(requests, docs).where(F.col("page_count").isNotNull())
-    spans = crop_mode_spans(F.col("pages_range"), F.col("custom_pages"), F.col("page_count"))
+    spans = (
+        F.when(F.col("pages_range") == "all", F.expr(sq.whole()))
+        .when(tx.is_blank(F.col("custom_pages")), F.expr(sq.no_spans()))
+        .otherwise(F.expr(sq.crop_spans("custom_pages")))
+    )
     return known.withColumn("spans", spans)
 
 
@@ -106,7 +110,7 @@ def crop_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFr
     rows = join_all_pages(selection, pages)
     x1, y1 = F.col("x1") + F.col("m_left"), F.col("y1") + F.col("m_bottom")
     x2, y2 = F.col("x2") - F.col("m_right"), F.col("y2") - F.col("m_top")
-    cropped = sp.holds(F.col("spans"), F.col("page_no")) & (x2 > x1) & (y2 > y1)
+    cropped = F.expr(sq.holds("spans")) & (x2 > x1) & (y2 > y1)
     box = {"crop_x1": x1, "crop_y1": y1, "crop_x2": x2, "crop_y2": y2}
     return rows.select(
         "request_id",
@@ -206,7 +210,7 @@ def place_tiled(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataF
 def watermark_summary(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Pages of the document and pages stamped, counted on the request row without listing pages."""
     return select_pages(requests, docs).select(
-        "request_id", "doc_id", "page_count", sp.count(F.col("spans")).alias("watermarked_pages")
+        "request_id", "doc_id", "page_count", F.expr(sq.count("spans")).alias("watermarked_pages")
     )
 
 

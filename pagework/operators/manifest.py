@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
-from pagework.functions import spans as sp
+from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
 from pagework.operators.rows import (
     Outcome,
@@ -21,7 +21,7 @@ from pagework.operators.rows import (
     present,
     split_outcome,
 )
-from pagework.operators.selection import strict_tokens, stride_hit, token_errors, token_spans
+from pagework.operators.selection import TOKEN_ERRORS, TOKEN_SPANS, strict_tokens
 
 PLAN = ["request_id", "doc_id", "output_name", "part_no", "out_no", "page_no"]
 
@@ -68,34 +68,37 @@ def _explode_parts(good: DataFrame, spans: Column) -> DataFrame:
 
 def split_by_ranges(requests: DataFrame, docs: DataFrame) -> Outcome:
     """One part per entry of ``page_ranges`` in the order given; parts may overlap."""
-    known = attach_docs(requests, docs).withColumn(
-        "_tokens", strict_tokens(F.col("page_ranges"), None, F.col("page_count"), "split")
-    )
+    known = attach_docs(requests, docs).withColumn("_tokens", strict_tokens("split"))
     errors = (
         F.when(F.col("page_count").isNull(), present(missing_doc_error()))
         .when(F.size("_tokens") == 0, F.array(F.lit("Page ranges are required")))
-        .otherwise(token_errors(F.col("_tokens")))
+        .otherwise(F.expr(TOKEN_ERRORS))
     )
     good, bad = split_outcome(known.withColumn("errors", errors))
-    return Outcome(_plan_parts(_explode_parts(good, token_spans(F.col("_tokens")))), bad)
+    return Outcome(_plan_parts(_explode_parts(good, F.expr(TOKEN_SPANS))), bad)
 
 
 def split_at_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     """Parts end after each of ``split_points``; repeated points and points outside ``1..count-1`` are errors."""
-    points, n = F.array_sort("split_points"), F.col("page_count")
-    known = attach_docs(requests, docs)
-    off = F.exists(points, lambda p: ~p.between(1, n - 1)) | (F.size(F.array_distinct(points)) < F.size(points))
+    known = attach_docs(requests, docs).withColumn("_points", F.array_sort("split_points"))
+    outside = F.expr("exists(_points, p -> p not between 1 and page_count - 1)")
+    repeated = F.size(F.array_distinct("_points")) < F.size("_points")
     errors = present(
         F.coalesce(
             missing_doc_error(),
-            F.when(F.coalesce(F.size(points), F.lit(0)) <= 0, F.lit("Split pages are required")),
-            F.when(off, tx.message("Split pages must be distinct and lie between 1 and ", n - 1)),
+            F.when(F.coalesce(F.size("_points"), F.lit(0)) <= 0, F.lit("Split pages are required")),
+            F.when(
+                outside | repeated,
+                tx.message("Split pages must be distinct and lie between 1 and ", F.col("page_count") - 1),
+            ),
         )
     )
     good, bad = split_outcome(known.withColumn("errors", errors))
-    starts = F.concat(F.array(F.lit(1)), F.transform(points, lambda p: p + 1))
-    ends = F.concat(points, F.array(n))
-    return Outcome(_plan_parts(_explode_parts(good, F.zip_with(starts, ends, lambda a, b: sp.span(a, b)))), bad)
+    parts = F.expr(
+        "zip_with(concat(array(1), transform(_points, p -> p + 1)), concat(_points, array(page_count)),"
+        " (a, b) -> named_struct('s', a, 'e', b))"
+    )
+    return Outcome(_plan_parts(_explode_parts(good, parts)), bad)
 
 
 def split_every_n(pages: DataFrame, interval: int | Column) -> DataFrame:
@@ -143,30 +146,38 @@ def extract_all(pages: DataFrame) -> DataFrame:
     )
 
 
-def _stride_count(upto: Column, even: Column, odd: Column, nth: Column, start: Column) -> Column:
+def _progression(upto: str, first: str, step: str) -> str:
+    return f"if({step} is not null and {upto} >= {first}, ({upto} - {first}) div {step} + 1, 0L)"
+
+
+def _strided(upto: str) -> str:
     """How many of the pages ``1..upto`` are even, odd or on the stride, each counted once, in closed form."""
-    upto = upto.cast("bigint")
-    nth = F.when(nth > 0, nth.cast("bigint"))
-    asked_first = F.coalesce(start, nth).cast("bigint")
-    # First stride page that exists, and the first one of the other parity where the step is odd.
-    first = F.when(asked_first >= 1, asked_first).otherwise(F.pmod(asked_first - 1, nth) + 1)
-
-    def progression(begin: Column, step: Column) -> Column:
-        return F.when(upto >= begin, F.floor((upto - begin) / step) + 1).otherwise(F.lit(0))
-
-    on_stride = F.when(nth.isNotNull(), progression(first, nth)).otherwise(F.lit(0))
-    lone = F.when(even, F.lit(0)).when(odd, F.lit(1))
-    shared = (
-        F.when(nth.isNull(), F.lit(0))
-        .when(nth % 2 == 0, F.when(first % 2 == lone, on_stride).otherwise(F.lit(0)))
-        .otherwise(progression(F.when(first % 2 == lone, first).otherwise(first + nth), nth * 2))
-    )
-    in_parity = F.when(even, F.floor(upto / 2)).otherwise(F.floor((upto + 1) / 2))
+    return f"""if(_even and _odd, cast({upto} as bigint),
+        case when _even then {upto} div 2 when _odd then ({upto} + 1) div 2 else 0L end
+        + {_progression(upto, "_first", "_step")} - {_progression(upto, "_both_first", "_both_step")})"""
+
+
+def _with_strides(requests: DataFrame) -> DataFrame:
+    """Adds the stride as its first page and step, and what it shares with the even or odd pages in the same form."""
+    begin = "cast(coalesce(start, nth) as bigint)"
     return (
-        F.when(even & odd, upto)
-        .when(even | odd, in_parity + on_stride - shared)
-        .otherwise(on_stride)
-        .cast("bigint")
+        requests.withColumns(
+            {
+                "_even": F.expr("coalesce(even, false)"),
+                "_odd": F.expr("coalesce(odd, false)"),
+                "_step": F.expr("if(nth > 0, cast(nth as bigint), null)"),
+            }
+        )
+        .withColumn("_first", F.expr(f"if({begin} >= 1, {begin}, pmod({begin} - 1, _step) + 1)"))
+        .withColumn("_meets", F.expr("_first % 2 = if(_even, 0, 1)"))
+        .withColumns(
+            {
+                "_both_first": F.expr("if(_meets or _step % 2 = 0, _first, _first + _step)"),
+                "_both_step": F.expr(
+                    "case when not _even and not _odd then null when _step % 2 = 1 then 2 * _step when _meets then _step end"
+                ),
+            }
+        )
     )
 
 
@@ -176,78 +187,67 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     Ranges are kept as spans and strides are counted in closed form, so new positions come from the request row itself:
     no anti-join and no window over pages.
     """
-    n = F.col("page_count")
-    even, odd = (F.coalesce(F.col(c), F.lit(False)) for c in ("even", "odd"))
-    nth, start = F.col("nth"), F.col("start")
-
-    def strided(upto: Column) -> Column:
-        return _stride_count(upto, even, odd, nth, start)
-
-    known = attach_docs(requests, docs).withColumn(
-        "_tokens", strict_tokens(F.col("page_ranges"), F.col("pages"), n, "remove")
-    )
-    no_criterion = (F.size("_tokens") == 0) & ~even & ~odd & nth.isNull()
-    known = known.withColumn("_faults", token_errors(F.col("_tokens"))).withColumn(
-        "_pieces",
-        F.when(F.size("_faults") == 0, sp.complement(sp.merge(token_spans(F.col("_tokens"))), n)),
+    known = (
+        _with_strides(attach_docs(requests, docs))
+        .withColumn("_tokens", strict_tokens("remove"))
+        .withColumn("_faults", F.expr(TOKEN_ERRORS))
+        .withColumn("_gone", F.expr(f"if(size(_faults) = 0, {sq.merge(TOKEN_SPANS)}, null)"))
+        .withColumn("_spans", F.expr(sq.complement("_gone")))
+        .withColumn(
+            "_pieces",
+            F.expr(
+                "transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'before',"
+                f" {_strided('(x.s - 1)')}, 'hit', {_strided('x.e')}))"
+            ),
+        )
+        .withColumn("_remaining", F.expr("aggregate(_pieces, 0L, (n, x) -> n + x.e - x.s + 1 - (x.hit - x.before))"))
     )
-
-    def left_in(piece: Column) -> Column:
-        return (piece["e"] - piece["s"] + 1) - (strided(piece["e"]) - strided(piece["s"] - 1))
-
-    remaining = F.aggregate("_pieces", F.lit(0).cast("bigint"), lambda acc, x: acc + left_in(x))
-    known = known.withColumn("_remaining", remaining)
+    no_criterion = (F.size("_tokens") == 0) & ~F.col("_even") & ~F.col("_odd") & F.col("nth").isNull()
     errors = (
-        F.when(n.isNull(), present(missing_doc_error()))
+        F.when(F.col("page_count").isNull(), present(missing_doc_error()))
         .when(no_criterion, F.array(F.lit("At least one removal criteria must be specified.")))
         .when(F.size("_faults") > 0, F.col("_faults"))
         .when(F.col("_remaining") <= 0, F.array(F.lit("Cannot remove all pages from the PDF")))
         .otherwise(F.array().cast("array<string>"))
     )
     good, bad = split_outcome(known.withColumn("errors", errors))
-
-    begin = F.struct(
-        F.array().cast("array<struct<s:int,e:int,skip:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("kept")
+    # ``skip`` turns a page number into its new position once the strided pages before it are taken off too.
+    placed = F.expr(
+        "aggregate(_pieces, named_struct('out', cast(array() as array<struct<s:int,e:int,skip:bigint>>), 'kept', 0L),"
+        " (acc, x) -> named_struct("
+        "  'out', array_append(acc.out, named_struct('s', x.s, 'e', x.e, 'skip', x.s - 1 - x.before - acc.kept)),"
+        "  'kept', acc.kept + x.e - x.s + 1 - (x.hit - x.before)), acc -> acc.out)"
     )
-
-    def place(acc: Column, x: Column) -> Column:
-        # ``skip`` turns a page number into its new position once strided pages before it are taken off too.
-        skip = x["s"] - 1 - strided(x["s"] - 1) - acc["kept"]
-        item = F.struct(x["s"].alias("s"), x["e"].alias("e"), skip.alias("skip"))
-        return F.struct(F.array_append(acc["out"], item).alias("out"), (acc["kept"] + left_in(x)).alias("kept"))
-
-    placed = good.withColumn("_x", F.explode(F.aggregate("_pieces", begin, place, lambda acc: acc["out"]))).select(
-        "request_id", "doc_id", "base", "even", "odd", "nth", "start",
-        F.col("_x.s").alias("s"), F.col("_x.e").alias("e"), F.col("_x.skip").alias("skip"),
-    )
-    kept = expand(placed).where(~stride_hit(F.col("page_no"), even, odd, nth, start))
-    position = F.col("page_no") - strided(F.col("page_no")) - F.col("skip")
-    rows = kept.select(
-        "request_id",
-        "doc_id",
-        output_name("remove", F.col("base")).alias("output_name"),
-        F.lit(1).alias("part_no"),
-        position.cast("int").alias("out_no"),
-        "page_no",
+    strides = ["even", "odd", "nth", "start", "_even", "_odd", "_step", "_first", "_both_first", "_both_step"]
+    pieces = good.select("request_id", "doc_id", "base", *strides, F.explode(placed).alias("_x")).select(
+        "request_id", "doc_id", "base", *strides, "_x.s", "_x.e", "_x.skip"
+    )
+    rows = expand(pieces).where(f"not ({sq.stride_hit()})")
+    return Outcome(
+        rows.select(
+            "request_id",
+            "doc_id",
+            output_name("remove", F.col("base")).alias("output_name"),
+            F.lit(1).alias("part_no"),
+            F.expr(f"cast(page_no - ({_strided('page_no')}) - skip as int)").alias("out_no"),
+            "page_no",
+        ),
+        bad,
     )
-    return Outcome(rows, bad)
 
 
 def organize_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """Pages in the order of ``page_order``, each turned by its rotation on top of the page's own."""
-    n, order = F.col("page_count"), F.col("page_order")
-    faults = F.transform(
-        F.filter(order, lambda x: ~x["page_number"].between(1, n)),
-        lambda x: tx.message("Page number ", x["page_number"], " is out of range (1-", n, ")"),
-    )
-    turns = F.transform(
-        F.filter(order, lambda x: F.pmod(x["rotation"], F.lit(90)) != 0),
-        lambda x: tx.message("Rotation must be a multiple of 90 degrees. Got: ", x["rotation"]),
+    faults = F.expr(
+        "concat(transform(filter(page_order, x -> x.page_number not between 1 and page_count),"
+        " x -> concat('Page number ', x.page_number, ' is out of range (1-', page_count, ')')),"
+        " transform(filter(page_order, x -> x.rotation % 90 <> 0),"
+        " x -> concat('Rotation must be a multiple of 90 degrees. Got: ', x.rotation)))"
     )
     errors = (
-        F.when(n.isNull(), present(missing_doc_error()))
-        .when(F.coalesce(F.size(order), F.lit(0)) <= 0, F.array(F.lit("Page order is required.")))
-        .otherwise(F.concat(faults, turns))
+        F.when(F.col("page_count").isNull(), present(missing_doc_error()))
+        .when(F.coalesce(F.size("page_order"), F.lit(0)) <= 0, F.array(F.lit("Page order is required.")))
+        .otherwise(faults)
     )
     good, bad = split_outcome(attach_docs(requests, docs).withColumn("errors", errors))
     steps = good.select("request_id", "doc_id", "base", F.posexplode("page_order").alias("_pos", "_x")).select(
@@ -343,9 +343,8 @@ def merge_docs(requests: DataFrame, docs: DataFrame, dedupe: bool = False) -> Ou
         placed.where(F.col("doc_id").isNull())
         .groupBy("request_id")
         .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("file_pos", "file_path"))),
-                lambda x: tx.message("File not found: ", x["file_path"]),
+            F.expr(
+                "transform(array_sort(collect_list(struct(file_pos, file_path))), x -> concat('File not found: ', x.file_path))"
             ).alias("errors")
         )
         .unionByName(

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagework.functions import spans as sp
+from pagework.functions import sqltext as sq
 from pagework.session import shuffle_partitions
 
 BLOCK = 4096
@@ -92,8 +92,8 @@ def join_all_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
         "_block", F.explode(F.sequence(F.lit(0), block_of(F.col("page_count"))))
     )
     if "spans" in cut.columns:
-        low, high = F.col("_block") * BLOCK + 1, (F.col("_block") + 1) * BLOCK
-        cut = cut.withColumn("spans", F.filter("spans", lambda x: (x["e"] >= low) & (x["s"] <= high)))
+        own = f"x -> x.e >= _block * {BLOCK} + 1 and x.s <= (_block + 1) * {BLOCK}"
+        cut = cut.withColumn("spans", F.expr(f"filter(spans, {own})"))
     page_rows = pages.withColumn("_block", block_of(F.col("page_no")))
     return cut.drop("page_count", "base").join(page_rows, ["doc_id", "_block"]).drop("_block")
 
@@ -132,4 +132,4 @@ def mark_positions(manifest: DataFrame, marks: DataFrame, keys: list[str]) -> Da
 
 
 def full_selection(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("spans", sp.whole(F.col("page_count")))
+    return requests.withColumn("spans", F.expr(sq.whole()))

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagework.functions import spans as sp
-from pagework.functions import text as tx
+from pagework.functions import sqltext as sq
 from pagework.operators.rows import (
     attach_docs,
     block_of,
@@ -24,177 +23,21 @@ from pagework.operators.rows import (
 LISTED = 10
 
 
-def _token(start: Column, end: Column, error: Column) -> Column:
-    return F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"), error.cast("string").alias("error"))
-
-
-def split_token(token: Column, page_count: Column) -> Column:
-    """One range of the split form: ``a`` or ``a-b``, strict, as ``{s, e, error}``."""
-    body = tx.strip(token)
-    parts = F.split(body, "-")
-    single = tx.strict_int(body)
-    first = tx.strict_int(tx.strip(F.get(parts, F.lit(0))))
-    last = tx.strict_int(tx.strip(F.get(parts, F.lit(1))))
-    ranged = body.contains("-")
-    error = (
-        F.when(~ranged & single.isNull(), tx.message("Invalid page number: '", body, "'"))
-        .when(
-            ~ranged & ~single.between(1, page_count),
-            tx.message("Page number ", single, " is out of range (1-", page_count, ")"),
-        )
-        .when(~ranged, F.lit(None))
-        .when(
-            F.size(parts) != 2,
-            tx.message("Invalid range format: '", body, "'. Use 'start-end' or single page numbers."),
-        )
-        .when(first.isNull() | last.isNull(), tx.message("Invalid page numbers in range: '", body, "'"))
-        .when(first < 1, tx.message("Start page cannot be less than 1: '", body, "'"))
-        .when(last > page_count, tx.message("End page cannot exceed ", page_count, ": '", body, "'"))
-        .when(first > last, tx.message("Start page cannot be greater than end page: '", body, "'"))
-    )
-    return _token(F.when(ranged, first).otherwise(single), F.when(ranged, last).otherwise(single), error)
-
-
-def remove_token(token: Column, page_count: Column) -> Column:
-    """One range of the remove form: always ``a-b``, strict, as ``{s, e, error}``."""
-    parts = F.split(token, "-")
-    first = tx.strict_int(tx.strip(F.get(parts, F.lit(0))))
-    last = tx.strict_int(tx.strip(F.get(parts, F.lit(1))))
-    error = (
-        F.when(
-            F.size(parts) != 2,
-            tx.message("Invalid page range format: ", token, ". Expected format: 'start-end' (e.g., '1-5')"),
-        )
-        .when(first.isNull() | last.isNull(), tx.message("Invalid page numbers in range: ", token))
-        .when(
-            (first < 1) | (last > page_count) | (first > last),
-            tx.message("Page range ", token, " is out of bounds (1-", page_count, ") or invalid"),
-        )
-    )
-    return _token(first, last, error)
-
-
-def page_token(page: Column, page_count: Column) -> Column:
-    """One number of a strict page list."""
-    error = F.when(
-        ~page.between(1, page_count), tx.message("Page number ", page, " is out of range (1-", page_count, ")")
-    )
-    return _token(page, page, error)
-
-
-def strict_tokens(ranges: Column, pages: Column | None, page_count: Column, dialect: str) -> Column:
-    """All tokens of a strict request in the order they are checked: the page list, then the ranges."""
-    parse = split_token if dialect == "split" else remove_token
-    nothing = F.array().cast("array<struct<s:int,e:int,error:string>>")
-    tokens = F.coalesce(F.transform(ranges, lambda t: parse(t, page_count)), nothing)
-    if pages is None:
-        return tokens
-    return F.concat(F.coalesce(F.transform(pages, lambda p: page_token(p, page_count)), nothing), tokens)
-
-
-def token_errors(tokens: Column) -> Column:
-    return F.transform(F.filter(tokens, lambda x: x["error"].isNotNull()), lambda x: x["error"])
-
-
-def token_spans(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: sp.span(x["s"], x["e"]))
-
-
-def _pair(first: Column, last: Column) -> Column:
-    return F.struct(first.cast("bigint").alias("s"), last.cast("bigint").alias("e"))
-
-
-def crop_spans(custom: Column, page_count: Column) -> Column:
-    """Lenient: empty pieces between dashes vanish, ``5-2`` means ``2-5``."""
-
-    def parse(token: Column) -> Column:
-        body = tx.strip(token)
-        parts = F.filter(F.split(body, "-"), lambda x: x != "")
-        first, last = tx.strict_int(F.get(parts, F.lit(0))), tx.strict_int(F.get(parts, F.lit(1)))
-        both = (F.size(parts) == 2) & first.isNotNull() & last.isNotNull()
-        single = tx.strict_int(body)
-        return F.when(
-            body.contains("-"), F.when(both, _pair(F.least(first, last), F.greatest(first, last)))
-        ).otherwise(_pair(single, single))
-
-    return sp.merge(sp.clamp(F.transform(F.split(custom, ","), parse), page_count))
-
-
-def watermark_spans(custom: Column, page_count: Column) -> Column:
-    """Lenient: exactly one dash per range, ``5-2`` is empty."""
-
-    def parse(token: Column) -> Column:
-        body = tx.strip(token, tx.PYTHON_BLANKS)
-        parts = F.split(body, "-")
-        single = tx.long_int(body)
-        pair = _pair(tx.long_int(F.get(parts, F.lit(0))), tx.long_int(F.get(parts, F.lit(1))))
-        return F.when(body.contains("-"), F.when(F.size(parts) == 2, pair)).otherwise(_pair(single, single))
-
-    return sp.merge(sp.clamp(F.transform(F.split(custom, ","), parse), page_count))
-
-
-def image_spans(pages: Column, ranges: Column, page_count: Column) -> Column:
-    """A page list and a range list, cut at the first dash only; both empty means every page."""
-
-    def parse(token: Column) -> Column:
-        parts = F.split(token, "-", 2)
-        single = tx.long_int(token)
-        pair = _pair(tx.long_int(F.get(parts, F.lit(0))), tx.long_int(F.get(parts, F.lit(1))))
-        return F.when(token.contains("-"), pair).otherwise(_pair(single, single))
-
-    nothing = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    listed = F.coalesce(F.transform(pages, lambda p: _pair(p, p)), nothing)
-    ranged = F.coalesce(F.transform(ranges, parse), nothing)
-    chosen = sp.merge(sp.clamp(F.concat(listed, ranged), page_count))
-    return F.when(F.size(listed) + F.size(ranged) == 0, sp.whole(page_count)).otherwise(chosen)
-
-
-def form_spans(pages_text: Column, ranges_text: Column, page_count: Column) -> Column:
-    """Two text boxes: numbers by their leading digits, and ranges that count only when wholly in bounds."""
-
-    def number(token: Column) -> Column:
-        value = tx.leading_int(token)
-        return _pair(value, value)
-
-    def ranged(token: Column) -> Column:
-        parts = F.split(token, "-")
-        first, last = tx.leading_int(F.get(parts, F.lit(0))), tx.leading_int(F.get(parts, F.lit(1)))
-        sound = (F.size(parts) == 2) & (first >= 1) & (last <= page_count) & (first <= last)
-        return F.when(sound, _pair(first, last))
-
-    nothing = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    numbers = F.coalesce(F.transform(F.split(pages_text, ","), number), nothing)
-    ranges = F.coalesce(F.transform(F.split(ranges_text, ","), ranged), nothing)
-    return sp.merge(sp.clamp(F.concat(numbers, ranges), page_count))
-
-
-def mode_spans(mode: Column, custom: Column, start: Column, end: Column, page_count: Column) -> Column:
-    """All, first, last, custom text, or start to end; end 0 is the last page, empty custom text falls to start-end."""
-    last = F.when(end > 0, F.least(page_count, end)).otherwise(page_count)
-    return (
-        F.when(mode == "all", sp.whole(page_count))
-        .when(mode == "first", sp.clamp(F.array(sp.span(F.lit(1), F.lit(1))), page_count))
-        .when(mode == "last", sp.clamp(F.array(sp.span(page_count, page_count)), page_count))
-        .when((mode == "custom") & (custom != ""), watermark_spans(custom, page_count))
-        .otherwise(sp.clamp(F.array(_pair(F.greatest(F.lit(1), start), last)), page_count))
-    )
-
+_LENIENT = {
+    "crop": sq.crop_spans("custom_pages"),
+    "watermark": sq.watermark_spans("custom_pages"),
+    "images": sq.image_spans("pages", "page_ranges"),
+    "form": sq.form_spans("pages_text", "ranges_text"),
+}
+_STRICT = {"split": sq.split_tokens("page_ranges"), "remove": sq.remove_tokens("pages", "page_ranges")}
 
-def crop_mode_spans(mode: Column, custom: Column, page_count: Column) -> Column:
-    """``all``, or the custom text whatever the mode says; no text selects nothing."""
-    return (
-        F.when(mode == "all", sp.whole(page_count))
-        .when(tx.is_blank(custom), sp.no_spans())
-        .otherwise(crop_spans(custom, page_count))
-    )
+TOKEN_ERRORS = "transform(filter(_tokens, x -> x.error is not null), x -> x.error)"
+TOKEN_SPANS = "transform(_tokens, x -> named_struct('s', x.s, 'e', x.e))"
 
 
-_LENIENT = {
-    "crop": lambda n: crop_spans(F.col("custom_pages"), n),
-    "watermark": lambda n: watermark_spans(F.col("custom_pages"), n),
-    "images": lambda n: image_spans(F.col("pages"), F.col("page_ranges"), n),
-    "form": lambda n: form_spans(F.col("pages_text"), F.col("ranges_text"), n),
-}
+def strict_tokens(dialect: str) -> Column:
+    """All tokens of a strict request, ``{s, e, error}`` each, in the order they are checked."""
+    return F.expr(_STRICT[dialect])
 
 
 def parse_page_spec(requests: DataFrame, docs: DataFrame, dialect: str) -> tuple[DataFrame, DataFrame]:
@@ -205,20 +48,16 @@ def parse_page_spec(requests: DataFrame, docs: DataFrame, dialect: str) -> tuple
     Only the first two know errors besides a missing document.
     """
     known = attach_docs(requests, docs)
-    page_count = F.col("page_count")
+    gone = F.col("page_count").isNull()
     if dialect in _LENIENT:
         parsed = known.withColumn("errors", present(missing_doc_error())).withColumn(
-            "spans", F.coalesce(_LENIENT[dialect](page_count), sp.no_spans())
+            "spans", F.coalesce(F.expr(_LENIENT[dialect]), F.expr(sq.no_spans()))
         )
-    elif dialect in ("split", "remove"):
-        pages = F.col("pages") if dialect == "remove" else None
+    elif dialect in _STRICT:
         parsed = (
-            known.withColumn("_tokens", strict_tokens(F.col("page_ranges"), pages, page_count, dialect))
-            .withColumn(
-                "errors",
-                F.when(page_count.isNull(), present(missing_doc_error())).otherwise(token_errors(F.col("_tokens"))),
-            )
-            .withColumn("spans", F.when(F.size("errors") == 0, sp.merge(token_spans(F.col("_tokens")))))
+            known.withColumn("_tokens", strict_tokens(dialect))
+            .withColumn("errors", F.when(gone, present(missing_doc_error())).otherwise(F.expr(TOKEN_ERRORS)))
+            .withColumn("spans", F.when(F.size("errors") == 0, F.expr(sq.merge(TOKEN_SPANS))))
         )
     else:
         raise ValueError(f"unknown dialect: {dialect}")
@@ -237,22 +76,7 @@ def selected_pages(selection: DataFrame) -> DataFrame:
 def select_pages(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Selection by mode; reads ``mode, custom_pages, start_page, end_page``."""
     known = attach_docs(requests, docs).where(F.col("page_count").isNotNull())
-    spans = mode_spans(
-        F.col("mode"), F.col("custom_pages"), F.col("start_page"), F.col("end_page"), F.col("page_count")
-    )
-    return known.withColumn("spans", spans)
-
-
-def stride_hit(page_no: Column, even: Column, odd: Column, nth: Column, start: Column) -> Column:
-    """Whether a page is even, odd or on the every-Nth stride, as far as these are asked for."""
-    first = F.coalesce(start, nth).cast("bigint")
-    step = F.when(nth > 0, nth)
-    on_stride = (page_no >= first) & (F.pmod(page_no - first, step) == 0)
-    return (
-        (F.coalesce(even, F.lit(False)) & (page_no % 2 == 0))
-        | (F.coalesce(odd, F.lit(False)) & (page_no % 2 == 1))
-        | F.coalesce(on_stride, F.lit(False))
-    )
+    return known.withColumn("spans", F.expr(sq.mode_spans("mode", "custom_pages", "start_page", "end_page")))
 
 
 def select_stride(requests: DataFrame, docs: DataFrame) -> DataFrame:
@@ -262,8 +86,7 @@ def select_stride(requests: DataFrame, docs: DataFrame) -> DataFrame:
         (F.col("page_count") >= 1) & (wanted | (F.coalesce(F.col("nth"), F.lit(0)) > 0))
     )
     rows = expand(asked.withColumn("s", F.lit(1)).withColumn("e", F.col("page_count")))
-    hit = stride_hit(F.col("page_no"), F.col("even"), F.col("odd"), F.col("nth"), F.col("start"))
-    return rows.where(hit).select("request_id", "doc_id", "page_no")
+    return rows.where(sq.stride_hit()).select("request_id", "doc_id", "page_no")
 
 
 def invert_selection(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> DataFrame:
@@ -274,7 +97,7 @@ def invert_selection(requests: DataFrame, docs: DataFrame, selected: DataFrame)
 
 def invert_spans(selection: DataFrame) -> DataFrame:
     """The same while the selection still is spans: no shuffle at all."""
-    return selection.withColumn("spans", sp.complement(F.col("spans"), F.col("page_count")))
+    return selection.withColumn("spans", F.expr(sq.complement("spans")))
 
 
 def union_selection(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -307,8 +130,8 @@ def compact_selection(selected: DataFrame) -> DataFrame:
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
     )
     long_run = F.col("e") - F.col("s") >= 2
-    as_range = F.array(sp.span(F.col("s"), F.col("e")))
-    as_pages = F.transform(F.sequence(F.col("s"), F.least(F.col("e"), F.col("s") + 1)), lambda p: sp.span(p, p))
+    as_range = F.expr("array(named_struct('s', s, 'e', e))")
+    as_pages = F.expr("transform(sequence(s, least(e, s + 1)), p -> named_struct('s', p, 'e', p))")
     tokens = joined.select(*keys, F.explode(F.when(long_run, as_range).otherwise(as_pages)).alias("_x"))
     ranged = F.col("_x.s") < F.col("_x.e")
     return tokens.select(

@@ -319,7 +319,8 @@ from {docs}
 
 
 def fixture_text(name: str, engine: str) -> str:
-    return re.sub(r"@(\w+)@", lambda m: WORDS[engine][m.group(1)], SQL[name])
+    text = re.sub(r"@(\w+)@", lambda m: WORDS[engine][m.group(1)], SQL[name])
+    return text.replace("varchar(20)", "string") if engine == "spark" else text
 
 
 def needs(text: str) -> list[str]:
