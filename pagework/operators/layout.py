@@ -15,7 +15,7 @@ from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
 from pagework.operators.manifest import output_name
-from pagework.operators.rows import attach_docs, join_all_pages, join_pages
+from pagework.operators.rows import attach_docs, each, join_all_pages, join_pages
 from pagework.operators.selection import select_pages
 
 NUMBER_MARGIN = 20
@@ -202,7 +202,7 @@ def place_tiled(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataF
     rows = _stamped(requests.where(F.col("position") == "Tiled"), docs, pages)
     half = F.col("_ph") / 2
     centres = F.array(half, half / 3, half * 5 / 3)
-    tiles = rows.select("*", F.posexplode(centres).alias("_tile", "_centre"))
+    tiles = each(rows, centres, "_centre", "_tile")
     x = F.col("_pw") / 2 - F.col("_w") / 2
     return _placed(tiles, F.col("_tile") + 1, x, F.col("_centre") - F.col("_h") / 2)
 

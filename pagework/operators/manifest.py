@@ -15,7 +15,10 @@ from pagework.functions import text as tx
 from pagework.operators.rows import (
     Outcome,
     attach_docs,
+    each,
+    error_part,
     expand,
+    if_sound,
     mark_positions,
     missing_doc_error,
     present,
@@ -55,14 +58,9 @@ def _plan_parts(parts: DataFrame) -> DataFrame:
     return expand(named).withColumn("out_no", F.col("page_no") - F.col("s") + 1).select(*PLAN)
 
 
-def _explode_parts(good: DataFrame, spans: Column) -> DataFrame:
-    return good.select("request_id", "doc_id", "base", F.posexplode(spans).alias("_pos", "_x")).select(
-        "request_id",
-        "doc_id",
-        "base",
-        (F.col("_pos") + 1).alias("part_no"),
-        F.col("_x.s").alias("s"),
-        F.col("_x.e").alias("e"),
+def _each_part(checked: DataFrame, spans: Column) -> DataFrame:
+    return each(checked, if_sound(spans), "_x", "_pos").select(
+        "request_id", "doc_id", "base", (F.col("_pos") + 1).alias("part_no"), "_x.s", "_x.e"
     )
 
 
@@ -74,8 +72,8 @@ def split_by_ranges(requests: DataFrame, docs: DataFrame) -> Outcome:
         .when(F.size("_tokens") == 0, F.array(F.lit("Page ranges are required")))
         .otherwise(F.expr(TOKEN_ERRORS))
     )
-    good, bad = split_outcome(known.withColumn("errors", errors))
-    return Outcome(_plan_parts(_explode_parts(good, F.expr(TOKEN_SPANS))), bad)
+    checked = known.withColumn("errors", errors)
+    return Outcome(_plan_parts(_each_part(checked, F.expr(TOKEN_SPANS))), error_part(checked))
 
 
 def split_at_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
@@ -93,12 +91,12 @@ def split_at_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
             ),
         )
     )
-    good, bad = split_outcome(known.withColumn("errors", errors))
+    checked = known.withColumn("errors", errors)
     parts = F.expr(
         "zip_with(concat(array(1), transform(_points, p -> p + 1)), concat(_points, array(page_count)),"
         " (a, b) -> named_struct('s', a, 'e', b))"
     )
-    return Outcome(_plan_parts(_explode_parts(good, parts)), bad)
+    return Outcome(_plan_parts(_each_part(checked, parts)), error_part(checked))
 
 
 def split_every_n(pages: DataFrame, interval: int | Column) -> DataFrame:
@@ -210,7 +208,7 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
         .when(F.col("_remaining") <= 0, F.array(F.lit("Cannot remove all pages from the PDF")))
         .otherwise(F.array().cast("array<string>"))
     )
-    good, bad = split_outcome(known.withColumn("errors", errors))
+    checked = known.withColumn("errors", errors)
     # ``skip`` turns a page number into its new position once the strided pages before it are taken off too.
     placed = F.expr(
         "aggregate(_pieces, named_struct('out', cast(array() as array<struct<s:int,e:int,skip:bigint>>), 'kept', 0L),"
@@ -219,7 +217,7 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
         "  'kept', acc.kept + x.e - x.s + 1 - (x.hit - x.before)), acc -> acc.out)"
     )
     strides = ["even", "odd", "nth", "start", "_even", "_odd", "_step", "_first", "_both_first", "_both_step"]
-    pieces = good.select("request_id", "doc_id", "base", *strides, F.explode(placed).alias("_x")).select(
+    pieces = each(checked, if_sound(placed), "_x").select(
         "request_id", "doc_id", "base", *strides, "_x.s", "_x.e", "_x.skip"
     )
     rows = expand(pieces).where(f"not ({sq.stride_hit()})")
@@ -232,7 +230,7 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
             F.expr(f"cast(page_no - ({_strided('page_no')}) - skip as int)").alias("out_no"),
             "page_no",
         ),
-        bad,
+        error_part(checked),
     )
 
 
@@ -249,8 +247,8 @@ def organize_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Ou
         .when(F.coalesce(F.size("page_order"), F.lit(0)) <= 0, F.array(F.lit("Page order is required.")))
         .otherwise(faults)
     )
-    good, bad = split_outcome(attach_docs(requests, docs).withColumn("errors", errors))
-    steps = good.select("request_id", "doc_id", "base", F.posexplode("page_order").alias("_pos", "_x")).select(
+    checked = attach_docs(requests, docs).withColumn("errors", errors)
+    steps = each(checked, if_sound(F.col("page_order")), "_x", "_pos").select(
         "request_id",
         "doc_id",
         output_name("organize", F.col("base")).alias("output_name"),
@@ -260,7 +258,7 @@ def organize_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Ou
         F.coalesce(F.col("_x.rotation"), F.lit(0)).alias("_turn"),
     )
     rows = steps.join(pages.select("doc_id", "page_no", F.col("rotation").alias("_own")), ["doc_id", "page_no"])
-    return Outcome(rows.select(*PLAN, nu.quarter_turn(F.col("_own") + F.col("_turn")).alias("rotation")), bad)
+    return Outcome(rows.select(*PLAN, nu.quarter_turn(F.col("_own") + F.col("_turn")).alias("rotation")), error_part(checked))
 
 
 def rotate_pages(manifest: DataFrame, clicks: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -280,7 +278,7 @@ def duplicate_pages(manifest: DataFrame, marks: DataFrame, keys: list[str] | Non
     keys = keys or ["doc_id"]
     marked = mark_positions(manifest, marks, keys)
     copies = F.when(F.col("marked"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    moved = marked.withColumn("copy_no", F.explode(copies)).withColumn(
+    moved = each(marked, copies, "copy_no").withColumn(
         "out_no", (F.col("out_no") + F.col("marked_before") + F.col("copy_no")).cast("int")
     )
     return moved.select(*manifest.columns, "copy_no")
@@ -322,7 +320,7 @@ def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = No
 
 def listed_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """One row per entry of ``files`` of a request, with the facts of that file, or nulls where it is missing."""
-    entries = requests.select("request_id", F.posexplode("files").alias("file_pos", "file_path"))
+    entries = each(requests.select("request_id", "files"), F.col("files"), "file_path", "file_pos").drop("files")
     return entries.join(files, "file_path", "left")
 
 

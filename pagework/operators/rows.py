@@ -45,6 +45,28 @@ def present(*messages: Column) -> Column:
     return F.filter(F.array(*messages), lambda x: x.isNotNull())
 
 
+def each(rows: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of ``array``; none where it is empty or null.
+
+    A plain explode makes Spark add a filter on the array's size, which moves down to the scan and works the whole array
+    out a second time. The outer form has no such filter, and the one on its output cannot move.
+    """
+    if position is None:
+        out = rows.select("*", F.explode_outer(array).alias(name))
+    else:
+        out = rows.select("*", F.posexplode_outer(array).alias(position, name))
+    return out.where(F.col(name).isNotNull())
+
+
+def if_sound(array: Column) -> Column:
+    """``array`` where the request has no ``errors``, else null, so that ``each`` yields nothing for it."""
+    return F.when(F.size("errors") == 0, array)
+
+
+def error_part(checked: DataFrame) -> DataFrame:
+    return checked.where(F.size("errors") > 0).select("request_id", "doc_id", "errors")
+
+
 def split_outcome(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without errors, and the error rows, from a table that carries ``errors``."""
     good = checked.where(F.size("errors") == 0).drop("errors")
@@ -60,11 +82,11 @@ def expand(rows: DataFrame, start: str = "s", end: str = "e", out: str = "page_n
     packing these small rows together again just before they multiply.
     """
     keys = ["request_id"] if "request_id" in rows.columns else ["doc_id"]
-    cut = rows.withColumn("_block", F.explode(F.sequence(block_of(F.col(start)), block_of(F.col(end)))))
+    cut = each(rows, F.sequence(block_of(F.col(start)), block_of(F.col(end))), "_block")
     spread = cut.repartition(shuffle_partitions(rows.sparkSession), *keys, "_block")
     first = F.greatest(F.col(start), F.col("_block") * BLOCK + 1)
     last = F.least(F.col(end), (F.col("_block") + 1) * BLOCK)
-    return spread.withColumn(out, F.explode(F.sequence(first, last))).drop("_block")
+    return each(spread, F.sequence(first, last), out).drop("_block")
 
 
 def join_pages(selection: DataFrame, pages: DataFrame) -> DataFrame:
@@ -73,11 +95,8 @@ def join_pages(selection: DataFrame, pages: DataFrame) -> DataFrame:
     The selection side is one row per block it touches, holding only that block's spans, so both sides meet on
     (document, block). Spans of one request do not overlap, hence a page meets a request at most once.
     """
-    cut = (
-        selection.withColumn("_spans", F.explode("spans"))
-        .withColumn("_block", F.explode(F.sequence(block_of(F.col("_spans.s")), block_of(F.col("_spans.e")))))
-        .drop("spans", "page_count", "base", "errors")
-    )
+    cut = each(selection, F.col("spans"), "_spans").drop("spans", "page_count", "base", "errors")
+    cut = each(cut, F.sequence(block_of(F.col("_spans.s")), block_of(F.col("_spans.e"))), "_block")
     page_rows = pages.withColumn("_block", block_of(F.col("page_no")))
     met = cut.join(page_rows, ["doc_id", "_block"]).where(F.col("page_no").between(F.col("_spans.s"), F.col("_spans.e")))
     return met.drop("_block", "_spans")
@@ -88,9 +107,8 @@ def join_all_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
     Where the request side has ``spans``, each block keeps only its own.
     """
-    cut = requests.where(F.col("page_count") >= 1).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), block_of(F.col("page_count"))))
-    )
+    blocks = F.when(F.col("page_count") >= 1, F.sequence(F.lit(0), block_of(F.col("page_count"))))
+    cut = each(requests, blocks, "_block")
     if "spans" in cut.columns:
         own = f"x -> x.e >= _block * {BLOCK} + 1 and x.s <= (_block + 1) * {BLOCK}"
         cut = cut.withColumn("spans", F.expr(f"filter(spans, {own})"))

@@ -13,6 +13,7 @@ from pagework.functions import sqltext as sq
 from pagework.operators.rows import (
     attach_docs,
     block_of,
+    each,
     expand,
     full_selection,
     missing_doc_error,
@@ -67,10 +68,8 @@ def parse_page_spec(requests: DataFrame, docs: DataFrame, dialect: str) -> tuple
 
 def selected_pages(selection: DataFrame) -> DataFrame:
     """One ``request_id, doc_id, page_no`` row per selected page."""
-    spans = selection.select("request_id", "doc_id", F.explode("spans").alias("_x"))
-    return expand(spans.select("request_id", "doc_id", F.col("_x.s").alias("s"), F.col("_x.e").alias("e"))).select(
-        "request_id", "doc_id", "page_no"
-    )
+    spans = each(selection.select("request_id", "doc_id", "spans"), F.col("spans"), "_x")
+    return expand(spans.select("request_id", "doc_id", "_x.s", "_x.e")).select("request_id", "doc_id", "page_no")
 
 
 def select_pages(requests: DataFrame, docs: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def compact_selection(selected: DataFrame) -> DataFrame:
     long_run = F.col("e") - F.col("s") >= 2
     as_range = F.expr("array(named_struct('s', s, 'e', e))")
     as_pages = F.expr("transform(sequence(s, least(e, s + 1)), p -> named_struct('s', p, 'e', p))")
-    tokens = joined.select(*keys, F.explode(F.when(long_run, as_range).otherwise(as_pages)).alias("_x"))
+    tokens = each(joined, F.when(long_run, as_range).otherwise(as_pages), "_x")
     ranged = F.col("_x.s") < F.col("_x.e")
     return tokens.select(
         *keys,
