@@ -2,167 +2,160 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.functions import text as tx
+from pagework.functions import sqltext as sq
 from pagework.operators.manifest import listed_files
 
 # Limits and accepted names.
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".bmp"]
 IMAGE_BYTES = 10 * 1024 * 1024
 RENDER_FORMATS = ["jpg", "jpeg", "png"]
+SPLIT_METHODS = ["ByPageRanges", "AtSpecificPages", "EveryNPages", "ExtractAllPages"]
 MARGINS = {"m_top": "Top", "m_right": "Right", "m_bottom": "Bottom", "m_left": "Left"}
 
-TOOLS = [
-    "split", "remove", "organize", "merge", "numbers", "watermark", "image_watermark", "render", "compress",
-    "metadata", "images", "lock", "unlock", "crop",
-]
 
+def _blank(x: str, blanks: str = sq.DOTNET_BLANKS) -> str:
+    return f"coalesce({sq.strip(x, blanks)} = '', true)"
 
-def _c(name: str) -> Column:
-    return F.col(name)
 
+def _empty(x: str) -> str:
+    return f"coalesce(size({x}) <= 0, true)"
 
-def _empty(array: Column) -> Column:
-    return F.coalesce(F.size(array) <= 0, F.lit(True))
 
+def _among(x: str, names: list[str]) -> str:
+    return f"coalesce({x} in ({', '.join(repr(n) for n in names)}), false)"
 
-def _outside(value: Column, low: int, high: int) -> Column:
-    return F.coalesce(~value.between(low, high), F.lit(True))
 
+def _outside(x: str, low: int, high: int) -> str:
+    return f"not coalesce({x} between {low} and {high}, false)"
 
-def _say(bad: Column, text: str | Column) -> Column:
-    return F.when(bad, F.lit(text) if isinstance(text, str) else text)
+
+def _path(said: str) -> list[tuple[str, str]]:
+    return [
+        (_blank("file_path"), f"'{said}'"),
+        (f"not {_blank('file_path')} and not file_exists", "concat('File not found: ', file_path)"),
+    ]
 
 
-def _page_faults(numbers: Column) -> Column:
-    n = _c("page_count")
-    wrong = F.filter(numbers, lambda p: ~p.between(1, n))
-    first = F.get(wrong, F.lit(0))
-    return F.when(first.isNotNull(), tx.message("Page number ", first, " is out of range (1-", n, ")"))
+_BODY = _path("Invalid request. File path is required.")
+_BRIEF = _path("File path is required.")
+_PAGE_RANGE = "' is out of range (1-', page_count, ')'"
+_WRONG_PAGE = "filter(pages, p -> p not between 1 and page_count)"
+_WRONG_STEP = "filter(page_order, x -> x.page_number not between 1 and page_count)"
+_WRONG_TURN = "filter(page_order, x -> x.rotation % 90 <> 0)"
+_EXTENSION = r"lower(regexp_extract(image_name, '(\\.[^.\\\\/]*)$', 1))"
+_UNSET = (
+    "filter(array("
+    + ", ".join(f"if({sq.leading_int(sq.strip(m, sq.JS))} is null, '{label}', null)" for m, label in MARGINS.items())
+    + "), x -> x is not null)"
+)
 
 
-def _path_faults(text: str) -> list[Column]:
-    blank = tx.is_blank(_c("file_path"))
+def _password(tool: str, needed: str) -> list[tuple[str, str]]:
     return [
-        _say(blank, text),
-        F.when(~blank & ~_c("file_exists"), tx.message("File not found: ", _c("file_path"))),
+        *_BRIEF,
+        (f"coalesce(lower(operation) <> '{tool}', true)", f"'Operation must be \\'{tool}\\' for this endpoint.'"),
+        (_blank("password"), f"'{needed}'"),
     ]
 
 
-def _rules(tool: str) -> list[Column]:
-    body = "Invalid request. File path is required."
-    brief = "File path is required."
-    method = _c("method")
-    extension = F.lower(F.regexp_extract("image_name", r"(\.[^.\\/]*)$", 1))
-    operation = F.lower("operation")
-    wrong_turn = F.get(F.filter("page_order", lambda x: F.pmod(x["rotation"], F.lit(90)) != 0), F.lit(0))["rotation"]
-    no_image = F.coalesce(_c("image_size"), F.lit(0)) <= 0
-    if tool == "split":
-        return _path_faults(body) + [
-            _say((method == "ByPageRanges") & _empty(_c("page_ranges")), "Page ranges are required"),
-            _say((method == "AtSpecificPages") & _empty(_c("split_points")), "Split pages are required"),
-            _say(
-                (method == "EveryNPages") & (F.coalesce("page_interval", F.lit(0)) < 1), "Valid page interval is required"
-            ),
-            _say(
-                ~F.coalesce(
-                    method.isin("ByPageRanges", "AtSpecificPages", "EveryNPages", "ExtractAllPages"), F.lit(False)
-                ),
-                "Invalid split method",
-            ),
-        ]
-    if tool == "remove":
-        none = (
-            _empty(_c("pages"))
-            & _empty(_c("page_ranges"))
-            & ~F.coalesce("even", F.lit(False))
-            & ~F.coalesce("odd", F.lit(False))
-            & _c("nth").isNull()
-        )
-        return _path_faults(body) + [
-            _say(none, "At least one removal criteria must be specified."),
-            _page_faults(_c("pages")),
-        ]
-    if tool == "organize":
-        return _path_faults(body) + [
-            _say(_empty(_c("page_order")), "Page order is required."),
-            _page_faults(F.transform("page_order", lambda x: x["page_number"])),
-            F.when(
-                wrong_turn.isNotNull(), tx.message("Rotation must be a multiple of 90 degrees. Got: ", wrong_turn)
-            ),
-        ]
-    if tool == "merge":
-        return [
-            _say(_c("files").isNull(), "No files provided."),
-            F.when(_c("missing_file").isNotNull(), tx.message("File not found: ", _c("missing_file"))),
-        ]
-    if tool == "numbers":
-        return _path_faults(brief) + [_say(_outside(_c("font_size"), 8, 72), "Font size must be between 8 and 72.")]
-    if tool == "watermark":
-        return _path_faults(brief) + [
-            _say(_outside(_c("opacity"), 1, 100), "Opacity must be between 1 and 100."),
-            _say(_outside(_c("font_size"), 8, 144), "Font size must be between 8 and 144."),
-        ]
-    if tool == "image_watermark":
-        return _path_faults(brief) + [
-            _say(_outside(_c("opacity"), 1, 100), "Opacity must be between 1 and 100."),
-            _say(no_image, "Image file is required for image watermarks."),
-            _say(
-                ~no_image & ~F.coalesce(extension.isin(*IMAGE_EXTENSIONS), F.lit(False)),
-                "Invalid image format. Supported formats: PNG, JPG, JPEG, GIF, BMP",
-            ),
-            _say(_c("image_size") > IMAGE_BYTES, "Image file size must be less than 10MB."),
-        ]
-    if tool == "render":
-        return _path_faults(brief) + [
-            _say(_outside(_c("dpi"), 1, 600), "DPI must be between 1 and 600."),
-            _say(~F.coalesce(F.lower("image_format").isin(*RENDER_FORMATS), F.lit(False)), "Format must be 'jpg' or 'png'."),
-        ]
-    if tool == "compress":
-        return _path_faults(body) + [
-            _say(~_c("has_options"), "Compress options are required."),
-            _say(
-                _c("has_options") & (_c("quality") == "Custom") & _outside(_c("custom_quality"), 1, 100),
-                "Custom quality must be between 1 and 100.",
-            ),
-        ]
-    if tool == "metadata":
-        blank = tx.is_blank(_c("operation"))
-        return _path_faults(brief) + [
-            _say(blank, "Operation is required (read or write)."),
-            F.when(~blank & ~operation.isin("read", "write"), tx.message("Invalid operation: ", _c("operation"))),
-            _say((operation == "write") & ~_c("has_options"), "Metadata is required for write operation"),
-        ]
-    if tool == "images":
-        gone = tx.is_blank(_c("file_path")) | ~_c("file_exists")
-        return [_say(gone, "Invalid file path."), _say(~_c("has_options"), "Options are required.")]
-    if tool in ("lock", "unlock"):
-        blank = tx.is_blank(_c("password"))
-        needed = "Open password is required for locking PDF" if tool == "lock" else "Password is required for unlocking PDF"
-        rules = _path_faults(brief) + [
-            _say(F.coalesce(operation != tool, F.lit(True)), f"Operation must be '{tool}' for this endpoint."),
-            _say(blank, needed),
-        ]
-        if tool == "lock":
-            rules.append(_say(~blank & (F.length("password") < 3), "Open password must be at least 3 characters long"))
-        return rules
-    if tool == "crop":
-        unset = F.filter(
-            F.array(*[F.when(tx.leading_int(_c(m)).isNull(), F.lit(label)) for m, label in MARGINS.items()]),
-            lambda x: x.isNotNull(),
-        )
-        return _path_faults(brief) + [
-            F.when(
-                F.size(unset) > 0, tx.message("Please enter valid margin values for: ", F.array_join(unset, ", "))
-            ),
-            _say(
-                (_c("pages_range") == "custom") & tx.is_blank(_c("custom_pages"), tx.SCRIPT_BLANKS),
-                'Please enter a custom page range or select "All Pages".',
-            ),
-        ]
-    raise ValueError(f"unknown tool: {tool}")
+# Per tool: (condition that makes the request bad, message), in the order they are checked.
+RULES: dict[str, list[tuple[str, str]]] = {
+    "split": [
+        *_BODY,
+        (f"method = 'ByPageRanges' and {_empty('page_ranges')}", "'Page ranges are required'"),
+        (f"method = 'AtSpecificPages' and {_empty('split_points')}", "'Split pages are required'"),
+        ("method = 'EveryNPages' and coalesce(page_interval, 0) < 1", "'Valid page interval is required'"),
+        (f"not {_among('method', SPLIT_METHODS)}", "'Invalid split method'"),
+    ],
+    "remove": [
+        *_BODY,
+        (
+            f"{_empty('pages')} and {_empty('page_ranges')} and not coalesce(even, false) and not coalesce(odd, false)"
+            " and nth is null",
+            "'At least one removal criteria must be specified.'",
+        ),
+        (f"size({_WRONG_PAGE}) > 0", f"concat('Page number ', get({_WRONG_PAGE}, 0), {_PAGE_RANGE})"),
+    ],
+    "organize": [
+        *_BODY,
+        (_empty("page_order"), "'Page order is required.'"),
+        (f"size({_WRONG_STEP}) > 0", f"concat('Page number ', get({_WRONG_STEP}, 0).page_number, {_PAGE_RANGE})"),
+        (
+            f"size({_WRONG_TURN}) > 0",
+            f"concat('Rotation must be a multiple of 90 degrees. Got: ', get({_WRONG_TURN}, 0).rotation)",
+        ),
+    ],
+    "merge": [
+        ("files is null", "'No files provided.'"),
+        ("missing_file is not null", "concat('File not found: ', missing_file)"),
+    ],
+    "numbers": [*_BRIEF, (_outside("font_size", 8, 72), "'Font size must be between 8 and 72.'")],
+    "watermark": [
+        *_BRIEF,
+        (_outside("opacity", 1, 100), "'Opacity must be between 1 and 100.'"),
+        (_outside("font_size", 8, 144), "'Font size must be between 8 and 144.'"),
+    ],
+    "image_watermark": [
+        *_BRIEF,
+        (_outside("opacity", 1, 100), "'Opacity must be between 1 and 100.'"),
+        ("coalesce(image_size, 0) <= 0", "'Image file is required for image watermarks.'"),
+        (
+            f"image_size > 0 and not {_among(_EXTENSION, IMAGE_EXTENSIONS)}",
+            "'Invalid image format. Supported formats: PNG, JPG, JPEG, GIF, BMP'",
+        ),
+        (f"image_size > {IMAGE_BYTES}", "'Image file size must be less than 10MB.'"),
+    ],
+    "render": [
+        *_BRIEF,
+        (_outside("dpi", 1, 600), "'DPI must be between 1 and 600.'"),
+        (f"not {_among('lower(image_format)', RENDER_FORMATS)}", "'Format must be \\'jpg\\' or \\'png\\'.'"),
+    ],
+    "compress": [
+        *_BODY,
+        ("not has_options", "'Compress options are required.'"),
+        (
+            f"has_options and quality = 'Custom' and {_outside('custom_quality', 1, 100)}",
+            "'Custom quality must be between 1 and 100.'",
+        ),
+    ],
+    "metadata": [
+        *_BRIEF,
+        (_blank("operation"), "'Operation is required (read or write).'"),
+        (
+            f"not {_blank('operation')} and lower(operation) not in ('read', 'write')",
+            "concat('Invalid operation: ', operation)",
+        ),
+        ("lower(operation) = 'write' and not has_options", "'Metadata is required for write operation'"),
+    ],
+    "images": [
+        (f"{_blank('file_path')} or not file_exists", "'Invalid file path.'"),
+        ("not has_options", "'Options are required.'"),
+    ],
+    "lock": [
+        *_password("lock", "Open password is required for locking PDF"),
+        (
+            f"not {_blank('password')} and length(password) < 3",
+            "'Open password must be at least 3 characters long'",
+        ),
+    ],
+    "unlock": _password("unlock", "Password is required for unlocking PDF"),
+    "crop": [
+        *_BRIEF,
+        (f"size({_UNSET}) > 0", f"concat('Please enter valid margin values for: ', array_join({_UNSET}, ', '))"),
+        (
+            f"pages_range = 'custom' and {_blank('custom_pages', sq.JS)}",
+            "'Please enter a custom page range or select \"All Pages\".'",
+        ),
+    ],
+}
+
+
+def _messages(tool: str) -> str:
+    said = ", ".join(f"if({bad}, {text}, null)" for bad, text in RULES[tool])
+    return f"filter(array({said}), x -> x is not null)"
 
 
 def first_missing_files(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -181,15 +174,13 @@ def validate_requests(requests: DataFrame, docs: DataFrame, tool: str | None = N
     ``docs`` gives existing paths and page counts. Passwords are checked here and dropped from the result.
     """
     asked = requests if tool is None else requests.where(F.col("tool") == tool)
-    tools = TOOLS if tool is None else [tool]
+    tools = list(RULES) if tool is None else [tool]
     known = asked.join(
         docs.select("file_path", "page_count", F.lit(True).alias("_there")), "file_path", "left"
     ).withColumn("file_exists", F.col("_there").isNotNull())
     if "merge" in tools:
-        known = known.join(first_missing_files(asked, docs), "request_id", "left")
-    found = F
-    for name in tools:
-        found = found.when(F.col("tool") == name, F.array(*_rules(name)))
-    found = found.otherwise(F.array(tx.message("Unknown tool: ", F.col("tool"))))
-    checked = known.withColumn("errors", F.filter(found, lambda x: x.isNotNull()))
+        lists = asked.where(F.col("tool") == "merge")
+        known = known.join(first_missing_files(lists, docs), "request_id", "left")
+    cases = " ".join(f"when '{name}' then {_messages(name)}" for name in tools)
+    checked = known.withColumn("errors", F.expr(f"case tool {cases} else array(concat('Unknown tool: ', tool)) end"))
     return checked.drop("_there", "file_exists", "missing_file", "page_count", "password")
