@@ -75,6 +75,15 @@ def merge(spans: str) -> str:
     )
 
 
+def runs(merged: str) -> str:
+    """Sorted, disjoint spans with neighbours that touch joined into one."""
+    joined = "named_struct('s', try_element_at(out, -1).s, 'e', x.e)"
+    return (
+        f"aggregate({merged}, {no_spans()}, (out, x) -> if(size(out) > 0 and try_element_at(out, -1).e = x.s - 1,"
+        f" concat(slice(out, 1, size(out) - 1), array({joined})), array_append(out, x)))"
+    )
+
+
 def complement(merged: str, page_count: str = "page_count") -> str:
     """Pages of ``1..page_count`` outside sorted, disjoint spans."""
     lows = f"concat(array(1), transform({merged}, x -> x.e + 1))"

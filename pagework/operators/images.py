@@ -65,31 +65,33 @@ def preset_quality(preset: Column, custom: Column) -> Column:
     return quality.otherwise(DEFAULT_QUALITY)
 
 
-def _tier(quality: Column) -> tuple[Column, Column]:
-    longest = jpeg = F
-    for upto, side, q in TIERS:
-        longest, jpeg = longest.when(quality <= upto, side), jpeg.when(quality <= upto, q)
-    return longest.otherwise(TOP_TIER[0]), jpeg.otherwise(F.greatest(F.lit(TOP_TIER[1]), quality))
-
-
 def recompress_plan(images: DataFrame, quality: Column) -> DataFrame:
     """New size and JPEG quality of every image; under 1000 pixels it stays.
 
     A projection: an object used on several pages gets the same plan on each, which is planning it once.
     """
-    width, height = F.col("width"), F.col("height")
-    longest, jpeg = _tier(quality)
-    ratio = F.least(longest / width, longest / height)
-    factor = F.when((width > longest) | (height > longest), ratio).otherwise(F.lit(SHRINK))
-    new_w, new_h = F.floor(width * factor), F.floor(height * factor)
+    longest = jpeg = F
+    for upto, side, q in TIERS:
+        longest, jpeg = longest.when(F.col("_quality") <= upto, side), jpeg.when(F.col("_quality") <= upto, q)
+    width, height, limit = F.col("width"), F.col("height"), F.col("_longest")
+    fits = (width <= limit) & (height <= limit)
     # A side of 0 cannot be encoded, so such an image is left alone as well.
-    shrinks = (width * height >= SMALL_AREA) & (new_w > 0) & (new_h > 0)
-    return images.select(
-        "*",
-        F.when(shrinks, "recompress").otherwise("keep").alias("action"),
-        F.when(shrinks, new_w).otherwise(width).cast("bigint").alias("new_width"),
-        F.when(shrinks, new_h).otherwise(height).cast("bigint").alias("new_height"),
-        F.when(shrinks, jpeg).cast("int").alias("jpeg_quality"),
+    shrinks = (width * height >= SMALL_AREA) & (F.col("_w") > 0) & (F.col("_h") > 0)
+    planned = (
+        images.withColumn("_quality", quality)
+        .withColumn("_longest", longest.otherwise(TOP_TIER[0]))
+        .withColumn("_factor", F.when(fits, F.lit(SHRINK)).otherwise(F.least(limit / width, limit / height)))
+        .withColumns({"_w": F.floor(width * F.col("_factor")), "_h": F.floor(height * F.col("_factor"))})
+        .withColumn("_shrinks", shrinks)
+    )
+    return planned.select(
+        *images.columns,
+        F.when(F.col("_shrinks"), "recompress").otherwise("keep").alias("action"),
+        F.when(F.col("_shrinks"), F.col("_w")).otherwise(width).cast("bigint").alias("new_width"),
+        F.when(F.col("_shrinks"), F.col("_h")).otherwise(height).cast("bigint").alias("new_height"),
+        F.when(F.col("_shrinks"), jpeg.otherwise(F.greatest(F.lit(TOP_TIER[1]), F.col("_quality"))))
+        .cast("int")
+        .alias("jpeg_quality"),
     )
 
 

@@ -117,29 +117,44 @@ def join_all_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def mark_positions(manifest: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``marked``, ``marked_before``, ``rows_total`` and ``marked_total`` to a manifest numbered by ``out_no``.
+    """Adds ``marked``, ``marked_before``, ``rows_total`` and ``marked_total`` to a manifest numbered 1..n by ``out_no``.
 
-    ``marks`` holds ``keys, out_no``; repeats and positions outside the manifest do not count. Counting runs inside
-    (keys, block); what lies in earlier blocks comes from one row per block.
+    ``marks`` holds ``keys, out_no``; repeats and positions outside 1..n do not count. The manifest is shuffled once, by
+    (keys, block), and counting runs inside blocks; what lies in earlier blocks comes from one row per block, which the
+    marks and the manifest's sizes give without a second pass over its rows.
     """
-    block = block_of(F.col("out_no")).alias("_block")
-    both = manifest.select("*", block, F.lit(0).alias("_mark")).unionByName(
-        marks.select(*keys, "out_no", block, F.lit(1).alias("_mark")).distinct(), allowMissingColumns=True
+    sizes = manifest.groupBy(*keys).agg(F.max("out_no").alias("rows_total"))
+    sound = (
+        marks.select(*keys, "out_no")
+        .distinct()
+        .join(sizes, keys)
+        .where(F.col("out_no").between(1, F.col("rows_total")))
+        .select(*keys, "out_no", block_of(F.col("out_no")).alias("_block"), F.lit(1).alias("_mark"))
     )
+    per_block = sound.groupBy(*keys, "_block").agg(F.count("*").alias("_marks"))
+    blocks = each(sizes, F.sequence(F.lit(0), block_of(F.col("rows_total"))), "_block")
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        blocks.join(per_block, [*keys, "_block"], "left")
+        .withColumn("_marks", F.coalesce("_marks", F.lit(0)))
+        .select(
+            *keys,
+            "_block",
+            "rows_total",
+            F.coalesce(F.sum("_marks").over(earlier), F.lit(0)).alias("_carry"),
+            F.sum("_marks").over(Window.partitionBy(*keys)).alias("marked_total"),
+        )
+    )
+    both = manifest.select("*", block_of(F.col("out_no")).alias("_block"), F.lit(0).alias("_mark")).unionByName(
+        sound, allowMissingColumns=True
+    )
+    both = both.repartition(shuffle_partitions(manifest.sparkSession), *keys, "_block")
     same_spot = Window.partitionBy(*keys, "_block", "out_no")
     upto = Window.partitionBy(*keys, "_block").orderBy("out_no").rowsBetween(Window.unboundedPreceding, -1)
-    flagged = both.withColumn("_mark_here", F.max("_mark").over(same_spot)).where(F.col("_mark") == 0)
-    local = flagged.withColumn("_before", F.coalesce(F.sum("_mark_here").over(upto), F.lit(0)))
-
-    per_block = flagged.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"), F.sum("_mark_here").alias("_marks"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*keys)
-    carried = per_block.select(
-        *keys,
-        "_block",
-        F.coalesce(F.sum("_marks").over(earlier), F.lit(0)).alias("_carry"),
-        F.sum("_rows").over(group).alias("rows_total"),
-        F.sum("_marks").over(group).alias("marked_total"),
+    local = (
+        both.withColumn("_mark_here", F.max("_mark").over(same_spot))
+        .where(F.col("_mark") == 0)
+        .withColumn("_before", F.coalesce(F.sum("_mark_here").over(upto), F.lit(0)))
     )
     return (
         local.join(carried, [*keys, "_block"])

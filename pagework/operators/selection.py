@@ -128,13 +128,24 @@ def compact_selection(selected: DataFrame) -> DataFrame:
         .groupBy(*keys, "_part", "_run")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
     )
+    return _run_tokens(joined.select(*keys, "s", "e"))
+
+
+def compact_spans(selection: DataFrame) -> DataFrame:
+    """The same while the selection still is spans: touching spans are joined inside the row, without a shuffle."""
+    runs = each(selection.select("request_id", "doc_id", "spans"), F.expr(sq.runs("spans")), "_run")
+    return _run_tokens(runs.select("request_id", "doc_id", "_run.s", "_run.e"))
+
+
+def _run_tokens(runs: DataFrame) -> DataFrame:
     long_run = F.col("e") - F.col("s") >= 2
     as_range = F.expr("array(named_struct('s', s, 'e', e))")
     as_pages = F.expr("transform(sequence(s, least(e, s + 1)), p -> named_struct('s', p, 'e', p))")
-    tokens = each(joined, F.when(long_run, as_range).otherwise(as_pages), "_x")
+    tokens = each(runs, F.when(long_run, as_range).otherwise(as_pages), "_x")
     ranged = F.col("_x.s") < F.col("_x.e")
     return tokens.select(
-        *keys,
+        "request_id",
+        "doc_id",
         F.when(ranged, "range").otherwise("page").alias("kind"),
         F.col("_x.s").alias("start_page"),
         F.col("_x.e").alias("end_page"),
@@ -142,30 +153,58 @@ def compact_selection(selected: DataFrame) -> DataFrame:
     )
 
 
-def selection_summary(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> DataFrame:
-    """Per request: pages selected, pages remaining, and the line of text shown; pages are listed up to ten."""
+def _info_text(n: Column, listed: Column) -> Column:
+    some = F.concat(F.lit("Selected: "), listed, F.lit(" ("), n.cast("string"))
+    return (
+        F.when(n == 0, F.lit("No pages selected"))
+        .when(n == 1, F.concat(some, F.lit(" page)")))
+        .when(n <= LISTED, F.concat(some, F.lit(" pages)")))
+        .otherwise(F.concat(n.cast("string"), F.lit(" pages selected")))
+    )
+
+
+def selection_summary(selection: DataFrame) -> DataFrame:
+    """Per request: pages selected, pages remaining, and the line of text shown; pages are listed up to ten.
+
+    Counted and listed on the request row; no page row is made.
+    """
+    counted = selection.withColumn("_n", F.expr(sq.count("spans")))
+    listed = F.expr(
+        f"if(_n <= {LISTED}, array_join(transform(flatten(transform(spans, x -> sequence(x.s, x.e))),"
+        " p -> cast(p as string)), ', '), null)"
+    )
+    n = F.col("_n")
+    return counted.select(
+        "request_id",
+        "doc_id",
+        n.alias("selected_count"),
+        (F.col("page_count") - n).alias("remaining"),
+        _info_text(n, listed).alias("info_text"),
+    )
+
+
+def selected_summary(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> DataFrame:
+    """The same from ``selected`` rows, which may hold repeats; only ten pages per request reach the listing."""
     keys = ["request_id", "doc_id"]
     once = selected.select(*keys, "page_no").distinct()
     counts = once.groupBy(*keys).agg(F.count("*").cast("int").alias("_n"))
     first_ones = Window.partitionBy(*keys).orderBy("page_no")
+    texts = F.expr("array_join(transform(array_sort(collect_list(page_no)), p -> cast(p as string)), ', ')")
     listed = (
         once.withColumn("_rank", F.row_number().over(first_ones))
         .where(F.col("_rank") <= LISTED)
         .groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("page_no")), lambda p: p.cast("string")), ", ").alias("_list"))
+        .agg(texts.alias("_list"))
     )
     n = F.coalesce(F.col("_n"), F.lit(0))
-    text = (
-        F.when(n == 0, F.lit("No pages selected"))
-        .when(
-            n <= LISTED,
-            F.concat(F.lit("Selected: "), "_list", F.lit(" ("), n.cast("string"), F.when(n > 1, F.lit(" pages)")).otherwise(F.lit(" page)"))),
-        )
-        .otherwise(F.concat(n.cast("string"), F.lit(" pages selected")))
-    )
     known = attach_docs(requests.select(*keys), docs).where(F.col("page_count").isNotNull())
     return (
         known.join(counts, keys, "left")
         .join(listed, keys, "left")
-        .select(*keys, n.alias("selected_count"), (F.col("page_count") - n).alias("remaining"), text.alias("info_text"))
+        .select(
+            *keys,
+            n.alias("selected_count"),
+            (F.col("page_count") - n).alias("remaining"),
+            _info_text(n, F.col("_list")).alias("info_text"),
+        )
     )

@@ -161,9 +161,19 @@ def b11_compact_selection(i: Inputs) -> DataFrame:
     return sl.compact_selection(_selected(i, "form_requests", "form"))
 
 
+@query
+def b11_compact_spans(i: Inputs) -> DataFrame:
+    return sl.compact_spans(sl.parse_page_spec(i["form_requests"], i.docs, "form")[0])
+
+
 @query
 def b12_selection_summary(i: Inputs) -> DataFrame:
-    return sl.selection_summary(i["form_requests"], i.docs, _selected(i, "form_requests", "form"))
+    return sl.selection_summary(sl.parse_page_spec(i["form_requests"], i.docs, "form")[0])
+
+
+@query
+def b12_selected_summary(i: Inputs) -> DataFrame:
+    return sl.selected_summary(i["form_requests"], i.docs, _selected(i, "form_requests", "form"))
 
 
 # C: manifests and layout

@@ -203,8 +203,9 @@ oracle(
     CROP_TOKENS + "," + STRIDE,
 )
 
-oracle(
-    "b11_compact_selection",
+for _key in ("b11_compact_selection", "b11_compact_spans"):
+  oracle(
+    _key,
     ["form_requests", "doc_pages"],
     """select request_id, doc_id, 'range' as kind, s as start_page, e as end_page, concat(s, '-', e) as token
        from runs where e - s >= 2
@@ -216,8 +217,9 @@ oracle(
     runs as (select request_id, doc_id, min(page_no) as s, max(page_no) as e from numbered group by request_id, doc_id, g)""",
 )
 
-oracle(
-    "b12_selection_summary",
+for _key in ("b12_selection_summary", "b12_selected_summary"):
+  oracle(
+    _key,
     ["form_requests", "doc_pages"],
     """select r.request_id, r.doc_id, cast(coalesce(k, 0) as int) as selected_count,
               cast(page_count - coalesce(k, 0) as int) as remaining,

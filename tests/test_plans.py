@@ -32,7 +32,7 @@ def test_projections_do_not_shuffle(spark, key):
 
 
 def test_scans_read_only_what_they_need(spark):
-    for key in ("c3_split_every_n", "c5_remove_pages", "b11_compact_selection", "c16_watermark_summary"):
+    for key in ("c3_split_every_n", "c5_remove_pages", "b11_compact_spans", "c16_watermark_summary"):
         columns = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, key)))
         assert columns and all("text" not in c for c in columns)
 

@@ -214,10 +214,19 @@ def test_summary_lists_ten_pages_at_most(docs, table):
         "request_id bigint, doc_id bigint, page_no int",
         [(1, 6, 12)] + [(2, 6, p) for p in range(10, 0, -1)] * 2 + [(3, 6, p) for p in range(1, 12)],
     )
-    got = tuples(sl.selection_summary(requests, docs, chosen), "request_id", "selected_count", "remaining", "info_text")
+    got = tuples(sl.selected_summary(requests, docs, chosen), "request_id", "selected_count", "remaining", "info_text")
     assert got == [
         (1, 1, 29, "Selected: 12 (1 page)"),
         (2, 10, 20, "Selected: 1, 2, 3, 4, 5, 6, 7, 8, 9, 10 (10 pages)"),
         (3, 11, 19, "11 pages selected"),
         (4, 0, 30, "No pages selected"),
     ]
+
+
+def test_span_forms_agree_with_row_forms(docs, table, small_blocks):
+    texts = ["1-3,4,6", "1,2", "30,28-29,1-5,5-9", "7", "x", "1-30", "2,4,6,8,10,12,14,16,18,20,22"]
+    requests = table("request_id bigint, doc_id bigint, custom_pages string", [(k, 6, t) for k, t in enumerate(texts)])
+    selection, _ = sl.parse_page_spec(requests, docs, "crop")
+    rows = sl.selected_pages(selection)
+    assert tuples(sl.compact_spans(selection)) == tuples(sl.compact_selection(rows))
+    assert tuples(sl.selection_summary(selection)) == tuples(sl.selected_summary(requests, docs, rows))
