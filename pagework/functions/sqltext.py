@@ -16,7 +16,7 @@ TOKENS = "array<struct<s:int,e:int,error:string>>"
 
 def literal(text: str) -> str:
     """A string literal, any odd character as an escape."""
-    return "'" + "".join(c if c.isascii() and c.isalnum() or c in " -+,:;()[]{}.*^$" else f"\\u{ord(c):04x}" for c in text) + "'"
+    return "'" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04x}" for c in text) + "'"
 
 
 def strip(x: str, blanks: str = DOTNET_BLANKS) -> str:
@@ -59,8 +59,10 @@ def whole(page_count: str = "page_count") -> str:
 
 def clamp(spans: str, page_count: str = "page_count") -> str:
     """Spans of any integers cut to ``1..page_count``; null and empty ones are dropped."""
-    cut = f"transform({spans}, x -> named_struct('s', greatest(x.s, 1L), 'e', least(x.e, cast({page_count} as bigint)), 'ok', x.s + x.e is not null))"
-    cut = cut.replace("x.s + x.e is not null", "x.s is not null and x.e is not null")
+    cut = (
+        f"transform({spans}, x -> named_struct('s', greatest(x.s, 1L), 'e', least(x.e, cast({page_count} as bigint)),"
+        " 'ok', x.s is not null and x.e is not null))"
+    )
     kept = f"filter({cut}, x -> x.ok and x.s <= x.e)"
     return f"coalesce(transform({kept}, x -> named_struct('s', cast(x.s as int), 'e', cast(x.e as int))), {no_spans()})"
 
@@ -99,6 +101,9 @@ def holds(spans: str, page_no: str = "page_no") -> str:
     return f"exists({spans}, x -> {page_no} between x.s and x.e)"
 
 
+# The messages of the two strict forms below.
+
+
 def split_tokens(ranges: str) -> str:
     """Ranges of the split form, strict: ``a`` or ``a-b``, as ``{s, e, error}``."""
     return f"""coalesce(transform(transform(transform({ranges},

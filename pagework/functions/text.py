@@ -1,4 +1,4 @@
-"""White space, integers in text, and file names, in the flavours the page tools use."""
+"""White space and file names in the flavours the page tools use."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ DOTNET_BLANKS = (
 PYTHON_BLANKS = DOTNET_BLANKS + "\x1c\x1d\x1e\x1f"
 SCRIPT_BLANKS = DOTNET_BLANKS.replace("\x85", "") + "\ufeff"
 
-_INTEGER = r"^[\t-\r ]*[+-]?[0-9]+[\t-\r ]*$"
-_ASCII_BLANKS = "\t\n\x0b\x0c\r "
-_HUGE = 10**17
-
 
 def strip(text: Column, blanks: str = DOTNET_BLANKS) -> Column:
     return F.trim(text, F.lit(blanks))
@@ -31,31 +27,6 @@ def is_blank(text: Column, blanks: str = DOTNET_BLANKS) -> Column:
     return F.coalesce(strip(text, blanks) == "", F.lit(True))
 
 
-def strict_int(text: Column) -> Column:
-    """A 32-bit integer with an optional sign and outer ASCII blanks, else null."""
-    return F.when(text.rlike(_INTEGER), F.trim(text, F.lit(_ASCII_BLANKS)).try_cast("int"))
-
-
-def long_int(text: Column) -> Column:
-    """An integer of any length; beyond 17 digits only its sign and hugeness matter, so it is pinned there."""
-    body = strip(text, PYTHON_BLANKS)
-    digits = F.regexp_replace(body, "^[+-]?0*", "")
-    pinned = F.when(body.startswith("-"), F.lit(-_HUGE)).otherwise(F.lit(_HUGE))
-    return F.when(
-        body.rlike("^[+-]?[0-9]+$"), F.when(F.length(digits) > 17, pinned).otherwise(body.try_cast("bigint"))
-    )
-
-
-def leading_int(text: Column) -> Column:
-    """The integer a text starts with (``3abc`` gives 3), decimal or ``0x`` hexadecimal, else null."""
-    body = strip(text, SCRIPT_BLANKS)
-    hexed = F.regexp_extract(body, "^[+-]?0[xX]([0-9a-fA-F]{1,15})", 1)
-    sign = F.when(body.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(
-        body.rlike("^[+-]?0[xX]"), F.when(hexed != "", sign * F.conv(hexed, 16, 10).try_cast("bigint"))
-    ).otherwise(F.regexp_extract(body, "^([+-]?[0-9]+)", 1).try_cast("bigint"))
-
-
 def base_name(path: Column) -> Column:
     """Last part of a path written with either slash."""
     return F.element_at(F.split(path, r"[\\/]"), -1)

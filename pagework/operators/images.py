@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
-from pagework.operators.rows import block_of, join_all_pages, join_pages
+from pagework.operators.rows import block_of, join_all_pages, join_pages, spread
 
 # Quality presets, and the limits by quality: (up to quality, longest side, JPEG quality).
 PRESETS = {"Low": 50, "Medium": 75, "High": 90}
@@ -109,7 +109,7 @@ def dedupe_images_by_dims(plan: DataFrame) -> DataFrame:
     the whole document. The others are known duplicates and are spread by their block, so no size gathers in one task.
     """
     size = ["doc_id", "new_width", "new_height"]
-    rows = plan.withColumn("_block", block_of(F.col("page_no")))
+    rows = spread(plan.withColumn("_block", block_of(F.col("page_no"))), *size, "_block")
     order = ["page_no", "img_index"]
     rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*size, "_block").orderBy(*order)) == 1)
     rows = rows.withColumn("_part", F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_block")))

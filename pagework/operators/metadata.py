@@ -135,8 +135,12 @@ def format_pdf_date(text: Column) -> Column:
 
 def pdf_timestamp(text: Column) -> Column:
     """The same as a timestamp without zone, null where it is not a full date and time."""
-    digits = F.regexp_extract(text, r"^D:([0-9]{14})", 1)
-    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    found = text.rlike("^D:[0-9]{14}")
+
+    def part(start: int, length: int) -> Column:
+        return F.when(found, F.substring(text, start, length).try_cast("int"))
+
+    return F.try_make_timestamp_ntz(part(3, 4), part(7, 2), part(9, 2), part(11, 2), part(13, 2), part(15, 2))
 
 
 def metadata_completeness(metadata: DataFrame) -> DataFrame:

@@ -45,6 +45,15 @@ def present(*messages: Column) -> Column:
     return F.filter(F.array(*messages), lambda x: x.isNotNull())
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by all of ``keys``.
+
+    Needed even where a window by the same keys follows: a table that is already laid out by the first key alone would
+    satisfy that window, and a hot first key would stay in one task.
+    """
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *keys)
+
+
 def each(rows: DataFrame, array: Column, name: str, position: str | None = None) -> DataFrame:
     """One row per element of ``array``; none where it is empty or null.
 
@@ -83,10 +92,10 @@ def expand(rows: DataFrame, start: str = "s", end: str = "e", out: str = "page_n
     """
     keys = ["request_id"] if "request_id" in rows.columns else ["doc_id"]
     cut = each(rows, F.sequence(block_of(F.col(start)), block_of(F.col(end))), "_block")
-    spread = cut.repartition(shuffle_partitions(rows.sparkSession), *keys, "_block")
+    cut = spread(cut, *keys, "_block")
     first = F.greatest(F.col(start), F.col("_block") * BLOCK + 1)
     last = F.least(F.col(end), (F.col("_block") + 1) * BLOCK)
-    return each(spread, F.sequence(first, last), out).drop("_block")
+    return each(cut, F.sequence(first, last), out).drop("_block")
 
 
 def join_pages(selection: DataFrame, pages: DataFrame) -> DataFrame:
@@ -148,11 +157,11 @@ def mark_positions(manifest: DataFrame, marks: DataFrame, keys: list[str]) -> Da
     both = manifest.select("*", block_of(F.col("out_no")).alias("_block"), F.lit(0).alias("_mark")).unionByName(
         sound, allowMissingColumns=True
     )
-    both = both.repartition(shuffle_partitions(manifest.sparkSession), *keys, "_block")
     same_spot = Window.partitionBy(*keys, "_block", "out_no")
     upto = Window.partitionBy(*keys, "_block").orderBy("out_no").rowsBetween(Window.unboundedPreceding, -1)
     local = (
-        both.withColumn("_mark_here", F.max("_mark").over(same_spot))
+        spread(both, *keys, "_block")
+        .withColumn("_mark_here", F.max("_mark").over(same_spot))
         .where(F.col("_mark") == 0)
         .withColumn("_before", F.coalesce(F.sum("_mark_here").over(upto), F.lit(0)))
     )

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as tx
+from pagework.operators.rows import spread
 
 KEPT = 100
 SHOWN = 8
+SLICES = 64
 
 
 def build_index(opens: DataFrame) -> DataFrame:
@@ -30,14 +32,22 @@ def cap_index(index: DataFrame, keep: int = KEPT) -> DataFrame:
 def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits of ``owner, query`` rows in that owner's index, ranked: name hits first, then the latest.
 
-    An index holds at most a hundred files per owner, so a query meets at most that many rows.
+    An index holds at most a hundred files per owner, so a query meets at most that many rows. An owner's queries are
+    dealt into ``SLICES`` and its index is copied to those slices that have queries, so a busy owner's queries are
+    answered by many tasks; the copies never outnumber the pairs the search has to look at.
     """
     term = F.lower("query")
-    asked = queries.where(~tx.is_blank(F.col("query"), tx.SCRIPT_BLANKS)).select("owner", "query").distinct()
+    asked = (
+        queries.where(~tx.is_blank(F.col("query"), tx.SCRIPT_BLANKS))
+        .select("owner", "query", F.pmod(F.xxhash64("query"), F.lit(SLICES)).alias("_slice"))
+        .distinct()
+    )
+    copies = index.join(asked.select("owner", "_slice").distinct(), "owner")
     in_name, in_path = F.contains(F.lower("file_name"), term), F.contains(F.lower("file_path"), term)
-    hits = index.join(asked, "owner").where(in_name | in_path).withColumn("name_match", in_name)
-    order = Window.partitionBy("owner", "query").orderBy(F.desc("name_match"), F.desc("last_opened"), "file_path")
-    return hits.withColumn("rank", F.row_number().over(order))
+    hits = copies.join(asked, ["owner", "_slice"]).where(in_name | in_path).withColumn("name_match", in_name)
+    one_query = Window.partitionBy("owner", "_slice", "query")
+    order = one_query.orderBy(F.desc("name_match"), F.desc("last_opened"), "file_path")
+    return hits.withColumn("rank", F.row_number().over(order)).drop("_slice")
 
 
 def top_hits(hits: DataFrame, shown: int = SHOWN) -> DataFrame:
@@ -82,7 +92,7 @@ def effective_opens(opens: DataFrame, control: DataFrame, bucket: str = "day") -
     upto = Window.partitionBy("owner", "_bucket").orderBy("ts", "_is_open", "_state").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    walked = log.withColumn("_inside", F.last("_state", ignorenulls=True).over(upto)).where("_is_open")
+    walked = spread(log, "owner", "_bucket").withColumn("_inside", F.last("_state", ignorenulls=True).over(upto)).where("_is_open")
     enabled = F.coalesce("_inside", "_carry", F.lit(False))
     kept = F.col("_cleared").isNull() | (F.col("ts") >= F.col("_cleared"))
     return walked.join(carried, ["owner", "_bucket"]).where(enabled & kept).select("owner", "file_path", "ts")

@@ -19,6 +19,7 @@ from pagework.operators.rows import (
     missing_doc_error,
     present,
     split_outcome,
+    spread,
 )
 
 LISTED = 10
@@ -114,7 +115,8 @@ def compact_selection(selected: DataFrame) -> DataFrame:
     blocked = selected.select(*keys, "page_no", block_of(F.col("page_no")).alias("_block"))
     inside = Window.partitionBy(*keys, "_block").orderBy("page_no")
     runs = (
-        blocked.withColumn("_island", F.col("page_no") - F.dense_rank().over(inside))
+        spread(blocked, *keys, "_block")
+        .withColumn("_island", F.col("page_no") - F.dense_rank().over(inside))
         .groupBy(*keys, "_block", "_island")
         .agg(F.min("page_no").alias("s"), F.max("page_no").alias("e"))
     )

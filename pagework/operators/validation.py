@@ -32,15 +32,16 @@ def _outside(x: str, low: int, high: int) -> str:
     return f"not coalesce({x} between {low} and {high}, false)"
 
 
-def _path(said: str) -> list[tuple[str, str]]:
+def _path(unset: str, said: str) -> list[tuple[str, str]]:
     return [
-        (_blank("file_path"), f"'{said}'"),
-        (f"not {_blank('file_path')} and not file_exists", "concat('File not found: ', file_path)"),
+        (unset, f"'{said}'"),
+        (f"not ({unset}) and not file_exists", "concat('File not found: ', file_path)"),
     ]
 
 
-_BODY = _path("Invalid request. File path is required.")
-_BRIEF = _path("File path is required.")
+# A path of blanks counts as given for the tools that only ask for one, and as missing for the others.
+_BODY = _path("coalesce(file_path, '') = ''", "Invalid request. File path is required.")
+_BRIEF = _path(_blank("file_path"), "File path is required.")
 _PAGE_RANGE = "' is out of range (1-', page_count, ')'"
 _WRONG_PAGE = "filter(pages, p -> p not between 1 and page_count)"
 _WRONG_STEP = "filter(page_order, x -> x.page_number not between 1 and page_count)"
@@ -61,7 +62,7 @@ def _password(tool: str, needed: str) -> list[tuple[str, str]]:
     ]
 
 
-# Per tool: (condition that makes the request bad, message), in the order they are checked.
+# The messages. Per tool: (condition that makes the request bad, message), in the order they are checked.
 RULES: dict[str, list[tuple[str, str]]] = {
     "split": [
         *_BODY,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pagework.operators import metadata as md
 from pagework.operators import search as se
 from pagework.operators import selection as sl
 from pagework.operators.outcomes import results, results_of
-from pagework.operators.rows import attach_docs, full_selection
 from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
 from pagework.session import shared_folder
@@ -56,7 +56,7 @@ def a2_classify_security(i: Inputs) -> DataFrame:
 
 @query
 def a3_read_requests(i: Inputs) -> DataFrame:
-    folder = f"{shared_folder(i.spark)}/requests-{i.spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(i.spark)}/requests-{_run_number()}"
     sparse = i["number_requests"].select(
         "request_id",
         "doc_id",
@@ -71,7 +71,7 @@ def a3_read_requests(i: Inputs) -> DataFrame:
 
 @query
 def a4_write_manifest(i: Inputs) -> DataFrame:
-    folder = f"{shared_folder(i.spark)}/manifest-{i.spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(i.spark)}/manifest-{_run_number()}"
     write_manifest(mf.split_every_n(i.pages, 5), folder, buckets=16)
     return read_manifest(i.spark, folder).select("doc_id", "output_name", "part_no", "out_no", "page_no")
 
@@ -468,8 +468,6 @@ def f7_stream_index(i: Inputs) -> DataFrame:
 
 def _run_number() -> str:
     """A name no earlier run used, so that a stream starts from its beginning."""
-    import uuid
-
     return uuid.uuid4().hex
 
 

@@ -285,7 +285,7 @@ select doc_id as request_id,
             when 4 then 'numbers' when 5 then 'watermark' when 6 then 'image_watermark' when 7 then 'render'
             when 8 then 'compress' when 9 then 'metadata' when 10 then 'images' when 11 then 'lock' when 12 then 'unlock'
             else 'crop' end as tool,
-       case when doc_id % 11 = 0 then ' ' when doc_id % 13 = 0 then '/corpus/gone.pdf' else file_path end as file_path,
+       case when doc_id % 11 = 0 then case when doc_id % 3 = 0 then '' else ' ' end when doc_id % 13 = 0 then '/corpus/gone.pdf' else file_path end as file_path,
        case doc_id % 5 when 0 then 'ByPageRanges' when 1 then 'AtSpecificPages' when 2 then 'EveryNPages'
             when 3 then 'ExtractAllPages' else 'Other' end as method,
        case when doc_id % 3 = 0 then split('1-2;3', ';') end as page_ranges,

@@ -795,9 +795,10 @@ oracle(
 
 # G: validation
 
-NO_PATH = "select request_id, 1 as k, {text} as err from t where tool in ({tools}) and {blank}"
 VALID = f"""
-t as (select r.*, d.doc_id is not null as there, d.page_count as n from tool_requests r left join docs d using (file_path)),
+t as (select r.*, d.doc_id is not null as there, d.page_count as n,
+              case when tool in ('split', 'remove', 'organize', 'compress') then file_path = '' else {blank("file_path")} end as unset
+       from tool_requests r left join docs d using (file_path)),
 turns as (select request_id, u.pos, cast(split_part(u.x, ':', 1) as int) as p, cast(split_part(u.x, ':', 2) as int) as turn
           from t, unnest(string_split(order_text, ';')) with ordinality as u(x, pos) where tool = 'organize'),
 listed as (select request_id, u.pos, u.f from t, unnest(files) with ordinality as u(f, pos)
@@ -805,9 +806,9 @@ listed as (select request_id, u.pos, u.f from t, unnest(files) with ordinality a
 notes as (
   select request_id, 1 as k, case when tool in ('split', 'remove', 'organize', 'compress')
          then 'Invalid request. File path is required.' else 'File path is required.' end as err
-  from t where tool not in ('merge', 'images') and {blank("file_path")}
+  from t where tool not in ('merge', 'images') and unset
   union all select request_id, 2, concat('File not found: ', file_path) from t
-  where tool not in ('merge', 'images') and not {blank("file_path")} and not there
+  where tool not in ('merge', 'images') and not unset and not there
   union all select request_id, 3, 'Page ranges are required' from t
   where tool = 'split' and method = 'ByPageRanges' and page_ranges is null
   union all select request_id, 3, 'Split pages are required' from t

@@ -45,3 +45,35 @@ def test_cap_cuts_before_the_shuffle(spark):
 def test_request_work_joins_documents_once(spark):
     for key in ("b3_spec_crop", "c5_remove_pages", "c16_watermark_summary"):
         assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join ", plan(spark, key))) == 1
+
+
+def numbered(spark, key, group):
+    """Whether positions run 1..n without gap or repeat in every group of a manifest query."""
+    rows = contract.queries()[key](spark, SF_DIR)
+    counts = rows.groupBy(*group).agg({"out_no": "max", "*": "count"}).toDF(*group, "top", "n")
+    distinct = rows.select(*group, "out_no").distinct().count()
+    return counts.where("top <> n").count() == 0 and distinct == rows.count()
+
+
+@pytest.mark.parametrize(
+    "key, group",
+    [
+        ("c1_split_by_ranges", ["request_id", "part_no"]),
+        ("c2_split_at_pages", ["request_id", "part_no"]),
+        ("c3_split_every_n", ["doc_id", "part_no"]),
+        ("c5_remove_pages", ["request_id"]),
+        ("c6_organize_pages", ["request_id"]),
+        ("c8_duplicate_pages", ["doc_id"]),
+        ("c9_delete_pages", ["doc_id"]),
+        ("c10_move_page", ["doc_id"]),
+        ("c11_merge_docs", ["request_id"]),
+    ],
+)
+def test_positions_have_no_gaps(spark, key, group):
+    assert numbered(spark, key, group)
+
+
+def test_rotations_are_quarter_turns(spark):
+    for key in ("c6_organize_pages", "c7_rotate_pages"):
+        turned = contract.queries()[key](spark, SF_DIR).select("rotation").distinct().collect()
+        assert {r.rotation for r in turned} <= {0, 90, 180, 270}
