@@ -17,6 +17,7 @@ from pagework.operators import selection as sl
 from pagework.operators.outcomes import results, results_of
 from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
+from pagework.schemas import TABLES
 from pagework.session import shared_folder
 from pagework.sources.files import classify_security, list_pdf_files
 from pagework.sources.manifest_sink import read_manifest, write_manifest
@@ -461,7 +462,7 @@ def f7_stream_index(i: Inputs) -> DataFrame:
             "concat('/d', cast(user_id % 7 as string), '/', event_type, '_', cast(event_id % 300 as string), '.pdf') as file_path",
             "ts",
         ],
-        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+        TABLES["events"],
     )
     return finish(i.spark, start_live_index(opens, folder), folder)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagework.operators.metadata import GATED
 from pagework.plans.fixture_sql import SQL, fixture_text, needs
+from pagework.schemas import TABLES
 
 
 class Inputs:
@@ -25,7 +26,7 @@ class Inputs:
                 text = fixture_text(name, "spark")
                 self._made[name] = self.spark.sql(text, **{other: self[other] for other in needs(text)})
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]
 
     @property
