@@ -23,7 +23,7 @@ HEADLINE = [
     "c3_split_every_n", "c4_extract_all", "c1_split_by_ranges", "c2_split_at_pages", "c5_remove_pages", "c6_organize_pages",
     "c8_duplicate_pages", "c9_delete_pages", "c10_move_page", "c11_merge_docs", "c12_number_pages", "c13_crop_pages",
     "c14_place_watermark", "c16_watermark_summary", "c17_render_plan", "b1_spec_split", "b4_spec_watermark",
-    "b6_spec_form", "b11_compact_selection", "b12_selection_summary", "d2_extract_tag", "d3_resolve_metadata",
+    "b6_spec_form", "b9_invert_selection", "b11_compact_selection", "b12_selection_summary", "d2_extract_tag", "d3_resolve_metadata",
     "e1_extractable_images", "e3_remove_images", "e4_recompress_plan", "e5_dedupe_images", "f2_cap_index",
     "f3_search_index", "f6_effective_opens", "g1_validate_requests",
 ]

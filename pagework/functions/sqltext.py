@@ -97,10 +97,6 @@ def count(merged: str) -> str:
     return f"aggregate({merged}, 0, (n, x) -> n + x.e - x.s + 1)"
 
 
-def holds(spans: str, page_no: str = "page_no") -> str:
-    return f"exists({spans}, x -> {page_no} between x.s and x.e)"
-
-
 # The messages of the two strict forms below.
 
 

@@ -106,11 +106,13 @@ def crop_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFr
 
     Margins ``m_left, m_bottom, m_right, m_top`` come off the media box; a box that would turn inside out is not set.
     """
-    selection = crop_selection(requests, docs)
-    rows = join_all_pages(selection, pages)
+    covered = "transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'chosen', true))"
+    others = f"transform({sq.complement('spans')}, x -> named_struct('s', x.s, 'e', x.e, 'chosen', false))"
+    selection = crop_selection(requests, docs).withColumn("spans", F.expr(f"concat({covered}, {others})"))
+    rows = join_pages(selection, pages, keep=("chosen",))
     x1, y1 = F.col("x1") + F.col("m_left"), F.col("y1") + F.col("m_bottom")
     x2, y2 = F.col("x2") - F.col("m_right"), F.col("y2") - F.col("m_top")
-    cropped = F.expr(sq.holds("spans")) & (x2 > x1) & (y2 > y1)
+    cropped = F.col("chosen") & (x2 > x1) & (y2 > y1)
     box = {"crop_x1": x1, "crop_y1": y1, "crop_x2": x2, "crop_y2": y2}
     return rows.select(
         "request_id",

@@ -15,6 +15,7 @@ from pagework.functions import text as tx
 from pagework.operators.rows import (
     Outcome,
     attach_docs,
+    block_of,
     each,
     error_part,
     expand,
@@ -298,7 +299,8 @@ def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = No
     """One move per key: the page at ``from_no`` is taken out and put in at the old place of ``to_no``.
 
     Positions are 1..n, so the shift of every other page follows from the two numbers; nothing is sorted. A move from or
-    to a position outside the manifest does nothing.
+    to a position outside the manifest does nothing. The move is copied to each block of its manifest, so a long one is
+    joined by many tasks.
     """
     keys = keys or ["doc_id"]
     pos, here, there = F.col("out_no"), F.col("from_no"), F.col("to_no")
@@ -314,7 +316,8 @@ def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = No
         .join(sizes, keys)
         .where(here.between(1, F.col("_n")) & there.between(1, F.col("_n")))
     )
-    joined = manifest.join(sound, keys, "left")
+    fanned = each(sound, F.sequence(F.lit(0), block_of(F.col("_n"))), "_block")
+    joined = manifest.withColumn("_block", block_of(pos)).join(fanned, [*keys, "_block"], "left")
     return joined.withColumn("out_no", moved.cast("int")).select(*manifest.columns)
 
 

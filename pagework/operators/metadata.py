@@ -52,7 +52,7 @@ def tag_text(packet: Column, tag: str) -> Column:
     stays small however many tags are read.
     """
     closing = f"</{tag}>"
-    found = F.when(F.contains(packet, F.lit(closing)), F.regexp_extract(packet, f"(?s)<{tag}[^>]*>(.*?){closing}", 1))
+    found = F.when(F.contains(packet, F.lit(closing)), F.regexp_extract(packet, rf"(?s)<\Q{tag}\E[^>]*>(.*?)\Q{closing}\E", 1))
     bare = F.regexp_replace(tx.strip(found), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1")
     return F.nullif(F.regexp_replace(bare, f"^[{tx.DOTNET_BLANKS}]+$", ""), F.lit(""))
 

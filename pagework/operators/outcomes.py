@@ -18,3 +18,23 @@ def results_of(requests: DataFrame, errors: DataFrame) -> DataFrame:
     """The same for an operator's ``Outcome``, whose ``errors`` hold only the failed requests."""
     found = requests.select("request_id").join(errors.select("request_id", "errors"), "request_id", "left")
     return results(found.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))))
+
+
+RESULT = "success BOOLEAN, error STRING"
+
+
+def to_result_json(outcomes: DataFrame) -> DataFrame:
+    """``request_id, result``: each outcome as the JSON text a caller gets."""
+    text = F.to_json(F.struct("success", "error"), {"ignoreNullFields": "false"})
+    return outcomes.select("request_id", text.alias("result"))
+
+
+def from_result_json(lines: DataFrame) -> DataFrame:
+    """Outcomes from ``request_id, result``; a text that is no JSON object counts as failed."""
+    parsed = lines.select("request_id", F.from_json("result", RESULT).alias("_r"))
+    success = F.coalesce("_r.success", F.lit(False))
+    return parsed.select(
+        "request_id",
+        success.alias("success"),
+        F.when(~success, F.coalesce("_r.error", F.lit("Unknown error"))).alias("error"),
+    )

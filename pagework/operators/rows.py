@@ -98,31 +98,22 @@ def expand(rows: DataFrame, start: str = "s", end: str = "e", out: str = "page_n
     return each(cut, F.sequence(first, last), out).drop("_block")
 
 
-def join_pages(selection: DataFrame, pages: DataFrame) -> DataFrame:
+def join_pages(selection: DataFrame, pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``pages`` (or any table by ``doc_id, page_no``) that lie in a request's ``spans``.
 
-    The selection side is one row per block it touches, holding only that block's spans, so both sides meet on
-    (document, block). Spans of one request do not overlap, hence a page meets a request at most once.
+    The selection side is one row per span and block it touches, so both sides meet on (document, block). Spans of one
+    request do not overlap, hence a page meets a request at most once. ``keep`` names further fields of the spans.
     """
     cut = each(selection, F.col("spans"), "_spans").drop("spans", "page_count", "base", "errors")
     cut = each(cut, F.sequence(block_of(F.col("_spans.s")), block_of(F.col("_spans.e"))), "_block")
     page_rows = pages.withColumn("_block", block_of(F.col("page_no")))
     met = cut.join(page_rows, ["doc_id", "_block"]).where(F.col("page_no").between(F.col("_spans.s"), F.col("_spans.e")))
-    return met.drop("_block", "_spans")
+    return met.withColumns({name: F.col(f"_spans.{name}") for name in keep}).drop("_block", "_spans")
 
 
 def join_all_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every page of each request's document; the request side needs ``page_count`` and fans out to its blocks.
-
-    Where the request side has ``spans``, each block keeps only its own.
-    """
-    blocks = F.when(F.col("page_count") >= 1, F.sequence(F.lit(0), block_of(F.col("page_count"))))
-    cut = each(requests, blocks, "_block")
-    if "spans" in cut.columns:
-        own = f"x -> x.e >= _block * {BLOCK} + 1 and x.s <= (_block + 1) * {BLOCK}"
-        cut = cut.withColumn("spans", F.expr(f"filter(spans, {own})"))
-    page_rows = pages.withColumn("_block", block_of(F.col("page_no")))
-    return cut.drop("page_count", "base").join(page_rows, ["doc_id", "_block"]).drop("_block")
+    """Every page of each request's document; the request side needs ``page_count`` and fans out to its blocks."""
+    return join_pages(full_selection(requests), pages)
 
 
 def mark_positions(manifest: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:

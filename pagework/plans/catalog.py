@@ -14,7 +14,7 @@ from pagework.operators import manifest as mf
 from pagework.operators import metadata as md
 from pagework.operators import search as se
 from pagework.operators import selection as sl
-from pagework.operators.outcomes import results, results_of
+from pagework.operators.outcomes import from_result_json, results, results_of, to_result_json
 from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
 from pagework.schemas import TABLES
@@ -83,6 +83,12 @@ def a5_results(i: Inputs) -> DataFrame:
     return results_of(requests, mf.remove_pages(requests, i.docs).errors)
 
 
+@query
+def a5_results_json(i: Inputs) -> DataFrame:
+    checked = validate_requests(i.tool_requests, i.docs)
+    return from_result_json(to_result_json(results(checked)))
+
+
 # B: page selection
 
 

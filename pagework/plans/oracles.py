@@ -877,3 +877,9 @@ oracle(
     "select t.request_id, t.tool, error is null as success, error from tool_requests t left join said using (request_id)",
     VALID,
 )
+oracle(
+    "a5_results_json",
+    ["tool_requests"],
+    "select t.request_id, error is null as success, error from tool_requests t left join said using (request_id)",
+    VALID,
+)

@@ -4,7 +4,7 @@ import pytest
 from conftest import tuples
 
 from pagework.operators import manifest as mf
-from pagework.operators.outcomes import results_of
+from pagework.operators.outcomes import from_result_json, results_of, to_result_json
 from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
 from pagework.sources import files, requests
@@ -85,3 +85,13 @@ def test_passwords_do_not_leave(spark):
     checked = validate_requests(inputs.tool_requests, inputs.docs, "lock")
     assert "password" not in checked.columns
     assert {r.tool for r in checked.select("tool").distinct().collect()} == {"lock"}
+
+
+def test_result_json(table):
+    lines = table(
+        "request_id bigint, result string",
+        [(1, '{"success":true}'), (2, '{"success":false,"error":"no"}'), (3, "oops"), (4, "{}"), (5, None)],
+    )
+    back = [tuple(r) for r in from_result_json(lines).orderBy("request_id").collect()]
+    assert back == [(1, True, None), (2, False, "no"), (3, False, "Unknown error"), (4, False, "Unknown error"), (5, False, "Unknown error")]
+    assert tuples(to_result_json(from_result_json(lines)), "result")[-1] == ('{"success":true,"error":null}',)
