@@ -34,13 +34,17 @@ def long_int(x: str) -> str:
     return f"if({x} rlike '^[+-]?[0-9]+$', coalesce(try_cast({x} as bigint), {pinned}), null)"
 
 
-def leading_int(x: str) -> str:
-    """The decimal or ``0x`` integer a text starts with, else null; ``x`` has no outer blanks."""
-    hexed = f"regexp_extract({x}, '^[+-]?0[xX]([0-9a-fA-F]{{1,15}})', 1)"
+def leading_digits(x: str) -> str:
+    """The decimal or ``0x`` number a text without outer blanks starts with, as text; empty where there is none."""
+    return f"regexp_extract({x}, '^([+-]?(?:0[xX][0-9a-fA-F]{{1,15}}|(?!0[xX])[0-9]+))', 1)"
+
+
+def digits_value(d: str) -> str:
+    """The value of ``leading_digits``, null where that is empty or beyond bigint."""
+    hexed = f"conv(substring_index(lower({d}), 'x', -1), 16, 10)"
     return (
-        f"if({x} rlike '^[+-]?0[xX]',"
-        f" if(startswith({x}, '-'), -1, 1) * try_cast(conv(nullif({hexed}, ''), 16, 10) as bigint),"
-        f" try_cast(regexp_extract({x}, '^([+-]?[0-9]+)', 1) as bigint))"
+        f"if(contains({d}, 'x') or contains({d}, 'X'),"
+        f" if(startswith({d}, '-'), -1, 1) * try_cast({hexed} as bigint), try_cast({d} as bigint))"
     )
 
 
@@ -181,11 +185,12 @@ def image_spans(pages: str, ranges: str) -> str:
 
 def form_spans(pages_text: str, ranges_text: str) -> str:
     """Two text boxes: numbers by their leading digits, and ranges that count only when wholly in bounds."""
-    numbers = f"""transform(transform(split({pages_text}, ','), t -> {strip("t", JS)}),
-        t -> {leading_int("t")})"""
+    numbers = f"""transform(transform(split({pages_text}, ','),
+        t -> {leading_digits(strip("t", JS))}),
+        d -> {digits_value("d")})"""
     ranged = f"""transform(transform(transform(split({ranges_text}, ','),
-        t -> transform(split(t, '-'), y -> {strip("y", JS)})),
-        p -> named_struct('k', size(p), 'a', {leading_int("get(p, 0)")}, 'b', {leading_int("get(p, 1)")})),
+        t -> transform(split(t, '-'), y -> {leading_digits(strip("y", JS))})),
+        p -> named_struct('k', size(p), 'a', {digits_value("get(p, 0)")}, 'b', {digits_value("get(p, 1)")})),
         x -> if(x.k = 2 and x.a >= 1 and x.b <= page_count and x.a <= x.b, {_pair("x.a", "x.b")}, null))"""
     nothing = no_spans(LONG_SPANS)
     singles = f"coalesce(transform({numbers}, p -> {_pair('p', 'p')}), {nothing})"
