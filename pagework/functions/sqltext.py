@@ -11,16 +11,18 @@ from pagework.functions.text import DOTNET_BLANKS, PYTHON_BLANKS, SCRIPT_BLANKS
 
 SPANS = "array<struct<s:int,e:int>>"
 LONG_SPANS = "array<struct<s:bigint,e:bigint>>"
+PY = PYTHON_BLANKS
+JS = SCRIPT_BLANKS
 TOKENS = "array<struct<s:int,e:int,error:string>>"
 
 
-def literal(text: str) -> str:
-    """A string literal, any odd character as an escape."""
-    return "'" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04x}" for c in text) + "'"
+def escaped(text: str) -> str:
+    """Characters as they may stand inside a string literal."""
+    return "".join(f"\\u{ord(c):04x}" for c in text)
 
 
 def strip(x: str, blanks: str = DOTNET_BLANKS) -> str:
-    return f"trim(BOTH {literal(blanks)} FROM {x})"
+    return f"trim(BOTH '{escaped(blanks)}' FROM {x})"
 
 
 def strict_int(x: str) -> str:
@@ -35,23 +37,22 @@ def long_int(x: str) -> str:
 
 
 def leading_digits(x: str) -> str:
-    """The decimal or ``0x`` number a text without outer blanks starts with, as text; empty where there is none."""
-    return f"regexp_extract({x}, '^([+-]?(?:0[xX][0-9a-fA-F]{{1,15}}|(?!0[xX])[0-9]+))', 1)"
+    """The decimal or ``0x`` number a text starts with after blanks, as text; empty where there is none."""
+    return f"regexp_extract({x}, '^[{escaped(JS)}]*([+-]?(?:0[xX][0-9a-fA-F]{{1,15}}|(?!0[xX])[0-9]+))', 1)"
 
 
 def digits_value(d: str) -> str:
-    """The value of ``leading_digits``, null where that is empty or beyond bigint."""
+    """The value of ``leading_digits``, null where that is empty or beyond bigint.
+
+    A failing ``try_cast`` costs an exception, so here as elsewhere only texts that look right reach it.
+    """
     hexed = f"conv(substring_index(lower({d}), 'x', -1), 16, 10)"
     return (
-        f"if(contains({d}, 'x') or contains({d}, 'X'),"
-        f" if(startswith({d}, '-'), -1, 1) * try_cast({hexed} as bigint), try_cast({d} as bigint))"
+        f"case when {d} = '' then null when contains(lower({d}), 'x')"
+        f" then if(startswith({d}, '-'), -1, 1) * try_cast({hexed} as bigint) else try_cast({d} as bigint) end"
     )
 
 
-PY = PYTHON_BLANKS
-JS = SCRIPT_BLANKS
-
-
 def no_spans(kind: str = SPANS) -> str:
     return f"cast(array() as {kind})"
 
@@ -74,7 +75,7 @@ def clamp(spans: str, page_count: str = "page_count") -> str:
 def merge(spans: str) -> str:
     """The same pages as sorted spans that do not overlap."""
     return (
-        f"aggregate(array_sort({spans}), named_struct('out', {no_spans()}, 'hi', 0),"
+        f"aggregate(sort_array({spans}), named_struct('out', {no_spans()}, 'hi', 0),"
         " (acc, x) -> if(x.e > acc.hi,"
         " named_struct('out', array_append(acc.out, named_struct('s', greatest(x.s, acc.hi + 1), 'e', x.e)), 'hi', x.e),"
         " acc), acc -> acc.out)"
@@ -186,10 +187,10 @@ def image_spans(pages: str, ranges: str) -> str:
 def form_spans(pages_text: str, ranges_text: str) -> str:
     """Two text boxes: numbers by their leading digits, and ranges that count only when wholly in bounds."""
     numbers = f"""transform(transform(split({pages_text}, ','),
-        t -> {leading_digits(strip("t", JS))}),
+        t -> {leading_digits("t")}),
         d -> {digits_value("d")})"""
     ranged = f"""transform(transform(transform(split({ranges_text}, ','),
-        t -> transform(split(t, '-'), y -> {leading_digits(strip("y", JS))})),
+        t -> transform(split(t, '-'), y -> {leading_digits("y")})),
         p -> named_struct('k', size(p), 'a', {digits_value("get(p, 0)")}, 'b', {digits_value("get(p, 1)")})),
         x -> if(x.k = 2 and x.a >= 1 and x.b <= page_count and x.a <= x.b, {_pair("x.a", "x.b")}, null))"""
     nothing = no_spans(LONG_SPANS)

@@ -49,7 +49,7 @@ _WRONG_TURN = "filter(page_order, x -> x.rotation % 90 <> 0)"
 _EXTENSION = r"lower(regexp_extract(image_name, '(\\.[^.\\\\/]*)$', 1))"
 _UNSET = (
     "filter(array("
-    + ", ".join(f"if(coalesce({sq.leading_digits(sq.strip(m, sq.JS))}, '') = '', '{label}', null)" for m, label in MARGINS.items())
+    + ", ".join(f"if(coalesce({sq.leading_digits(m)}, '') = '', '{label}', null)" for m, label in MARGINS.items())
     + "), x -> x is not null)"
 )
 
