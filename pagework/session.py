@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -35,10 +33,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the driver and all executors reach: ``spark.checkpoint.dir``, or where that is unset a folder in the
+    session's warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-pagework-", dir="/tmp")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
