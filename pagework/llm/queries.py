@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe
-from pagework.llm.common import read_table
+from pagework.llm import bpe, mixing, url_rules
+from pagework.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,70 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, path, ["doc_id", "n_tokens", "ids_sha256"]).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = written(docs.select("doc_id", "source", mixing.words("text").alias("size")), "mix-sizes")
+    mixed = mixing.mix(sized, ["doc_id"], "doc_id", size=F.col("size"))
+    return (
+        mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", F.get("mix.positions", F.lit(0)).alias("position"))
+        .repartitionByRange("position", "doc_id")
+        .sortWithinPartitions("position", "doc_id")
+    )
+
+
+# The words before a reading are whole passes, earlier buckets and the bucket's own; SQL takes them in one window. The
+# schedules' times are roots of (1.5 t - t^2 / 2), (2 t) and (2 t + t^2), each as a share of its integral.
+ORACLES["op9_mix_sources"] = r"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
+  from documents),
+sources as (
+  select source, cast(sum(size) as bigint) as source_size,
+         (row_number() over (order by source asc nulls last) - 1) % 3 as schedule
+  from sized group by source),
+ranked as (
+  select *, cast(schedule + 1 as double) as weight, source_size * 3 as most,
+         cast(source_size * 3 as double) / (schedule + 1) as ratio from sources),
+levels as (
+  select *, cast(sum(source_size) over () - coalesce(sum(most) over before, 0) as double)
+         / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from ranked
+  window before as (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding)),
+wanted as (
+  select source, source_size, schedule,
+         least(cast(most as double), weight * (select arg_min(level, ratio) from levels where ratio >= level)) as target
+  from levels),
+placed as (
+  select doc_id, size, source_size, target, schedule,
+         coalesce(sum(size) over (partition by s.source order by md5(cast(doc_id as varchar)), size
+                  rows between unbounded preceding and 1 preceding), 0) + size / 2 as middle
+  from sized s join wanted w on s.source is not distinct from w.source),
+taken as (
+  select *, case when size > 0 then cast(middle <= target as int) + cast(middle + source_size <= target as int)
+         + cast(middle + 2 * source_size <= target as int) else 0 end as n
+  from placed),
+shared as (select *, case when n > 0 then cast(middle as double) / target end as u from taken)
+select doc_id, size, source_size, target, cast(size * n as bigint) as taken,
+       case schedule when 0 then 0.0 + 2.0 * u / (1.5 + sqrt(2.25 - 2.0 * u))
+                     when 1 then 0.0 + 2.0 * (u * 2.0) / (2.0 + sqrt(4.0))
+                     else 0.0 + 2.0 * (u * 3.0) / (2.0 + sqrt(4.0 + 4.0 * (u * 3.0))) end as position
+from shared
+"""
+
+
+# The explicit rules of the query.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read_table(spark, sf_dir, "pages"), ["page_id"], URL_RULES)
