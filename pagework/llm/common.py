@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,34 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def place(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a shared folder, given as a URI or a path."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once a session, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parents[2], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted((root / "pagework").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    folder = run_folder(spark, "package")
+    store, path = place(folder)
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/pagework.zip") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(f"{folder}/pagework.zip")
+    _SHIPPED.add(context.applicationId)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: later jobs read it, and a lost executor costs no more than a read."""
     spark = df.sparkSession

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, mixing, url_rules
-from pagework.llm.common import read_table, written
+from pagework.llm import bpe, mixing, url_rules, warc
+from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +20,13 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+    @functools.wraps(build)
+    def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = ready
+    return ready
 
 
 @query
@@ -102,3 +108,28 @@ URL_RULES = [
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages"), ["page_id"], URL_RULES)
+
+
+@query
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    folder = run_folder(spark, "warc")
+    captures = warc.write_archives(pages, folder, "page_id", "url", "html")
+    index = warc.build_index(captures, folder)
+    found = warc.lookup(index, folder, pages.select(warc.url_key("url").alias("capture")))
+    return warc.read_captures(found, folder, payloads=False).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op1_warc_index"] = """
+with base as (select page_id, encode(coalesce(html, '')) as payload from pages),
+sized as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from base),
+tops as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes)
+            else page_id end as top from sized)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when top = page_id then 'response' else 'revisit' end as record_type,
+       case when top <> page_id then top end as refers_to
+from tops
+"""
