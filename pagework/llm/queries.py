@@ -6,10 +6,10 @@ import functools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, mixing, url_rules, warc
+from pagework.llm import bpe, langid, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,34 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when top <> page_id then top end as refers_to
 from tops
 """
+
+
+def remainder(key: str, by: int) -> Column:
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(by))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.filter(remainder("doc_id", 4) != 2), "doc_id")
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_model(docs), ["doc_id"])
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs.filter(remainder("doc_id", 5) != 0), labels.filter(remainder("doc_id", 5) != 0))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")), ["doc_id"])
+    return found.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
