@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, langid, mixing, toxicity, url_rules, warc
+from pagework.llm import bpe, chat, langid, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,33 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.format_chats(turns))
+
+
+# A text's length in the template: 19 + role + 19 + text + 10 characters. A control string costs one character more, and
+# so does each backslash that stands before one or at the end.
+ORACLES["op4_chat_format"] = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped as (
+  select *, regexp_replace(regexp_replace(text,
+      '(\\*)(<\|start_header_id\|>|<\|end_header_id\|>|<\|eot_id\|>|<\|begin_of_text\|>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\])',
+      '\1\1\\\2', 'g'), '(\\+)\z', '\1\1') as shown
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(shown) + length(role) + 48) as bigint) as formatted_chars
+from escaped group by conv_id
+"""
