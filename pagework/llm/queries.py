@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, chat, langid, mixing, toxicity, url_rules, warc
+from pagework.llm import bpe, chat, jaccard, langid, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +194,8 @@ select conv_id, count(*) as n_turns,
        cast(sum(length(shown) + length(role) + 48) as bigint) as formatted_chars
 from escaped group by conv_id
 """
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"))
