@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import bpe, chat, jaccard, langid, mixing, toxicity, url_rules, warc
+from pagework.llm import ann, bpe, chat, jaccard, langid, mips, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,3 +199,26 @@ from escaped group by conv_id
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.top_k(read_table(spark, sf_dir, "embeddings"), 5, lambda x: F.floor(256 * x), every=50)
+
+
+ORACLES["op2_exact_top_k"] = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from usable q join usable c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5
+"""
+
+
+@query
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), 5, every=50)
