@@ -56,7 +56,7 @@ def presence(texts: list[str], table: np.ndarray, seen: np.ndarray) -> np.ndarra
     low = [f" {t.lower()} " for t in texts]
     row = np.repeat(np.arange(len(low), dtype=np.int32), list(map(len, low)))
     symbol = table[code_points(low)]
-    held = np.append(True, (symbol[1:] > 0) | (symbol[:-1] > 0))  # a run of breaks counts once
+    held = np.append(True, (symbol[1:] > 0) | (symbol[:-1] > 0) | (row[1:] != row[:-1]))  # a run of breaks counts once
     symbol, row = symbol[held], row[held]
     seen[:] = False
     flat, base = seen.reshape(-1), row.astype(np.int64) * seen.shape[1]
