@@ -10,7 +10,7 @@ ROMAN = [
     (1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"),
     (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"),
 ]
-SIZE_UNITS = ["Bytes", "KB", "MB", "GB"]
+SIZE_UNITS = ["Bytes", "KB", "MB", "GB", "TB", "PB", "EB"]
 DEFAULT_COLOUR = (52, 152, 219)
 
 
@@ -43,10 +43,11 @@ def two_decimals(value: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """``0 Bytes``, else the size in Bytes, KB, MB or GB; null above the last unit."""
-    step = (
-        F.when(size < 1024, 0).when(size < 1024**2, 1).when(size < 1024**3, 2).when(size < 1024**4, 3).otherwise(4)
-    )
+    """``0 Bytes``, else the size in the largest unit, Bytes to EB, that it fills."""
+    step = F
+    for unit in range(1, len(SIZE_UNITS)):
+        step = step.when(size < 1024**unit, unit - 1)
+    step = step.otherwise(len(SIZE_UNITS) - 1)
     value = two_decimals(size / F.pow(F.lit(1024.0), step))
     shown = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
     unit = F.get(F.array(*[F.lit(u) for u in SIZE_UNITS]), step)
@@ -58,9 +59,13 @@ def megabytes(size: Column) -> Column:
 
 
 def colour_channel(colour: Column, index: int) -> Column:
-    """Channel 0, 1 or 2 of ``#rrggbb``; a text without ``#`` means the default colour."""
+    """Channel 0, 1 or 2 of ``#rrggbb``, null where a text with ``#`` has no such digits; one without means the default."""
     code = F.conv(F.substring(colour, 2 + 2 * index, 2), 16, 10).cast("int")
-    return F.when(colour.startswith("#"), code).otherwise(F.lit(DEFAULT_COLOUR[index]))
+    return F.when(is_colour(colour) & colour.startswith("#"), code).when(is_colour(colour), DEFAULT_COLOUR[index])
+
+
+def is_colour(colour: Column) -> Column:
+    return F.coalesce(~colour.startswith("#") | colour.rlike("^#[0-9a-fA-F]{6}"), F.lit(True))
 
 
 def turned_box(width: Column, height: Column, degrees: Column) -> tuple[Column, Column]:

@@ -38,15 +38,17 @@ def long_int(x: str) -> str:
 
 def leading_digits(x: str) -> str:
     """The decimal or ``0x`` number a text starts with after blanks, as text; empty where there is none."""
-    return f"regexp_extract({x}, '^[{escaped(JS)}]*([+-]?(?:0[xX][0-9a-fA-F]{{1,15}}|(?!0[xX])[0-9]+))', 1)"
+    return f"regexp_extract({x}, '^[{escaped(JS)}]*([+-]?(?:0[xX][0-9a-fA-F]+|(?!0[xX])[0-9]+))', 1)"
 
 
 def digits_value(d: str) -> str:
-    """The value of ``leading_digits``, null where that is empty or beyond bigint.
+    """The value of ``leading_digits``, null where that is empty. Hex digits beyond bigint are pinned to its ends, decimal ones
+    are null; no document has such a page.
 
     A failing ``try_cast`` costs an exception, so here as elsewhere only texts that look right reach it.
     """
-    hexed = f"conv(substring_index(lower({d}), 'x', -1), 16, 10)"
+    digits = f"regexp_replace(substring_index(lower({d}), 'x', -1), '^0+(?=.)', '')"
+    hexed = f"if(length({digits}) > 15, '9223372036854775807', conv({digits}, 16, 10))"
     return (
         f"case when {d} = '' then null when contains(lower({d}), 'x')"
         f" then if(startswith({d}, '-'), -1, 1) * try_cast({hexed} as bigint) else try_cast({d} as bigint) end"
@@ -72,23 +74,43 @@ def clamp(spans: str, page_count: str = "page_count") -> str:
     return f"coalesce(transform({kept}, x -> named_struct('s', cast(x.s as int), 'e', cast(x.e as int))), {no_spans()})"
 
 
+# Appending copies an array, so folds that append work on stretches of this many elements: linear in the whole.
+STRETCH = 256
+
+
+def folded(array: str, zero: str, carried: str, fold: str) -> str:
+    """The outputs of ``fold`` over stretches of ``array``, one after another.
+
+    ``fold`` says what a stretch ``c`` gives after what was carried, ``h``; ``carried`` is the value after stretch ``c`` that
+    follows ``acc.h``, and ``zero`` the first.
+    """
+    stretches = (
+        f"transform(array({array}), v -> transform(sequence(0, greatest(0, (size(v) - 1) div {STRETCH})),"
+        f" i -> slice(v, i * {STRETCH} + 1, {STRETCH})))[0]"
+    )
+    before = (
+        f"aggregate(w, named_struct('out', array({zero}), 'h', {zero}), (acc, c) -> transform(array({carried}),"
+        " n -> named_struct('out', array_append(acc.out, n), 'h', n))[0], acc -> slice(acc.out, 1, size(acc.out) - 1))"
+    )
+    return f"transform(array({stretches}), w -> flatten(zip_with(w, {before}, (c, h) -> {fold})))[0]"
+
+
 def merge(spans: str) -> str:
     """The same pages as sorted spans that do not overlap."""
-    return (
-        f"aggregate(sort_array({spans}), named_struct('out', {no_spans()}, 'hi', 0),"
-        " (acc, x) -> if(x.e > acc.hi,"
-        " named_struct('out', array_append(acc.out, named_struct('s', greatest(x.s, acc.hi + 1), 'e', x.e)), 'hi', x.e),"
-        " acc), acc -> acc.out)"
+    fold = (
+        f"aggregate(c, named_struct('out', {no_spans()}, 'hi', h),"
+        " (s, x) -> if(x.e > s.hi,"
+        " named_struct('out', array_append(s.out, named_struct('s', greatest(x.s, s.hi + 1), 'e', x.e)), 'hi', x.e),"
+        " s), s -> s.out)"
     )
+    return folded(f"sort_array({spans})", "0", "greatest(acc.h, coalesce(array_max(transform(c, x -> x.e)), 0))", fold)
 
 
 def runs(merged: str) -> str:
-    """Sorted, disjoint spans with neighbours that touch joined into one."""
-    joined = "named_struct('s', try_element_at(out, -1).s, 'e', x.e)"
-    return (
-        f"aggregate({merged}, {no_spans()}, (out, x) -> if(size(out) > 0 and try_element_at(out, -1).e = x.s - 1,"
-        f" concat(slice(out, 1, size(out) - 1), array({joined})), array_append(out, x)))"
-    )
+    """Sorted, disjoint spans with neighbours that touch joined into one: each that opens a run meets the one that ends it."""
+    opens = "filter(m, (x, i) -> i = 0 or get(m, i - 1).e <> x.s - 1)"
+    ends = "filter(m, (x, i) -> i = size(m) - 1 or get(m, i + 1).s <> x.e + 1)"
+    return f"transform(array({merged}), m -> zip_with({opens}, {ends}, (a, b) -> named_struct('s', a.s, 'e', b.e)))[0]"
 
 
 def complement(merged: str, page_count: str = "page_count") -> str:
@@ -102,6 +124,9 @@ def count(merged: str) -> str:
     return f"aggregate({merged}, 0, (n, x) -> n + x.e - x.s + 1)"
 
 
+# What a missing element of a list is told.
+NO_PAGE, NO_RANGE = "Page number is missing", "Page range is missing"
+
 # The messages of the two strict forms below.
 
 
@@ -117,6 +142,7 @@ def _strict_token(parts: str, text: str, one: str, dash: str) -> str:
     return f"""transform(array(named_struct('a', {strict_int(strip(f"get({parts}, 0)"))},
                                             'b', {strict_int(strip(f"get({parts}, 1)"))})), v -> named_struct(
         's', if({dash}, v.a, {one}), 'e', if({dash}, v.b, {one}), 'error', case
+        when {text} is null then '{NO_RANGE}'
         when not {dash} and {one} is null then concat('Invalid page number: \\'', {text}, '\\'')
         when not {dash} and {one} not between 1 and page_count
           then concat('Page number ', {one}, ' is out of range (1-', page_count, ')')
@@ -132,12 +158,14 @@ def _strict_token(parts: str, text: str, one: str, dash: str) -> str:
 def remove_tokens(pages: str, ranges: str) -> str:
     """Page list and ranges of the remove form, strict: ranges always ``a-b``, as ``{s, e, error}``."""
     listed = f"""transform({pages}, p -> named_struct('s', p, 'e', p, 'error',
-        if(p not between 1 and page_count, concat('Page number ', p, ' is out of range (1-', page_count, ')'), null)))"""
+        case when p is null then '{NO_PAGE}'
+             when p not between 1 and page_count then concat('Page number ', p, ' is out of range (1-', page_count, ')') end))"""
     ranged = f"""transform(transform(transform({ranges},
         t -> named_struct('t', t, 'p', split(t, '-'))),
         x -> named_struct('t', x.t, 'k', size(x.p), 'a', {strict_int(strip("get(x.p, 0)"))},
                           'b', {strict_int(strip("get(x.p, 1)"))})),
         x -> named_struct('s', x.a, 'e', x.b, 'error', case
+        when x.t is null then '{NO_RANGE}'
         when x.k <> 2
           then concat('Invalid page range format: ', x.t, '. Expected format: \\'start-end\\' (e.g., \\'1-5\\')')
         when x.a is null or x.b is null then concat('Invalid page numbers in range: ', x.t)

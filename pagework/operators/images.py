@@ -6,12 +6,12 @@ object, which several pages may share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
-from pagework.operators.rows import block_of, join_all_pages, join_pages, spread
+from pagework.operators.rows import join_pages
 
 # Quality presets, and the limits by quality: (up to quality, longest side, JPEG quality).
 PRESETS = {"Low": 50, "Medium": 75, "High": 90}
@@ -52,12 +52,32 @@ def extraction_summary(selection: DataFrame, images: DataFrame) -> DataFrame:
 def remove_images(selection: DataFrame, images: DataFrame) -> DataFrame:
     """Images that are still there once the selected pages' image objects are deleted, on whatever page they are used."""
     keys = ["request_id", "doc_id", "xref"]
-    gone = join_pages(selection.select("request_id", "doc_id", "spans"), images.select("doc_id", "page_no", "xref"))
-    asked = join_all_pages(selection.select("request_id", "doc_id", "page_count"), images)
-    left = asked.join(gone.select(*keys).distinct(), keys, "left_anti")
+    asked = _with_choice(selection, images)
+    gone = asked.where("chosen").select(*keys).distinct()
+    left = asked.where(~F.col("chosen")).join(gone, keys, "left_anti")
     return left.select("request_id", "doc_id", "page_no", "img_index", "xref")
 
 
+def removal_summary(selection: DataFrame, images: DataFrame) -> DataFrame:
+    """Image objects removed and pages looked at per request; an object used on several pages is removed once."""
+    chosen = join_pages(selection.select("request_id", "doc_id", "spans"), images.select("doc_id", "page_no", "xref"))
+    removed = chosen.select("request_id", "xref").distinct().groupBy("request_id").agg(F.count("*").alias("_removed"))
+    return selection.join(removed, "request_id", "left").select(
+        "request_id",
+        "doc_id",
+        F.coalesce("_removed", F.lit(0)).cast("int").alias("removed_count"),
+        F.expr(sq.count("spans")).alias("processed_pages"),
+    )
+
+
+def _with_choice(selection: DataFrame, images: DataFrame) -> DataFrame:
+    """All images of each request's document, and whether their page is ``chosen``: one join for both."""
+    covered = "transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'chosen', true))"
+    others = f"transform({sq.complement('spans')}, x -> named_struct('s', x.s, 'e', x.e, 'chosen', false))"
+    both = selection.select("request_id", "doc_id", F.expr(f"concat({covered}, {others})").alias("spans"))
+    return join_pages(both, images, keep=("chosen",))
+
+
 def preset_quality(preset: Column, custom: Column) -> Column:
     quality = F.when(preset == "Custom", F.coalesce(custom, F.lit(DEFAULT_QUALITY)))
     for name, value in PRESETS.items():
@@ -75,12 +95,12 @@ def recompress_plan(images: DataFrame, quality: Column) -> DataFrame:
         longest, jpeg = longest.when(F.col("_quality") <= upto, side), jpeg.when(F.col("_quality") <= upto, q)
     width, height, limit = F.col("width"), F.col("height"), F.col("_longest")
     fits = (width <= limit) & (height <= limit)
-    # A side of 0 cannot be encoded, so such an image is left alone as well.
+    # An image with a side of 0, now or once it is shrunk, is left alone as well.
     shrinks = (width * height >= SMALL_AREA) & (F.col("_w") > 0) & (F.col("_h") > 0)
     planned = (
         images.withColumn("_quality", quality)
         .withColumn("_longest", longest.otherwise(TOP_TIER[0]))
-        .withColumn("_factor", F.when(fits, F.lit(SHRINK)).otherwise(F.least(limit / width, limit / height)))
+        .withColumn("_factor", F.when(fits, F.lit(SHRINK)).otherwise(F.least(F.try_divide(limit, width), F.try_divide(limit, height))))
         .withColumns({"_w": F.floor(width * F.col("_factor")), "_h": F.floor(height * F.col("_factor"))})
         .withColumn("_shrinks", shrinks)
     )
@@ -105,16 +125,16 @@ def object_plan(plan: DataFrame) -> DataFrame:
 def dedupe_images_by_dims(plan: DataFrame) -> DataFrame:
     """Marks images whose new size was met before in the same document, in page order.
 
-    First the earliest image per (document, size, block of pages) is found; only those, one per block, then compete for
-    the whole document. The others are known duplicates and are spread by their block, so no size gathers in one task.
+    The first image of each size is found by an aggregate, which combines before the shuffle; the rows themselves are
+    shuffled once, to meet it, and a size that many images have is split by the join. Rows equal in page and index are one
+    image.
     """
     size = ["doc_id", "new_width", "new_height"]
-    rows = spread(plan.withColumn("_block", block_of(F.col("page_no"))), *size, "_block")
-    order = ["page_no", "img_index"]
-    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(*size, "_block").orderBy(*order)) == 1)
-    rows = rows.withColumn("_part", F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_block")))
-    again = F.row_number().over(Window.partitionBy(*size, "_part").orderBy(*order)) > 1
-    return rows.withColumn("is_duplicate", ~F.col("_first") | again).drop("_block", "_first", "_part")
+    firsts = plan.groupBy(*size).agg(F.min(F.struct("page_no", "img_index")).alias("_first"))
+    same = " and ".join(f"p.{c} <=> f.{c}" for c in size)
+    return plan.alias("p").join(firsts.alias("f"), F.expr(same)).select(
+        "p.*", (F.struct("p.page_no", "p.img_index") > F.col("f._first")).alias("is_duplicate")
+    )
 
 
 def compression_outcome(sizes: DataFrame) -> DataFrame:

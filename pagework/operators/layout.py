@@ -15,7 +15,7 @@ from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
 from pagework.operators.manifest import output_name
-from pagework.operators.rows import attach_docs, each, join_all_pages, join_pages
+from pagework.operators.rows import Outcome, each, error_part, join_pages, known_docs, present
 from pagework.operators.selection import select_pages
 
 NUMBER_MARGIN = 20
@@ -55,13 +55,15 @@ def number_pages(
     text_width: Callable[[Column, Column], Column] = half_em_width,
     text_height: Callable[[Column, Column], Column] = lambda text, font_size: font_size.cast("double"),
     text_metrics: DataFrame | None = None,
-) -> DataFrame:
+) -> Outcome:
     """Label and its anchor point for every page from ``start_page`` on.
 
     Requests carry ``position, format, font_size, start_page, start_number``. Text sizes come from the two expressions,
     or from a ``text, font_size, width, height`` table where one is given; texts it lacks fall back to the expressions.
     """
-    rows = join_all_pages(attach_docs(requests, docs), pages).where(F.col("page_no") >= F.col("start_page"))
+    known, errors = known_docs(requests, docs)
+    later = f"if(start_page <= page_count, array(named_struct('s', greatest(1, start_page), 'e', page_count)), {sq.no_spans()})"
+    rows = join_pages(known.where("page_count >= 1").withColumn("spans", F.expr(later)), pages)
     current = F.col("start_number") + (F.col("page_no") - F.col("start_page"))
     rows = rows.withColumn("label", page_label(current, F.col("page_count"), F.col("format")))
     width, height = text_width(F.col("label"), F.col("font_size")), text_height(F.col("label"), F.col("font_size"))
@@ -79,7 +81,7 @@ def number_pages(
     )
     top = place.isin("TopLeft", "TopCenter", "TopRight")
     y = F.when(top, height + NUMBER_MARGIN).otherwise(page_h - NUMBER_MARGIN)
-    return rows.select(
+    labels = rows.select(
         "request_id",
         "doc_id",
         output_name("numbers", F.col("base")).alias("output_name"),
@@ -88,33 +90,35 @@ def number_pages(
         x.alias("x"),
         y.alias("y"),
     )
+    return Outcome(labels, errors)
 
 
-def crop_selection(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def crop_selection(requests: DataFrame, docs: DataFrame) -> Outcome:
     """Selection of crop requests: ``pages_range`` all, or ``custom_pages`` whatever the range says; no text, no page."""
-    known = attach_docs(requests, docs).where(F.col("page_count").isNotNull())
+    known, errors = known_docs(requests, docs)
     spans = (
         F.when(F.col("pages_range") == "all", F.expr(sq.whole()))
         .when(tx.is_blank(F.col("custom_pages")), F.expr(sq.no_spans()))
         .otherwise(F.expr(sq.crop_spans("custom_pages")))
     )
-    return known.withColumn("spans", spans)
+    return Outcome(known.withColumn("spans", spans), errors)
 
 
-def crop_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+def crop_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """Every page of the output with its crop box, null where the page stays as it is.
 
     Margins ``m_left, m_bottom, m_right, m_top`` come off the media box; a box that would turn inside out is not set.
     """
     covered = "transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'chosen', true))"
     others = f"transform({sq.complement('spans')}, x -> named_struct('s', x.s, 'e', x.e, 'chosen', false))"
-    selection = crop_selection(requests, docs).withColumn("spans", F.expr(f"concat({covered}, {others})"))
+    wanted, errors = crop_selection(requests, docs)
+    selection = wanted.withColumn("spans", F.expr(f"concat({covered}, {others})"))
     rows = join_pages(selection, pages, keep=("chosen",))
     x1, y1 = F.col("x1") + F.col("m_left"), F.col("y1") + F.col("m_bottom")
     x2, y2 = F.col("x2") - F.col("m_right"), F.col("y2") - F.col("m_top")
     cropped = F.col("chosen") & (x2 > x1) & (y2 > y1)
     box = {"crop_x1": x1, "crop_y1": y1, "crop_x2": x2, "crop_y2": y2}
-    return rows.select(
+    boxes = rows.select(
         "request_id",
         "doc_id",
         output_name("crop", F.col("base")).alias("output_name"),
@@ -122,6 +126,7 @@ def crop_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFr
         cropped.alias("is_cropped"),
         *[F.when(cropped, value).alias(name) for name, value in box.items()],
     )
+    return Outcome(boxes, errors)
 
 
 def crop_summary(cropped: DataFrame) -> DataFrame:
@@ -163,11 +168,18 @@ def stamp_ink() -> list[Column]:
     ]
 
 
-def _stamped(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+def _stamped(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
+    """Pages to stamp, and the requests without a document or, for a text, with a colour that is none."""
     wide, tall = stamp_points()
-    sized = select_pages(requests, docs).withColumn("_w", wide).withColumn("_h", tall)
-    rows = join_pages(sized, pages)
-    return rows.withColumn("_pw", shown_width()).withColumn("_ph", shown_height())
+    selected, missing = select_pages(requests, docs)
+    if "text_color" in requests.columns:
+        wrong = (F.col("watermark_type") == "text") & ~nu.is_colour(F.col("text_color"))
+        said = F.when(wrong, F.concat(F.lit("Invalid text color: "), F.col("text_color")))
+        checked = selected.withColumn("errors", present(said))
+        missing = missing.unionByName(error_part(checked))
+        selected = checked.where(F.size("errors") == 0).drop("errors")
+    rows = join_pages(selected.withColumn("_w", wide).withColumn("_h", tall), pages)
+    return Outcome(rows.withColumn("_pw", shown_width()).withColumn("_ph", shown_height()), missing)
 
 
 def _placed(rows: DataFrame, tile: Column, x: Column, y: Column) -> DataFrame:
@@ -184,36 +196,36 @@ def _placed(rows: DataFrame, tile: Column, x: Column, y: Column) -> DataFrame:
     )
 
 
-def place_watermark(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+def place_watermark(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """One stamp per selected page: a corner with 5 percent margins, anything else centred; tiled requests left out.
 
     Requests carry ``mode, custom_pages, start_page, end_page, watermark_type, text, font_size, image_width,
     image_height, image_scale, stamp_turn, position``. Sizes are worked out once per request, before pages are joined.
     """
-    rows = _stamped(requests.where(F.col("position") != "Tiled"), docs, pages)
+    rows, errors = _stamped(requests.where(F.col("position") != "Tiled"), docs, pages)
     place, pw, ph, w, h = F.col("position"), F.col("_pw"), F.col("_ph"), F.col("_w"), F.col("_h")
     left, right = place.isin("TopLeft", "BottomLeft"), place.isin("TopRight", "BottomRight")
     top, bottom = place.isin("TopLeft", "TopRight"), place.isin("BottomLeft", "BottomRight")
     x = F.when(left, pw * 0.05).when(right, pw - w - pw * 0.05).otherwise((pw - w) / 2)
     y = F.when(top, ph * 0.05).when(bottom, ph - h - ph * 0.05).otherwise((ph - h) / 2)
-    return _placed(rows, F.lit(1), x, y)
+    return Outcome(_placed(rows, F.lit(1), x, y), errors)
 
 
-def place_tiled(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> DataFrame:
+def place_tiled(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """Three stamps per selected page of tiled requests: centred across, at a half, a sixth and five sixths of the height."""
-    rows = _stamped(requests.where(F.col("position") == "Tiled"), docs, pages)
+    rows, errors = _stamped(requests.where(F.col("position") == "Tiled"), docs, pages)
     half = F.col("_ph") / 2
     centres = F.array(half, half / 3, half * 5 / 3)
     tiles = each(rows, centres, "_centre", "_tile")
     x = F.col("_pw") / 2 - F.col("_w") / 2
-    return _placed(tiles, F.col("_tile") + 1, x, F.col("_centre") - F.col("_h") / 2)
+    return Outcome(_placed(tiles, F.col("_tile") + 1, x, F.col("_centre") - F.col("_h") / 2), errors)
 
 
-def watermark_summary(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def watermark_summary(requests: DataFrame, docs: DataFrame) -> Outcome:
     """Pages of the document and pages stamped, counted on the request row without listing pages."""
-    return select_pages(requests, docs).select(
-        "request_id", "doc_id", "page_count", F.expr(sq.count("spans")).alias("watermarked_pages")
-    )
+    selected, errors = select_pages(requests, docs)
+    counted = F.expr(sq.count("spans")).alias("watermarked_pages")
+    return Outcome(selected.select("request_id", "doc_id", "page_count", counted), errors)
 
 
 def render_plan(pages: DataFrame, dpi: int | Column, fmt: str | Column, padded: bool | Column = True) -> DataFrame:

@@ -86,6 +86,7 @@ def split_at_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
         F.coalesce(
             missing_doc_error(),
             F.when(F.coalesce(F.size("_points"), F.lit(0)) <= 0, F.lit("Split pages are required")),
+            F.when(F.exists("_points", lambda p: p.isNull()), F.lit("Split page is missing")),
             F.when(
                 outside | repeated,
                 tx.message("Split pages must be distinct and lie between 1 and ", F.col("page_count") - 1),
@@ -211,11 +212,17 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     )
     checked = known.withColumn("errors", errors)
     # ``skip`` turns a page number into its new position once the strided pages before it are taken off too.
+    left = "x.e - x.s + 1 - (x.hit - x.before)"
     placed = F.expr(
-        "aggregate(_pieces, named_struct('out', cast(array() as array<struct<s:int,e:int,skip:bigint>>), 'kept', 0L),"
-        " (acc, x) -> named_struct("
-        "  'out', array_append(acc.out, named_struct('s', x.s, 'e', x.e, 'skip', x.s - 1 - x.before - acc.kept)),"
-        "  'kept', acc.kept + x.e - x.s + 1 - (x.hit - x.before)), acc -> acc.out)"
+        sq.folded(
+            "_pieces",
+            "0L",
+            f"acc.h + aggregate(c, 0L, (n, x) -> n + {left})",
+            "aggregate(c, named_struct('out', cast(array() as array<struct<s:int,e:int,skip:bigint>>), 'kept', h),"
+            " (t, x) -> named_struct("
+            "  'out', array_append(t.out, named_struct('s', x.s, 'e', x.e, 'skip', x.s - 1 - x.before - t.kept)),"
+            f"  'kept', t.kept + {left}), t -> t.out)",
+        )
     )
     strides = ["even", "odd", "nth", "start", "_even", "_odd", "_step", "_first", "_both_first", "_both_step"]
     pieces = each(checked, if_sound(placed), "_x").select(
@@ -238,7 +245,8 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
 def organize_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """Pages in the order of ``page_order``, each turned by its rotation on top of the page's own."""
     faults = F.expr(
-        "concat(transform(filter(page_order, x -> x.page_number not between 1 and page_count),"
+        f"concat(transform(filter(page_order, x -> x.page_number is null), x -> '{sq.NO_PAGE}'),"
+        " transform(filter(page_order, x -> x.page_number not between 1 and page_count),"
         " x -> concat('Page number ', x.page_number, ' is out of range (1-', page_count, ')')),"
         " transform(filter(page_order, x -> x.rotation % 90 <> 0),"
         " x -> concat('Rotation must be a multiple of 90 degrees. Got: ', x.rotation)))"
@@ -289,18 +297,17 @@ def delete_pages(manifest: DataFrame, marks: DataFrame, keys: list[str] | None =
     """Marked pages go, one after another in page order; the last page that remains cannot be deleted."""
     keys = keys or ["doc_id"]
     marked = mark_positions(manifest, marks, keys)
-    nothing_left = F.col("marked_total") == F.col("rows_total")
-    is_last = F.col("out_no") == F.col("rows_total")
-    kept = marked.where(~F.col("marked") | (nothing_left & is_last))
+    last_of_none = (F.col("out_no") == F.col("rows_total")) & (F.col("marked_upto") == F.col("rows_total"))
+    kept = marked.where(~F.col("marked") | last_of_none)
     return kept.withColumn("out_no", (F.col("out_no") - F.col("marked_before")).cast("int")).select(*manifest.columns)
 
 
-def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = None) -> Outcome:
     """One move per key: the page at ``from_no`` is taken out and put in at the old place of ``to_no``.
 
     Positions are 1..n, so the shift of every other page follows from the two numbers; nothing is sorted. A move from or
     to a position outside the manifest does nothing. The move is copied to each block of its manifest, so a long one is
-    joined by many tasks.
+    joined by many tasks. Several moves of one key, and moves of a key without pages, are errors, and move nothing.
     """
     keys = keys or ["doc_id"]
     pos, here, there = F.col("out_no"), F.col("from_no"), F.col("to_no")
@@ -311,19 +318,25 @@ def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = No
         .otherwise(pos)
     )
     sizes = manifest.groupBy(*keys).agg(F.max("out_no").alias("_n"))
-    sound = (
-        moves.select(*keys, "from_no", "to_no")
-        .join(sizes, keys)
-        .where(here.between(1, F.col("_n")) & there.between(1, F.col("_n")))
+    once = moves.groupBy(*keys).agg(
+        F.count("*").alias("_moves"), F.first("from_no").alias("from_no"), F.first("to_no").alias("to_no")
     )
+    known = once.join(sizes, keys, "left")
+    sound = known.where((F.col("_moves") == 1) & here.between(1, F.col("_n")) & there.between(1, F.col("_n")))
     fanned = each(sound, F.sequence(F.lit(0), block_of(F.col("_n"))), "_block")
     joined = manifest.withColumn("_block", block_of(pos)).join(fanned, [*keys, "_block"], "left")
-    return joined.withColumn("out_no", moved.cast("int")).select(*manifest.columns)
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    errors = present(
+        F.when(F.col("_n").isNull(), F.concat(F.lit("File not found: "), named)),
+        F.when(F.col("_moves") > 1, F.lit("Only one page can be moved at a time")),
+    )
+    faults = known.select(F.col(keys[0]).alias("request_id"), F.col(keys[-1]).alias("doc_id"), errors.alias("errors"))
+    return Outcome(joined.withColumn("out_no", moved.cast("int")).select(*manifest.columns), faults.where(F.size("errors") > 0))
 
 
 def listed_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """One row per entry of ``files`` of a request, with the facts of that file, or nulls where it is missing."""
-    entries = each(requests.select("request_id", "files"), F.col("files"), "file_path", "file_pos").drop("files")
+    entries = requests.select("request_id", F.posexplode("files").alias("file_pos", "file_path"))
     return entries.join(files, "file_path", "left")
 
 
@@ -345,11 +358,13 @@ def merge_docs(requests: DataFrame, docs: DataFrame, dedupe: bool = False) -> Ou
         .groupBy("request_id")
         .agg(
             F.expr(
-                "transform(array_sort(collect_list(struct(file_pos, file_path))), x -> concat('File not found: ', x.file_path))"
+                "transform(array_sort(collect_list(struct(file_pos, file_path))), x -> concat('File not found: ', coalesce(x.file_path, '')))"
             ).alias("errors")
         )
         .unionByName(
-            asked.where(F.col("files").isNull()).select("request_id", F.array(F.lit("No files provided.")).alias("errors"))
+            asked.where(F.coalesce(F.size("files"), F.lit(0)) <= 0).select(
+                "request_id", F.array(F.lit("No files provided.")).alias("errors")
+            )
         )
         .withColumn("doc_id", F.lit(None).cast("bigint"))
     )

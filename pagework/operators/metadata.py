@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagework.functions import text as tx
-from pagework.operators.rows import Outcome
+from pagework.operators.rows import Outcome, present
 
 # Info keys, XMP tags and alternative Info keys behind each field.
 INFO_KEYS = {
@@ -34,6 +34,8 @@ XMP_TAGS = {
 ALTERNATIVE_KEYS = {"author": "Authors", "creator": "SourceApplication", "producer": "PDFProducer"}
 GATED = list(XMP_TAGS)
 REQUIRED = ["title", "author"]
+# Fixed value: a message.
+NO_METADATA = "Metadata is required for write operation"
 
 
 def info_value(key: str, info: str = "info") -> Column:
@@ -85,10 +87,12 @@ def resolve_metadata(docs: DataFrame) -> DataFrame:
 def apply_metadata_edits(docs: DataFrame, edits: DataFrame) -> Outcome:
     """Documents with their edit applied: a field with text is set, a blank or missing one is deleted.
 
-    ``edits`` has one ``doc_id, metadata STRUCT`` row per document to change; dates and other keys stay. A null struct
-    is an error. Documents without an edit row stay as they are.
+    ``edits`` has one ``doc_id, metadata STRUCT`` row per document to change; dates and other keys stay. A null struct, a
+    document that is not there, and several edits of one document are errors and change nothing. Documents without an edit
+    row stay as they are.
     """
-    marked = edits.select("doc_id", "metadata", F.lit(True).alias("_edited"))
+    once = edits.groupBy("doc_id").agg(F.count("*").alias("_edits"), F.first("metadata").alias("metadata"))
+    marked = once.where("_edits = 1").select("doc_id", "metadata", F.lit(True).alias("_edited"))
     wanted = F.map_filter(
         F.map_from_arrays(
             F.array(*[F.lit(INFO_KEYS[f]) for f in GATED]), F.array(*[F.col(f"metadata.{f}") for f in GATED])
@@ -101,12 +105,14 @@ def apply_metadata_edits(docs: DataFrame, edits: DataFrame) -> Outcome:
     changed = docs.join(marked, "doc_id", "left").withColumn(
         "info", F.when(edit, F.map_concat(rest, wanted)).otherwise(F.col("info"))
     )
-    errors = edits.where(F.col("metadata").isNull()).select(
-        F.col("doc_id").alias("request_id"),
-        "doc_id",
-        F.array(F.lit("Metadata is required for write operation")).alias("errors"),
+    there = docs.select("doc_id", F.lit(True).alias("_there"))
+    said = present(
+        F.when(F.col("_there").isNull(), F.concat(F.lit("File not found: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        F.when(F.col("_edits") > 1, F.lit("Only one edit per document is allowed")),
+        F.when((F.col("_edits") == 1) & F.col("metadata").isNull(), F.lit(NO_METADATA)),
     )
-    return Outcome(changed.select(*docs.columns), errors)
+    errors = once.join(there, "doc_id", "left").select(F.col("doc_id").alias("request_id"), "doc_id", said.alias("errors"))
+    return Outcome(changed.select(*docs.columns), errors.where(F.size("errors") > 0))
 
 
 def strip_metadata(docs: DataFrame, flag: Column) -> DataFrame:

@@ -37,7 +37,14 @@ def attach_docs(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def missing_doc_error() -> Column:
-    return F.when(F.col("page_count").isNull(), F.concat(F.lit("File not found: "), F.col("doc_id").cast("string")))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.when(F.col("page_count").isNull(), F.concat(F.lit("File not found: "), named))
+
+
+def known_docs(requests: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with their document's facts, and the error rows of those whose document is missing."""
+    attached = attach_docs(requests, docs)
+    return split_outcome(attached.withColumn("errors", present(missing_doc_error())))
 
 
 def present(*messages: Column) -> Column:
@@ -117,50 +124,53 @@ def join_all_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def mark_positions(manifest: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``marked``, ``marked_before``, ``rows_total`` and ``marked_total`` to a manifest numbered 1..n by ``out_no``.
+    """Adds ``marked``, ``marked_before``, ``rows_total`` and ``marked_upto`` to a manifest numbered 1..n by ``out_no``.
 
-    ``marks`` holds ``keys, out_no``; repeats and positions outside 1..n do not count. The manifest is shuffled once, by
-    (keys, block), and counting runs inside blocks; what lies in earlier blocks comes from one row per block, which the
-    marks and the manifest's sizes give without a second pass over its rows.
+    ``marks`` holds ``keys, out_no``; repeats and positions outside 1..n do not count. Manifest rows, marks and one header row
+    per block meet in one shuffle by (keys, block), where a single ordered window counts. The header brings what lies in
+    earlier blocks; it is worked out from one row per block and the manifest's sizes, which combine before their shuffle.
     """
     sizes = manifest.groupBy(*keys).agg(F.max("out_no").alias("rows_total"))
-    sound = (
-        marks.select(*keys, "out_no")
-        .distinct()
-        .join(sizes, keys)
-        .where(F.col("out_no").between(1, F.col("rows_total")))
-        .select(*keys, "out_no", block_of(F.col("out_no")).alias("_block"), F.lit(1).alias("_mark"))
+    per_block = (
+        marks.where(F.col("out_no") >= 1)
+        .groupBy(*keys, block_of(F.col("out_no")).alias("_block"))
+        .agg(F.collect_set("out_no").alias("_marks"))
     )
-    per_block = sound.groupBy(*keys, "_block").agg(F.count("*").alias("_marks"))
-    blocks = each(sizes, F.sequence(F.lit(0), block_of(F.col("rows_total"))), "_block")
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    headers = each(sizes, F.sequence(F.lit(0), block_of(F.col("rows_total"))), "_block")
+    counts = per_block.select(*keys, F.lit(None).cast("int").alias("rows_total"), "_block", F.size("_marks").alias("_k"))
+    # A block's header stands before its count, so that only earlier blocks are summed.
+    earlier = Window.partitionBy(*keys).orderBy("_block", F.col("rows_total").isNull()).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        blocks.join(per_block, [*keys, "_block"], "left")
-        .withColumn("_marks", F.coalesce("_marks", F.lit(0)))
-        .select(
-            *keys,
-            "_block",
-            "rows_total",
-            F.coalesce(F.sum("_marks").over(earlier), F.lit(0)).alias("_carry"),
-            F.sum("_marks").over(Window.partitionBy(*keys)).alias("marked_total"),
-        )
+        headers.withColumn("_k", F.lit(0))
+        .unionByName(counts)
+        .withColumn("_carry", F.coalesce(F.sum("_k").over(earlier), F.lit(0)))
+        .where(F.col("rows_total").isNotNull())
+        .select(*keys, "_block", "rows_total", "_carry")
     )
-    both = manifest.select("*", block_of(F.col("out_no")).alias("_block"), F.lit(0).alias("_mark")).unionByName(
-        sound, allowMissingColumns=True
+    sound = each(per_block, F.col("_marks"), "out_no").select(*keys, "_block", "out_no", F.lit(1).alias("_mark"))
+    both = (
+        manifest.select("*", block_of(F.col("out_no")).alias("_block"), F.lit(0).alias("_mark"))
+        .unionByName(sound, allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
     )
-    same_spot = Window.partitionBy(*keys, "_block", "out_no")
-    upto = Window.partitionBy(*keys, "_block").orderBy("out_no").rowsBetween(Window.unboundedPreceding, -1)
-    local = (
-        spread(both, *keys, "_block")
-        .withColumn("_mark_here", F.max("_mark").over(same_spot))
-        .where(F.col("_mark") == 0)
-        .withColumn("_before", F.coalesce(F.sum("_mark_here").over(upto), F.lit(0)))
+    # The header first, then by position, a mark before the row it marks.
+    order = Window.partitionBy(*keys, "_block").orderBy(F.col("out_no").asc_nulls_first(), F.desc("_mark"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    counted = spread(both, *keys, "_block").withColumns(
+        {
+            "_seen": F.sum("_mark").over(upto),
+            "_last": F.last(F.when(F.col("_mark") == 1, F.col("out_no")), ignorenulls=True).over(upto),
+            "_start": F.first("_carry", ignorenulls=True).over(upto),
+            "_total": F.first("rows_total", ignorenulls=True).over(upto),
+        }
     )
-    return (
-        local.join(carried, [*keys, "_block"])
-        .withColumn("marked", F.col("_mark_here") == 1)
-        .withColumn("marked_before", F.col("_before") + F.col("_carry"))
-        .drop("_block", "_mark", "_mark_here", "_before", "_carry")
+    marked = F.coalesce(F.col("_last") == F.col("out_no"), F.lit(False))
+    return counted.where("_mark = 0").select(
+        *manifest.columns,
+        marked.alias("marked"),
+        (F.col("_start") + F.col("_seen") - marked.cast("int")).alias("marked_before"),
+        (F.col("_start") + F.col("_seen")).alias("marked_upto"),
+        F.col("_total").alias("rows_total"),
     )
 
 

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as tx
-from pagework.operators.rows import spread
+from pagework.operators.rows import each
 
 KEPT = 100
 SHOWN = 8
-SLICES = 64
 
 
 def build_index(opens: DataFrame) -> DataFrame:
@@ -32,22 +31,27 @@ def cap_index(index: DataFrame, keep: int = KEPT) -> DataFrame:
 def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits of ``owner, query`` rows in that owner's index, ranked: name hits first, then the latest.
 
-    An index holds at most a hundred files per owner, so a query meets at most that many rows. An owner's queries are
-    dealt into ``SLICES`` and its index is copied to those slices that have queries, so a busy owner's queries are
-    answered by many tasks; the copies never outnumber the pairs the search has to look at.
+    The index is cut to the latest ``KEPT`` files of an owner first, so it is one short array per owner. A query meets that
+    array in one join and is filtered and ranked in its row; a busy owner's queries are split by the join.
     """
-    term = F.lower("query")
-    asked = (
-        queries.where(~tx.is_blank(F.col("query"), tx.SCRIPT_BLANKS))
-        .select("owner", "query", F.pmod(F.xxhash64("query"), F.lit(SLICES)).alias("_slice"))
-        .distinct()
+    newest = F.expr(
+        "array_sort(collect_list(struct(last_opened, file_path, file_name, open_count)), (a, b) -> case"
+        " when a.last_opened > b.last_opened then -1 when a.last_opened < b.last_opened then 1"
+        " when a.file_path < b.file_path then -1 when a.file_path > b.file_path then 1 else 0 end)"
     )
-    copies = index.join(asked.select("owner", "_slice").distinct(), "owner")
-    in_name, in_path = F.contains(F.lower("file_name"), term), F.contains(F.lower("file_path"), term)
-    hits = copies.join(asked, ["owner", "_slice"]).where(in_name | in_path).withColumn("name_match", in_name)
-    one_query = Window.partitionBy("owner", "_slice", "query")
-    order = one_query.orderBy(F.desc("name_match"), F.desc("last_opened"), "file_path")
-    return hits.withColumn("rank", F.row_number().over(order)).drop("_slice")
+    shelves = cap_index(index).groupBy("owner").agg(newest.alias("_files"))
+    asked = queries.where(~tx.is_blank(F.col("query"), tx.SCRIPT_BLANKS)).select("owner", "query").distinct()
+    named = "filter(_files, f -> contains(lower(f.file_name), lower(query)))"
+    placed = "filter(_files, f -> contains(lower(f.file_path), lower(query)) and not contains(lower(f.file_name), lower(query)))"
+    told = (
+        f"concat(transform({named}, f -> named_struct('f', f, 'name_match', true)),"
+        f" transform({placed}, f -> named_struct('f', f, 'name_match', false)))"
+    )
+    hits = each(asked.join(shelves, "owner"), F.expr(told), "_hit", "_pos")
+    return hits.select(
+        "owner", "query", "_hit.f.file_path", "_hit.f.open_count", "_hit.f.last_opened", "_hit.f.file_name", "_hit.name_match",
+        (F.col("_pos") + 1).alias("rank"),
+    )
 
 
 def top_hits(hits: DataFrame, shown: int = SHOWN) -> DataFrame:
@@ -64,38 +68,44 @@ def flag_missing(hits: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def enabled_spans(control: DataFrame, opens: DataFrame, bucket: str = "day") -> DataFrame:
+    """``owner, _bucket, _from, _to``: when recording was on and nothing was cleared since, cut at the borders of time buckets.
+
+    Only control rows with a known action are looked at. In a row of switches of one kind the first counts; a span without end
+    goes on to the owner's last open.
+    """
+    known = control.where(F.col("action").isin("enable", "disable", "clear"))
+    # Of switches of one instant the one that turns recording on comes last.
+    turned = F.max(F.when(F.col("action") != "clear", F.col("action") == "enable")).alias("_on")
+    instants = known.groupBy("owner", "ts").agg(turned, F.max(F.col("action") == "clear").alias("_clears"))
+    owner = Window.partitionBy("owner")
+    at = owner.orderBy("ts")
+    turns = (
+        instants.withColumn("_cleared", F.max(F.when(F.col("_clears"), F.col("ts"))).over(owner))
+        .where("_on is not null")
+        .withColumn("_was", F.lag("_on", 1, False).over(at))
+        .where("_on <> _was")
+        .withColumn("_to", F.lead("ts").over(at))
+        .where("_on")
+    )
+    last = opens.groupBy("owner").agg((F.max("ts") + F.expr("interval 1 second")).alias("_end"))
+    spans = turns.join(last, "owner").select(
+        "owner", F.greatest("ts", "_cleared").alias("_from"), F.coalesce("_to", "_end").alias("_to")
+    )
+    days = F.sequence(F.date_trunc(bucket, "_from"), F.date_trunc(bucket, "_to"), F.expr(f"interval 1 {bucket}"))
+    return each(spans.where("_from < _to"), days, "_bucket")
+
+
 def effective_opens(opens: DataFrame, control: DataFrame, bucket: str = "day") -> DataFrame:
     """Opens that were recorded and not cleared since.
 
     ``control`` has ``owner, ts, action`` with ``enable``, ``disable`` and ``clear``; recording starts disabled, and a
-    control row acts before an open of the same instant. Opens and control rows are walked per (owner, time bucket);
-    the state at a bucket's start comes from one row per bucket, so a busy owner is many small groups.
+    control row acts before an open of the same instant. Opens are joined to the spans of time that count, on (owner, time
+    bucket), and need no window; a busy owner is many small groups.
     """
-    state = F.when(F.col("action") == "enable", True).when(F.col("action") == "disable", False)
-    log = opens.select("owner", "ts", "file_path", F.lit(None).cast("string").alias("action")).unionByName(
-        control.select("owner", "ts", F.lit(None).cast("string").alias("file_path"), "action")
-    )
-    log = log.select(
-        "*", state.alias("_state"), (F.col("action").isNull()).alias("_is_open"), F.date_trunc(bucket, "ts").alias("_bucket")
-    )
-    per_bucket = log.groupBy("owner", "_bucket").agg(
-        F.max(F.when(F.col("_state").isNotNull(), F.struct("ts", "_state"))).alias("_last"),
-        F.max(F.when(F.col("action") == "clear", F.col("ts"))).alias("_cleared"),
-    )
-    earlier = Window.partitionBy("owner").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        "owner",
-        "_bucket",
-        F.last("_last._state", ignorenulls=True).over(earlier).alias("_carry"),
-        F.max("_cleared").over(Window.partitionBy("owner")).alias("_cleared"),
-    )
-    upto = Window.partitionBy("owner", "_bucket").orderBy("ts", "_is_open", "_state").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    walked = spread(log, "owner", "_bucket").withColumn("_inside", F.last("_state", ignorenulls=True).over(upto)).where("_is_open")
-    enabled = F.coalesce("_inside", "_carry", F.lit(False))
-    kept = F.col("_cleared").isNull() | (F.col("ts") >= F.col("_cleared"))
-    return walked.join(carried, ["owner", "_bucket"]).where(enabled & kept).select("owner", "file_path", "ts")
+    on = opens.select("owner", "file_path", "ts", F.date_trunc(bucket, "ts").alias("_bucket"))
+    inside = on.join(enabled_spans(control, opens, bucket), ["owner", "_bucket"])
+    return inside.where((F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))).select("owner", "file_path", "ts")
 
 
 def enabled_now(control: DataFrame) -> DataFrame:

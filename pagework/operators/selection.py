@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from pagework.functions import sqltext as sq
 from pagework.operators.rows import (
+    Outcome,
     attach_docs,
     block_of,
     each,
     expand,
     full_selection,
+    known_docs,
     missing_doc_error,
     present,
     split_outcome,
@@ -73,26 +75,28 @@ def selected_pages(selection: DataFrame) -> DataFrame:
     return expand(spans.select("request_id", "doc_id", "_x.s", "_x.e")).select("request_id", "doc_id", "page_no")
 
 
-def select_pages(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def select_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     """Selection by mode; reads ``mode, custom_pages, start_page, end_page``."""
-    known = attach_docs(requests, docs).where(F.col("page_count").isNotNull())
-    return known.withColumn("spans", F.expr(sq.mode_spans("mode", "custom_pages", "start_page", "end_page")))
+    known, errors = known_docs(requests, docs)
+    return Outcome(
+        known.withColumn("spans", F.expr(sq.mode_spans("mode", "custom_pages", "start_page", "end_page"))), errors
+    )
 
 
-def select_stride(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def select_stride(requests: DataFrame, docs: DataFrame) -> Outcome:
     """Pages hit by ``even, odd, nth, start`` as ``request_id, doc_id, page_no``; ``nth`` of 0 or less hits none."""
     wanted = F.coalesce(F.col("even"), F.lit(False)) | F.coalesce(F.col("odd"), F.lit(False))
-    asked = attach_docs(requests, docs).where(
-        (F.col("page_count") >= 1) & (wanted | (F.coalesce(F.col("nth"), F.lit(0)) > 0))
-    )
+    known, errors = known_docs(requests, docs)
+    asked = known.where((F.col("page_count") >= 1) & (wanted | (F.coalesce(F.col("nth"), F.lit(0)) > 0)))
     rows = expand(asked.withColumn("s", F.lit(1)).withColumn("e", F.col("page_count")))
-    return rows.where(sq.stride_hit()).select("request_id", "doc_id", "page_no")
+    return Outcome(rows.where(sq.stride_hit()).select("request_id", "doc_id", "page_no"), errors)
 
 
-def invert_selection(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> DataFrame:
+def invert_selection(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> Outcome:
     """Pages of each request's document that are not among its ``selected`` rows."""
-    universe = selected_pages(full_selection(attach_docs(requests.select("request_id", "doc_id"), docs)))
-    return universe.join(selected.select("request_id", "doc_id", "page_no"), ["request_id", "doc_id", "page_no"], "left_anti")
+    known, errors = known_docs(requests.select("request_id", "doc_id"), docs)
+    keys = ["request_id", "doc_id", "page_no"]
+    return Outcome(selected_pages(full_selection(known)).join(selected.select(*keys), keys, "left_anti"), errors)
 
 
 def invert_spans(selection: DataFrame) -> DataFrame:
@@ -185,28 +189,34 @@ def selection_summary(selection: DataFrame) -> DataFrame:
     )
 
 
-def selected_summary(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> DataFrame:
-    """The same from ``selected`` rows, which may hold repeats; only ten pages per request reach the listing."""
+def selected_summary(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> Outcome:
+    """The same from ``selected`` rows, which may hold repeats.
+
+    Pages are counted and the first ten kept in each (request, block), so one pass over the rows is enough and what goes on
+    to the request is at most ten pages a block.
+    """
     keys = ["request_id", "doc_id"]
-    once = selected.select(*keys, "page_no").distinct()
-    counts = once.groupBy(*keys).agg(F.count("*").cast("int").alias("_n"))
-    first_ones = Window.partitionBy(*keys).orderBy("page_no")
-    texts = F.expr("array_join(transform(array_sort(collect_list(page_no)), p -> cast(p as string)), ', ')")
-    listed = (
-        once.withColumn("_rank", F.row_number().over(first_ones))
-        .where(F.col("_rank") <= LISTED)
-        .groupBy(*keys)
-        .agg(texts.alias("_list"))
+    blocked = selected.select(*keys, "page_no", block_of(F.col("page_no")).alias("_block"))
+    per_block = (
+        spread(blocked, *keys, "_block")
+        .groupBy(*keys, "_block")
+        .agg(F.array_sort(F.collect_set("page_no")).alias("_pages"))
+        .select(*keys, "_block", F.size("_pages").alias("_k"), F.slice("_pages", 1, LISTED).alias("_first"))
     )
+    texts = F.expr(
+        f"array_join(transform(slice(array_sort(flatten(collect_list(if(_rank = 1, _first, array())))), 1, {LISTED}),"
+        " p -> cast(p as string)), ', ')"
+    )
+    # Ten blocks hold the first ten pages, whatever each of them holds.
+    order = Window.partitionBy(*keys).orderBy("_block")
+    firsts = per_block.withColumn("_rank", F.when(F.row_number().over(order) <= LISTED, 1))
+    found = firsts.groupBy(*keys).agg(F.sum("_k").cast("int").alias("_n"), texts.alias("_list"))
     n = F.coalesce(F.col("_n"), F.lit(0))
-    known = attach_docs(requests.select(*keys), docs).where(F.col("page_count").isNotNull())
-    return (
-        known.join(counts, keys, "left")
-        .join(listed, keys, "left")
-        .select(
-            *keys,
-            n.alias("selected_count"),
-            (F.col("page_count") - n).alias("remaining"),
-            _info_text(n, F.col("_list")).alias("info_text"),
-        )
+    known, errors = known_docs(requests.select(*keys), docs)
+    rows = known.join(found, keys, "left").select(
+        *keys,
+        n.alias("selected_count"),
+        (F.col("page_count") - n).alias("remaining"),
+        _info_text(n, F.col("_list")).alias("info_text"),
     )
+    return Outcome(rows, errors)

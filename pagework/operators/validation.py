@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagework.functions import sqltext as sq
 from pagework.operators.manifest import listed_files
+from pagework.operators.metadata import NO_METADATA
 
 # Limits and accepted names.
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".bmp"]
@@ -58,7 +59,8 @@ def _password(tool: str, needed: str) -> list[tuple[str, str]]:
     return [
         *_BRIEF,
         (f"coalesce(lower(operation) <> '{tool}', true)", f"'Operation must be \\'{tool}\\' for this endpoint.'"),
-        (_blank("password"), f"'{needed}'"),
+        ("not has_options", f"'{tool.title()} options are required for {tool}ing operation'"),
+        (f"has_options and {_blank('password')}", f"'{needed}'"),
     ]
 
 
@@ -73,19 +75,21 @@ RULES: dict[str, list[tuple[str, str]]] = {
     ],
     "remove": [
         *_BODY,
+        ("not has_options", "'Remove options are required.'"),
         (
-            f"{_empty('pages')} and {_empty('page_ranges')} and not coalesce(even, false) and not coalesce(odd, false)"
+            f"has_options and {_empty('pages')} and {_empty('page_ranges')} and not coalesce(even, false) and not coalesce(odd, false)"
             " and nth is null",
             "'At least one removal criteria must be specified.'",
         ),
-        (f"size({_WRONG_PAGE}) > 0", f"concat('Page number ', get({_WRONG_PAGE}, 0), {_PAGE_RANGE})"),
+        (f"has_options and size({_WRONG_PAGE}) > 0", f"concat('Page number ', get({_WRONG_PAGE}, 0), {_PAGE_RANGE})"),
     ],
     "organize": [
         *_BODY,
-        (_empty("page_order"), "'Page order is required.'"),
-        (f"size({_WRONG_STEP}) > 0", f"concat('Page number ', get({_WRONG_STEP}, 0).page_number, {_PAGE_RANGE})"),
+        ("not has_options", "'Organize options are required.'"),
+        (f"has_options and {_empty('page_order')}", "'Page order is required.'"),
+        (f"has_options and size({_WRONG_STEP}) > 0", f"concat('Page number ', get({_WRONG_STEP}, 0).page_number, {_PAGE_RANGE})"),
         (
-            f"size({_WRONG_TURN}) > 0",
+            f"has_options and size({_WRONG_TURN}) > 0",
             f"concat('Rotation must be a multiple of 90 degrees. Got: ', get({_WRONG_TURN}, 0).rotation)",
         ),
     ],
@@ -129,7 +133,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
             f"not {_blank('operation')} and lower(operation) not in ('read', 'write')",
             "concat('Invalid operation: ', operation)",
         ),
-        ("lower(operation) = 'write' and not has_options", "'Metadata is required for write operation'"),
+        ("lower(operation) = 'write' and not has_options", f"'{NO_METADATA}'"),
     ],
     "images": [
         (f"{_blank('file_path')} or not file_exists", "'Invalid file path.'"),
@@ -138,7 +142,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "lock": [
         *_password("lock", "Open password is required for locking PDF"),
         (
-            f"not {_blank('password')} and length(password) < 3",
+            f"has_options and not {_blank('password')} and length(password) < 3",
             "'Open password must be at least 3 characters long'",
         ),
     ],
@@ -165,7 +169,7 @@ def first_missing_files(requests: DataFrame, files: DataFrame) -> DataFrame:
         listed_files(requests, files.select("file_path", F.lit(True).alias("_there")))
         .where(F.col("_there").isNull())
         .groupBy("request_id")
-        .agg(F.min_by("file_path", "file_pos").alias("missing_file"))
+        .agg(F.min_by(F.coalesce("file_path", F.lit("")), "file_pos").alias("missing_file"))
     )
 
 

@@ -22,7 +22,7 @@ from pagework.session import shared_folder
 from pagework.sources.files import classify_security, list_pdf_files
 from pagework.sources.manifest_sink import read_manifest, write_manifest
 from pagework.sources.requests import read_requests
-from pagework.streaming.live_index import finish, read_opens, start_live_index
+from pagework.streaming.live_index import finish, read_opens, start_bounded_index, start_live_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,8 +55,8 @@ def a2_classify_security(i: Inputs) -> DataFrame:
     return classify_security(i["file_listing"].withColumn("content", F.encode("body", "UTF-8")))
 
 
-@query
-def a3_read_requests(i: Inputs) -> DataFrame:
+def _read_number_requests(i: Inputs):
+    """Requests written as JSON lines, some of them broken, and read again."""
     folder = f"{shared_folder(i.spark)}/requests-{_run_number()}"
     sparse = i["number_requests"].select(
         "request_id",
@@ -66,14 +66,30 @@ def a3_read_requests(i: Inputs) -> DataFrame:
         F.when(F.col("font_size") > 20, F.col("font_size")).alias("font_size"),
         F.when(F.col("start_page") > 1, F.col("start_page")).alias("start_page"),
     )
-    sparse.write.mode("overwrite").json(folder)
-    return read_requests(i.spark, folder, "numbers").drop("file_path")
+    wrong = F.concat(F.lit('{"request_id":'), F.col("request_id").cast("string"), F.lit(',"font_size":"big"}'))
+    text = (
+        F.when(F.col("request_id") % 13 == 5, wrong).when(F.col("request_id") % 17 == 3, "not json")
+        .otherwise(F.to_json(F.struct(*sparse.columns)))
+    )
+    sparse.select(text.alias("value")).write.mode("overwrite").text(folder)
+    return read_requests(i.spark, folder, "numbers")
+
+
+@query
+def a3_read_requests(i: Inputs) -> DataFrame:
+    return _read_number_requests(i).rows.drop("file_path")
+
+
+@query
+def a3_read_requests_errors(i: Inputs) -> DataFrame:
+    return error_rows(_read_number_requests(i).errors)
 
 
 @query
 def a4_write_manifest(i: Inputs) -> DataFrame:
     folder = f"{shared_folder(i.spark)}/manifest-{_run_number()}"
-    write_manifest(mf.split_every_n(i.pages, 5), folder, buckets=16)
+    numbered = mf.split_every_n(i.pages, 5).withColumn("output_name", F.format_string("%05d", F.col("doc_id") * 10 + F.col("part_no")))
+    write_manifest(numbered, folder)
     return read_manifest(i.spark, folder).select("doc_id", "output_name", "part_no", "out_no", "page_no")
 
 
@@ -138,17 +154,17 @@ def b6_spec_form(i: Inputs) -> DataFrame:
 
 @query
 def b7_select_pages(i: Inputs) -> DataFrame:
-    return sl.selected_pages(sl.select_pages(i["mode_requests"], i.docs))
+    return sl.selected_pages(sl.select_pages(i["mode_requests"], i.docs).rows)
 
 
 @query
 def b8_select_stride(i: Inputs) -> DataFrame:
-    return sl.select_stride(i["stride_requests"], i.docs)
+    return sl.select_stride(i["stride_requests"], i.docs).rows
 
 
 @query
 def b9_invert_selection(i: Inputs) -> DataFrame:
-    return sl.invert_selection(i["spec_requests"], i.docs, _selected(i, "spec_requests", "watermark"))
+    return sl.invert_selection(i["spec_requests"], i.docs, _selected(i, "spec_requests", "watermark")).rows
 
 
 @query
@@ -159,7 +175,7 @@ def b9_invert_spans(i: Inputs) -> DataFrame:
 @query
 def b10_union_selection(i: Inputs) -> DataFrame:
     return sl.union_selection(
-        _selected(i, "spec_requests", "crop"), sl.select_stride(i["stride_requests"], i.docs)
+        _selected(i, "spec_requests", "crop"), sl.select_stride(i["stride_requests"], i.docs).rows
     )
 
 
@@ -180,7 +196,7 @@ def b12_selection_summary(i: Inputs) -> DataFrame:
 
 @query
 def b12_selected_summary(i: Inputs) -> DataFrame:
-    return sl.selected_summary(i["form_requests"], i.docs, _selected(i, "form_requests", "form"))
+    return sl.selected_summary(i["form_requests"], i.docs, _selected(i, "form_requests", "form")).rows
 
 
 # C: manifests and layout
@@ -248,7 +264,7 @@ def c9_delete_pages(i: Inputs) -> DataFrame:
 
 @query
 def c10_move_page(i: Inputs) -> DataFrame:
-    return mf.move_page(i.manifest, i["page_moves"])
+    return mf.move_page(i.manifest, i["page_moves"]).rows
 
 
 @query
@@ -268,22 +284,22 @@ def c11_merge_docs_errors(i: Inputs) -> DataFrame:
 
 @query
 def c12_number_pages(i: Inputs) -> DataFrame:
-    return rounded(la.number_pages(i["number_requests"], i.docs, i.pages), "x", "y")
+    return rounded(la.number_pages(i["number_requests"], i.docs, i.pages).rows, "x", "y")
 
 
 @query
 def c13_crop_pages(i: Inputs) -> DataFrame:
-    return la.crop_pages(i["crop_requests"], i.docs, i.pages)
+    return la.crop_pages(i["crop_requests"], i.docs, i.pages).rows
 
 
 @query
 def c13_crop_summary(i: Inputs) -> DataFrame:
-    return la.crop_summary(la.crop_pages(i["crop_requests"], i.docs, i.pages))
+    return la.crop_summary(la.crop_pages(i["crop_requests"], i.docs, i.pages).rows)
 
 
 @query
 def c14_place_watermark(i: Inputs) -> DataFrame:
-    placed = la.place_watermark(i["stamp_requests"], i.docs, i.pages)
+    placed = la.place_watermark(i["stamp_requests"], i.docs, i.pages).rows
     return rounded(placed, "left", "top", "right", "bottom")
 
 
@@ -294,13 +310,13 @@ def c14_watermark_ink(i: Inputs) -> DataFrame:
 
 @query
 def c15_place_tiled(i: Inputs) -> DataFrame:
-    placed = la.place_tiled(i["stamp_requests"], i.docs, i.pages)
+    placed = la.place_tiled(i["stamp_requests"], i.docs, i.pages).rows
     return rounded(placed, "left", "top", "right", "bottom")
 
 
 @query
 def c16_watermark_summary(i: Inputs) -> DataFrame:
-    return la.watermark_summary(i["mode_requests"], i.docs)
+    return la.watermark_summary(i["mode_requests"], i.docs).rows
 
 
 @query
@@ -308,6 +324,27 @@ def c17_render_plan(i: Inputs) -> DataFrame:
     return la.render_plan(i.pages, 150, "jpg")
 
 
+# Requests that fail, for the operators whose rows alone do not show them
+
+
+def failures(key: str, outcome: Callable[[Inputs], tuple]) -> None:
+    QUERIES[f"{key}_errors"] = lambda spark, sf_dir: error_rows(outcome(Inputs(spark, sf_dir)).errors)
+
+
+failures("b7_select_pages", lambda i: sl.select_pages(i["mode_requests"], i.docs))
+failures("b8_select_stride", lambda i: sl.select_stride(i["stride_requests"], i.docs))
+failures("b9_invert_selection", lambda i: sl.invert_selection(i["spec_requests"], i.docs, _selected(i, "spec_requests", "crop")))
+failures("b12_selected_summary", lambda i: sl.selected_summary(i["form_requests"], i.docs, _selected(i, "form_requests", "form")))
+failures("c1_split_by_ranges", lambda i: mf.split_by_ranges(i["split_requests"], i.docs))
+failures("c10_move_page", lambda i: mf.move_page(i.manifest, i["page_moves"]))
+failures("c12_number_pages", lambda i: la.number_pages(i["number_requests"], i.docs, i.pages))
+failures("c13_crop_pages", lambda i: la.crop_pages(i["crop_requests"], i.docs, i.pages))
+failures("c14_place_watermark", lambda i: la.place_watermark(i["stamp_requests"], i.docs, i.pages))
+failures("c15_place_tiled", lambda i: la.place_tiled(i["stamp_requests"], i.docs, i.pages))
+failures("c16_watermark_summary", lambda i: la.watermark_summary(i["mode_requests"], i.docs))
+failures("d4_apply_metadata_edits", lambda i: md.apply_metadata_edits(i.documents_with_info, i.metadata_edits))
+
+
 # D: metadata
 
 
@@ -379,6 +416,11 @@ def e2_extraction_summary(i: Inputs) -> DataFrame:
     return im.extraction_summary(_image_selection(i), i.images)
 
 
+@query
+def e3_removal_summary(i: Inputs) -> DataFrame:
+    return im.removal_summary(_image_selection(i), i.images)
+
+
 @query
 def e3_remove_images(i: Inputs) -> DataFrame:
     return im.remove_images(_image_selection(i), i.images)
@@ -459,6 +501,16 @@ def f6_enabled_index(i: Inputs) -> DataFrame:
 
 @query
 def f7_stream_index(i: Inputs) -> DataFrame:
+    return _streamed(i, start_live_index)
+
+
+@query
+def f7_bounded_index(i: Inputs) -> DataFrame:
+    return _streamed(i, start_bounded_index)
+
+
+def _streamed(i: Inputs, start) -> DataFrame:
+    """The index after a run over all opens and a second one on the same folder, which resumes and finds nothing new."""
     folder = f"{shared_folder(i.spark)}/live-index-{_run_number()}"
     opens = read_opens(
         i.spark,
@@ -470,7 +522,8 @@ def f7_stream_index(i: Inputs) -> DataFrame:
         ],
         TABLES["events"],
     )
-    return finish(i.spark, start_live_index(opens, folder), folder)
+    finish(i.spark, start(opens, folder), folder)
+    return finish(i.spark, start(opens, folder), folder)
 
 
 def _run_number() -> str:

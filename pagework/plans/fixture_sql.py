@@ -14,6 +14,9 @@ WORDS = {
         "PAGE_NUMBERS": "explode(sequence(1, page_count))",
         "IMAGE_SLOTS": "explode(sequence(0, 2))",
         "INTS": "array<int>",
+        "NULLED": "transform(",
+        "NO_FILES": "cast(array() as array<string>)",
+        "TILDES": ", t -> nullif(t, '~'))",
         "REVERSED": "array_join(transform(sequence(page_count, 1, -1), i -> concat(cast(i as varchar(20)), ':90')), ';')",
         "IN_ORDER": "array_join(transform(sequence(1, page_count), i -> concat(cast(i as varchar(20)), ':0')), ';')",
     },
@@ -21,6 +24,9 @@ WORDS = {
         "PAGE_NUMBERS": "unnest(generate_series(1, page_count))",
         "IMAGE_SLOTS": "unnest(generate_series(0, 2))",
         "INTS": "integer[]",
+        "NULLED": "list_transform(",
+        "NO_FILES": "cast([] as varchar[])",
+        "TILDES": ", lambda t: nullif(t, '~'))",
         "REVERSED": "array_to_string(list_transform(range(page_count, 0, -1), lambda i: concat(cast(i as varchar), ':90')), ';')",
         "IN_ORDER": "array_to_string(list_transform(range(1, page_count + 1), lambda i: concat(cast(i as varchar), ':0')), ';')",
     },
@@ -48,8 +54,8 @@ from (select doc_id, page_count, base, @PAGE_NUMBERS@ as page_no from {docs} whe
 
 SQL["page_images"] = """
 select doc_id, page_no, img_index, xref,
-       cast(case when xref % 7 = 0 then 30 else 20 + (xref * 37) % 1500 end as bigint) as width,
-       cast(case when xref % 7 = 0 then 25 else 20 + (xref * 53) % 1100 end as bigint) as height,
+       cast(case when xref % 77 = 0 then 0 when xref % 7 = 0 then 30 else 20 + (xref * 37) % 1500 end as bigint) as width,
+       cast(case when xref % 77 = 0 then 2000 when xref % 7 = 0 then 25 else 20 + (xref * 53) % 1100 end as bigint) as height,
        case xref % 6 when 0 then 4 when 1 then 1 else 3 end as n_components,
        xref % 12 = 0 as has_alpha
 from (select doc_id, page_no, cast(k as int) as img_index, doc_id * 10 + (page_no * 7 + k) % 5 as xref
@@ -82,7 +88,7 @@ from {documents}
 """
 
 SQL["metadata_edits"] = """
-select doc_id, quality = 1 or toxic = 1 as given,
+select case when doc_id % 41 = 7 then -doc_id when doc_id % 37 = 5 then doc_id - 1 else doc_id end as doc_id, quality = 1 or toxic = 1 as given,
        concat('Edited ', cast(quality as varchar(20)), ' ') as title,
        case when toxic = 1 then ' ' else 'Ann' end as author,
        cast(null as varchar(20)) as subject,
@@ -94,27 +100,27 @@ from {labels}
 
 SQL["split_requests"] = """
 select doc_id as request_id, doc_id,
-       split(case doc_id % 9
-             when 0 then '1-2;2;1-1' when 1 then '2-1' when 2 then 'x;1' when 3 then '0'
+       @NULLED@split(case doc_id % 9
+             when 0 then '1-2;2;1-1' when 1 then '2-1' when 2 then 'x;~;1' when 3 then '0;~'
              when 4 then '1-99999; +1 '
              when 5 then concat('1-', cast(page_count as varchar(20)))
              when 6 then concat(' ', cast(page_count as varchar(20)), ' ; 1 - ', cast(page_count as varchar(20)))
-             when 7 then '1-2-3;-3;99999' end, ';') as page_ranges,
-       cast(split(case doc_id % 7
+             when 7 then '1-2-3;-3;99999' end, ';')@TILDES@ as page_ranges,
+       cast(@NULLED@split(case doc_id % 7
              when 0 then '2;1' when 1 then '1;1' when 2 then '99999' when 3 then '1'
-             when 4 then cast(page_count - 1 as varchar(20)) when 5 then '0;1' end, ';') as @INTS@) as split_points,
+             when 4 then cast(page_count - 1 as varchar(20)) when 5 then '~;1' end, ';')@TILDES@ as @INTS@) as split_points,
        case doc_id % 5 when 0 then 1 when 1 then 3 when 2 then 0 when 3 then 2 end as page_interval
 from {docs}
 """
 
 SQL["remove_requests"] = """
 select doc_id as request_id, doc_id,
-       cast(split(case doc_id % 13 when 0 then '1' when 1 then '1;2;1' when 2 then '99999' when 9 then '2' end, ';')
+       cast(@NULLED@split(case doc_id % 13 when 0 then '1' when 1 then '1;2;1' when 2 then '99999;~' when 9 then '2' end, ';')@TILDES@
             as @INTS@) as pages,
-       split(case doc_id % 13
-             when 1 then '2-3' when 3 then '1-1;2-4' when 4 then '2' when 5 then 'a-b;3-1'
+       @NULLED@split(case doc_id % 13
+             when 1 then '2-3' when 3 then '1-1;2-4' when 4 then '2' when 5 then 'a-b;3-1;~'
              when 6 then concat('1-', cast(page_count as varchar(20)))
-             when 9 then concat(' ', cast(page_count as varchar(20)), ' - ', cast(page_count as varchar(20))) end, ';')
+             when 9 then concat(' ', cast(page_count as varchar(20)), ' - ', cast(page_count as varchar(20))) end, ';')@TILDES@
            as page_ranges,
        doc_id % 13 in (7, 9) as even,
        doc_id % 13 = 8 as odd,
@@ -123,16 +129,19 @@ select doc_id as request_id, doc_id,
 from {docs}
 """
 
-SQL["spec_requests"] = """
-select doc_id as request_id, doc_id,
+# One document in 29 is asked for under a number that no document has.
+MISSING = "case when doc_id % 29 = 28 then -doc_id else doc_id end as doc_id"
+
+SQL["spec_requests"] = f"""
+select doc_id as request_id, {MISSING},
        case doc_id % 17
          when 0 then '1-5,7,9-12' when 1 then ' 3 - 1 ,2' when 2 then 'x,4,5-' when 3 then '-3' when 4 then '--2-4'
          when 5 then '' when 6 then '8' when 7 then '1-2-3' when 8 then '10-7, 7' when 9 then '1 ,, 2'
          when 10 then '3abc,2' when 11 then '2-99999999999,1' when 12 then '4-2,3-3,+1'
          when 13 then concat(cast(page_count as varchar(20)), ',1-', cast(page_count + 1 as varchar(20)))
-         when 14 then concat('1-', cast(page_count as varchar(20)), ',2') when 15 then '2 -3,1- 2' else '0x2,1-0x3' end
+         when 14 then concat('1-', cast(page_count as varchar(20)), ',2') when 15 then '2 -3,1- 2' else '0x2,1-0x3,0x00000000000000004,0xfffffffffffffffff' end
          as custom_pages
-from {docs}
+from {{docs}}
 """
 
 SQL["list_requests"] = """
@@ -158,31 +167,32 @@ select doc_id as request_id, doc_id,
 from {spec_requests}
 """
 
-SQL["stride_requests"] = """
-select doc_id as request_id, doc_id, doc_id % 3 = 0 as even, doc_id % 7 = 0 as odd,
+SQL["stride_requests"] = f"""
+select doc_id as request_id, {MISSING}, doc_id % 3 = 0 as even, doc_id % 7 = 0 as odd,
        case when doc_id % 4 < 3 then cast(doc_id % 4 as int) + 1 when doc_id % 8 = 3 then 0 end as nth,
        case when doc_id % 5 < 2 then cast(doc_id % 11 as int) - 3 end as start
-from {docs}
+from {{docs}}
 """
 
 SQL["organize_texts"] = """
 select doc_id as request_id, doc_id,
        case doc_id % 8
          when 0 then @IN_ORDER@ when 1 then @REVERSED@ when 2 then '1:0;1:-90;1:450' when 3 then '1:45'
-         when 4 then '99999:0;1:30' when 6 then concat(cast(page_count as varchar(20)), ':180;1:270') when 7 then '0:90'
+         when 4 then '99999:0;~;1:30' when 6 then concat(cast(page_count as varchar(20)), ':180;1:270') when 7 then '0:90'
        end as order_text
 from {docs}
 """
 
 SQL["merge_requests"] = """
+select request_id, case when request_id % 45 = 8 then @NO_FILES@ else files_given end as files from (
 select a.doc_id as request_id,
        split(case a.doc_id % 5
          when 0 then concat(a.file_path, ';', a.file_path)
          when 1 then concat(a.file_path, ';/corpus/none.pdf;', coalesce(b.file_path, '/corpus/last.pdf'))
          when 2 then coalesce(b.file_path, a.file_path)
          when 3 then concat(coalesce(b.file_path, a.file_path), ';', a.file_path, ';', coalesce(b.file_path, a.file_path))
-       end, ';') as files
-from {docs} a left join {docs} b on b.doc_id = a.doc_id + 1
+       end, ';') as files_given
+from {docs} a left join {docs} b on b.doc_id = a.doc_id + 1) t
 """
 
 SQL["page_marks"] = """
@@ -193,10 +203,12 @@ SQL["page_moves"] = """
 select doc_id, cast(1 + (doc_id * 7) % page_count as int) as from_no,
        cast(case when doc_id % 20 = 0 then page_count + 1 else 1 + (doc_id * 11) % page_count end as int) as to_no
 from {docs} where page_count >= 1
+union all select doc_id, 1, 1 from {docs} where doc_id % 31 = 30
+union all select -1 - doc_id, 1, 2 from {docs} where doc_id % 97 = 5
 """
 
-SQL["number_requests"] = """
-select doc_id as request_id, doc_id,
+SQL["number_requests"] = f"""
+select doc_id as request_id, {MISSING},
        case doc_id % 7 when 0 then 'TopLeft' when 1 then 'TopCenter' when 2 then 'TopRight' when 3 then 'BottomLeft'
             when 4 then 'BottomCenter' when 5 then 'BottomRight' else 'Elsewhere' end as position,
        case doc_id % 6 when 0 then 'Number' when 1 then 'PageOfTotal' when 2 then 'NumberWithDash'
@@ -204,7 +216,7 @@ select doc_id as request_id, doc_id,
        cast(8 + doc_id % 65 as int) as font_size,
        cast(1 + doc_id % 3 as int) as start_page,
        cast((doc_id * 13) % 4100 - 20 as int) as start_number
-from {docs}
+from {{docs}}
 """
 
 SQL["crop_requests"] = """
@@ -223,9 +235,10 @@ select request_id, doc_id, mode, custom_pages, start_page, end_page,
        case doc_id % 7 when 0 then 'Center' when 1 then 'TopLeft' when 2 then 'TopRight' when 3 then 'BottomLeft'
             when 4 then 'BottomRight' when 5 then 'Tiled' else 'Nowhere' end as position,
        case doc_id % 5 when 0 then 45 when 1 then 0 when 2 then 90 when 3 then -30 else 180 end as stamp_turn,
-       cast(8 + doc_id % 137 as int) as font_size,
-       cast(1 + doc_id % 100 as int) as opacity,
-       case when doc_id % 4 = 0 then 'blue' else '#34a0Db' end as text_color,
+       cast(8 + abs(doc_id) % 137 as int) as font_size,
+       cast(1 + abs(doc_id) % 100 as int) as opacity,
+       case when doc_id % 4 = 0 then 'blue' when doc_id % 13 = 1 then '#zz00ff' when doc_id % 13 = 2 then '#34' else '#34a0Db' end
+         as text_color,
        cast(10 + doc_id % 300 as int) as image_width,
        cast(10 + (doc_id * 7) % 200 as int) as image_height,
        cast(10 + doc_id % 150 as int) as image_scale
@@ -233,10 +246,11 @@ from {mode_requests}
 """
 
 SQL["compress_sizes"] = """
-select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n_chars * (1 + doc_id % 3 * 1000) end
-         as original_size,
-       cast(floor(n_chars * (1 + doc_id % 3 * 1000) * (40 + doc_id % 70) / 100) as bigint) as compressed_size
-from {documents}
+select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n end as original_size,
+       cast(floor(n * (40 + doc_id % 70) / 100) as bigint) as compressed_size
+from (select doc_id, n_chars * (1 + doc_id % 3 * 1000)
+             * case when doc_id % 50 = 1 then 5000000 when doc_id % 50 = 2 then 20000000000 else 1 end as n
+      from {documents}) t
 """
 
 SQL["open_events"] = """

@@ -87,7 +87,7 @@ def with_page_order(requests: DataFrame) -> DataFrame:
     def instruction(text):
         parts = F.split(text, ":")
         return F.struct(
-            F.get(parts, F.lit(0)).cast("int").alias("page_number"), F.get(parts, F.lit(1)).cast("int").alias("rotation")
+            F.get(parts, F.lit(0)).try_cast("int").alias("page_number"), F.get(parts, F.lit(1)).try_cast("int").alias("rotation")
         )
 
     return requests.withColumn("page_order", F.transform(F.split("order_text", ";"), instruction))

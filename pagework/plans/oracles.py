@@ -35,7 +35,7 @@ def lead_int(x: str) -> str:
     """``parseInt``: leading digits, or 0x and hex digits."""
     return (
         f"case when regexp_matches({x}, '^\\s*0[xX][0-9a-fA-F]') then"
-        f" try_cast(regexp_extract({x}, '^\\s*(0[xX][0-9a-fA-F]+)', 1) as bigint)"
+        f" try_cast(concat('0x', regexp_extract({x}, '^\\s*0[xX]0*([0-9a-fA-F]+)', 1)) as bigint)"
         f" when not regexp_matches({x}, '^\\s*0[xX]') then"
         f" try_cast(ltrim(regexp_extract({x}, '^\\s*([+-]?[0-9]+)', 1), '+') as bigint) end"
     )
@@ -50,7 +50,8 @@ cut as (select *, contains(t, '-') as ranged, string_split(t, '-') as ps, {whole
                {whole_int("split_part(t, '-', 1)")} as a, {whole_int("split_part(t, '-', 2)")} as b from raw),
 tok as (select request_id, doc_id, n, base, pos, case when ranged then a else one end as s,
                case when ranged then b else one end as e,
-               case when not ranged and one is null then concat('Invalid page number: ''', t, '''')
+               case when t is null then 'Page range is missing'
+                    when not ranged and one is null then concat('Invalid page number: ''', t, '''')
                     when not ranged and (one < 1 or one > n) then concat('Page number ', one, ' is out of range (1-', n, ')')
                     when not ranged then null
                     when len(ps) <> 2 then concat('Invalid range format: ''', t, '''. Use ''start-end'' or single page numbers.')
@@ -73,7 +74,7 @@ oracle("b1_spec_split_errors", ["split_requests"], "select request_id, error fro
 
 REMOVE_TOKENS = f"""
 listed as (select r.request_id, r.doc_id, d.page_count as n, u.pos, u.p as s, u.p as e,
-                  case when u.p < 1 or u.p > d.page_count
+                  case when u.p is null then 'Page number is missing' when u.p < 1 or u.p > d.page_count
                        then concat('Page number ', u.p, ' is out of range (1-', d.page_count, ')') end as err
            from remove_requests r join docs d using (doc_id), unnest(r.pages) with ordinality as u(p, pos)),
 cut as (select r.request_id, r.doc_id, d.page_count as n, 100000 + u.pos as pos, u.t, len(string_split(u.t, '-')) as k,
@@ -81,7 +82,8 @@ cut as (select r.request_id, r.doc_id, d.page_count as n, 100000 + u.pos as pos,
         from remove_requests r join docs d using (doc_id), unnest(r.page_ranges) with ordinality as u(t, pos)),
 tok as (select * from listed union all
         select request_id, doc_id, n, pos, a, b,
-               case when k <> 2 then concat('Invalid page range format: ', t, '. Expected format: ''start-end'' (e.g., ''1-5'')')
+               case when t is null then 'Page range is missing'
+                    when k <> 2 then concat('Invalid page range format: ', t, '. Expected format: ''start-end'' (e.g., ''1-5'')')
                     when a is null or b is null then concat('Invalid page numbers in range: ', t)
                     when a < 1 or b > n or a > b then concat('Page range ', t, ' is out of bounds (1-', n, ') or invalid') end
         from cut),
@@ -248,7 +250,8 @@ oracle(
 POINTS = """
 pts as (select r.request_id, r.doc_id, d.page_count as n, d.base, r.split_points,
                len(r.split_points) as k, len(list_distinct(r.split_points)) as kd,
-               list_min(r.split_points) as lo, list_max(r.split_points) as hi
+               list_min(r.split_points) as lo, list_max(r.split_points) as hi,
+               len(list_filter(r.split_points, lambda x: x is null)) > 0 as holed
         from split_requests r join docs d using (doc_id))
 """
 oracle(
@@ -261,14 +264,14 @@ oracle(
     POINTS
     + """, numbered as (select q.request_id, q.doc_id, q.base, p.page_no,
                                1 + (select count(*) from unnest(q.split_points) as u(x) where u.x < p.page_no) as part_no
-    from pts q join doc_pages p using (doc_id) where q.k = q.kd and q.lo >= 1 and q.hi <= q.n - 1)""",
+    from pts q join doc_pages p using (doc_id) where not q.holed and q.k = q.kd and q.lo >= 1 and q.hi <= q.n - 1)""",
 )
 oracle(
     "c2_split_at_pages_errors",
     ["split_requests"],
-    """select request_id, case when split_points is null then 'Split pages are required'
+    """select request_id, case when split_points is null then 'Split pages are required' when holed then 'Split page is missing'
                                else concat('Split pages must be distinct and lie between 1 and ', n - 1) end as error
-       from pts where split_points is null or k > kd or lo < 1 or hi > n - 1""",
+       from pts where split_points is null or holed or k > kd or lo < 1 or hi > n - 1""",
     POINTS,
 )
 
@@ -286,7 +289,14 @@ oracle(
         source="split_requests join doc_pages using (doc_id) where page_interval >= 1",
     ),
 )
-oracle("a4_write_manifest", ["doc_pages"], EVERY.format(head="", n=5, source="doc_pages"))
+oracle(
+    "a4_write_manifest",
+    ["doc_pages"],
+    """select doc_id, lpad(cast(doc_id * 10 + part_no as varchar), cast(greatest(5, len(cast(doc_id * 10 + part_no as varchar))) as int), '0')
+              as output_name, part_no, out_no, page_no from ("""
+    + EVERY.format(head="", n=5, source="doc_pages")
+    + ") t",
+)
 oracle(
     "c4_extract_all",
     ["doc_pages"],
@@ -329,13 +339,14 @@ oracle(
 )
 
 ORDERS = """
-steps as (select o.request_id, o.doc_id, d.base, d.page_count as n, u.pos, cast(split_part(u.t, ':', 1) as int) as p,
-                 cast(split_part(u.t, ':', 2) as int) as turn
+steps as (select o.request_id, o.doc_id, d.base, d.page_count as n, u.pos, try_cast(split_part(u.t, ':', 1) as int) as p,
+                 try_cast(split_part(u.t, ':', 2) as int) as turn
           from organize_texts o join docs d using (doc_id), unnest(string_split(o.order_text, ';')) with ordinality as u(t, pos)),
 notes as (select request_id, pos as k, concat('Page number ', p, ' is out of range (1-', n, ')') as err
           from steps where p < 1 or p > n
           union all select request_id, 1000000000 + pos, concat('Rotation must be a multiple of 90 degrees. Got: ', turn)
           from steps where turn % 90 <> 0
+          union all select request_id, pos - 1000000000, 'Page number is missing' from steps where p is null
           union all select request_id, 0, 'Page order is required.' from organize_texts where order_text is null),
 bad as (select request_id, string_agg(err, '; ' order by k) as error from notes group by request_id)
 """
@@ -388,8 +399,16 @@ oracle(
        from (select m.*, case when m.out_no = v.from_no and v.to_no <= d.page_count
                               then v.to_no + case when v.to_no > v.from_no then 0.5 else -0.5 end
                               else m.out_no end as slot
-             from manifest m join page_moves v using (doc_id) join docs d using (doc_id)) t""",
-    MANIFEST,
+             from manifest m left join moved_once v using (doc_id) join docs d using (doc_id)) t""",
+    MANIFEST
+    + """, moved_once as (select * from page_moves where doc_id in (select doc_id from page_moves group by doc_id having count(*) = 1))""",
+)
+oracle(
+    "c10_move_page_errors",
+    ["doc_pages", "page_moves"],
+    """select doc_id as request_id, concat_ws('; ', case when doc_id not in (select doc_id from doc_pages) then concat('File not found: ', doc_id) end,
+              case when count(*) > 1 then 'Only one page can be moved at a time' end) as error
+       from page_moves group by doc_id having count(*) > 1 or doc_id not in (select doc_id from doc_pages)""",
 )
 
 
@@ -399,7 +418,7 @@ steps as (select r.request_id, u.pos, u.f as file_path, d.doc_id, d.page_count
           from merge_requests r, unnest({files}) with ordinality as u(f, pos) left join docs d on d.file_path = u.f),
 bad as (select request_id, string_agg(concat('File not found: ', file_path), '; ' order by pos) as error
         from steps where doc_id is null group by request_id
-        union all select request_id, 'No files provided.' from merge_requests where files is null)
+        union all select request_id, 'No files provided.' from merge_requests where files is null or len(files) = 0)
 """
 
 
@@ -468,6 +487,8 @@ oracle(
     CROPPED,
 )
 
+COLOUR = "regexp_matches(text_color, '^#[0-9a-fA-F]{6}')"
+WRONG_COLOUR = f"watermark_type = 'text' and text_color like '#%' and not {COLOUR}"
 STAMPS = (
     MODE_PAGES
     + f""",
@@ -476,7 +497,7 @@ flat as (select r.*, case when watermark_type = 'image' then image_width
                 case when watermark_type = 'image' then image_height
                 else trunc(font_size * (300 / 72.0::double) + 2 * trunc(font_size * (300 / 72.0::double) * 0.8::double)) end as fh,
                 abs(round(cos(radians(stamp_turn)), 15)) as c, abs(round(sin(radians(stamp_turn)), 15)) as s
-         from stamp_requests r),
+         from stamp_requests r where not ({WRONG_COLOUR})),
 turned as (select *, case when stamp_turn in (0, 180) then fw when stamp_turn in (90, 270) then fh
                      else ceil(fw / 2.0::double + (fw * c + fh * s) / 2) - floor(fw / 2.0::double - (fw * c + fh * s) / 2) end as pw,
                   case when stamp_turn in (0, 180) then fh when stamp_turn in (90, 270) then fw
@@ -516,11 +537,11 @@ oracle(
     "c14_watermark_ink",
     ["stamp_requests"],
     """select request_id,
-              case when text_color like '#%' then cast(concat('0x', substr(text_color, 2, 2)) as int) else 52 end as red,
-              case when text_color like '#%' then cast(concat('0x', substr(text_color, 4, 2)) as int) else 152 end as green,
-              case when text_color like '#%' then cast(concat('0x', substr(text_color, 6, 2)) as int) else 219 end as blue,
+              case when text_color not like '#%' then 52 when {ok} then try_cast(concat('0x', substr(text_color, 2, 2)) as int) end as red,
+              case when text_color not like '#%' then 152 when {ok} then try_cast(concat('0x', substr(text_color, 4, 2)) as int) end as green,
+              case when text_color not like '#%' then 219 when {ok} then try_cast(concat('0x', substr(text_color, 6, 2)) as int) end as blue,
               cast(255 * opacity // 100 as int) as alpha
-       from stamp_requests""",
+       from stamp_requests""".replace("{ok}", COLOUR),
 )
 oracle(
     "c16_watermark_summary",
@@ -538,6 +559,34 @@ oracle(
         from (select *, {SHOWN} from doc_pages) t""",
 )
 
+# Requests for documents that are not there
+
+for _key, _table in [
+    ("b7_select_pages", "mode_requests"), ("b8_select_stride", "stride_requests"), ("b9_invert_selection", "spec_requests"),
+    ("b12_selected_summary", "form_requests"), ("c12_number_pages", "number_requests"), ("c13_crop_pages", "crop_requests"),
+    ("c16_watermark_summary", "mode_requests"),
+]:
+    oracle(
+        f"{_key}_errors",
+        [_table, "docs"],
+        f"select request_id, concat('File not found: ', doc_id) as error from {_table} where doc_id not in (select doc_id from docs)",
+    )
+for _key, _which in (("c14_place_watermark", "<>"), ("c15_place_tiled", "=")):
+    oracle(
+        f"{_key}_errors",
+        ["stamp_requests", "docs"],
+        f"""select request_id, case when doc_id not in (select doc_id from docs) then concat('File not found: ', doc_id)
+                   else concat('Invalid text color: ', text_color) end as error
+            from stamp_requests where position {_which} 'Tiled' and (doc_id not in (select doc_id from docs) or {WRONG_COLOUR})""",
+    )
+oracle(
+    "c1_split_by_ranges_errors",
+    ["split_requests"],
+    """select request_id, error from bad union all
+       select request_id, 'Page ranges are required' from split_requests where page_ranges is null""",
+    SPLIT_TOKENS,
+)
+
 # D: metadata
 
 FIELDS = ["title", "author", "subject", "keywords", "creator", "producer"]
@@ -597,7 +646,17 @@ oracle(
     + ", ".join(
         f"case when e.given then case when not {blank(f'e.{f}')} then e.{f} end else m.{f} end as {f}" for f in FIELDS
     )
-    + ", m.creation_date, m.mod_date as modification_date from raw_metadata m left join metadata_edits e using (doc_id)",
+    + ", m.creation_date, m.mod_date as modification_date from raw_metadata m left join edited_once e using (doc_id)",
+    "edited_once as (select * from metadata_edits where doc_id in (select doc_id from metadata_edits group by doc_id having count(*) = 1))",
+)
+oracle(
+    "d4_apply_metadata_edits_errors",
+    ["docs", "metadata_edits"],
+    """select doc_id as request_id, concat_ws('; ', case when doc_id not in (select doc_id from docs) then concat('File not found: ', doc_id) end,
+              case when k > 1 then 'Only one edit per document is allowed' end,
+              case when k = 1 and not given then 'Metadata is required for write operation' end) as error
+       from (select doc_id, count(*) as k, bool_and(given) as given from metadata_edits group by doc_id) t
+       where k > 1 or not given or doc_id not in (select doc_id from docs)""",
 )
 STRIPPED = [*FIELDS, "creation_date", "mod_date", "alt_authors", "alt_source_application", "alt_pdf_producer", "xmp"]
 oracle(
@@ -652,7 +711,7 @@ oracle(
     """select r.request_id, r.doc_id, cast((select count(*) from sel s join page_images i using (doc_id, page_no)
                  where s.request_id = r.request_id and i.n_components - cast(i.has_alpha as int) < 4) as int) as extracted_count,
               cast((select count(*) from sel s where s.request_id = r.request_id) as int) as processed_pages
-       from list_requests r""",
+       from list_requests r join docs using (doc_id)""",
     IMAGE_SELECTION,
 )
 oracle(
@@ -663,6 +722,15 @@ oracle(
                          where s.request_id = r.request_id and o.xref = i.xref)""",
     IMAGE_SELECTION,
 )
+oracle(
+    "e3_removal_summary",
+    ["list_requests", "doc_pages", "page_images"],
+    """select r.request_id, r.doc_id, cast((select count(distinct i.xref) from sel s join page_images i using (doc_id, page_no)
+                 where s.request_id = r.request_id) as int) as removed_count,
+              cast((select count(*) from sel s where s.request_id = r.request_id) as int) as processed_pages
+       from list_requests r join docs using (doc_id)""",
+    IMAGE_SELECTION,
+)
 
 SHRUNK = """
 asked as (select *, case doc_id % 4 when 0 then 50 when 1 then 75 when 2 then 90
@@ -694,10 +762,10 @@ oracle(
 
 
 def sized(x: str) -> str:
-    step = f"(case when {x} < 1024 then 0 when {x} < 1048576 then 1 when {x} < 1073741824 then 2 else 3 end)"
+    step = f"(case {' '.join(f'when {x} < {1024 ** k} then {k - 1}' for k in range(1, 7))} else 6 end)"
     value = f"floor({x} / pow(1024.0::double, {step}) * 100 + 0.5::double) / 100"
     return f"""case when {x} = 0 then '0 Bytes' else concat(regexp_replace(printf('%.2f', {value}), '\\.?0+$', ''), ' ',
-               ['Bytes', 'KB', 'MB', 'GB'][{step} + 1]) end"""
+               ['Bytes', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB'][{step} + 1]) end"""
 
 
 oracle(
@@ -734,7 +802,7 @@ oracle(
     "select owner, file_path, open_count, last_opened, file_name from every",
     INDEX.format(opens="open_events"),
 )
-for _key in ("f2_cap_index", "f7_stream_index"):
+for _key in ("f2_cap_index", "f7_stream_index", "f7_bounded_index"):
     oracle(
         _key,
         ["open_events"],
@@ -790,7 +858,14 @@ oracle(
     """select request_id, doc_id, case position when 'Elsewhere' then 'BottomCenter' else position end as position,
               case format when 'Other' then 'Number' else format end as format,
               case when font_size > 20 then font_size else 12 end as font_size, start_page, 1 as start_number
-       from number_requests""",
+       from number_requests where request_id % 13 <> 5 and request_id % 17 <> 3""",
+)
+oracle(
+    "a3_read_requests_errors",
+    ["number_requests"],
+    """select case when request_id % 13 = 5 then request_id end as request_id, concat('Request cannot be read: ',
+              case when request_id % 13 = 5 then concat('{"request_id":', request_id, ',"font_size":"big"}') else 'not json' end) as error
+       from number_requests where request_id % 13 = 5 or request_id % 17 = 3""",
 )
 
 # G: validation
@@ -800,7 +875,7 @@ t as (select r.*, d.doc_id is not null as there, d.page_count as n,
               case when tool in ('split', 'remove', 'organize', 'compress') then file_path = '' else {blank("file_path")} end as unset
        from tool_requests r left join docs d using (file_path)),
 turns as (select request_id, u.pos, cast(split_part(u.x, ':', 1) as int) as p, cast(split_part(u.x, ':', 2) as int) as turn
-          from t, unnest(string_split(order_text, ';')) with ordinality as u(x, pos) where tool = 'organize'),
+          from t, unnest(string_split(order_text, ';')) with ordinality as u(x, pos) where tool = 'organize' and has_options),
 listed as (select request_id, u.pos, u.f from t, unnest(files) with ordinality as u(f, pos)
            where tool = 'merge' and not exists (select 1 from docs d where d.file_path = u.f)),
 notes as (
@@ -817,10 +892,14 @@ notes as (
   where tool = 'split' and method = 'EveryNPages' and page_interval < 1
   union all select request_id, 3, 'Invalid split method' from t where tool = 'split' and method = 'Other'
   union all select request_id, 3, 'At least one removal criteria must be specified.' from t
-  where tool = 'remove' and pages is null and page_ranges is null and not even and not odd and nth is null
+  where tool = 'remove' and has_options and pages is null and page_ranges is null and not even and not odd and nth is null
   union all select request_id, 4, concat('Page number ', list_filter(pages, lambda p: p < 1 or p > n)[1], ' is out of range (1-', n, ')')
-  from t where tool = 'remove' and len(list_filter(pages, lambda p: p < 1 or p > n)) > 0
-  union all select request_id, 3, 'Page order is required.' from t where tool = 'organize' and order_text is null
+  from t where tool = 'remove' and has_options and len(list_filter(pages, lambda p: p < 1 or p > n)) > 0
+  union all select request_id, 3, 'Page order is required.' from t where tool = 'organize' and has_options and order_text is null
+  union all select request_id, 3, concat(case tool when 'remove' then 'Remove' else 'Organize' end, ' options are required.') from t
+  where tool in ('remove', 'organize') and not has_options
+  union all select request_id, 4, concat(case tool when 'lock' then 'Lock' else 'Unlock' end, ' options are required for ', tool, 'ing operation')
+  from t where tool in ('lock', 'unlock') and not has_options
   union all select s.request_id, 4, concat('Page number ', arg_min(s.p, s.pos), ' is out of range (1-', any_value(t.n), ')')
   from turns s join t using (request_id) where s.p < 1 or s.p > t.n group by s.request_id
   union all select request_id, 5, concat('Rotation must be a multiple of 90 degrees. Got: ', arg_min(turn, pos))
@@ -857,9 +936,9 @@ notes as (
   where tool in ('lock', 'unlock') and lower(operation) <> tool
   union all select request_id, 4, case tool when 'lock' then 'Open password is required for locking PDF'
                                   else 'Password is required for unlocking PDF' end from t
-  where tool in ('lock', 'unlock') and {blank("password")}
+  where tool in ('lock', 'unlock') and has_options and {blank("password")}
   union all select request_id, 5, 'Open password must be at least 3 characters long' from t
-  where tool = 'lock' and not {blank("password")} and len(password) < 3
+  where tool = 'lock' and has_options and not {blank("password")} and len(password) < 3
   union all select request_id, 3, concat('Please enter valid margin values for: ', array_to_string(unset, ', '))
   from (select request_id, list_filter([case when not regexp_matches(m_top, '^\\s*[+-]?[0-9]') then 'Top' end,
                                         case when not regexp_matches(m_right, '^\\s*[+-]?[0-9]') then 'Right' end,

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagework.functions import text as tx
+from pagework.operators.rows import Outcome
+
+# The most bytes one row can hold.
+LARGEST = 2**31 - 1 - 16
 
 
 def read_pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,11 +41,25 @@ def scan_pdf_files(spark: SparkSession, folder: str) -> DataFrame:
 def classify_security(files: DataFrame) -> DataFrame:
     """Whether each file's bytes (``path, content``) name an encryption dictionary.
 
-    Bytes cannot tell whether an encrypted file opens without a password, so ``can_be_processed`` is null for those.
+    Bytes cannot tell whether an encrypted file opens without a password, so ``can_be_processed`` is null for those. The search
+    is in the bytes; no text is made of them.
     """
-    encrypted = F.contains(F.decode("content", "ISO-8859-1"), F.lit("/Encrypt"))
+    encrypted = F.contains("content", F.lit(b"/Encrypt"))
     return files.select(
         F.col("path").alias("file_path"),
         encrypted.alias("is_encrypted"),
         F.when(~encrypted, True).alias("can_be_processed"),
     )
+
+
+def scan_security(spark: SparkSession, folder: str, largest: int = LARGEST) -> Outcome:
+    """The same of all PDF files below ``folder``. Files larger than a row can hold are error rows; the reader gets the limit as
+    a filter and never opens them."""
+    found = read_pdf_bytes(spark, folder)
+    too_large = found.select("path", "length").where(F.col("length") > largest)
+    errors = too_large.select(
+        F.lit(None).cast("bigint").alias("request_id"),
+        F.lit(None).cast("bigint").alias("doc_id"),
+        F.array(F.concat(F.lit("File is too large to read: "), F.col("path"))).alias("errors"),
+    )
+    return Outcome(classify_security(found.where(F.col("length") <= largest)), errors)

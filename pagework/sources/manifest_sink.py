@@ -9,25 +9,20 @@ from pagework.operators.rows import block_of
 from pagework.session import shuffle_partitions
 
 
-def write_manifest(manifest: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Parquet in output order, one directory per output, or per hash bucket of outputs where those are many.
+MANIFEST = "request_id BIGINT, doc_id BIGINT, output_name STRING, part_no INT, out_no INT, page_no INT, rotation INT"
 
-    Rows are spread by (output, block of positions), so an output holding much of the manifest is written by many tasks;
-    within a file outputs and positions are sorted, which lets readers skip by their min and max.
+
+def write_manifest(manifest: DataFrame, path: str, by_output: bool = False) -> None:
+    """Parquet in output order; with ``by_output`` one directory per output.
+
+    Rows are spread by (output, block of positions) over as many tasks as shuffles have, so neither many short outputs nor a
+    long one leave tasks idle. Within a file outputs and positions are sorted, which lets readers skip by their min and max.
     """
-    parts = shuffle_partitions(manifest.sparkSession)
-    directory = "output_name"
-    if buckets is not None:
-        manifest = manifest.withColumn("output_bucket", F.pmod(F.xxhash64("output_name"), F.lit(buckets)).cast("int"))
-        directory = "output_bucket"
-    (
-        manifest.repartition(parts, F.col(directory), block_of(F.col("out_no")))
-        .sortWithinPartitions(directory, "output_name", "out_no")
-        .write.mode("overwrite")
-        .partitionBy(directory)
-        .parquet(path)
-    )
+    spread = manifest.repartition(shuffle_partitions(manifest.sparkSession), "output_name", block_of(F.col("out_no")))
+    writer = spread.sortWithinPartitions("output_name", "out_no").write.mode("overwrite")
+    (writer.partitionBy("output_name") if by_output else writer).parquet(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A manifest as written; nothing is inferred, so names such as ``0012`` stay text. Columns it lacks are null."""
+    return spark.read.schema(MANIFEST).parquet(path)

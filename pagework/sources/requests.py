@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagework.operators.rows import Outcome
+
 _HEAD = "request_id BIGINT, doc_id BIGINT, file_path STRING"
 
 # Fields and defaults of each tool's request.
@@ -66,6 +68,20 @@ def with_defaults(requests: DataFrame, tool: str) -> DataFrame:
     return filled.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()})
 
 
-def read_requests(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """Requests of one tool from JSON lines. A line that is no JSON object becomes a row of nulls with defaults."""
-    return with_defaults(spark.read.schema(request_schema(tool)).json(path), tool)
+BROKEN = "Request cannot be read: "
+
+
+def read_requests(spark: SparkSession, path: str, tool: str) -> Outcome:
+    """Requests of one tool from JSON lines, defaults filled in where a field is absent.
+
+    A line that is no JSON object, and one with a value of another type, is an error row with the line itself. Its number is
+    known where that could be read.
+    """
+    schema = request_schema(tool).add("_line", "string")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_line"}).alias("_r"), "value")
+    broken = F.col("_r._line").isNotNull() | F.col("_r").isNull()
+    errors = read.where(broken).select(
+        "_r.request_id", "_r.doc_id", F.array(F.concat(F.lit(BROKEN), F.col("value"))).alias("errors")
+    )
+    return Outcome(with_defaults(read.where(~broken).select("_r.*").drop("_line"), tool), errors)

@@ -16,6 +16,7 @@ from pagework.functions import text as tx
 from pagework.operators.search import KEPT, build_index, cap_index
 
 COLUMNS = ["owner", "file_path", "open_count", "last_opened", "file_name"]
+INDEX = "owner BIGINT, file_path STRING, open_count BIGINT, last_opened TIMESTAMP_NTZ, file_name STRING"
 
 
 def read_opens(spark: SparkSession, path: str, sql: list[str], schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -94,9 +95,14 @@ def _start(writer, write, folder: str) -> StreamingQuery:
 
 
 def finish(spark: SparkSession, query: StreamingQuery, folder: str) -> DataFrame:
-    """Waits until all opens that were there are taken in, and reads the version of the last batch."""
+    """Waits until all opens that were there are taken in, and reads the newest version that was written to its end.
+
+    That is the version of an earlier run where this one found nothing new.
+    """
     query.awaitTermination()
-    numbers = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/index/version=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    numbers = [int(f.getPath().getParent().getName().removeprefix("version=")) for f in found]
     if not numbers:
         raise RuntimeError("no opens arrived")
-    return spark.read.parquet(_version(f"{folder}/index", max(numbers)))
+    return spark.read.schema(INDEX).parquet(_version(f"{folder}/index", max(numbers)))

@@ -23,7 +23,7 @@ def test_roman(spark, number, text):
 @pytest.mark.parametrize(
     "size, text",
     [(0, "0 Bytes"), (1, "1 Bytes"), (1023, "1023 Bytes"), (1024, "1 KB"), (1536, "1.5 KB"), (10 * 1024**2, "10 MB"),
-     (1024**3, "1 GB"), (1024**4, None)],
+     (1024**3, "1 GB"), (1024**4, "1 TB")],
 )
 def test_human_size(spark, size, text):
     assert one(spark, nu.human_size(F.lit(size))) == text
@@ -55,7 +55,7 @@ def test_labels_and_anchor(docs, pages, table):
         "request_id bigint, doc_id bigint, position string, format string, font_size int, start_page int, start_number int",
         [(1, 2, "TopLeft", "PageOfTotal", 10, 2, 5), (2, 2, "BottomRight", "RomanLower", 12, 1, 4), (3, 1, "?", "?", 8, 1, 7)],
     )
-    got = tuples(la.number_pages(requests, docs, pages), "request_id", "page_no", "label", "x", "y")
+    got = tuples(la.number_pages(requests, docs, pages).rows, "request_id", "page_no", "label", "x", "y")
     assert got == [
         (1, 2, "Page 5 of 3", 20.0, 30.0),
         (1, 3, "Page 6 of 3", 20.0, 30.0),
@@ -65,7 +65,7 @@ def test_labels_and_anchor(docs, pages, table):
         (3, 1, "7", (612 - 4.0) / 2, 772.0),
     ]
     sizes = table("text string, font_size int, width double, height double", [("v", 12, 100.0, 3.0)])
-    measured = la.number_pages(requests, docs, pages, text_metrics=sizes)
+    measured = la.number_pages(requests, docs, pages, text_metrics=sizes).rows
     assert tuples(measured.where("request_id = 2"), "label", "x") == [("iv", 580.0), ("v", 492.0), ("vi", 580.0)]
 
 
@@ -75,7 +75,7 @@ def test_turned_pages_swap_sides(docs, pages, table):
         [(1, 1, "BottomLeft", "Number", 10, 1, 1)],
     )
     sideways = pages.withColumn("rotation", F.lit(90))
-    assert tuples(la.number_pages(requests, docs, sideways), "x", "y") == [(20.0, 592.0)]
+    assert tuples(la.number_pages(requests, docs, sideways).rows, "x", "y") == [(20.0, 592.0)]
     assert tuples(la.render_plan(sideways.where("doc_id = 1"), 144, "png", False), "image_name", "pixel_width", "pixel_height") == [
         ("d1_1.png", 1584, 1224)
     ]
@@ -92,7 +92,7 @@ def test_crop(docs, pages, table, small_blocks):
             (4, 3, "current", "1", 1.0, 1.0, 1.0, 1.0),
         ],
     )
-    rows = la.crop_pages(requests, docs, pages)
+    rows = la.crop_pages(requests, docs, pages).rows
     assert tuples(la.crop_summary(rows)) == [(1, 3, 9, 3), (2, 3, 9, 0), (3, 3, 9, 0), (4, 3, 9, 1)]
     boxes = tuples(rows.where("request_id = 1 and is_cropped"), "page_no", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
     assert boxes == [(p, 40.0, 30.0, 592.0, 782.0) for p in (2, 3, 9)]
@@ -114,15 +114,15 @@ def test_watermark(docs, pages, table, small_blocks):
     )
     # Two letters at 36 pt: 2 * 36 * 300/72 = 300 px and 150 px high, plus 120 px of padding on each side.
     w, h = 540 * 72 / 300, 390 * 72 / 300
-    (placed,) = tuples(la.place_watermark(requests, docs, pages), "page_no", "left", "top", "right", "bottom")
+    (placed,) = tuples(la.place_watermark(requests, docs, pages).rows, "page_no", "left", "top", "right", "bottom")
     assert placed == pytest.approx((3, 612 - w - 30.6, 39.6, 612 - 30.6, 39.6 + h))
-    tiles = tuples(la.place_tiled(requests, docs, pages), "page_no", "tile_no", "left", "top", "right", "bottom")
+    tiles = tuples(la.place_tiled(requests, docs, pages).rows, "page_no", "tile_no", "left", "top", "right", "bottom")
     assert [t[0] for t in tiles] == [2, 2, 2, 8, 8, 8, 9, 9, 9]
     for _, tile, left, top, right, bottom in tiles:
         assert (right - left, bottom - top) == (20.0, 50.0)
         assert (left + right) / 2 == 306.0
         assert (top + bottom) / 2 == pytest.approx(792 / 2 * {1: 1, 2: 1 / 3, 3: 5 / 3}[tile])
-    assert tuples(la.watermark_summary(requests, docs)) == [(1, 2, 3, 1), (2, 3, 9, 3)]
+    assert tuples(la.watermark_summary(requests, docs).rows) == [(1, 2, 3, 1), (2, 3, 9, 3)]
 
 
 def test_picture_names(pages):

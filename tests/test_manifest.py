@@ -156,7 +156,7 @@ def test_duplicate_and_delete_against_lists(manifest, table, small_blocks, seed)
 
 def test_move_against_lists(docs, manifest, table):
     moves = [(1, 1, 1), (2, 3, 1), (3, 2, 7), (4, 12, 13), (5, 17, 1), (6, 1, 30)]
-    got = tuples(mf.move_page(manifest, table("doc_id bigint, from_no int, to_no int", moves)), "doc_id", "out_no", "page_no")
+    got = tuples(mf.move_page(manifest, table("doc_id bigint, from_no int, to_no int", moves)).rows, "doc_id", "out_no", "page_no")
     want = []
     for d, a, b in moves:
         order = list(range(1, COUNTS[d] + 1))

@@ -69,3 +69,25 @@ def test_rotations_are_quarter_turns(spark):
     for key in ("c6_organize_pages", "c7_rotate_pages"):
         turned = contract.queries()[key](spark, SF_DIR).select("rotation").distinct().collect()
         assert {r.rotation for r in turned} <= {0, 90, 180, 270}
+
+
+@pytest.fixture
+def as_for_large_tables(spark):
+    """No side is small enough to be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize(
+    "key, most",
+    [
+        ("b9_invert_spans", 3), ("b12_selected_summary", 8), ("c8_duplicate_pages", 5), ("c9_delete_pages", 5),
+        ("c12_number_pages", 4), ("e3_remove_images", 10), ("e5_dedupe_images", 3), ("f3_search_index", 6), ("f6_effective_opens", 9),
+    ],
+)
+def test_exchanges_of_large_tables(spark, as_for_large_tables, key, most):
+    text = plan(spark, key)
+    assert len(re.findall(r"Exchange (?:hash|range|Single)", text)) <= most

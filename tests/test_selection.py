@@ -155,7 +155,7 @@ def test_modes(docs, table, mode, custom, start, end, pages):
         "request_id bigint, doc_id bigint, mode string, custom_pages string, start_page int, end_page int",
         [(1, 3, mode, custom, start, end)],
     )
-    assert [p for _, _, p in tuples(sl.selected_pages(sl.select_pages(requests, docs)))] == pages
+    assert [p for _, _, p in tuples(sl.selected_pages(sl.select_pages(requests, docs).rows))] == pages
 
 
 def test_strides_against_brute_force(docs, table, small_blocks):
@@ -169,7 +169,7 @@ def test_strides_against_brute_force(docs, table, small_blocks):
         begin = nth if start is None else start
         stride = set(range(begin, 18, nth)) if nth and nth > 0 else set()
         want += [(k, 5, p) for p in range(1, 18) if even and p % 2 == 0 or odd and p % 2 == 1 or p in stride]
-    assert tuples(sl.select_stride(requests, docs)) == sorted(want)
+    assert tuples(sl.select_stride(requests, docs).rows) == sorted(want)
 
 
 @pytest.fixture
@@ -199,9 +199,9 @@ def test_one_long_run_over_many_blocks(table, small_blocks):
 
 def test_invert_twice_is_the_same(docs, random_selection, table, small_blocks):
     requests = table("request_id bigint, doc_id bigint", [(d, d) for d in (3, 4, 5, 6)])
-    once = sl.invert_selection(requests, docs, random_selection)
+    once = sl.invert_selection(requests, docs, random_selection).rows
     assert not set(tuples(once)) & set(tuples(random_selection))
-    assert tuples(sl.invert_selection(requests, docs, once)) == tuples(random_selection)
+    assert tuples(sl.invert_selection(requests, docs, once).rows) == tuples(random_selection)
 
 
 def test_union_has_no_repeats(random_selection):
@@ -214,7 +214,7 @@ def test_summary_lists_ten_pages_at_most(docs, table):
         "request_id bigint, doc_id bigint, page_no int",
         [(1, 6, 12)] + [(2, 6, p) for p in range(10, 0, -1)] * 2 + [(3, 6, p) for p in range(1, 12)],
     )
-    got = tuples(sl.selected_summary(requests, docs, chosen), "request_id", "selected_count", "remaining", "info_text")
+    got = tuples(sl.selected_summary(requests, docs, chosen).rows, "request_id", "selected_count", "remaining", "info_text")
     assert got == [
         (1, 1, 29, "Selected: 12 (1 page)"),
         (2, 10, 20, "Selected: 1, 2, 3, 4, 5, 6, 7, 8, 9, 10 (10 pages)"),
@@ -229,4 +229,24 @@ def test_span_forms_agree_with_row_forms(docs, table, small_blocks):
     selection, _ = sl.parse_page_spec(requests, docs, "crop")
     rows = sl.selected_pages(selection)
     assert tuples(sl.compact_spans(selection)) == tuples(sl.compact_selection(rows))
-    assert tuples(sl.selection_summary(selection)) == tuples(sl.selected_summary(requests, docs, rows))
+    assert tuples(sl.selection_summary(selection)) == tuples(sl.selected_summary(requests, docs, rows).rows)
+
+
+def test_long_selections_fold_in_stretches(spark):
+    """Spans of several stretches, overlapping across their borders, against plain Python."""
+    from pagework.functions import sqltext as sq
+
+    numbers = random.Random(4)
+    spans = [(a, a + numbers.randrange(4)) for a in (numbers.randrange(1, 3000) for _ in range(900))]
+    text = "array(" + ", ".join(f"named_struct('s', {a}, 'e', {b})" for a, b in spans) + ")"
+    merged, joined = spark.sql(f"select {sq.merge('x')} as m, {sq.runs(sq.merge('x'))} as r from (select {text} as x)").first()
+    pages = {p for a, b in spans for p in range(a, b + 1)}
+    assert [p for x in merged for p in range(x.s, x.e + 1)] == sorted(pages)
+    assert [p for x in joined for p in range(x.s, x.e + 1)] == sorted(pages)
+    assert all(a.e + 1 < b.s for a, b in zip(joined, joined[1:]))
+
+
+def test_hex_digits_beyond_any_page(docs, table):
+    asked = table("request_id bigint, doc_id bigint, pages_text string, ranges_text string", [(1, 6, "0x00000000000000005,0xffffffffffffffffff", "0x00000000000000000002-0x3")])
+    chosen, _ = sl.parse_page_spec(asked, docs, "form")
+    assert [p for _, _, p in tuples(sl.selected_pages(chosen))] == [2, 3, 5]

@@ -37,21 +37,41 @@ def test_security(spark, folder):
 def read(spark, tmp_path, tool, *bodies):
     path = tmp_path / f"{tool}.json"
     path.write_text("\n".join(b if isinstance(b, str) else json.dumps(b) for b in bodies))
-    return requests.read_requests(spark, str(path), tool).collect()
+    return requests.read_requests(spark, str(path), tool).rows.collect()
 
 
 def test_request_defaults(spark, tmp_path):
     (mark,) = read(spark, tmp_path, "watermark", {"request_id": 1, "opacity": 7})
     assert (mark.text, mark.position, mark.stamp_turn, mark.opacity, mark.mode) == ("CONFIDENTIAL", "Center", 45, 7, "all")
-    good, broken = read(spark, tmp_path, "render", {"request_id": 1, "dpi": 300}, "{nonsense")
+    (good,) = read(spark, tmp_path, "render", {"request_id": 1, "dpi": 300}, "{nonsense")
     assert (good.dpi, good.image_format, good.padded) == (300, "jpg", True)
-    assert broken.request_id is None
     (order,) = read(spark, tmp_path, "organize", {"request_id": 1, "page_order": [{"page_number": 2}, {"page_number": 1, "rotation": 90}]})
     assert [tuple(x) for x in order.page_order] == [(2, 0), (1, 90)]
     (split,) = read(spark, tmp_path, "split", {"request_id": 1, "page_ranges": ["1-2"]})
     assert (split.method, split.output_format, split.page_ranges) == ("ByPageRanges", "Zip", ["1-2"])
 
 
+def test_broken_requests_are_errors(spark, tmp_path):
+    lines = ['{"request_id":1,"font_size":"big"}', "not json", "[1]", "", '{"request_id":2}', '{"request_id":3,"extra":1}']
+    (tmp_path / "n.json").write_text("\n".join(lines))
+    got = requests.read_requests(spark, str(tmp_path / "n.json"), "numbers")
+    assert tuples(got.rows, "request_id", "font_size") == [(2, 12), (3, 12)]
+    said = {e.errors[0]: e.request_id for e in got.errors.collect()}
+    assert said == {requests.BROKEN + lines[0]: 1, requests.BROKEN + lines[1]: None, requests.BROKEN + lines[2]: None}
+
+
+def test_files_too_large_to_read_are_errors(spark, folder):
+    got = files.scan_security(spark, folder, largest=min(len(PLAIN), len(LOCKED)))
+    assert got.rows.count() + got.errors.count() == 2 and got.errors.count() == 1
+
+
+def test_names_that_look_like_numbers_stay_text(spark, table, tmp_path):
+    manifest = table("doc_id bigint, output_name string, part_no int, out_no int, page_no int", [(1, "0012", 1, 1, 1), (1, "7", 1, 1, 2)])
+    for by_output in (False, True):
+        write_manifest(manifest, str(tmp_path / str(by_output)), by_output)
+        assert tuples(read_manifest(spark, str(tmp_path / str(by_output))), "output_name", "page_no") == [("0012", 1), ("7", 2)]
+
+
 @pytest.mark.parametrize("tool", requests.FIELDS)
 def test_every_tool_has_a_schema(spark, tmp_path, tool):
     (row,) = read(spark, tmp_path, tool, {"request_id": 5})
@@ -60,14 +80,14 @@ def test_every_tool_has_a_schema(spark, tmp_path, tool):
         assert row[name] == value
 
 
-@pytest.mark.parametrize("buckets", [None, 3])
-def test_manifest_round_trip(spark, pages, tmp_path, buckets):
+@pytest.mark.parametrize("by_output", [True, False])
+def test_manifest_round_trip(spark, pages, tmp_path, by_output):
     manifest = mf.split_every_n(pages, 5)
-    write_manifest(manifest, str(tmp_path / "out"), buckets)
+    write_manifest(manifest, str(tmp_path / "out"), by_output)
     back = read_manifest(spark, str(tmp_path / "out"))
     assert tuples(back, *manifest.columns) == tuples(manifest)
     directories = {p.name.split("=")[0] for p in (tmp_path / "out").iterdir() if p.is_dir()}
-    assert directories == {"output_bucket" if buckets else "output_name"}
+    assert directories == ({"output_name"} if by_output else set())
 
 
 def test_results_never_lose_a_request(docs, table):
