@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 PIECE = 5
 POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 512
 LEAST_COUNT, LEAST_ODDS, LEAST_EXCESS = 5, 0.5, 6.0
-STEPS, RATE, DECAY, BACK = 400, 0.05, 1e-4, 1.0
+STEPS, RATE, DECAY, BACK = 1200, 0.05, 1e-5, 1.0
 KEPT_WORDS, KEPT_LENGTH = 1 << 18, 48
 
 
@@ -81,7 +81,8 @@ def nonnegative_pu(x: np.ndarray, positive: np.ndarray, prior: float) -> tuple[n
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
-        fp, fu = xp @ w, xu @ w
+        narrow = w.astype(x.dtype)  # else every step would widen the whole matrix
+        fp, fu = xp @ narrow, xu @ narrow
         sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
         as_positive = -prior * (xp.T @ (1 - sp)) / len(xp)  # gradient of the positives' loss as positive
         as_negative = (xu.T @ su) / len(xu) - prior * (xp.T @ sp) / len(xp)
