@@ -7,6 +7,7 @@ twice.
 
 from __future__ import annotations
 
+from pagework.functions.messages import NO_PAGE, NO_RANGE
 from pagework.functions.text import DOTNET_BLANKS, PYTHON_BLANKS, SCRIPT_BLANKS
 
 SPANS = "array<struct<s:int,e:int>>"
@@ -124,9 +125,6 @@ def count(merged: str) -> str:
     return f"aggregate({merged}, 0, (n, x) -> n + x.e - x.s + 1)"
 
 
-# What a missing element of a list is told.
-NO_PAGE, NO_RANGE = "Page number is missing", "Page range is missing"
-
 # The messages of the two strict forms below.
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
@@ -174,7 +175,7 @@ def _stamped(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     selected, missing = select_pages(requests, docs)
     if "text_color" in requests.columns:
         wrong = (F.col("watermark_type") == "text") & ~nu.is_colour(F.col("text_color"))
-        said = F.when(wrong, F.concat(F.lit("Invalid text color: "), F.col("text_color")))
+        said = F.when(wrong, F.concat(F.lit(say.BAD_COLOUR), F.col("text_color")))
         checked = selected.withColumn("errors", present(said))
         missing = missing.unionByName(error_part(checked))
         selected = checked.where(F.size("errors") == 0).drop("errors")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
 from pagework.functions import text as tx
@@ -70,7 +71,7 @@ def split_by_ranges(requests: DataFrame, docs: DataFrame) -> Outcome:
     known = attach_docs(requests, docs).withColumn("_tokens", strict_tokens("split"))
     errors = (
         F.when(F.col("page_count").isNull(), present(missing_doc_error()))
-        .when(F.size("_tokens") == 0, F.array(F.lit("Page ranges are required")))
+        .when(F.size("_tokens") == 0, F.array(F.lit(say.NO_RANGES)))
         .otherwise(F.expr(TOKEN_ERRORS))
     )
     checked = known.withColumn("errors", errors)
@@ -85,11 +86,11 @@ def split_at_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     errors = present(
         F.coalesce(
             missing_doc_error(),
-            F.when(F.coalesce(F.size("_points"), F.lit(0)) <= 0, F.lit("Split pages are required")),
-            F.when(F.exists("_points", lambda p: p.isNull()), F.lit("Split page is missing")),
+            F.when(F.coalesce(F.size("_points"), F.lit(0)) <= 0, F.lit(say.NO_POINTS)),
+            F.when(F.exists("_points", lambda p: p.isNull()), F.lit(say.NO_POINT)),
             F.when(
                 outside | repeated,
-                tx.message("Split pages must be distinct and lie between 1 and ", F.col("page_count") - 1),
+                tx.message(say.BAD_POINTS, F.col("page_count") - 1),
             ),
         )
     )
@@ -108,7 +109,7 @@ def split_every_n(pages: DataFrame, interval: int | Column) -> DataFrame:
     """
     if isinstance(interval, int):
         if interval < 1:
-            raise ValueError("Valid page interval is required")
+            raise ValueError(say.BAD_INTERVAL)
         interval = F.lit(interval)
     part = F.floor((F.col("page_no") - 1) / interval).cast("int") + 1
     start = (part - 1) * interval + 1
@@ -128,7 +129,7 @@ def split_every_n_requests(requests: DataFrame, docs: DataFrame) -> Outcome:
     """The same from requests with ``page_interval``; an interval that is missing or below 1 is an error."""
     bad_interval = F.coalesce(F.col("page_interval"), F.lit(0)) < 1
     errors = present(
-        F.coalesce(missing_doc_error(), F.when(bad_interval, F.lit("Valid page interval is required")))
+        F.coalesce(missing_doc_error(), F.when(bad_interval, F.lit(say.BAD_INTERVAL)))
     )
     good, bad = split_outcome(attach_docs(requests, docs).withColumn("errors", errors))
     rows = expand(good.where(F.col("page_count") >= 1).withColumn("s", F.lit(1)).withColumn("e", F.col("page_count")))
@@ -205,9 +206,9 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
     no_criterion = (F.size("_tokens") == 0) & ~F.col("_even") & ~F.col("_odd") & F.col("nth").isNull()
     errors = (
         F.when(F.col("page_count").isNull(), present(missing_doc_error()))
-        .when(no_criterion, F.array(F.lit("At least one removal criteria must be specified.")))
+        .when(no_criterion, F.array(F.lit(say.NO_CRITERION)))
         .when(F.size("_faults") > 0, F.col("_faults"))
-        .when(F.col("_remaining") <= 0, F.array(F.lit("Cannot remove all pages from the PDF")))
+        .when(F.col("_remaining") <= 0, F.array(F.lit(say.NOTHING_LEFT)))
         .otherwise(F.array().cast("array<string>"))
     )
     checked = known.withColumn("errors", errors)
@@ -245,15 +246,15 @@ def remove_pages(requests: DataFrame, docs: DataFrame) -> Outcome:
 def organize_pages(requests: DataFrame, docs: DataFrame, pages: DataFrame) -> Outcome:
     """Pages in the order of ``page_order``, each turned by its rotation on top of the page's own."""
     faults = F.expr(
-        f"concat(transform(filter(page_order, x -> x.page_number is null), x -> '{sq.NO_PAGE}'),"
+        f"concat(transform(filter(page_order, x -> x.page_number is null), x -> '{say.NO_PAGE}'),"
         " transform(filter(page_order, x -> x.page_number not between 1 and page_count),"
         " x -> concat('Page number ', x.page_number, ' is out of range (1-', page_count, ')')),"
         " transform(filter(page_order, x -> x.rotation % 90 <> 0),"
-        " x -> concat('Rotation must be a multiple of 90 degrees. Got: ', x.rotation)))"
+        f" x -> concat('{say.BAD_TURN}', x.rotation)))"
     )
     errors = (
         F.when(F.col("page_count").isNull(), present(missing_doc_error()))
-        .when(F.coalesce(F.size("page_order"), F.lit(0)) <= 0, F.array(F.lit("Page order is required.")))
+        .when(F.coalesce(F.size("page_order"), F.lit(0)) <= 0, F.array(F.lit(say.NO_ORDER)))
         .otherwise(faults)
     )
     checked = attach_docs(requests, docs).withColumn("errors", errors)
@@ -327,8 +328,8 @@ def move_page(manifest: DataFrame, moves: DataFrame, keys: list[str] | None = No
     joined = manifest.withColumn("_block", block_of(pos)).join(fanned, [*keys, "_block"], "left")
     named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
     errors = present(
-        F.when(F.col("_n").isNull(), F.concat(F.lit("File not found: "), named)),
-        F.when(F.col("_moves") > 1, F.lit("Only one page can be moved at a time")),
+        F.when(F.col("_n").isNull(), F.concat(F.lit(say.FILE_NOT_FOUND), named)),
+        F.when(F.col("_moves") > 1, F.lit(say.ONE_MOVE)),
     )
     faults = known.select(F.col(keys[0]).alias("request_id"), F.col(keys[-1]).alias("doc_id"), errors.alias("errors"))
     return Outcome(joined.withColumn("out_no", moved.cast("int")).select(*manifest.columns), faults.where(F.size("errors") > 0))
@@ -358,12 +359,13 @@ def merge_docs(requests: DataFrame, docs: DataFrame, dedupe: bool = False) -> Ou
         .groupBy("request_id")
         .agg(
             F.expr(
-                "transform(array_sort(collect_list(struct(file_pos, file_path))), x -> concat('File not found: ', coalesce(x.file_path, '')))"
+                "transform(array_sort(collect_list(struct(file_pos, file_path))),"
+                f" x -> concat('{say.FILE_NOT_FOUND}', coalesce(x.file_path, '')))"
             ).alias("errors")
         )
         .unionByName(
             asked.where(F.coalesce(F.size("files"), F.lit(0)) <= 0).select(
-                "request_id", F.array(F.lit("No files provided.")).alias("errors")
+                "request_id", F.array(F.lit(say.NO_FILES)).alias("errors")
             )
         )
         .withColumn("doc_id", F.lit(None).cast("bigint"))

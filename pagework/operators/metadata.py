@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import text as tx
 from pagework.operators.rows import Outcome, present
 
@@ -34,8 +35,6 @@ XMP_TAGS = {
 ALTERNATIVE_KEYS = {"author": "Authors", "creator": "SourceApplication", "producer": "PDFProducer"}
 GATED = list(XMP_TAGS)
 REQUIRED = ["title", "author"]
-# Fixed value: a message.
-NO_METADATA = "Metadata is required for write operation"
 
 
 def info_value(key: str, info: str = "info") -> Column:
@@ -107,9 +106,9 @@ def apply_metadata_edits(docs: DataFrame, edits: DataFrame) -> Outcome:
     )
     there = docs.select("doc_id", F.lit(True).alias("_there"))
     said = present(
-        F.when(F.col("_there").isNull(), F.concat(F.lit("File not found: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
-        F.when(F.col("_edits") > 1, F.lit("Only one edit per document is allowed")),
-        F.when((F.col("_edits") == 1) & F.col("metadata").isNull(), F.lit(NO_METADATA)),
+        F.when(F.col("_there").isNull(), F.concat(F.lit(say.FILE_NOT_FOUND), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        F.when(F.col("_edits") > 1, F.lit(say.ONE_EDIT)),
+        F.when((F.col("_edits") == 1) & F.col("metadata").isNull(), F.lit(say.NO_METADATA)),
     )
     errors = once.join(there, "doc_id", "left").select(F.col("doc_id").alias("request_id"), "doc_id", said.alias("errors"))
     return Outcome(changed.select(*docs.columns), errors.where(F.size("errors") > 0))

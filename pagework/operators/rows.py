@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import sqltext as sq
 from pagework.session import shuffle_partitions
 
@@ -38,7 +39,7 @@ def attach_docs(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
 def missing_doc_error() -> Column:
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.when(F.col("page_count").isNull(), F.concat(F.lit("File not found: "), named))
+    return F.when(F.col("page_count").isNull(), F.concat(F.lit(say.FILE_NOT_FOUND), named))
 
 
 def known_docs(requests: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import sqltext as sq
 from pagework.operators.manifest import listed_files
-from pagework.operators.metadata import NO_METADATA
 
 # Limits and accepted names.
 IMAGE_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".bmp"]
@@ -36,7 +36,7 @@ def _outside(x: str, low: int, high: int) -> str:
 def _path(unset: str, said: str) -> list[tuple[str, str]]:
     return [
         (unset, f"'{said}'"),
-        (f"not ({unset}) and not file_exists", "concat('File not found: ', file_path)"),
+        (f"not ({unset}) and not file_exists", f"concat('{say.FILE_NOT_FOUND}', file_path)"),
     ]
 
 
@@ -68,9 +68,9 @@ def _password(tool: str, needed: str) -> list[tuple[str, str]]:
 RULES: dict[str, list[tuple[str, str]]] = {
     "split": [
         *_BODY,
-        (f"method = 'ByPageRanges' and {_empty('page_ranges')}", "'Page ranges are required'"),
-        (f"method = 'AtSpecificPages' and {_empty('split_points')}", "'Split pages are required'"),
-        ("method = 'EveryNPages' and coalesce(page_interval, 0) < 1", "'Valid page interval is required'"),
+        (f"method = 'ByPageRanges' and {_empty('page_ranges')}", f"'{say.NO_RANGES}'"),
+        (f"method = 'AtSpecificPages' and {_empty('split_points')}", f"'{say.NO_POINTS}'"),
+        ("method = 'EveryNPages' and coalesce(page_interval, 0) < 1", f"'{say.BAD_INTERVAL}'"),
         (f"not {_among('method', SPLIT_METHODS)}", "'Invalid split method'"),
     ],
     "remove": [
@@ -79,23 +79,23 @@ RULES: dict[str, list[tuple[str, str]]] = {
         (
             f"has_options and {_empty('pages')} and {_empty('page_ranges')} and not coalesce(even, false) and not coalesce(odd, false)"
             " and nth is null",
-            "'At least one removal criteria must be specified.'",
+            f"'{say.NO_CRITERION}'",
         ),
         (f"has_options and size({_WRONG_PAGE}) > 0", f"concat('Page number ', get({_WRONG_PAGE}, 0), {_PAGE_RANGE})"),
     ],
     "organize": [
         *_BODY,
         ("not has_options", "'Organize options are required.'"),
-        (f"has_options and {_empty('page_order')}", "'Page order is required.'"),
+        (f"has_options and {_empty('page_order')}", f"'{say.NO_ORDER}'"),
         (f"has_options and size({_WRONG_STEP}) > 0", f"concat('Page number ', get({_WRONG_STEP}, 0).page_number, {_PAGE_RANGE})"),
         (
             f"has_options and size({_WRONG_TURN}) > 0",
-            f"concat('Rotation must be a multiple of 90 degrees. Got: ', get({_WRONG_TURN}, 0).rotation)",
+            f"concat('{say.BAD_TURN}', get({_WRONG_TURN}, 0).rotation)",
         ),
     ],
     "merge": [
-        ("files is null", "'No files provided.'"),
-        ("missing_file is not null", "concat('File not found: ', missing_file)"),
+        ("files is null", f"'{say.NO_FILES}'"),
+        ("missing_file is not null", f"concat('{say.FILE_NOT_FOUND}', missing_file)"),
     ],
     "numbers": [*_BRIEF, (_outside("font_size", 8, 72), "'Font size must be between 8 and 72.'")],
     "watermark": [
@@ -133,7 +133,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
             f"not {_blank('operation')} and lower(operation) not in ('read', 'write')",
             "concat('Invalid operation: ', operation)",
         ),
-        ("lower(operation) = 'write' and not has_options", f"'{NO_METADATA}'"),
+        ("lower(operation) = 'write' and not has_options", f"'{say.NO_METADATA}'"),
     ],
     "images": [
         (f"{_blank('file_path')} or not file_exists", "'Invalid file path.'"),

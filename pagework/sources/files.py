@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagework.functions import messages as say
 from pagework.functions import text as tx
 from pagework.operators.rows import Outcome
 
@@ -60,6 +61,6 @@ def scan_security(spark: SparkSession, folder: str, largest: int = LARGEST) -> O
     errors = too_large.select(
         F.lit(None).cast("bigint").alias("request_id"),
         F.lit(None).cast("bigint").alias("doc_id"),
-        F.array(F.concat(F.lit("File is too large to read: "), F.col("path"))).alias("errors"),
+        F.array(F.concat(F.lit(say.TOO_LARGE), F.col("path"))).alias("errors"),
     )
     return Outcome(classify_security(found.where(F.col("length") <= largest)), errors)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagework.functions.messages import UNREADABLE
 from pagework.operators.rows import Outcome
 
 _HEAD = "request_id BIGINT, doc_id BIGINT, file_path STRING"
@@ -68,9 +69,6 @@ def with_defaults(requests: DataFrame, tool: str) -> DataFrame:
     return filled.withColumns({name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()})
 
 
-BROKEN = "Request cannot be read: "
-
-
 def read_requests(spark: SparkSession, path: str, tool: str) -> Outcome:
     """Requests of one tool from JSON lines, defaults filled in where a field is absent.
 
@@ -82,6 +80,6 @@ def read_requests(spark: SparkSession, path: str, tool: str) -> Outcome:
     read = lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": "_line"}).alias("_r"), "value")
     broken = F.col("_r._line").isNotNull() | F.col("_r").isNull()
     errors = read.where(broken).select(
-        "_r.request_id", "_r.doc_id", F.array(F.concat(F.lit(BROKEN), F.col("value"))).alias("errors")
+        "_r.request_id", "_r.doc_id", F.array(F.concat(F.lit(UNREADABLE), F.col("value"))).alias("errors")
     )
     return Outcome(with_defaults(read.where(~broken).select("_r.*").drop("_line"), tool), errors)

@@ -57,7 +57,7 @@ def test_broken_requests_are_errors(spark, tmp_path):
     got = requests.read_requests(spark, str(tmp_path / "n.json"), "numbers")
     assert tuples(got.rows, "request_id", "font_size") == [(2, 12), (3, 12)]
     said = {e.errors[0]: e.request_id for e in got.errors.collect()}
-    assert said == {requests.BROKEN + lines[0]: 1, requests.BROKEN + lines[1]: None, requests.BROKEN + lines[2]: None}
+    assert said == {requests.UNREADABLE + lines[0]: 1, requests.UNREADABLE + lines[1]: None, requests.UNREADABLE + lines[2]: None}
 
 
 def test_files_too_large_to_read_are_errors(spark, folder):
