@@ -140,11 +140,9 @@ def judge(
     labelled = ruled.filter("rule is not null").select(F.col("url").alias("row"), "tokens", "rule.verdict")
     found, wanted = mine(labelled, support, confidence)
     items = ruled.withColumn("items", among("tokens", wanted))
-    verdicts = matched(items.filter("rule is null").select("items").distinct(), found)
-    joined = items.withColumn("asked", F.when(F.col("rule").isNull(), F.col("items"))).join(
-        verdicts.withColumnRenamed("items", "asked"), "asked", "left"
-    )
-    return joined.select(
+    # A written table, so that Spark knows its size, and can split a set that many URLs have where it does not broadcast it.
+    verdicts = written(matched(items.filter("rule is null").select("items").distinct(), found), "url-verdicts")
+    return items.join(verdicts, "items", "left").select(
         "kept.*", "host", "path", F.col("rule.rule").alias("rule"),
         F.coalesce("rule.verdict", "mined", F.lit(otherwise)).alias("verdict"),
     )
