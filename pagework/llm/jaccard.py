@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pagework.llm.common import slices, written
 
 WORDS, THRESHOLD, RECALL, BAND_ROWS = 5, 0.8, 0.999, 7
-BLOCK = 256  # documents of a block
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # documents of a block, and their shingles
+HOPS = 3  # each doubles the way to the id that a block is named after
 COLUMNS = 4096  # shingles of one matrix product
 SEED = 20240229
 
@@ -92,15 +93,15 @@ def signature(values: np.ndarray, multipliers: np.ndarray, chunk: int = 4096) ->
 
 
 def profiles(df: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
-    """id, copies (a digest of the shingle set) and band hashes of each document with an id and words."""
+    """id, copies (a digest of the shingle set), size and band hashes of each document with an id and words."""
     source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    schema = "id bigint, copies binary, bands array<bigint>"
+    schema = "id bigint, copies binary, size bigint, bands array<bigint>"
 
     def run(batches):
         multipliers = _numbers(bands * rows, 2).astype(np.uint32) | np.uint32(1)
         lanes, band_seed = _numbers(rows, 3), np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in slices(batches):
-            ids, copies, hashes = [], [], []
+            ids, copies, sizes, hashes = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingles(t)
                 if not len(found):
@@ -108,12 +109,13 @@ def profiles(df: DataFrame, key: str, text: str, bands: int, rows: int) -> DataF
                 values = signature(found, multipliers).reshape(bands, rows).astype(np.uint64)
                 ids.append(i)
                 copies.append(hashlib.md5(found.tobytes()).digest())
+                sizes.append(len(found))
                 hashes.append(mixed((values * lanes).sum(axis=1) ^ band_seed).astype(np.int64))
             ends = pa.array(np.arange(len(ids) + 1) * bands, pa.int32())
             flat = pa.array(np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                names=["id", "copies", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
+                names=["id", "copies", "size", "bands"],
             )
 
     return source.mapInArrow(run, schema)
@@ -198,25 +200,32 @@ def join(
     are not read."""
     bands = bands_for(threshold, recall, rows)
     found = written(profiles(df, key, text, bands, rows), "profiles")
-    sets = found.groupBy("copies").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    sets = found.groupBy("copies").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.max("size").alias("size"))
     sets = written(sets, "shingle-sets")
-    member = sets.select("id", F.explode("bands").alias("bucket"))
+    member = sets.select("id", "size", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    together = written(member.join(buckets.drop("n"), "bucket"), "buckets")
-    near = together.groupBy("id").agg(F.min("hub").alias("hub"))
-    chunks = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
+    near = member.join(buckets.drop("n"), "bucket").groupBy("id").agg(F.min("hub").alias("hub"), F.max("size").alias("size"))
+    near = written(near, "near")
+    for _ in range(HOPS):  # the hub's hub, so that a large group has one name and few blocks; links do not depend on it
+        further = near.select(F.col("id").alias("hub"), F.col("hub").alias("further"))
+        near = written(near.join(further, "hub").select("id", F.col("further").alias("hub"), "size"), "near")
+    full = F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)
+    chunks = near.groupBy("hub").agg(F.ceil(full).alias("chunks"))
     blocks = written(
         near.join(chunks, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")), "blocks"
     ).withColumn("block", F.struct("hub", "chunk"))
-    inside = together.select("bucket", "id").join(blocks.select("id", "block"), "id").select("bucket", "block").distinct()
-    pairs = (
+    inside = sets.join(blocks.select("id", "block"), "id").select(F.explode("bands").alias("bucket"), "block").distinct()
+    several = inside.groupBy("bucket").count().filter("count > 1").select("bucket")
+    inside = written(inside.join(several, "bucket"), "shared-buckets")
+    across = (
         inside.select("bucket", F.col("block").alias("a"))
         .join(inside.select("bucket", F.col("block").alias("b")), "bucket")
-        .filter("a <= b")
+        .filter("a < b")
         .select("a", "b")
         .distinct()
     )
-    pairs = written(pairs, "block-pairs")
+    alone = blocks.select(F.col("block").alias("a"), F.col("block").alias("b")).distinct()
+    pairs = written(across.union(alone), "block-pairs")
     of = blocks.select("id", "block")
     asked = (
         pairs.join(of.withColumnRenamed("block", "a"), "a").select("a", "b", "id", F.lit(0).alias("side"))
