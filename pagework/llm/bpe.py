@@ -69,8 +69,33 @@ class PairTree:
             nodes[i] = low
 
 
+class Decoder:
+    """Ids of a vocabulary file of the ``tokenizers`` library (byte-level BPE) to text."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        ids: dict[str, int] = spec["model"]["vocab"]
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        self.bytes_of = [b""] * (1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])]))
+        for token, i in ids.items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token)
+        for token in spec["added_tokens"]:
+            self.bytes_of[token["id"]] = token["content"].encode()
+
+    def decode(self, ids: list[int | None]) -> str:
+        """Text of ids; ids outside the vocabulary say nothing, bytes that are no UTF-8 become replacement characters."""
+        known, size = self.bytes_of, len(self.bytes_of)
+        try:
+            joined = b"".join(map(known.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+        except (IndexError, TypeError):
+            joined = None
+        if joined is None:
+            joined = b"".join(known[i] for i in ids if i is not None and 0 <= i < size)
+        return joined.decode("utf-8", "replace")
+
+
 class ByteBpe:
-    """A vocabulary file of the ``tokenizers`` library (byte-level BPE): text to ids and back."""
+    """Text to ids of a vocabulary file of the ``tokenizers`` library (byte-level BPE)."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -91,14 +116,7 @@ class ByteBpe:
         self.order = np.argsort(codes)
         self.codes = np.append(codes[self.order], NO_PAIR)
         self.ranks = np.append(self.order, -1)  # the pairs were added in rank order
-        byte_of = {c: b for b, c in enumerate(letters)}
-        size = 1 + max([*ids.values(), *(t["id"] for t in spec["added_tokens"])])
-        self.bytes_of = [b""] * size
-        for token, i in ids.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in token)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for token, i in self.added.items():
-            self.bytes_of[i] = token.encode()
         found = sorted(map(regex.escape, self.added), key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(found) + ")").split if found else lambda text: [text]
         self.kept = _Pieces(self)
@@ -198,17 +216,6 @@ class ByteBpe:
                 found.extend((PATTERN if NOT_PLAIN.search(part) else PLAIN).findall(part))
         return found
 
-    def decode(self, ids: list[int | None]) -> str:
-        """Text of ids; ids outside the vocabulary say nothing, bytes that are no UTF-8 become replacement characters."""
-        known, size = self.bytes_of, len(self.bytes_of)
-        try:
-            joined = b"".join(map(known.__getitem__, ids)) if not ids or min(ids) >= 0 else None
-        except (IndexError, TypeError):
-            joined = None
-        if joined is None:
-            joined = b"".join(known[i] for i in ids if i is not None and 0 <= i < size)
-        return joined.decode("utf-8", "replace")
-
 
 class _Pieces(dict):
     def __init__(self, model: ByteBpe):
@@ -224,14 +231,14 @@ class _Pieces(dict):
         return ids
 
 
-_LOADED: dict[str, ByteBpe] = {}
+_LOADED: dict[tuple[type, str], ByteBpe | Decoder] = {}
 
 
-def _model(text: str) -> ByteBpe:
-    """The model of a vocabulary, built once in each worker."""
-    key = hashlib.sha1(text.encode()).hexdigest()
+def _model(kind: type, text: str) -> ByteBpe | Decoder:
+    """The part of a vocabulary that is asked for, built once in each worker."""
+    key = kind, hashlib.sha1(text.encode()).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = ByteBpe(text)
+        _LOADED[key] = kind(text)
     return _LOADED[key]
 
 
@@ -240,24 +247,34 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())  # one file, as large for any input
 
 
-def encode(df: DataFrame, path: str, keep: list[str], text: str = "text", into: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, path: str, keep: list[str], text: str = "text", into: str = "ids", round_trip: str | None = None
+) -> DataFrame:
     """The columns ``keep`` and the ids of each whole text, without special tokens added; such a token's own string in a
-    text is that token. A null or empty text has no ids. Repeated rows stay repeated, an empty table gives an empty one, and
+    text is that token. ``round_trip`` names a further column: whether the ids decode to the text, told by the same worker. A
+    null or empty text has no ids. Repeated rows stay repeated, an empty table gives an empty one, and
     other columns are not read."""
     source = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     shared = _vocabulary(df, path)
 
     def run(batches):
-        model = _model(shared.value)
+        model = _model(ByteBpe, shared.value)
         for batch in slices(batches):
-            found = model.encode_all(batch.column(batch.num_columns - 1).to_pylist())
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            found = model.encode_all(texts)
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, into])
+            more = []
+            if round_trip:
+                back = _model(Decoder, shared.value)
+                same = (back.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(found, texts))
+                more = [pa.array(list(same), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *more], names=[*keep, into, *told])
 
-    schema = source.select(*[F.col(c) for c in keep], F.lit(None).cast("array<int>").alias(into)).schema
-    return source.mapInArrow(run, schema)
+    told = [round_trip] if round_trip else []
+    made = [F.lit(None).cast("array<int>").alias(into), *(F.lit(True).alias(name) for name in told)]
+    return source.mapInArrow(run, source.select(*[F.col(c) for c in keep], *made).schema)
 
 
 def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids", into: str = "text") -> DataFrame:
@@ -266,7 +283,7 @@ def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids", into: st
     shared = _vocabulary(df, path)
 
     def run(batches):
-        model = _model(shared.value)
+        model = _model(Decoder, shared.value)
         for batch in slices(batches):
             texts = [model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, into])
