@@ -6,7 +6,9 @@ label with enough support and confidence are rules. Rules are matched by an inve
 holds where as many of its tokens are found as it has. Everything is DataFrame and Spark ML work.
 
 Matching works on distinct token sets, so a host or token with a third of all rows is one set, not many rows. Tokens that
-stand in exactly the same URLs are one token to the miner, so a URL that is repeated often gives few combinations.
+stand in exactly the same labelled URLs are one token to the miner, so a URL that is repeated often gives few combinations.
+A URL with any of them has that token: each combination of them has the same support and confidence, so the rules that hold
+are those of FP-growth over all tokens.
 """
 
 from __future__ import annotations
@@ -69,28 +71,35 @@ def tokens_of(url: str, host: str, path: str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*marked)))
 
 
-def frequent_tokens(sets: DataFrame, support: float) -> list[str]:
-    """Tokens in at least that share of the sets, one for each group of tokens that stand in the same sets. A token of
-    share s uses up s of the mean set size, so there are at most (mean set size / support) of them."""
+def frequent_tokens(sets: DataFrame, support: float) -> dict[str, str]:
+    """Tokens in at least that share of the sets, each with the first of the tokens that stand in the same sets, which stands
+    for it. A token of share s uses up s of the mean set size, so there are at most (mean set size / support) of them."""
     rows = sets.count()
     counted = (
         sets.select(F.explode("tokens").alias("token"), F.xxhash64("row").cast("decimal(20,0)").alias("mark"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("mark").alias("mark"))
         .filter(F.col("n") >= support * rows)
-        .groupBy("n", "mark")
-        .agg(F.min("token").alias("token"))
     )
-    return sorted(r[0] for r in counted.select("token").collect())
+    groups = {}
+    for token, *same in sorted(tuple(r) for r in counted.select("token", "n", "mark").collect()):
+        groups.setdefault(tuple(same), []).append(token)
+    return {token: group[0] for group in groups.values() for token in group}
 
 
-def among(tokens: str, wanted: list[str]) -> Column:
-    return F.array_sort(F.array_intersect(F.col(tokens), F.array(*map(F.lit, wanted)).cast("array<string>")))
+def among(tokens: str, wanted: dict[str, str]) -> Column:
+    """What stands for the frequent tokens, sorted."""
+    common = lambda some: F.array_intersect(F.col(tokens), F.array(*map(F.lit, some)).cast("array<string>"))
+    found = common([t for t in wanted if wanted[t] == t])
+    if others := [t for t in wanted if wanted[t] != t]:
+        first = F.create_map(*[F.lit(x) for t in others for x in (t, wanted[t])])
+        found = F.array_distinct(F.concat(found, F.transform(common(others), lambda x: F.element_at(first, x))))
+    return F.array_sort(found)
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, list[str]]:
-    """Rules (rule_id, verdict, antecedent, confidence, support) from ``labelled`` (row, tokens, verdict), and the tokens they
-    may hold. ``row`` tells URLs apart. Support is a share of the labelled rows. No labelled row gives no rule."""
+def mine(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, dict[str, str]]:
+    """Rules (rule_id, verdict, antecedent, confidence, support) from ``labelled`` (row, tokens, verdict), and the frequent
+    tokens with those that stand for them in rules. ``row`` tells URLs apart. Support is a share of the labelled rows. No labelled row gives no rule."""
     wanted = frequent_tokens(labelled, support)
     transactions = labelled.select(
         F.concat(among("tokens", wanted), F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items")

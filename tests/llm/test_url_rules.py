@@ -99,6 +99,50 @@ def test_one_long_url_many_times(spark):
     assert got[0][3] == "block" and got[60][3] == "block" and got[None][2:] == ("org/", "allow")
 
 
+def test_any_token_of_a_group_counts(spark):
+    """Tokens that always stand together in labelled URLs have the same rules; a URL with one of them is judged by it."""
+    rows = [(i, f"http://casino.com/de/slots/{i}?bonus=1") for i in range(20)]
+    rows += [(20 + i, f"http://news.org/read/{i}?page=1") for i in range(20)]
+    rows += [(50, "http://casino.net/en"), (51, "http://x.net/en/slots"), (52, "http://x.net/?bonus=2"), (53, "http://x.net/read"), (54, "http://news.net/")]
+    rows += [(55, "http://y.net/en/slots?bonus=3"), (56, "http://y.net/other")]
+    got = {i: r[3] for i, r in judged(spark, rows).items() if i >= 50}
+    assert got == {50: "block", 51: "block", 52: "block", 53: "allow", 54: "allow", 55: "block", 56: "allow"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_equal_rules_over_all_tokens(spark, seed):
+    """Confidence and support of the best rule over every subset of frequent tokens, none of them left out."""
+    numbers = random.Random(seed)
+    site = {"shop": ("buy", "cart", "sid"), "wiki": ("read", "page", "rev"), "mail": ("box", "msg", "mid")}
+    rows = []
+    for i in range(120):
+        host, (a, b, q) = numbers.choice(list(site.items()))
+        rows.append((i, f"http://{host}.{numbers.choice(['org', 'com'])}/{numbers.choice(['de', 'fr'])}/{a}/{b}?{q}=1"))
+    words = [w for a, b, _ in site.values() for w in (a, f"x/{b}")]
+    rows += [(200 + i, f"http://{numbers.choice([*site, 'new'])}.net/en/{numbers.choice(words)}?{numbers.choice(['sid', 'rev', 'mid'])}=2") for i in range(60)]
+    sets, label = {i: tokens(u) for i, u in rows}, {}
+    for i, u in rows[:120]:
+        host, path = u.split("://")[1].split("/", 1)
+        label[i] = "allow" if host.endswith(".org") or path.startswith("fr/") else "block"
+    frequent = {t for t in set().union(*(sets[i] for i in label)) if sum(t in sets[i] for i in label) >= 0.02 * len(label)}
+    clear = 0
+    got = judged(spark, rows, support=0.02, confidence=0.6)
+    for i, u in rows[120:]:
+        options = {}
+        held = sorted(sets[i] & frequent)
+        for n in range(1, len(held) + 1):
+            for subset in combinations(held, n):
+                votes = [label[j] for j in label if set(subset) <= sets[j]]
+                for verdict in set(votes):
+                    share = votes.count(verdict) / len(votes)
+                    if votes.count(verdict) >= 0.02 * len(label) and share >= 0.6:
+                        options[verdict] = max(options.get(verdict, (0, 0)), (share, votes.count(verdict)))
+        best = [v for v in options if options[v] == max(options.values())] or ["allow"]
+        clear += options != {}
+        assert got[i][3] in best, u
+    assert clear > 50
+
+
 def test_nothing_to_mine(spark):
     assert judged(spark, [(1, "http://a.net/de/")])[1] == ("a.net", "/de/", None, "allow")
     df = spark.createDataFrame([], "page_id bigint, url string")
