@@ -5,7 +5,9 @@ break). The kernel of two texts is the number of n-grams they share over the roo
 number of training texts are landmarks; the Nyström map takes a text to its kernels with the landmarks times the inverse root
 of the landmarks' own kernel matrix, and kernel ridge regression learns one output for each language against the rest.
 
-Scoring needs no shuffle: a batch is a presence matrix over the landmarks' n-grams, and two matrix products give all outputs.
+An n-gram is a number made of its letters, whatever their script, so none shares another's place. Scoring needs no shuffle: the
+distinct n-grams of a batch are sorted numbers, those that landmarks have make a presence matrix, and two matrix products give
+all outputs.
 The training rows are a sample of bounded size; their kernels, not their texts, go to the driver.
 """
 
@@ -21,90 +23,99 @@ from pyspark.sql import functions as F
 from pagework.llm.common import bounded_sample, slices, spread_key, written
 
 UNKNOWN = "und"
-LETTERS = 62  # letters with a symbol of their own; symbol 0 is a break, the last one any other letter
-SYMBOLS = LETTERS + 2
-SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+BITS = 18  # of a symbol: 0 is a break, letters count from 1 in the order of their code points
 ROWS = 64  # texts of one presence matrix
+PIECE, PART = 1 << 19, 1 << 14  # symbols that are sorted, and n-grams of one presence matrix
 
 SAMPLE, LANDMARKS, LANDMARK_CHARS, RIDGE, SHARPNESS = 4000, 96, 200, 1e-3, 6.0
 
-_IS_LETTER: list[np.ndarray] = []
+_SYMBOLS: list[np.ndarray] = []
 
 
-def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    if not _IS_LETTER:
-        _IS_LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
-    return _IS_LETTER[0]
+def symbols() -> np.ndarray:
+    """For each code point its symbol: each letter has its own."""
+    if not _SYMBOLS:
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+        _SYMBOLS.append(np.where(letter, np.cumsum(letter), 0).astype(np.int32))
+    return _SYMBOLS[0]
 
 
 def code_points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
 
 
-def symbol_table(texts: list[str]) -> np.ndarray:
-    """Symbols of all code points: the most common letters of the texts have their own."""
-    seen = np.bincount(code_points([t.lower() for t in texts]), minlength=0x110000)
-    common = [c for _, c in sorted((-n, c) for c, n in enumerate(seen.tolist()) if n and letters()[c])][:LETTERS]
-    table = np.where(letters(), SYMBOLS - 1, 0).astype(np.int32)
-    table[common] = np.arange(1, len(common) + 1)
-    return table
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    codes.sort()
+    return codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
 
 
-def presence(texts: list[str], table: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Marks the n-grams of each text in ``seen`` (text, n-gram) and returns whether each text has letters."""
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of at most ``ROWS`` texts, as (text, n-gram) in order, and whether each text has letters."""
     low = [f" {t.lower()} " for t in texts]
-    row = np.repeat(np.arange(len(low), dtype=np.int32), list(map(len, low)))
-    symbol = table[code_points(low)]
+    row = np.repeat(np.arange(len(low), dtype=np.int8), list(map(len, low)))
+    symbol = symbols()[code_points(low)]
     held = np.append(True, (symbol[1:] > 0) | (symbol[:-1] > 0) | (row[1:] != row[:-1]))  # a run of breaks counts once
     symbol, row = symbol[held], row[held]
-    seen[:] = False
-    flat, base = seen.reshape(-1), row.astype(np.int64) * seen.shape[1]
-    flat[base + symbol] = True
-    pair = SYMBOLS + symbol[:-1] * SYMBOLS + symbol[1:]
-    same = row[1:] == row[:-1]
-    flat[base[:-1][same] + pair[same]] = True
-    triple = SYMBOLS + SYMBOLS**2 + (symbol[:-2] * SYMBOLS + symbol[1:-1]) * SYMBOLS + symbol[2:]
-    same = row[2:] == row[:-2]
-    flat[base[:-2][same] + triple[same]] = True
-    return np.bincount(row, weights=symbol > 0, minlength=len(low)) > 0
-
-
-def sizes(seen: np.ndarray) -> np.ndarray:
-    """Number of n-grams of each text."""
-    return np.bitwise_count(seen.view(np.uint64)).sum(axis=1)
+    lettered = np.bincount(row, weights=symbol > 0, minlength=len(low)) > 0
+    pieces = []
+    for start in range(0, len(symbol), PIECE):  # pieces share two symbols, so that no n-gram is missed
+        part = symbol[start : start + PIECE + 2].astype(np.int64) + 1  # no digit is 0, so lengths differ
+        text = row[start : start + PIECE + 2].astype(np.int64)
+        place = text << 3 * BITS
+        pair = (part[:-1] << BITS) | part[1:]
+        triple = (pair[:-1] << BITS) | part[2:]
+        two, three = text[:-1] == text[1:], text[:-2] == text[2:]
+        pieces.append(distinct(np.concatenate([place | part, (place[:-1] | pair)[two], (place[:-2] | triple)[three]])))
+    codes = pieces[0] if len(pieces) == 1 else distinct(np.concatenate(pieces))
+    return codes >> 3 * BITS, codes & ((1 << 3 * BITS) - 1), lettered
 
 
 @dataclass
 class Landmarks:
-    table: np.ndarray
-    grams: np.ndarray  # the n-grams that any landmark has
-    profiles: np.ndarray  # (n-gram, landmark), each over the root of the landmark's size
+    grams: np.ndarray  # the n-grams that any landmark has, sorted
+    held: np.ndarray  # (n-gram, landmark) as bits
+    sizes: np.ndarray  # number of n-grams of each landmark
+
+    @property
+    def table(self) -> np.ndarray:
+        return symbols()
 
     def kernels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, landmark) kernels of whole texts, and whether each text has letters."""
         found, lettered = [], []
         for start in range(0, len(texts), ROWS):
-            some = texts[start : start + ROWS]
-            seen = np.zeros((len(some), SPACE + -SPACE % 8), dtype=bool)
-            lettered.append(presence(some, self.table, seen))
-            size = np.sqrt(np.maximum(1, sizes(seen))).astype(np.float32)[:, None]
-            found.append((seen[:, self.grams].astype(np.float32) @ self.profiles) / size)
+            row, gram, some = ngrams(texts[start : start + ROWS])
+            lettered.append(some)
+            size = np.bincount(row, minlength=len(some))
+            place = np.searchsorted(self.grams, gram)
+            place[place == len(self.grams)] = 0
+            known = self.grams[place] == gram
+            row, place = row[known], place[known]
+            used = np.zeros(len(self.grams), dtype=bool)
+            used[place] = True
+            used = np.flatnonzero(used)
+            column = np.empty(len(self.grams), dtype=np.int32)
+            column[used] = np.arange(len(used))
+            column = column[place]
+            common = np.zeros((len(some), len(self.sizes)), dtype=np.float32)
+            for first in range(0, len(used), PART):
+                few = used[first : first + PART]
+                inside = slice(None) if len(used) <= PART else (column >= first) & (column < first + PART)
+                seen = np.zeros((len(some), len(few)), dtype=np.float32)
+                seen[row[inside], column[inside] - first] = 1
+                common += seen @ np.unpackbits(self.held[few], axis=1, count=len(self.sizes)).astype(np.float32)
+            found.append(common / np.sqrt(size[:, None] * self.sizes[None, :].astype(np.float64)).astype(np.float32))
         return np.concatenate(found), np.concatenate(lettered)
 
 
 def landmarks(texts: list[str]) -> Landmarks:
-    table = symbol_table(texts)
-    rows = []
-    for text in texts:
-        seen = np.zeros((1, SPACE + -SPACE % 8), dtype=bool)
-        presence([text], table, seen)
-        rows.append(np.flatnonzero(seen[0]))
-    grams = np.unique(np.concatenate(rows))
-    profiles = np.zeros((len(grams), len(texts)), dtype=np.float32)
+    rows = [ngrams([text])[1] for text in texts]
+    grams = distinct(np.concatenate(rows))
+    held = np.zeros((len(grams), -(-len(texts) // 8)), dtype=np.uint8)
     for i, row in enumerate(rows):
-        profiles[np.searchsorted(grams, row), i] = 1 / np.sqrt(len(row))
-    return Landmarks(table, grams, profiles)
+        held[np.searchsorted(grams, row), i // 8] |= np.uint8(128 >> i % 8)
+    return Landmarks(grams, held, np.array(list(map(len, rows))))
 
 
 @dataclass

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -56,6 +57,41 @@ def test_held_out_accuracy(model):
     assert ((score > 1 / 3) & (score <= 1)).all()
 
 
+@pytest.fixture(scope="module")
+def scripts():
+    """Six languages with alphabets of their own, of which the last three have the rarer letters."""
+    numbers = random.Random(5)
+    alphabets = {"la": "abcdefghijklmnopqrstuvwxyzáéíóúñçüäö", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω"}
+    alphabets |= {"zh": "".join(map(chr, range(0x4E00, 0x4E60))), "ja": "".join(map(chr, range(0x3041, 0x3091))), "ko": "".join(map(chr, range(0xAC00, 0xAC60)))}
+    return numbers, alphabets, lambda lang, n: " ".join("".join(numbers.choices(alphabets[lang], k=numbers.randrange(2, 7))) for _ in range(n))
+
+
+def test_every_script_keeps_its_letters(spark, scripts):
+    numbers, alphabets, text = scripts
+    usual = [*["la", "ru", "el"] * 8, "zh", "ja", "ko"]
+    rows = [(i, text(lang, 30 if lang in ("la", "ru", "el") else 6), lang) for i, lang in enumerate(usual * 12)]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id int, text string, lang string"), "doc_id", count=48)
+    asked = [(lang, text(lang, 8)) for lang in alphabets for _ in range(30)]
+    found, _ = fitted.predict([t for _, t in asked])
+    assert {lang: np.mean([f == lang for f, (a, _) in zip(found, asked) if a == lang]) for lang in alphabets} == dict.fromkeys(alphabets, 1.0)
+
+
+def test_kernels_of_scripts_and_long_texts(scripts, monkeypatch):
+    """Equal to sets of the letters themselves, also where a text is cut into pieces and the n-grams into parts."""
+    _, alphabets, text = scripts
+
+    def grams(t):
+        t = re.sub(r"[\W\d_]+", " ", f" {t.lower()} ")
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    texts = [text(lang, n) for lang in alphabets for n in (1, 40, 400)] * 5
+    expected = [[len(grams(t) & grams(m)) / np.sqrt(len(grams(t)) * len(grams(m))) for m in texts[:18]] for t in texts]
+    for piece, part in ((1 << 19, 1 << 14), (50, 64)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "PART", part)
+        assert langid.landmarks(texts[:18]).kernels(texts)[0] == pytest.approx(np.array(expected), abs=1e-5)
+
+
 def test_table(spark, model, long_text):
     rows = [(1, None, "x"), (2, "", None), (3, "12 -- 34", "x"), (4, "kor tul meb zan kor", "x"), (4, "kor tul meb zan kor", "x"), (None, long_text, "x")]
     df = spark.createDataFrame(rows, "doc_id int, text string, lang_pred string")
