@@ -2,7 +2,7 @@
 
 Each stage takes the documents its predecessor kept and returns documents again, the last one token ids. ``run`` writes each
 result as Parquet and reads it back for the next stage. Rows with a null id pass the near-duplicate stage, as nothing can name
-them; rows that share an id are one document there, and one of them stays.
+them; rows that share an id are one document there only where their texts are copies or near copies.
 """
 
 from __future__ import annotations
@@ -40,13 +40,15 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of copies and near copies, the document with the least id."""
+    """Of each class of copies and near copies, the document with the least id; rows that share an id stay if their texts differ."""
     ship_package(spark)
-    classes = jaccard.join(docs)
-    kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = jaccard.classes(docs).filter("first and id = copy_id").select(F.col("id").alias("__kept"), F.col("copies").alias("__set")).distinct()
+    kept = written(kept, "kept")
     held = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    one = held.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    held = jaccard.with_digest(held, "text", "__copies")
+    held = held.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__copies") == F.col("__set")), "left_semi")
+    first = Window.partitionBy("doc_id", "__copies").orderBy("text", "source", "lang", "n_chars")
+    one = held.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)
     return one.union(docs.select(*COLUMNS).filter("doc_id is null"))
 
 

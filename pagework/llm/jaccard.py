@@ -3,7 +3,8 @@
 A document is the set of its five-word shingles. MinHash values stand in bands; the number of bands follows from the rows of
 a band and the recall wanted at the threshold. Documents that share a band's hash are candidates, and every candidate pair is
 verified on the full shingle sets. Documents with equal sets are copies: only one of them, the one with the smallest id, takes
-part, and the others follow it.
+part, and the others follow it. A set has a number of its own, in the order of those ids, so rows that share an id but hold
+different texts take part as different sets.
 
 Pairs are never listed. Candidates are put into blocks of a bounded number of documents (near the smallest id they share a
 band with), a bucket names the pairs of blocks it joins, and a task verifies one pair of blocks at a time with matrix products
@@ -92,26 +93,32 @@ def signature(values: np.ndarray, multipliers: np.ndarray, chunk: int = 4096) ->
     return low
 
 
+def digest(found: np.ndarray) -> bytes:
+    """Of a shingle set; empty for an empty one."""
+    return hashlib.md5(found.tobytes()).digest() if len(found) else b""
+
+
 def profiles(df: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
-    """id, copies (a digest of the shingle set), size and band hashes of each document with an id and words."""
-    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    """id, copies (a digest of the shingle set), size and band hashes of each row with an id; no band without words."""
+    source = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id is not null")
     schema = "id bigint, copies binary, size bigint, bands array<bigint>"
 
     def run(batches):
         multipliers = _numbers(bands * rows, 2).astype(np.uint32) | np.uint32(1)
         lanes, band_seed = _numbers(rows, 3), np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in slices(batches):
-            ids, copies, sizes, hashes = [], [], [], []
+            ids, copies, sizes, counts, hashes = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingles(t)
+                ids.append(i)
+                copies.append(digest(found))
+                sizes.append(len(found))
+                counts.append(bands if len(found) else 0)
                 if not len(found):
                     continue
                 values = signature(found, multipliers).reshape(bands, rows).astype(np.uint64)
-                ids.append(i)
-                copies.append(hashlib.md5(found.tobytes()).digest())
-                sizes.append(len(found))
                 hashes.append(mixed((values * lanes).sum(axis=1) ^ band_seed).astype(np.int64))
-            ends = pa.array(np.arange(len(ids) + 1) * bands, pa.int32())
+            ends = pa.array(np.cumsum([0, *counts]), pa.int32())
             flat = pa.array(np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)],
@@ -196,11 +203,27 @@ def join(
     ``copy_id`` is the least id with the same shingle set, ``n_links`` the number of other shingle sets with similarity of at
     least ``threshold``, ``class_id`` the least id of all that hang together by links or as copies. Pairs at the threshold are
     found with probability ``recall``, closer ones with more. Null and wordless texts have no link and are their own class;
-    rows with a null id are left out; rows that share an id are one document. An empty table gives an empty one; other columns
-    are not read."""
+    rows with a null id are left out; rows that share an id are told apart by their shingle sets. An empty table gives an empty
+    one; other columns are not read."""
+    found = classes(df, key, text, threshold, recall, rows, block)
+    return found.select(F.col("id").alias(key), "class_id", "copy_id", "n_links")
+
+
+def classes(
+    df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL,
+    rows: int = BAND_ROWS, block: int = BLOCK,
+) -> DataFrame:
+    """Like ``join``, with id, copies (the digest of the row's shingle set) and whether the set is ``first`` in its class."""
     bands = bands_for(threshold, recall, rows)
     found = written(profiles(df, key, text, bands, rows), "profiles")
-    sets = found.groupBy("copies").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.max("size").alias("size"))
+    sets = (
+        found.filter("size > 0")
+        .groupBy("copies")
+        .agg(F.min("id").alias("least_id"), F.min_by("bands", "id").alias("bands"), F.max("size").alias("size"))
+        .repartitionByRange("least_id", "copies")
+        .sortWithinPartitions("least_id", "copies")
+        .withColumn("id", F.monotonically_increasing_id())
+    )
     sets = written(sets, "shingle-sets")
     member = sets.select("id", "size", F.explode("bands").alias("bucket"))
     buckets = member.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -231,35 +254,55 @@ def join(
         pairs.join(of.withColumnRenamed("block", "a"), "a").select("a", "b", "id", F.lit(0).alias("side"))
         .union(pairs.filter("a < b").join(of.withColumnRenamed("block", "b"), "b").select("a", "b", "id", F.lit(1).alias("side")))
     )
-    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(blocks.select("id"), "id", "left_semi")
+    named = sets.join(blocks.select("id"), "id", "left_semi").select("id", "copies", F.col("least_id").alias("doc"))
+    texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(named, "doc")
     stored = written(packed(texts).dropDuplicates(["id"]), "shingles")
     linked = written(verified(asked.join(stored, "id"), threshold), "linked")
     degrees = linked.groupBy("id").agg(F.sum("links").alias("n_links"))
-    classes = connected(linked.filter("id <> least").select("id", "least"))
+    least = connected(linked.filter("id <> least").select("id", "least"))
+    firsts = sets.select(F.col("id").alias("least"), F.col("least_id").alias("class_id"))
     known = (
-        sets.select("copies", F.col("id").alias("copy_id"))
-        .join(degrees.withColumnRenamed("id", "copy_id"), "copy_id", "left")
-        .join(classes.select(F.col("id").alias("copy_id"), F.col("least").alias("class_id")), "copy_id", "left")
+        sets.select("id", "copies", F.col("least_id").alias("copy_id"))
+        .join(degrees, "id", "left")
+        .join(least.join(firsts, "least"), "id", "left")
+        .select("copies", "copy_id", "n_links", "class_id", F.coalesce(F.col("least") == F.col("id"), F.lit(True)).alias("first"))
     )
-    members = found.select("id", "copies").join(known, "copies").drop("copies")
-    wordless = df.select(F.col(key).cast("bigint").alias("id")).filter("id is not null").join(found.select("id"), "id", "left_anti")
+    members = found.filter("size > 0").select("id", "copies").join(known, "copies")
+    wordless = found.filter("size = 0").select("id", "copies", F.lit(True).alias("first"))
     return members.unionByName(wordless, allowMissingColumns=True).select(
-        F.col("id").alias(key),
+        "id",
+        "copies",
         F.coalesce("class_id", "copy_id", "id").alias("class_id"),
         F.coalesce("copy_id", "id").alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "first",
     )
 
 
+def with_digest(df: DataFrame, text: str, into: str) -> DataFrame:
+    """``df`` with the digest of each text's shingle set, as ``classes`` has it."""
+    source = df.withColumn(into, F.lit(b""))
+    place = df.columns.index(text)
+
+    def run(batches):
+        for batch in slices(batches):
+            found = pa.array([digest(shingles(t)) for t in batch.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=batch.schema.names)
+
+    return source.mapInArrow(run, source.schema)
+
+
 def packed(texts: DataFrame) -> DataFrame:
-    """(id, shingles): the whole shingle set of each text as bytes."""
+    """(id, shingles): the whole shingle set as bytes of each text whose set is the one that ``copies`` names."""
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [(i, found.tobytes()) for i, t, c in zip(*(x.to_pylist() for x in batch.columns)) if digest(found := shingles(t)) == c]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=["id", "shingles"]
+            )
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
+    return texts.select("id", "text", "copies").mapInArrow(run, "id bigint, shingles binary")
 
 
 def verified(rows: DataFrame, threshold: float) -> DataFrame:

@@ -75,6 +75,14 @@ def test_long_texts(spark, long_text):
     assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == brute(rows)
 
 
+def test_one_id_with_several_texts(spark, rows):
+    """Every text of an id takes part: links and classes are those that the texts have under ids of their own."""
+    apart = [(2 * i, t) for i, t in rows[:-1] if i is not None]
+    expected = sorted((i - i % 4, c - c % 4, k - k % 4, n) for i, (c, k, n) in brute(apart).items())
+    df = spark.createDataFrame([(i - i % 4, t) for i, t in apart], "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard.join(df, block=16).collect())) == expected
+
+
 def test_empty_table(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     assert len(jaccard.join(spark.createDataFrame([(1, None)], "doc_id bigint, text string")).collect()) == 1

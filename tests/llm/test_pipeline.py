@@ -67,6 +67,14 @@ def test_the_mix_of_the_third_stages_documents(spark, tables):
     assert {i: reads.count(i) * expected[i][0] for i in expected} == {i: e[3] for i, e in expected.items()}
 
 
+def test_rows_that_share_an_id_stay_if_their_texts_differ(spark):
+    words = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, words["a"]), (1, words["b"]), (1, words["b"]), (2, words["b"]), (2, words["c"]), (3, words["c"] + " end"), (3, words["d"]), (None, words["a"])]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "a")]
+
+
 def test_empty_documents(spark, tables):
     folder, _, _ = tables
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
