@@ -75,7 +75,12 @@ def spread_key(*columns: str) -> Column:
 
 
 def bounded_sample(df: DataFrame, order: str, rows: int) -> DataFrame:
-    """The rows whose ``order`` is among its ``rows`` smallest values. Only that column is read to find the border,
-    and no row is moved; equal values at the border all stay."""
-    border = df.select(order).orderBy(order).limit(rows).agg(F.max(order)).first()[0]
-    return df.filter(F.col(order) <= border) if border is not None else df.filter(F.lit(False))
+    """``rows`` rows of ``df``, those with the smallest ``order`` (fewer only where there are fewer). Only that column is read
+    to find the border, and rows below it are not moved. Of rows that tie at the border as many as are wanted stay, chosen by
+    the hash of their other columns, so one hot key cannot make the sample larger."""
+    border = df.select(order).orderBy(order).limit(rows).groupBy(order).count().orderBy(F.desc(order)).first()
+    if border is None:
+        return df.filter(F.lit(False))
+    below, ties = df.filter(F.col(order) < border[0]), df.filter(F.col(order) == border[0])
+    others = [c for c in df.columns if c != order]
+    return below.union(ties.orderBy(F.xxhash64(*others)).limit(border["count"]))
