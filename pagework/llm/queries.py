@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import ann, bpe, chat, jaccard, langid, mips, mixing, toxicity, url_rules, warc
+from pagework.llm import ann, bpe, chat, hard_negatives, jaccard, langid, lm, mips, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,3 +222,37 @@ where rank <= 5
 @query
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), 5, every=50)
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), lambda x: F.floor(256 * x), every=100, label=label)
+
+
+ORACLES["op12_hard_negatives"] = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score
+  from usable a join usable c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scored where same)
+  where n <= 5),
+banded as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from positives p join scored s using (anchor_id)
+  where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+from banded where rank <= 10
+"""
+
+
+@query
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return lm.score(docs, ~F.coalesce("held_out", F.lit(False)), ["doc_id", "held_out"])
