@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagework.llm import ann, bpe, chat, hard_negatives, jaccard, langid, lm, mips, mixing, toxicity, url_rules, warc
+from pagework.llm import ann, bpe, chat, collocations, hard_negatives, jaccard, langid, lm, mips, mixing, toxicity, url_rules, warc
 from pagework.llm.common import read_table, run_folder, ship_package, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,3 +256,45 @@ from banded where rank <= 10
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
     return lm.score(docs, ~F.coalesce("held_out", F.lit(False)), ["doc_id", "held_out"])
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+ORACLES["op11_collocations"] = r"""
+with base as (
+  select row_number() over () as row, coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select row, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from base),
+numbered as (select row_number() over () as piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+words as (select lang, piece_id, unnest(ws) as w, generate_subscripts(ws, 1) as at from numbered),
+totals as (select lang, cast(count(*) as bigint) as n from words group by lang),
+runs as (
+  select lang, w as w1, lead(w, 1) over p as w2, lead(w, 2) over p as w3, lead(w, 3) over p as w4, lead(w, 4) over p as w5
+  from words window p as (partition by piece_id order by at)),
+phrases as (
+  select lang, 1 as words, w1 as phrase from runs
+  union all select lang, 2, concat_ws(' ', w1, w2) from runs where w2 is not null
+  union all select lang, 3, concat_ws(' ', w1, w2, w3) from runs where w3 is not null
+  union all select lang, 4, concat_ws(' ', w1, w2, w3, w4) from runs where w4 is not null
+  union all select lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) from runs where w5 is not null),
+freq as (select lang, words, phrase, cast(count(*) as bigint) as f from phrases group by lang, words, phrase having count(*) >= 100),
+cuts as (
+  select lang, phrase, f as a, words, string_split(phrase, ' ') as ws, unnest(range(1, words)) as k from freq where words > 1),
+scored as (
+  select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n,
+         cast(cast(1000 as hugeint) * c.a * t.n // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from cuts c join totals t using (lang)
+  join freq x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:c.k], ' ')
+  join freq y on y.lang = c.lang and y.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (
+  select * from best b where not exists (
+    select 1 from freq o where o.lang = b.lang and o.words > len(string_split(b.phrase, ' ')) and 100 * o.f >= 100 * b.a
+      and contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""

@@ -7,7 +7,7 @@ from pagework.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations"
-WITHOUT_TWIN = {"op3_bpe_round_trip", "op5_language", "op6_jaccard_join", "op7_toxicity", "op8_learned_partitions", "op10_url_filter"}
+WITHOUT_TWIN = {"op3_bpe_round_trip", "op5_language", "op6_jaccard_join", "op7_toxicity", "op8_learned_partitions", "op10_url_filter", "op13_lm_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +18,8 @@ def duck():
     return connection
 
 
-def test_ten_queries():
-    assert len(QUERIES) == 10 and set(QUERIES) - set(ORACLES) == WITHOUT_TWIN
+def test_queries():
+    assert len(QUERIES) == 13 and set(QUERIES) - set(ORACLES) == WITHOUT_TWIN
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
