@@ -120,7 +120,7 @@ class Stretch:
         inside[self.starts] = inside[-1] = False
         self.words[inside] = np.fromiter((n for _, numbers in texts for n in numbers), np.int64)
         self.prefix = prefixes(words.codes[self.words])
-        self.seed = codes_of([lang.encode()])[0]
+        self.seed = codes_of([lang.encode()])  # an array, so that products may wrap
 
     def prints(self, at: np.ndarray, size: int) -> np.ndarray:
         return mixed(spans(self.prefix, at, size) + self.seed * np.uint64(2 * size + 1)) & self.mask

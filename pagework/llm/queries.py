@@ -269,11 +269,11 @@ with base as (
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
 pieces as (select row, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from base),
 numbered as (select row_number() over () as piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
-words as (select lang, piece_id, unnest(ws) as w, generate_subscripts(ws, 1) as at from numbered),
+words as (select lang, piece_id, unnest(ws) as w, generate_subscripts(ws, 1) as place from numbered),
 totals as (select lang, cast(count(*) as bigint) as n from words group by lang),
 runs as (
   select lang, w as w1, lead(w, 1) over p as w2, lead(w, 2) over p as w3, lead(w, 3) over p as w4, lead(w, 4) over p as w5
-  from words window p as (partition by piece_id order by at)),
+  from words window p as (partition by piece_id order by place)),
 phrases as (
   select lang, 1 as words, w1 as phrase from runs
   union all select lang, 2, concat_ws(' ', w1, w2) from runs where w2 is not null
