@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import text as tx
+from pagework.operators import recency
 from pagework.operators.rows import each
 
 KEPT = 100
@@ -28,6 +29,13 @@ def cap_index(index: DataFrame, keep: int = KEPT) -> DataFrame:
     return index.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= keep).drop("_rank")
 
 
+def recent_index(opens: DataFrame, keep: int = KEPT, before: DataFrame | None = None) -> DataFrame:
+    """The index of the latest ``keep`` files per owner as it stands after taking in every open in turn: a file that fell out and
+    was opened again starts at 1. ``before`` is the index of earlier opens."""
+    found = recency.recent_files(opens, keep, before)
+    return found.withColumn("file_name", tx.base_name(F.col("file_path")))
+
+
 def search_index(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits of ``owner, query`` rows in that owner's index, ranked: name hits first, then the latest.
 

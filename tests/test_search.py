@@ -3,6 +3,7 @@ import random
 
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 from pagework.operators import search as se
 from pagework.streaming import live_index as li
@@ -95,3 +96,88 @@ def test_bounded_stream_forgets_what_fell_out(spark, table, tmp_path):
     write_batches(table, source, [[(1, "/a.pdf", at(7))]])
     live = li.finish(spark, li.start_bounded_index(opens_stream(spark, source), state, keep=2), state)
     assert tuples(live, "file_path", "open_count", "last_opened") == [("/a.pdf", 1, at(7)), ("/b.pdf", 3, at(6))]
+
+
+def replay(opens, keep):
+    """Every open taken in one by one, as a list that is cut to the latest ``keep``."""
+    files = {}
+    for owner, path, ts in sorted(opens, key=lambda o: (o[0], o[2], [-ord(c) for c in o[1]])):
+        held = files.setdefault(owner, [])
+        entry = next((f for f in held if f[0] == path), None)
+        if entry:
+            held.remove(entry)
+        held.append((path, entry[1] + 1 if entry else 1, ts))
+        del held[: max(0, len(held) - keep)]
+    return sorted((owner, path, count, last) for owner, held in files.items() for path, count, last in held)
+
+
+def random_opens(seed, count=900, owners=3, paths=14, minutes=400):
+    """Mostly of one owner, with instants that repeat and favourite files that come back after long gaps."""
+    rng = random.Random(seed)
+    path = lambda: f"/f{min(rng.randrange(paths), rng.randrange(paths))}.pdf"
+    return [(rng.choice([0, 0, 0, *range(owners)]), path(), at(rng.randrange(minutes))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("keep", [1, 2, 5, 9, 40])
+def test_recent_index_equals_a_replay_of_every_open(spark, table, keep):
+    opens = random_opens(keep)
+    df = table(OPENS, opens + [(1, None, at(0)), (None, "/a.pdf", at(0)), (1, "/a.pdf", None)])
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = se.recent_index(df, keep)
+        assert tuples(found, "owner", "file_path", "open_count", "last_opened") == replay(opens, keep)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_stretches_join_to_the_whole():
+    from pagework.operators.recency import Stretch
+
+    rng = random.Random(4)
+    for _ in range(300):
+        keep, opens = rng.randrange(1, 7), [(f"/{rng.randrange(9)}", n, 1) for n in range(rng.randrange(0, 60))]
+        whole, cuts = Stretch(keep), sorted(rng.randrange(0, len(opens) + 1) for _ in range(rng.randrange(0, 6)))
+        for one in opens:
+            whole.open(*one)
+        parts = []
+        for a, b in zip([0, *cuts], [*cuts, len(opens)]):
+            parts.append(Stretch(keep))
+            for one in opens[a:b]:
+                parts[-1].open(*one)
+        while len(parts) > 1:  # in any grouping
+            i = rng.randrange(len(parts) - 1)
+            parts[i : i + 2] = [parts[i].join(parts[i + 1])]
+        assert parts[0].entries() == whole.entries() and list(parts[0].first) == list(whole.first)
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 7])
+def test_any_split_into_batches_gives_one_result(spark, table, tmp_path, pieces):
+    opens = sorted(random_opens(21, 240, minutes=10_000), key=lambda o: (o[2], [-ord(c) for c in o[1]]))
+    source, state, size = str(tmp_path / "in"), str(tmp_path / "state"), -(-len(opens) // pieces)
+    write_batches(table, source, [opens[i : i + size] for i in range(0, len(opens), size)])
+    live = li.finish(spark, li.start_recent_index(opens_stream(spark, source), state, keep=4, buckets=3), state)
+    assert tuples(live, "owner", "file_path", "open_count", "last_opened") == replay(opens, 4)
+
+
+def test_batches_write_the_buckets_of_their_owners_only(spark, table, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    owners = list(range(12))
+    write_batches(table, source, [[(o, "/a.pdf", at(1)) for o in owners], [(5, "/b.pdf", at(2))], [(5, "/a.pdf", at(3)), (5, "/c.pdf", at(4))]])
+    live = li.finish(spark, li.start_recent_index(opens_stream(spark, source), state, keep=2, buckets=4), state)
+    assert tuples(live, "owner", "file_path", "open_count") == sorted([(o, "/a.pdf", 1) for o in owners if o != 5] + [(5, "/a.pdf", 2), (5, "/c.pdf", 1)])
+    bucket = dict(tuples(spark.range(12).select(F.col("id").alias("owner")).select("owner", li.bucket_of(4))))
+    mine = bucket[5]
+    data = tmp_path / "state" / "index" / "data"
+    assert {p.name for p in (data / "version=0").iterdir() if p.name.startswith("bucket")} == {f"bucket={b}" for b in bucket.values() if b != mine}
+    for version in (1, 2):
+        assert [p.name for p in (data / f"version={version}").iterdir() if p.name.startswith("bucket")] == [f"bucket={mine}"]
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, table, tmp_path):
+    folder = str(tmp_path / "index")
+    write = li._keep_buckets(folder, lambda batch, before: se.recent_index(batch, 3, before), 2)
+    one, two = table(OPENS, [(1, "/a.pdf", at(1))]), table(OPENS, [(1, "/a.pdf", at(2)), (2, "/b.pdf", at(3))])
+    for batch, number in ((one, 0), (one, 0), (two, 1), (two, 1), (table(OPENS, []), 2), (two.limit(0), 3)):
+        write(batch, number)
+    found = li._read(spark, folder, li._pointer(spark, folder, 3))
+    assert tuples(found, "owner", "file_path", "open_count") == [(1, "/a.pdf", 2), (2, "/b.pdf", 1)]
