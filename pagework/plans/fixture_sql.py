@@ -245,11 +245,12 @@ select request_id, doc_id, mode, custom_pages, start_page, end_page,
 from {mode_requests}
 """
 
+# The share is taken before the scale, so that no product passes 64 bits.
 SQL["compress_sizes"] = """
-select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n end as original_size,
-       cast(floor(n * (40 + doc_id % 70) / 100) as bigint) as compressed_size
-from (select doc_id, n_chars * (1 + doc_id % 3 * 1000)
-             * case when doc_id % 50 = 1 then 5000000 when doc_id % 50 = 2 then 20000000000 else 1 end as n
+select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n * scale end as original_size,
+       cast(floor(n * (40 + doc_id % 70) / 100) as bigint) * scale as compressed_size
+from (select doc_id, n_chars * (1 + doc_id % 3 * 1000) as n,
+             cast(case when doc_id % 50 = 1 then 5000000 when doc_id % 50 = 2 then 2000000000 else 1 end as bigint) as scale
       from {documents}) t
 """
 
