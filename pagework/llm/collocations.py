@@ -8,8 +8,8 @@ the same way. A language has its own start value, so phrases of two languages ha
    frequent: a table of bits of fixed size says so, with errors on the safe side only. Fingerprints that collide add up, so no
    frequent phrase is lost.
 2. Once more over the texts: each task groups the occurrences of fingerprints that can be frequent by their exact words, and gives
-   (fingerprint, count, pointer to one occurrence). A shuffle adds them up by fingerprint; where the sum is large enough, all pointers
-   are followed into the texts, and counts are added up by text. Phrases that share a fingerprint part there.
+   (fingerprint, digest of language and text, count, pointer to one occurrence). A shuffle adds them up, so phrases that share a fingerprint
+   part, and keeps the first pointer; where the sum is large enough, it is followed into the texts.
 
 So only frequent phrases ever stand as text, and their counts are exact. Cuts and longer phrases are joins on them.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ UNKNOWN = "und"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 SLOTS = 1 << 26  # bits of a table, 8 MB
+COUNTED = 44  # bits of a fingerprint while only counting: shorter rows, and a sum that may be too large, never too small
 TOGETHER, KEPT, KEPT_WORDS = 1 << 17, 1 << 21, 1 << 19
 
 
@@ -87,11 +89,13 @@ class Words(dict):
 
     def __init__(self):
         super().__init__({BREAK: 0})
+        self.words: list[bytes] = [BREAK]
         self.new: list[bytes] = []
         self.codes = np.zeros(1, dtype=np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
+        self.words.append(word)
         self.new.append(word)
         return number
 
@@ -192,7 +196,7 @@ def count_prints(rows: DataFrame, sizes: list[int], tables, bits: int = 64) -> D
             if item is None:
                 continue
             for size in sizes:
-                found, times = np.unique(item[1].phrases(known, size)[1], return_counts=True)
+                found, times = np.unique(item[1].phrases(known, size)[1] & np.uint64((1 << COUNTED) - 1), return_counts=True)
                 prints.append(found)
                 counts.append(times)
                 held += len(found)
@@ -245,20 +249,23 @@ class Groups:
         total = np.add.reduceat(counts[order], first) if len(first) else counts
         return prints[first], words[first], total, rows[order][first], places[order][first]
 
-    def out(self):
+    def out(self, words: list[bytes], langs: list[str]):
         if self.parts:
-            prints, _, counts, rows, places = self.grouped(*map(np.concatenate, zip(*self.parts)))
+            prints, numbers, counts, rows, places = self.grouped(*map(np.concatenate, zip(*self.parts)))
             self.parts, self.held = [], 0
             n = len(prints)
-            yield record(pa.array([self.size] * n, pa.int32()), pa.array(prints.view(np.int64)), pa.array(counts),
-                         pa.array(rows), pa.array(places.astype(np.int32)), pa.nulls(n, pa.string()))
+            names = [lang.encode() + BREAK for lang in langs]
+            texts = (names[row[0]] + b" ".join([words[i] for i in row[1:]]) for row in numbers.tolist())
+            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, n)
+            yield record(pa.array([self.size] * n, pa.int32()), pa.array(prints.view(np.int64)), pa.array(digests.view(np.int64)),
+                         pa.array(counts), pa.array(rows), pa.array(places.astype(np.int32)), pa.nulls(n, pa.string()))
 
 
-POINTERS = "size int, print bigint, n bigint, row bigint, at int, lang string"
+POINTERS = "size int, print bigint, digest bigint, n bigint, row bigint, at int, lang string"
 
 
 def record(*columns):
-    return pa.RecordBatch.from_arrays(list(columns), names=["size", "print", "n", "row", "at", "lang"])
+    return pa.RecordBatch.from_arrays(list(columns), names=["size", "print", "digest", "n", "row", "at", "lang"])
 
 
 def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
@@ -271,7 +278,7 @@ def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
 
         def out():
             for group in groups:
-                yield from group.out()
+                yield from group.out(words.words, list(numbers))
 
         for item in stretches(batches, words, out, bits):
             if isinstance(item, pa.RecordBatch):
@@ -287,17 +294,17 @@ def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
                 exact = np.stack([np.full(len(at), number), *(stretch.words[at + i] for i in range(group.size))], axis=1)
                 group.add(prints, exact, np.ones(len(at), np.int64), *stretch.pointers(at))
                 if group.held > KEPT // 2:
-                    yield from group.out()
+                    yield from group.out(words.words, list(numbers))
         yield from out()
         n = len(totals)
-        yield record(pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(totals.values(), pa.int64()),
+        yield record(pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals.values(), pa.int64()),
                      pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(totals.keys(), pa.string()))
 
     return rows.mapInArrow(run, POINTERS)
 
 
 def follow(pointers: DataFrame, rows: DataFrame) -> DataFrame:
-    """(lang, phrase, words, n): the counts of the pointers' texts, added up."""
+    """(lang, phrase, words, n): the counts of the pointers, added up by the text they lead to."""
     wanted = pointers.groupBy("row").agg(F.collect_list(F.struct("size", "at", "n")).alias("wanted"))  # at most the row's phrases
 
     def run(batches):
@@ -332,8 +339,8 @@ def frequent_phrases(
             table = context.broadcast(bit_table(count_prints(rows, sizes, tables, bits).filter(F.col("n") >= least)))
             tables |= {size: table for size in sizes if size <= longest}
     pointers = written(point(rows, tables, longest, bits), "phrase-pointers")
-    enough = pointers.filter("size > 0").groupBy("size", "print").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).drop("all")
-    exact = follow(pointers.join(enough, ["size", "print"]), rows).filter(F.col("n") >= least)
+    summed = pointers.filter("size > 0").groupBy("size", "print", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("first"))
+    exact = follow(summed.filter(F.col("n") >= least).select("size", "n", "first.*"), rows)
     totals = pointers.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("total"))
     return written(exact, "phrases"), written(totals, "phrase-totals")
 
