@@ -19,10 +19,10 @@ from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
 from pagework.schemas import TABLES
 from pagework.session import shared_folder
-from pagework.sources.files import classify_security, list_pdf_files
+from pagework.sources.files import classify_security, list_pdf_files, on_disk, relative_path, scan_pdf_files, scan_security, write_files
 from pagework.sources.manifest_sink import read_manifest, write_manifest
 from pagework.sources.requests import read_requests
-from pagework.streaming.live_index import finish, read_opens, start_bounded_index, start_live_index
+from pagework.streaming.live_index import finish, read_opens, start_bounded_index, start_live_index, start_recent_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,42 @@ def a2_classify_security(i: Inputs) -> DataFrame:
     return classify_security(i["file_listing"].withColumn("content", F.encode("body", "UTF-8")))
 
 
+def _written_files(i: Inputs) -> str:
+    """A folder of the shared one with a file for every document."""
+    folder = f"{shared_folder(i.spark)}/files-{_run_number()}"
+    write_files(i["pdf_files"].select("name", F.encode("body", "UTF-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _scanned_files(i: Inputs) -> DataFrame:
+    """PDF files of such a folder, under the documents' paths."""
+    folder = _written_files(i)
+    return scan_pdf_files(i.spark, folder).withColumn("file_path", F.concat(F.lit("/"), relative_path(F.col("file_path"), folder)))
+
+
+@query
+def a1_scan_written_files(i: Inputs) -> DataFrame:
+    return _scanned_files(i)
+
+
+# Small enough that some documents are larger.
+LARGEST = 6000
+
+
+@query
+def a2_scan_security(i: Inputs) -> DataFrame:
+    folder = _written_files(i)
+    found = scan_security(i.spark, folder, LARGEST).rows
+    return found.withColumn("file_path", relative_path(F.col("file_path"), folder))
+
+
+@query
+def a2_scan_security_errors(i: Inputs) -> DataFrame:
+    folder = _written_files(i)
+    errors = scan_security(i.spark, folder, LARGEST).errors
+    return error_rows(errors).select(relative_path(F.col("error"), folder).alias("file_path"), F.substring_index("error", ":", 1).alias("error"))
+
+
 def _read_number_requests(i: Inputs):
     """Requests written as JSON lines, some of them broken, and read again."""
     folder = f"{shared_folder(i.spark)}/requests-{_run_number()}"
@@ -485,6 +521,19 @@ def f5_flag_missing(i: Inputs) -> DataFrame:
     return se.flag_missing(hits, i["open_files"]).select("owner", "query", "rank", "file_path", "is_missing")
 
 
+@query
+def f5_flag_missing_files(i: Inputs) -> DataFrame:
+    """Every document opened once by someone; which of the files are gone."""
+    when = F.expr("timestampadd(SECOND, doc_id % 1000, timestamp_ntz'2024-01-01 00:00:00')")
+    opens = i.docs.select((F.col("doc_id") % 9).alias("owner"), "file_path", when.alias("ts"))
+    return se.flag_missing(se.build_index(opens), _scanned_files(i)).select("owner", "file_path", "is_missing")
+
+
+@query
+def f2_recent_index(i: Inputs) -> DataFrame:
+    return se.recent_index(i["open_events"])
+
+
 @query
 def f6_effective_opens(i: Inputs) -> DataFrame:
     return se.effective_opens(i["open_events"], i["index_control"])
@@ -509,6 +558,11 @@ def f7_bounded_index(i: Inputs) -> DataFrame:
     return _streamed(i, start_bounded_index)
 
 
+@query
+def f7_recent_index(i: Inputs) -> DataFrame:
+    return _streamed(i, start_recent_index)
+
+
 def _streamed(i: Inputs, start) -> DataFrame:
     """The index after a run over all opens and a second one on the same folder, which resumes and finds nothing new."""
     folder = f"{shared_folder(i.spark)}/live-index-{_run_number()}"
@@ -537,3 +591,9 @@ def _run_number() -> str:
 @query
 def g1_validate_requests(i: Inputs) -> DataFrame:
     return results(validate_requests(i.tool_requests, i.docs), "tool")
+
+
+@query
+def g1_validate_on_files(i: Inputs) -> DataFrame:
+    """The same requests, where a file exists if the scan finds it with bytes in it."""
+    return results(validate_requests(i.tool_requests, on_disk(i.docs, _scanned_files(i))), "tool")

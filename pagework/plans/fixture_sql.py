@@ -245,6 +245,15 @@ select request_id, doc_id, mode, custom_pages, start_page, end_page,
 from {mode_requests}
 """
 
+# Files to be written: every document under its path, some with a suffix in other cases or that of a text, some empty.
+SQL["pdf_files"] = """
+select doc_id, concat(substr(file_path, 2, length(file_path) - 5),
+              case doc_id % 6 when 2 then '.PDF' when 3 then '.Pdf' when 4 then '.txt' else '.pdf' end) as name,
+       case when doc_id % 11 = 3 then '' else concat('%PDF-1.4 ', text,
+            case when doc_id % 4 = 1 then ' trailer<</Encrypt 5 0 R>> %%EOF' else ' trailer<</Root 1 0 R>> %%EOF' end) end as body
+from {docs} join (select doc_id as text_id, text from {documents}) t on doc_id = text_id
+"""
+
 # The share is taken before the scale, so that no product passes 64 bits.
 SQL["compress_sizes"] = """
 select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n * scale end as original_size,

@@ -852,6 +852,29 @@ oracle(
     """select path as file_path, contains(body, '/Encrypt') as is_encrypted,
               case when not contains(body, '/Encrypt') then true end as can_be_processed from file_listing""",
 )
+PDF_FILES = "found as (select doc_id, name, body, strlen(body) as n from pdf_files where regexp_matches(lower(name), '[.]pdf$') and body <> '')"
+oracle(
+    "a1_scan_written_files",
+    ["pdf_files"],
+    """select concat('/', name) as file_path, regexp_extract(name, '[^/]*$') as file_name,
+              regexp_replace(regexp_extract(name, '[^/]*$'), '[.][^.]*$', '') as base, n as file_size from found""",
+    PDF_FILES,
+)
+oracle(
+    "a2_scan_security",
+    ["pdf_files"],
+    """select name as file_path, contains(body, '/Encrypt') as is_encrypted, case when not contains(body, '/Encrypt') then true end as can_be_processed
+       from found where n <= 6000""",
+    PDF_FILES,
+)
+oracle("a2_scan_security_errors", ["pdf_files"], "select name as file_path, 'File is too large to read' as error from found where n > 6000", PDF_FILES)
+oracle(
+    "f5_flag_missing_files",
+    ["docs", "pdf_files"],
+    """select d.doc_id % 9 as owner, d.file_path, f.doc_id is null as is_missing
+       from docs d left join found f on d.file_path = concat('/', f.name)""",
+    PDF_FILES,
+)
 oracle(
     "a3_read_requests",
     ["number_requests"],
@@ -956,9 +979,37 @@ oracle(
     "select t.request_id, t.tool, error is null as success, error from tool_requests t left join said using (request_id)",
     VALID,
 )
+oracle(
+    "g1_validate_on_files",
+    ["tool_requests", "pdf_files"],
+    "select t.request_id, t.tool, error is null as success, error from tool_requests t left join said using (request_id)",
+    PDF_FILES + ",\n" + VALID.replace("left join docs d using (file_path)", "left join present d using (file_path)")
+    .replace("from docs d where d.file_path = u.f", "from present d where d.file_path = u.f")
+    .replace("\nt as (", "\npresent as (select d.* from docs d join found f on d.file_path = concat('/', f.name)),\nt as (", 1).lstrip(),
+)
 oracle(
     "a5_results_json",
     ["tool_requests"],
     "select t.request_id, error is null as success, error from tool_requests t left join said using (request_id)",
     VALID,
 )
+
+# F2, F7 with files that fall out: an open counts from the last gap in which a hundred other files were opened.
+for _key in ("f2_recent_index", "f7_recent_index"):
+    oracle(
+        _key,
+        ["open_events"],
+        """select p.owner, p.file_path, cast(sum(p.times) as bigint) as open_count, max(p.ts) as last_opened,
+                  regexp_extract(p.file_path, '[^/\\\\]*$') as file_name
+           from placed p join starts s on s.owner = p.owner and s.file_path = p.file_path and p.place >= s.place
+           group by p.owner, p.file_path
+           qualify row_number() over (partition by p.owner order by max(p.ts) desc, p.file_path) <= 100""",
+        """summed as (select owner, file_path, ts, count(*) as times from open_events group by owner, file_path, ts),
+ordered as (select *, row_number() over (partition by owner order by ts, file_path desc) as place from summed),
+placed as (select *, lag(place) over (partition by owner, file_path order by place) as prev from ordered),
+fresh as (select g.owner, g.file_path, g.place from placed g join placed o
+          on o.owner = g.owner and o.place > g.prev and o.place < g.place and coalesce(o.prev, 0) < g.prev
+          group by g.owner, g.file_path, g.place having count(*) >= 100),
+starts as (select owner, file_path, max(place) as place
+           from (select owner, file_path, place from placed where prev is null union all select * from fresh) group by owner, file_path)""",
+    )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagework.functions import messages as say
@@ -23,6 +27,47 @@ def read_pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def relative_path(path: Column, folder: str) -> Column:
+    """What comes after ``folder`` in ``path``; the reader may write the folder's scheme in another way."""
+    return F.regexp_replace(path, "^.*" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each row's ``content`` to ``folder/name``, and gives ``name, length`` of what was written.
+
+    Tasks write their own rows, each file under another name first, so that a reader never meets half a file and a task
+    that is run again does no harm. Rows without a name are left out; null content is an empty file. Of rows with one name any may win.
+    """
+
+    def place(target: str):
+        if target.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + target[5:].lstrip("/")
+        return fs.FileSystem.from_uri(target)
+
+    def run(batches):
+        store, root = place(folder)
+        made = set()
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                above = f"{root}/{name}".rsplit("/", 1)[0]
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
+                with store.open_output_stream(f"{root}/{name}.part") as out:
+                    out.write(content)
+                store.move(f"{root}/{name}.part", f"{root}/{name}")
+            sizes = pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["name", "length"])
+
+    named = rows.where("name is not null").select("name", F.coalesce("content", F.lit(b"")).alias("content"))
+    return named.mapInArrow(run, "name STRING, length BIGINT")
+
+
+def on_disk(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``docs`` whose ``file_path`` is among the scanned ``files``, with the size found there."""
+    return docs.drop("file_size").join(files.where("file_size > 0").select("file_path", "file_size"), "file_path")
+
+
 def list_pdf_files(files: DataFrame) -> DataFrame:
     """``file_path, file_name, base, file_size`` of the PDF files in a ``path, length`` listing."""
     name = tx.base_name(F.col("path"))
@@ -34,9 +79,11 @@ def list_pdf_files(files: DataFrame) -> DataFrame:
     )
 
 
-def scan_pdf_files(spark: SparkSession, folder: str) -> DataFrame:
-    """PDF files with their size. ``content`` is never selected, so file bytes are not read."""
-    return list_pdf_files(read_pdf_bytes(spark, folder).select("path", "length"))
+def scan_pdf_files(spark: SparkSession, folder: str, largest: int | None = None) -> DataFrame:
+    """PDF files with their size. ``content`` is never selected, so file bytes are not read; ``largest`` is a filter of the
+    reader, which then passes over larger files."""
+    found = read_pdf_bytes(spark, folder).select("path", "length")
+    return list_pdf_files(found if largest is None else found.where(F.col("length") <= largest))
 
 
 def classify_security(files: DataFrame) -> DataFrame:

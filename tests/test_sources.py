@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 from pagework.operators import manifest as mf
 from pagework.operators.outcomes import from_result_json, results_of, to_result_json
@@ -115,3 +116,50 @@ def test_result_json(table):
     back = [tuple(r) for r in from_result_json(lines).orderBy("request_id").collect()]
     assert back == [(1, True, None), (2, False, "no"), (3, False, "Unknown error"), (4, False, "Unknown error"), (5, False, "Unknown error")]
     assert tuples(to_result_json(from_result_json(lines)), "result")[-1] == ('{"success":true,"error":null}',)
+
+
+@pytest.fixture
+def files_folder(spark, table, tmp_path):
+    bodies = {
+        "a/plain.pdf": b"%PDF-1.4 trailer<</Root 1 0 R>>", "a/locked.PDF": b"%PDF \xff\x00 /Encrypt 5 0 R", "b/locked.pDf": b"/Encrypt",
+        "b/c/plain.Pdf": b"%PDF", "b/empty.pdf": b"", "b/note.txt": b"/Encrypt", "large.pdf": b"x" * 500, "large.PDF.txt": b"x",
+    }
+    rows = table("name string, content binary", [*bodies.items(), (None, b"x"), ("b/null.pdf", None)])
+    folder = f"file://{tmp_path}/files-1"
+    for _ in range(2):  # as if every task had to be run again
+        written = files.write_files(rows.repartition(3), folder)
+        assert tuples(written) == sorted([*((n, len(b)) for n, b in bodies.items()), ("b/null.pdf", 0)])
+    assert not list((tmp_path / "files-1").rglob("*.part"))
+    return folder
+
+
+def test_written_files_are_scanned(spark, files_folder):
+    found = files.scan_pdf_files(spark, files_folder)
+    names = found.select(files.relative_path(F.col("file_path"), files_folder), "file_name", "base", "file_size")
+    assert tuples(names) == [
+        ("a/locked.PDF", "locked.PDF", "locked", 22), ("a/plain.pdf", "plain.pdf", "plain", 31), ("b/c/plain.Pdf", "plain.Pdf", "plain", 4),
+        ("b/locked.pDf", "locked.pDf", "locked", 8), ("large.pdf", "large.pdf", "large", 500),
+    ]
+    assert files.scan_pdf_files(spark, files_folder, largest=30).count() == 3
+
+
+def test_security_of_written_files(spark, files_folder):
+    found = files.scan_security(spark, files_folder, largest=100)
+    relative = lambda df, c: df.withColumn(c, files.relative_path(F.col(c), files_folder))
+    assert tuples(relative(found.rows, "file_path")) == [
+        ("a/locked.PDF", True, None), ("a/plain.pdf", False, True), ("b/c/plain.Pdf", False, True), ("b/locked.pDf", True, None),
+    ]
+    assert [r["errors"][0].rsplit("/", 1)[-1] for r in found.errors.collect()] == ["large.pdf"]
+
+
+def test_the_reader_gets_the_limit_and_no_bytes_where_none_are_asked_for(spark, files_folder):
+    plan = files.scan_security(spark, files_folder, largest=100).rows._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+    plan = files.scan_pdf_files(spark, files_folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+
+
+def test_documents_on_disk(spark, table, files_folder):
+    scanned = files.scan_pdf_files(spark, files_folder).withColumn("file_path", files.relative_path(F.col("file_path"), files_folder))
+    docs = table("doc_id bigint, file_path string, file_size bigint, page_count int", [(1, "a/plain.pdf", 9, 2), (2, "a/locked.pdf", 9, 2), (3, "b/empty.pdf", 9, 2), (4, None, 1, 1)])
+    assert tuples(files.on_disk(docs, scanned), "doc_id", "file_size", "page_count") == [(1, 31, 2)]
