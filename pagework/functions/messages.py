@@ -22,3 +22,4 @@ ONE_MOVE = "Only one page can be moved at a time"
 ONE_EDIT = "Only one edit per document is allowed"
 TOO_LARGE = "File is too large to read: "
 UNREADABLE = "Request cannot be read: "
+UNKNOWN_ACTION = "Unknown action: "

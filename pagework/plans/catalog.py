@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagework.operators import clicks as cl
 from pagework.operators import images as im
 from pagework.operators import layout as la
 from pagework.operators import manifest as mf
@@ -303,6 +304,17 @@ def c10_move_page(i: Inputs) -> DataFrame:
     return mf.move_page(i.manifest, i["page_moves"]).rows
 
 
+@query
+def c7_click_log(i: Inputs) -> DataFrame:
+    """Turns, copies, deletions and moves of pages, many for one document, in the order of the clicks."""
+    return cl.replay_clicks(i["clicks"], i.docs).rows
+
+
+@query
+def c7_click_log_errors(i: Inputs) -> DataFrame:
+    return error_rows(cl.replay_clicks(i["clicks"], i.docs).errors)
+
+
 @query
 def c11_merge_docs(i: Inputs) -> DataFrame:
     return mf.merge_docs(i["merge_requests"], i.docs).rows

@@ -13,6 +13,7 @@ WORDS = {
     "spark": {
         "PAGE_NUMBERS": "explode(sequence(1, page_count))",
         "IMAGE_SLOTS": "explode(sequence(0, 2))",
+        "CLICK_NUMBERS": "explode(sequence(1, 12))",
         "INTS": "array<int>",
         "NULLED": "transform(",
         "NO_FILES": "cast(array() as array<string>)",
@@ -23,6 +24,7 @@ WORDS = {
     "duckdb": {
         "PAGE_NUMBERS": "unnest(generate_series(1, page_count))",
         "IMAGE_SLOTS": "unnest(generate_series(0, 2))",
+        "CLICK_NUMBERS": "unnest(generate_series(1, 12))",
         "INTS": "integer[]",
         "NULLED": "list_transform(",
         "NO_FILES": "cast([] as varchar[])",
@@ -254,6 +256,16 @@ select doc_id, concat(substr(file_path, 2, length(file_path) - 5),
 from {docs} join (select doc_id as text_id, text from {documents}) t on doc_id = text_id
 """
 
+# Twelve clicks on every document, some on pages that aren't there; a few logs with an unknown action or document.
+SQL["clicks"] = """
+select case when doc_id % 89 = 4 then -doc_id else doc_id end as doc_id, cast(k as bigint) as seq,
+       case (doc_id + k) % 7 when 0 then 'rotate' when 1 then 'duplicate' when 2 then 'delete' when 5 then 'rotate'
+            when 6 then case when doc_id % 4 = 0 then 'reset' when doc_id % 97 = 5 then 'fold' else 'duplicate' end else 'move' end as action,
+       cast(1 + (doc_id * 3 + k * 5) % (page_count + 3) as bigint) as page_id,
+       cast(1 + (doc_id + k * 2) % (page_count + 2) as bigint) as target_id
+from (select doc_id, page_count, @CLICK_NUMBERS@ as k from {docs}) t
+"""
+
 # The share is taken before the scale, so that no product passes 64 bits.
 SQL["compress_sizes"] = """
 select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n * scale end as original_size,

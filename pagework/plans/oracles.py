@@ -1013,3 +1013,42 @@ fresh as (select g.owner, g.file_path, g.place from placed g join placed o
 starts as (select owner, file_path, max(place) as place
            from (select owner, file_path, place from placed where prev is null union all select * from fresh) group by owner, file_path)""",
     )
+
+# C7 to C10 click by click: the pages of a document as a list, which each click makes anew.
+PAGE = "{'id': cast(i as bigint), 'page': cast(i as int), 'turn': 0}"
+oracle(
+    "c7_click_log",
+    ["docs", "clicks"],
+    """select doc_id, cast(u.place as int) as out_no, u.p.page as page_no, u.p.turn as rotation, u.p.id as page_id
+       from tables_of t, unnest(t.ps) with ordinality as u(p, place) where t.step = 12""",
+    f"""bad as (select distinct doc_id from clicks where action = 'fold'),
+log as (select * from clicks where doc_id not in (select doc_id from bad)),
+tables_of as (
+  with recursive steps as (
+    select doc_id, 0 as step, page_count as n, cast(page_count + 1 as bigint) as free,
+           list_transform(range(1, page_count + 1), lambda i: {PAGE}) as ps
+    from docs where doc_id in (select doc_id from log)
+    union all
+    select s.doc_id, s.step + 1, s.n,
+           case when c.action = 'reset' then s.n + 1 when c.action = 'duplicate' and here > 0 then s.free + 1 else s.free end,
+           case when c.action = 'reset' then list_transform(range(1, s.n + 1), lambda i: {PAGE})
+                when coalesce(here, 0) = 0 then s.ps
+                when c.action = 'rotate' then s.ps[1:here - 1] || [{{'id': s.ps[here].id, 'page': s.ps[here].page, 'turn': (s.ps[here].turn + 90) % 360}}] || s.ps[here + 1:]
+                when c.action = 'duplicate' then s.ps[1:here] || [{{'id': s.free, 'page': s.ps[here].page, 'turn': s.ps[here].turn}}] || s.ps[here + 1:]
+                when c.action = 'delete' and len(s.ps) > 1 then s.ps[1:here - 1] || s.ps[here + 1:]
+                when c.action = 'move' and here <> goal and goal > 0
+                  then (s.ps[1:here - 1] || s.ps[here + 1:])[1:goal - 1] || [s.ps[here]] || (s.ps[1:here - 1] || s.ps[here + 1:])[goal:]
+                else s.ps end
+    from steps s join log c on c.doc_id = s.doc_id and c.seq = s.step + 1,
+         lateral (select list_position(list_transform(s.ps, lambda p: p.id), c.page_id) as here,
+                         list_position(list_transform(s.ps, lambda p: p.id), c.target_id) as goal) as spot)
+  select * from steps)""",
+)
+oracle(
+    "c7_click_log_errors",
+    ["docs", "clicks"],
+    """select c.doc_id as request_id, concat_ws('; ', case when any_value(d.doc_id) is null then concat('File not found: ', c.doc_id) end,
+              case when max(case when action = 'fold' then 1 else 0 end) = 1 then 'Unknown action: fold' end) as error
+       from clicks c left join docs d on d.doc_id = c.doc_id group by c.doc_id
+       having any_value(d.doc_id) is null or max(case when action = 'fold' then 1 else 0 end) = 1""",
+)
