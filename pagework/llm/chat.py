@@ -33,9 +33,10 @@ ANY_CONTROL = "(" + "|".join(map(re.escape, CONTROLS)) + ")"
 MARK = re.compile(r"(\\*)" + ANY_CONTROL)
 LAST = re.compile(r"\\+\Z")
 TURN_BLOCK = 1024
+PIECE_BYTES = 16 << 20  # of text in one buffer
 LEARNED = "assistant"  # the role whose texts count for the loss
 
-PART = "part bigint, text string, turns bigint, loss array<struct<start:bigint,end:bigint>>"
+PART = "part bigint, piece bigint, text string, turns bigint, loss array<struct<start:bigint,end:bigint>>"
 
 
 def escaped(texts: pa.Array) -> pa.Array:
@@ -98,6 +99,17 @@ def format_rows(table: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
     return texts, pa.array(np.diff(np.append(first, rows)), pa.int64()), loss
 
 
+def stretches(batch: pa.RecordBatch, rows: int, size: int):
+    """A batch in slices of at most ``rows`` rows and about ``size`` bytes of text; one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def runs(table: pa.Table) -> list[int]:
     """The first row of each run of equal (conversation, part)."""
     keys = list(zip(table["conv"].to_pylist(), table["part"].to_pylist()))
@@ -107,9 +119,10 @@ def runs(table: pa.Table) -> list[int]:
 def format_chats(
     df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = TURN_BLOCK
 ) -> DataFrame:
-    """Parts of formatted conversations: the conversation's id, part, text, turns, and loss spans (code points of the part that
-    hold an assistant's text). A conversation's parts in order are the whole; one of fewer than ``block`` turns, counted from
-    0, is one part.
+    """Parts of formatted conversations: the conversation's id, part, piece, text, turns, and loss spans (code points of the text
+    that hold an assistant's text). A conversation's texts in order of part and piece are the whole; one of fewer than ``block``
+    turns, counted from 0, is one part. Parts go by turn number. Where turn numbers repeat or are null, a part may have any number
+    of rows: it is then written in pieces of bounded rows and bytes, so that memory and time follow the rows.
 
     Rows go by turn, then role and text; equal rows stay repeated; a null turn stands first. Null roles and texts are empty.
     Rows with a null conversation are one conversation. An empty table gives an empty one; other columns are not read."""
@@ -122,25 +135,37 @@ def format_chats(
     )
 
     def run(batches):
-        held = None
+        held, key, piece = None, None, 0  # rows of the last run, its key, and how many pieces of it went out
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE * 4):
-                table = pa.Table.from_batches([batch.slice(start, SLICE * 4)])
-                table = table if held is None else pa.concat_tables([held, table])
-                cut = runs(table)[-1]  # the last run may go on in what follows
+            for few in stretches(batch, SLICE * 4, PIECE_BYTES):
+                table = pa.Table.from_batches([few])
+                if held is not None:
+                    table = pa.concat_tables([held, table])
+                firsts = runs(table)
+                if key_of(table, 0) != key:
+                    piece = 0
+                cut = firsts[-1]  # the last run may go on in what follows
                 if cut:
-                    yield from parts(table.slice(0, cut))
-                held = table.slice(cut)
+                    yield from parts(table.slice(0, cut), piece)
+                    piece = 0
+                held, key = table.slice(cut), key_of(table, cut)
+                if held.num_rows >= block or held.nbytes >= PIECE_BYTES:
+                    yield from parts(held, piece)
+                    held, piece = None, piece + 1
         if held is not None and held.num_rows:
-            yield from parts(held)
+            yield from parts(held, piece)
+
+    def key_of(table, row):
+        return table["conv"][row].as_py(), table["part"][row].as_py()
 
-    def parts(table):
+    def parts(table, piece):
         table = table.combine_chunks()
         texts, turns, loss = format_rows(table)
         first = pa.array(runs(table))
+        pieces = pa.array([piece] + [0] * (len(first) - 1), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [table["conv"].take(first).combine_chunks(), table["part"].take(first).combine_chunks(), texts, turns, loss],
-            names=[conv, "part", "text", "turns", "loss"],
+            [table["conv"].take(first).combine_chunks(), table["part"].take(first).combine_chunks(), pieces, texts, turns, loss],
+            names=[conv, "part", "piece", "text", "turns", "loss"],
         )
 
     kind = rows.schema["conv"].dataType.simpleString()
@@ -203,5 +228,5 @@ def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
         names = [conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
-    ordered = formatted.select(conv, "part", "text", "loss").repartition(conv).sortWithinPartitions(conv, "part")
+    ordered = formatted.select(conv, "part", "piece", "text", "loss").repartition(conv).sortWithinPartitions(conv, "part", "piece")
     return ordered.select(conv, "text", "loss").mapInArrow(run, schema)

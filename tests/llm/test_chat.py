@@ -60,3 +60,20 @@ def test_more_turns_than_a_batch_holds(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.digests(chat.format_chats(df)).collect() == []
+
+
+def test_repeated_turns_are_written_in_bounded_pieces(spark):
+    turns = spark.range(30_000).selectExpr("cast(null as bigint) as conv_id", "id % 3 as turn", "'assistant' as role", "lpad(cast(id as string), 6, '0') as text")
+    formatted = chat.format_chats(turns.coalesce(2)).cache()
+    sizes = [r["turns"] for r in formatted.select("turns").collect()]
+    assert sum(sizes) == 30_000 and max(sizes) <= 2 * chat.TURN_BLOCK and len(sizes) > 10
+    assert formatted.select("part", "piece").distinct().count() == len(sizes)
+    [found] = chat.digests(formatted).collect()
+    whole = "".join(f"{i:06d}" for turn in range(3) for i in range(turn, 30_000, 3))
+    assert found["loss_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and found["n_turns"] == 30_000
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 500, "", "c" * 60, "d" * 60], pa.string())})
+    assert [s.num_rows for s in chat.stretches(batch, 4, 100)] == [2, 1, 2, 1]
+    assert [s.num_rows for s in chat.stretches(batch, 2, 10_000)] == [2, 2, 2]
