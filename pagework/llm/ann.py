@@ -171,11 +171,13 @@ def search(
 
     The router learns from at most ``sample`` rows. A query that finds fewer than ``k`` rows in its partitions searches all.
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no part; rows that share an
-    id are one vector, that with the least components. Only vectors of the commonest length (the shorter, of two as common)
-    are compared. An empty table gives an empty result."""
+    id are one vector, that with the least components. Vectors of different lengths are not compared. The router is that of the
+    commonest length (the shorter, of two as common); vectors of any other length are searched among all of their length. An empty
+    table gives an empty result."""
     whole = written(prepared(df, key, vector, lambda x: x).filter(F.exists("v", lambda x: x != 0)), "vectors")
     common = whole.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
     vectors = whole.filter(F.col("dims") == (common["dims"] if common else -1))
+    others = whole.filter(F.col("dims") != common["dims"]) if common else None
     if not common:
         return vectors.select(
             F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")
@@ -198,14 +200,18 @@ def search(
             parts = [np.flatnonzero(c).tolist() for c in probes(p, coverage, least)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
-    index = written(vectors.select("id", "v").mapInArrow(place, "id bigint, v array<double>, part int"), "ann-index")
+    # a part of its own, below zero, for each other length
+    placed = vectors.select("id", "v").mapInArrow(place, "id bigint, v array<double>, part int")
+    index = written(placed.union(others.select("id", "v", (-F.col("dims")).alias("part"))), "ann-index")
     chunks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("chunks"))
     chunks = written(chunks, "ann-chunks")  # a row for each partition
-    queries = written(query_set(vectors, every).select("id", "v"), "queries")
+    queries = written(query_set(whole, every), "queries")
+    usual = F.col("dims") == common["dims"]
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    routed = queries.mapInArrow(route, "id bigint, v array<double>, parts array<int>")
+    routed = queries.filter(usual).select("id", "v").mapInArrow(route, "id bigint, v array<double>, parts array<int>")
+    routed = routed.union(queries.filter(~usual).select("id", "v", F.array(-F.col("dims"))))
     found = written(_ranked(routed, index, chunks, blocks, k), "ann-found")
-    short = queries.join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
+    short = queries.filter(usual).select("id", "v").join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
     everywhere = short.withColumn("parts", F.sequence(F.lit(0), F.lit(partitions - 1)))
     rest = _ranked(everywhere, index, chunks, blocks, k)
     return best_of_all(found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(rest), k)

@@ -9,6 +9,9 @@ An n-gram is a number made of its letters, whatever their script, so none shares
 distinct n-grams of a batch are sorted numbers, those that landmarks have make a presence matrix, and two matrix products give
 all outputs.
 The training rows are a sample of bounded size; their kernels, not their texts, go to the driver.
+
+A text's known share is that of its n-grams which any landmark has. Text in a language that was learned has most of them; random
+letters have few. ``Model.least_known`` is the border drawn from the sample's own shares.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ ROWS = 64  # texts of one presence matrix
 PIECE, PART = 1 << 19, 1 << 14  # symbols that are sorted, and n-grams of one presence matrix
 
 SAMPLE, LANDMARKS, LANDMARK_CHARS, RIDGE, SHARPNESS = 4000, 96, 200, 1e-3, 6.0
+# A text is strange whose known share is below this part of that of the sample's least known texts, one in so many.
+KNOWN_PART, KNOWN_TAIL = 0.75, 200
 
 _SYMBOLS: list[np.ndarray] = []
 
@@ -83,7 +88,11 @@ class Landmarks:
 
     def kernels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, landmark) kernels of whole texts, and whether each text has letters."""
-        found, lettered = [], []
+        return self.compare(texts)[:2]
+
+    def compare(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the share of each text's n-grams that landmarks have."""
+        found, lettered, shares = [], [], []
         for start in range(0, len(texts), ROWS):
             row, gram, some = ngrams(texts[start : start + ROWS])
             lettered.append(some)
@@ -92,6 +101,7 @@ class Landmarks:
             place[place == len(self.grams)] = 0
             known = self.grams[place] == gram
             row, place = row[known], place[known]
+            shares.append(np.bincount(row, minlength=len(some)) / size)
             used = np.zeros(len(self.grams), dtype=bool)
             used[place] = True
             used = np.flatnonzero(used)
@@ -106,7 +116,7 @@ class Landmarks:
                 seen[row[inside], column[inside] - first] = 1
                 common += seen @ np.unpackbits(self.held[few], axis=1, count=len(self.sizes)).astype(np.float32)
             found.append(common / np.sqrt(size[:, None] * self.sizes[None, :].astype(np.float64)).astype(np.float32))
-        return np.concatenate(found), np.concatenate(lettered)
+        return np.concatenate(found), np.concatenate(lettered), np.concatenate(shares)
 
 
 def landmarks(texts: list[str]) -> Landmarks:
@@ -123,14 +133,21 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray  # (landmark, language)
     languages: list[str]
+    least_known: float = 0.0
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        kernels, lettered = self.landmarks.kernels(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and known shares. Without a language to tell, all texts are unknown."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        kernels, lettered, shares = self.landmarks.compare(texts)
         outputs = SHARPNESS * (kernels.astype(np.float64) @ self.weights)
         odds = np.exp(outputs - outputs.max(axis=1, keepdims=True))
         best = outputs.argmax(axis=1)
         score = np.where(lettered, odds[np.arange(len(best)), best] / odds.sum(axis=1), 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], score, np.where(lettered, shares, 0.0)
 
 
 def pick(rows: list[tuple[str, str]], count: int) -> list[str]:
@@ -144,10 +161,10 @@ def pick(rows: list[tuple[str, str]], count: int) -> list[str]:
 
 
 def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", sample: int = SAMPLE, count: int = LANDMARKS) -> Model:
-    """Learns from at most ``sample`` rows (more only where order keys are equal) with a text that has letters and a language.
+    """Learns from at most ``sample`` rows with a text that has letters and a language.
 
     ``count`` of them, the languages in turn, are landmarks; texts of ``LANDMARK_CHARS`` and more come first. ``key`` only
-    orders the rows. Without any labelled row there is nothing to learn: ValueError."""
+    orders the rows. Without any labelled row there is nothing to learn, and the model finds every text unknown."""
     usable = labelled.select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), spread_key(key).alias("order")
     ).filter(r"lang is not null and text rlike '\\p{L}'")
@@ -156,16 +173,18 @@ def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", s
     first = rows.withColumn("turn", turn).filter(F.col("turn") <= count)
     chosen = first.orderBy("turn", "lang").limit(count).select("lang", "text").collect()
     if not chosen:
-        raise ValueError("no labelled text")
+        return Model(Landmarks(np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0)), np.zeros((0, 0)), [])
     marks = landmarks(pick([(r["lang"], r["text"]) for r in chosen], count))
     shared = rows.sparkSession.sparkContext.broadcast(marks)  # as large as the landmarks allow, for any input
 
     def kernels(batches):
         for batch in slices(batches):
-            found, _ = shared.value.kernels(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(found), pa.list_(pa.float32()))], names=["lang", "kernels"])
+            found, _, share = shared.value.compare(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array(list(found), pa.list_(pa.float32())), pa.array(share)], names=["lang", "kernels", "share"]
+            )
 
-    found = rows.select("text", "lang").mapInArrow(kernels, "lang string, kernels array<float>").toPandas()
+    found = rows.select("text", "lang").mapInArrow(kernels, "lang string, kernels array<float>, share double").toPandas()
     languages = sorted(set(found["lang"]))
     k = np.stack(found["kernels"]).astype(np.float64)
     target = np.where(found["lang"].to_numpy()[:, None] == np.array(languages), 1.0, -1.0)
@@ -174,18 +193,23 @@ def fit(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", s
     root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
     mapped = k @ root
     learned = np.linalg.solve(mapped.T @ mapped + RIDGE * len(k) * np.eye(len(root)), mapped.T @ target)
-    return Model(marks, root @ learned, languages)
+    # A landmark knows itself whole, so the share is that of the others, where there are any.
+    others = np.sort(found["share"].to_numpy()[k.max(axis=1) < 1 - 1e-4])
+    least = KNOWN_PART * float(others[len(others) // KNOWN_TAIL]) if len(others) else 0.0
+    return Model(marks, root @ learned, languages, least)
 
 
-def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep``, the language of each whole text and a score from 0 to 1. A null text, or one without letters, is
-    ``und`` with score 0. Equal texts get equal answers; other columns are not read."""
+def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, the language of each whole text and a score from 0 to 1; with a third name ``into``, also the share of its
+    n-grams that landmarks have. A null text, or one without letters, is ``und`` with score 0, and so is every text for a model
+    that found nothing to learn from. Equal texts get equal answers; other columns are not read."""
     source = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in slices(batches):
-            lang, score = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, *into])
+            lang, *numbers = shared.value.judge(batch.column(batch.num_columns - 1).to_pylist())
+            made = [pa.array(lang, pa.string()), *(pa.array(n, pa.float64()) for n in numbers)][: len(into)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*keep, *into])
 
-    return source.mapInArrow(run, source.select(*keep, F.lit("").alias(into[0]), F.lit(0.0).alias(into[1])).schema)
+    return source.mapInArrow(run, source.select(*keep, F.lit("").alias(into[0]), *[F.lit(0.0).alias(c) for c in into[1:]]).schema)

@@ -68,13 +68,14 @@ class BallTree:
         return np.array([min(HIGHEST, max(LOWEST, s)) for s in whole], dtype=object)
 
     def search(self, own: int, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """At most ``k`` (score, id), best first, of scores not below ``floor``; the id ``own`` is left out."""
+        """At most ``k`` (score, id), best first, of scores not below ``floor``, a whole number or minus infinity; the id ``own`` is
+        left out."""
         length = float(np.sqrt(query @ query))
         exact = self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < EXACT
         slack = 1e-9 * (1 + length * (self.largest * max(1, len(query)) ** 0.5))
 
         def bound(node: Node) -> float:
-            return float(query @ node.centre) + length * node.radius + slack
+            return max(LOWEST, float(query @ node.centre) + length * node.radius + slack)  # no score is below
 
         best: list[tuple[int, int]] = []  # (-score, id) in order
         kth = floor
@@ -127,10 +128,10 @@ def top_k(df: DataFrame, k: int, component, every: int, key: str = "vec_id", vec
     shard = F.pmod(F.xxhash64("id"), F.lit(shards))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))
     candidates = vectors.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    asked = queries.withColumn("block", block).withColumn("floor", F.lit(None).cast("double"))
+    asked = queries.withColumn("block", block).withColumn("floor", F.lit(None).cast("bigint"))
     first = _search(asked.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards))), candidates, k)
     floors = first.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor")
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
     )
     floors = written(floors, "floors").withColumnRenamed("query_id", "id")
     again = asked.drop("floor").join(floors, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))

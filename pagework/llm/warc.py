@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
@@ -35,7 +36,8 @@ REVISIT_BYTES = 1000
 BLOCK_LINES = 1024
 ARCHIVE_BYTES = 1 << 30  # a task begins another archive from here
 RANGE_BYTES, RANGE_GAP = 8 << 20, 64 << 10  # the most read at once, and the gap that is read over
-CHUNK_BYTES = 32 << 20  # stretch of an archive whose captures one group of reads takes
+CHUNK_BYTES = 1 << 20  # stretch of an archive whose captures one group of reads takes
+TASK_BYTES = 16 << 20  # of compressed records that a task reads back, on average
 
 CAPTURE = "capture string, id bigint, archive string, offset bigint, length bigint"
 RECORD = "id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
@@ -68,10 +70,11 @@ def with_revisits(df: DataFrame, page_id: str, url: str, payload: str) -> DataFr
         .agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
     )
-    joined = base.withColumn("twin", twin).join(held, "twin", "left")
-    return joined.select(
-        "id", "url", "capture", "payload", "digest", F.when(~F.expr("id <=> top"), F.col("top")).alias("refers_to")
-    )
+    long = F.octet_length("payload") >= REVISIT_BYTES  # short ones have no twin, and would meet at one key in the join
+    joined = base.filter(long).withColumn("twin", twin).join(held, "twin", "left")
+    named = ["id", "url", "capture", "payload", "digest"]
+    revisits = joined.select(*named, F.when(~F.expr("id <=> top"), F.col("top")).alias("refers_to"))
+    return revisits.union(base.filter(~long).select(*named, F.lit(None).cast("bigint").alias("refers_to")))
 
 
 def _header(fields: list[tuple[str, str | None]]) -> bytes:
@@ -309,6 +312,9 @@ def read_captures(captures: DataFrame, folder: str, payloads: bool = True) -> Da
                 yield _batch([tuple(x.values()) for x in found], RECORD)
                 start = end
 
-    ordered = captures.select("archive", "offset", "length").withColumn("stretch", F.expr(f"offset div {CHUNK_BYTES}"))
-    ordered = ordered.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
+    placed = written(captures.select("archive", "offset", "length"), "captures")
+    # The shuffle holds places only, so its size says nothing of the bytes that are read: tasks are counted by these.
+    tasks = max(1, math.ceil((placed.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES))
+    ordered = placed.withColumn("stretch", F.expr(f"offset div {CHUNK_BYTES}"))
+    ordered = ordered.repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").drop("stretch")
     return ordered.mapInArrow(run, RECORD)

@@ -103,8 +103,21 @@ def test_table(spark, model, long_text):
 
 
 def test_nothing_to_learn(spark):
-    with pytest.raises(ValueError, match="no labelled text"):
-        langid.fit(spark.createDataFrame([(1, None, "x"), (2, "a", None)], "doc_id int, text string, lang string"), "doc_id")
+    df = spark.createDataFrame([(1, None, "x"), (2, "a", None)], "doc_id int, text string, lang string")
+    for rows in (df, df.limit(0)):
+        nothing = langid.fit(rows, "doc_id")
+        assert sorted(map(tuple, langid.predict(df, nothing, ["doc_id"]).collect())) == [(1, "und", 0.0), (2, "und", 0.0)]
+        assert langid.predict(df.limit(0), nothing, ["doc_id"]).collect() == []
+
+
+def test_a_hot_key_does_not_make_the_sample_larger(spark, rows):
+    from pagework.llm.common import bounded_sample, spread_key
+
+    df = spark.range(9000).selectExpr("if(id < 6000, 1, id) as doc_id", "cast(id as string) as text").withColumn("order", spread_key("doc_id"))
+    for count in (1, 100, 4000, 9000, 20_000):
+        found = bounded_sample(df, "order", count).collect()
+        assert len(found) == min(count, 9000) and {r["text"] for r in found} == {r["text"] for r in bounded_sample(df.repartition(3), "order", count).collect()}
+    assert bounded_sample(df.limit(0), "order", 5).collect() == []
 
 
 def test_batches_do_not_matter(model, rows):

@@ -78,7 +78,32 @@ def test_rows_that_share_an_id_stay_if_their_texts_differ(spark):
 def test_empty_documents(spark, tables):
     folder, _, _ = tables
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).collect() == []
-    with pytest.raises(ValueError, match="no labelled text"):
-        corpus_pipeline.language_id(spark, empty, folder)
+
+
+def test_random_letters_go_and_short_clean_texts_stay(spark, tables):
+    folder, rows, _ = tables
+    numbers = random.Random(4)
+    junk = [(5000 + i, "".join(numbers.choices("abcdefghijklmnopqrstuvwxyz ", k=n)), None, "s1", 0) for i, n in enumerate([40, 90, 300, 2000] * 10)]
+    short = [(6000 + i, text, None, "s1", 0) for i, text in enumerate(["kor tul", "meb", "wissshto", "och prell och"])]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] < 900] + junk + short, schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, folder).collect()}
+    assert kept == {*range(900), *range(6000, 6004)}
+
+
+def test_the_pipeline_keeps_clean_documents_of_small_tables(spark):
+    """Of the documents confirmed as clean, whatever the table's size, the filtering stages keep nearly all."""
+    for sf in ("sf0.001", "sf0.01"):
+        folder = f"/root/testdata/{sf}"
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+        kept = docs
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            kept = stage(spark, kept, folder)
+        ids = {r["doc_id"] for r in kept.collect()}
+        for toxic, least, most in ((0, 0.97, 1.0), (1, 0.0, 0.55)):
+            marked = [i in ids for i, t in labels.items() if t == toxic]
+            assert least <= sum(marked) / len(marked) <= most, (sf, toxic)
+        assert len(corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()) > 0.5 * docs.count()

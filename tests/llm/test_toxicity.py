@@ -72,3 +72,40 @@ def test_without_labels_every_text_has_the_prior(spark, tables):
     assert found.features == [] and found.bias < 0
     nothing = toxicity.fit(docs.limit(0), labels)
     assert nothing.features == []
+
+
+def test_gradients_against_differences():
+    numbers = np.random.default_rng(3)
+    x = toxicity.with_bias(numbers.integers(0, 2, (60, 7)).astype(float))
+    xp, xu, w = x[:20], x[20:], numbers.normal(0, 1, 8)
+    negative, as_positive, as_negative = toxicity.gradients(w, xp, xu, 0.3)
+    parts = lambda w: np.array(toxicity.risk_parts(w, xp, xu, 0.3))
+    assert negative == pytest.approx(parts(w)[1])
+    for i in range(8):
+        step = np.zeros(8)
+        step[i] = 1e-6
+        assert (parts(w + step) - parts(w - step)) / 2e-6 == pytest.approx([as_positive[i], as_negative[i]], abs=1e-6)
+
+
+def test_a_text_without_features_never_passes_the_prior():
+    """Positives of which many have no feature: plain descent of the corrected risk would raise the bias for ever."""
+    numbers = np.random.default_rng(1)
+    toxic = np.arange(400) % 8 == 0
+    shown = (numbers.random((400, 30)) < np.where(toxic, 0.06, 0.001)[:, None]).astype(float)
+    x, positive = np.vstack([shown[toxic], shown]), np.arange(450) < 50
+    for held in (None, np.arange(450) % 4 == 0):
+        weights, bias = toxicity.nonnegative_pu(x, positive, 0.125, held)
+        assert bias <= np.log(0.125 / 0.875) + 1e-9
+        assert ((shown @ weights + bias > 0) & ~toxic).sum() <= 0.03 * (~toxic).sum()
+
+
+def test_few_features_stand_out_by_chance():
+    assert toxicity.standing_out([20.0, 9.0, 1.0], 1000) == 1
+    assert toxicity.standing_out([20.0, 9.3, 9.2, 1.0], 1000) == 3
+    assert toxicity.standing_out([], 0) == 0 and toxicity.standing_out([3.0], 1) == 1
+
+
+def test_parts_that_stand_twice():
+    words = toxicity.WordFeatures(["=rotten", "^rott+", "otten"])
+    assert words.of("a Rotten day") == [0, 2] and words.of("rotten rotter") == [0, 1, 2] and words.of("fine") == []
+    assert {"=rotten", "^rott+"} <= set(toxicity.features_of("rotten rotter")) and "=rotten+" not in toxicity.features_of("rotten rotter")

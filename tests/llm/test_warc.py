@@ -3,6 +3,7 @@ import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagework.llm import warc
 from pagework.llm.common import run_folder
@@ -87,3 +88,18 @@ def test_empty_table(spark):
     folder, captures, index = stored(spark, pages)
     found = warc.lookup(index, folder, pages.select(warc.url_key("url").alias("capture")))
     assert (captures.count(), index.count(), warc.read_captures(found, folder).count()) == (0, 0, 0)
+
+
+def test_tasks_of_reading_follow_the_bytes(spark, monkeypatch):
+    """With adaptive execution on: the shuffle holds places only, and is small."""
+    df = spark.range(400).selectExpr("id as page_id", "concat('http://h', id, '.org/') as url", "repeat(uuid(), 200) as html").repartition(8)
+    folder = run_folder(spark, "warc")
+    captures = warc.write_archives(df, folder, "page_id", "url", "html")
+    total = captures.groupBy().sum("length").first()[0]
+    monkeypatch.setattr(warc, "CHUNK_BYTES", total // 40)
+    for tasks in (1, 6, 12):
+        monkeypatch.setattr(warc, "TASK_BYTES", -(-total // tasks))
+        found = warc.read_captures(captures, folder)
+        assert found.count() == 400 and found.rdd.getNumPartitions() == tasks
+        if tasks > 1:
+            assert found.select(F.spark_partition_id().alias("p")).distinct().count() > tasks // 2
