@@ -16,18 +16,17 @@ from pagework.llm.common import read_table, ship_package, written
 from pagework.llm.queries import VOCABULARY, language_model, toxicity_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A text is rejected where no language stands out: its best score is hardly above an even share.
-ABOVE_EVEN = 1.05
 TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing ``lang`` becomes the predicted one. Null texts, texts without letters, and
-    those where no language stands out go."""
+    those that share too few n-grams with any learned language go; so does all text where no row names a language."""
     ship_package(spark)
     model = language_model(docs)
-    found = langid.predict(docs.select(*COLUMNS, F.col("text").alias("__said")), model, COLUMNS, "__said", ("__lang", "__score"))
-    kept = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= ABOVE_EVEN / max(2, len(model.languages))))
+    columns = ("__lang", "__score", "__known")
+    found = langid.predict(docs.select(*COLUMNS, F.col("text").alias("__said")), model, COLUMNS, "__said", columns)
+    kept = found.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__known") >= model.least_known))
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*COLUMNS)
 
 
