@@ -49,6 +49,27 @@ def half_em_width(text: Column, font_size: Column) -> Column:
     return F.length(text) * font_size * 0.5
 
 
+UNKNOWN_ADVANCE = 500  # of a glyph the table lacks: half an em, in thousandths
+
+
+def measure_texts(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """``text, font_size, width, height`` of the distinct ``text, font_size`` rows of ``texts``.
+
+    ``glyphs`` has one ``glyph, advance`` row per character of a font, in thousandths of an em. Each distinct text is measured once,
+    whatever the sizes it is set in; its characters meet the glyphs in a join, which Spark broadcasts where the font is small.
+    """
+    wanted = texts.where("text is not null and font_size is not null").select("text", "font_size").distinct()
+    letters = each(wanted.select("text").distinct(), F.filter(F.split("text", ""), lambda c: c != ""), "glyph")
+    advance = F.coalesce("advance", F.lit(UNKNOWN_ADVANCE)).cast("bigint")
+    ems = letters.join(glyphs.select("glyph", "advance"), "glyph", "left").groupBy("text").agg((F.sum(advance) / 1000).alias("_em"))
+    return wanted.join(ems, "text", "left").select(
+        "text",
+        "font_size",
+        (F.coalesce("_em", F.lit(0.0)) * F.col("font_size")).alias("width"),
+        F.col("font_size").cast("double").alias("height"),
+    )
+
+
 def number_pages(
     requests: DataFrame,
     docs: DataFrame,
@@ -56,11 +77,13 @@ def number_pages(
     text_width: Callable[[Column, Column], Column] = half_em_width,
     text_height: Callable[[Column, Column], Column] = lambda text, font_size: font_size.cast("double"),
     text_metrics: DataFrame | None = None,
+    glyphs: DataFrame | None = None,
 ) -> Outcome:
     """Label and its anchor point for every page from ``start_page`` on.
 
     Requests carry ``position, format, font_size, start_page, start_number``. Text sizes come from the two expressions,
-    or from a ``text, font_size, width, height`` table where one is given; texts it lacks fall back to the expressions.
+    or from a ``text, font_size, width, height`` table where one is given, or from a font's ``glyphs`` as ``measure_texts`` reads
+    them; texts that such a table lacks fall back to the expressions.
     """
     known, errors = known_docs(requests, docs)
     later = f"if(start_page <= page_count, array(named_struct('s', greatest(1, start_page), 'e', page_count)), {sq.no_spans()})"
@@ -68,6 +91,8 @@ def number_pages(
     current = F.col("start_number") + (F.col("page_no") - F.col("start_page"))
     rows = rows.withColumn("label", page_label(current, F.col("page_count"), F.col("format")))
     width, height = text_width(F.col("label"), F.col("font_size")), text_height(F.col("label"), F.col("font_size"))
+    if glyphs is not None:
+        text_metrics = measure_texts(rows.select(F.col("label").alias("text"), "font_size"), glyphs)
     if text_metrics is not None:
         sizes = text_metrics.select(
             F.col("text").alias("label"), "font_size", F.col("width").alias("_w"), F.col("height").alias("_h")

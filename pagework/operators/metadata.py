@@ -6,12 +6,13 @@ join one edit row per document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pagework.functions import messages as say
 from pagework.functions import text as tx
-from pagework.operators.rows import Outcome, present
+from pagework.operators.rows import Outcome, present, spread
 
 # Info keys, XMP tags and alternative Info keys behind each field.
 INFO_KEYS = {
@@ -114,6 +115,41 @@ def apply_metadata_edits(docs: DataFrame, edits: DataFrame) -> Outcome:
     return Outcome(changed.select(*docs.columns), errors.where(F.size("errors") > 0))
 
 
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("doc_id"), F.lit(buckets))
+
+
+def write_documents(docs: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Documents as a table by bucket of ``doc_id``, one directory a bucket."""
+    rows = spread(docs.withColumn("bucket", _bucket(buckets)), "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_documents(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema, StructField("bucket", IntegerType())])).parquet(folder).drop("bucket")
+
+
+def rewrite_metadata(edits: DataFrame, folder: str, schema: StructType, buckets: int = BUCKETS) -> DataFrame:
+    """Applies ``edits`` to a table that ``write_documents`` wrote with as many ``buckets``, in place; gives the error rows.
+
+    Only buckets that hold an edited document are read and written; the files of all others stay as they are. New files take
+    the place of a bucket's old ones when all of them are written. A run that is repeated changes nothing more.
+    """
+    spark = edits.sparkSession
+    touched = [r[0] for r in edits.select(_bucket(buckets)).distinct().collect()]  # at most ``buckets``
+
+    def outcome() -> Outcome:
+        table = spark.read.schema(StructType([*schema, StructField("bucket", IntegerType())])).parquet(folder)
+        return apply_metadata_edits(table.where(F.col("bucket").isin(touched)).drop("bucket"), edits)
+
+    rows = spread(outcome().rows.withColumn("bucket", _bucket(buckets)), "bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    return outcome().errors  # of the new files; they compare ids, which no edit changes
+
+
 def strip_metadata(docs: DataFrame, flag: Column) -> DataFrame:
     """Info dictionary and XMP packet emptied where ``flag`` holds."""
     strip = F.coalesce(flag, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,20 @@ def results_of(requests: DataFrame, errors: DataFrame) -> DataFrame:
     return results(found.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))))
 
 
+def write_results(checked: DataFrame, path: str, *keep: str) -> dict[str, int]:
+    """Writes ``results`` of requests that carry ``errors`` as Parquet, and counts ``requests``, ``succeeded`` and ``failed`` in the
+    same pass, so that the table is worked out once."""
+    seen = Observation()
+    told = results(checked, *keep).observe(
+        seen,
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("success")).alias("succeeded"),
+        F.count_if(~F.col("success")).alias("failed"),
+    )
+    told.write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 RESULT = "success BOOLEAN, error STRING"
 
 

@@ -15,13 +15,13 @@ from pagework.operators import manifest as mf
 from pagework.operators import metadata as md
 from pagework.operators import search as se
 from pagework.operators import selection as sl
-from pagework.operators.outcomes import from_result_json, results, results_of, to_result_json
+from pagework.operators.outcomes import from_result_json, results, results_of, to_result_json, write_results
 from pagework.operators.validation import validate_requests
 from pagework.plans.fixtures import Inputs
 from pagework.schemas import TABLES
 from pagework.session import shared_folder
 from pagework.sources.files import classify_security, list_pdf_files, on_disk, relative_path, scan_pdf_files, scan_security, write_files
-from pagework.sources.manifest_sink import read_manifest, write_manifest
+from pagework.sources.manifest_sink import read_manifest, save_manifest, write_manifest
 from pagework.sources.requests import read_requests
 from pagework.streaming.live_index import finish, read_opens, start_bounded_index, start_live_index, start_recent_index
 
@@ -130,6 +130,34 @@ def a4_write_manifest(i: Inputs) -> DataFrame:
     return read_manifest(i.spark, folder).select("doc_id", "output_name", "part_no", "out_no", "page_no")
 
 
+@query
+def a4_bucketed_manifest(i: Inputs) -> DataFrame:
+    """A manifest and its outputs as two tables by bucket, joined without a shuffle."""
+    run = _run_number()
+    numbered = mf.split_every_n(i.pages, 5)
+    sizes = numbered.groupBy("output_name").agg(F.count("*").alias("output_pages"))
+    for name, rows in (("manifest", numbered), ("outputs", sizes)):
+        save_manifest(rows, f"{name}_{run}", f"{shared_folder(i.spark)}/{name}-{run}", 16)
+    rows = i.spark.table(f"manifest_{run}").join(i.spark.table(f"outputs_{run}"), "output_name")
+    return rows.select("doc_id", "output_name", "part_no", "out_no", "page_no", "output_pages")
+
+
+@query
+def a4_manifest_by_output(i: Inputs) -> DataFrame:
+    """A directory for each of a few long outputs."""
+    folder = f"{shared_folder(i.spark)}/outputs-{_run_number()}"
+    shelf = F.concat(F.lit("shelf-"), (F.col("doc_id") % 10).cast("string"), F.lit(".pdf"))
+    merged = i.pages.select("doc_id", shelf.alias("output_name"), F.col("doc_id").cast("int").alias("part_no"), F.col("page_no").alias("out_no"), "page_no")
+    write_manifest(merged, folder, by_output=True)
+    return read_manifest(i.spark, folder).select("doc_id", "output_name", "part_no", "out_no", "page_no")
+
+
+@query
+def a5_result_counts(i: Inputs) -> DataFrame:
+    counts = write_results(validate_requests(i.tool_requests, i.docs), f"{shared_folder(i.spark)}/results-{_run_number()}", "tool")
+    return i.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
+
 @query
 def a5_results(i: Inputs) -> DataFrame:
     requests = i["remove_requests"]
@@ -335,6 +363,16 @@ def c12_number_pages(i: Inputs) -> DataFrame:
     return rounded(la.number_pages(i["number_requests"], i.docs, i.pages).rows, "x", "y")
 
 
+@query
+def c12_number_pages_glyphs(i: Inputs) -> DataFrame:
+    return rounded(la.number_pages(i["number_requests"], i.docs, i.pages, glyphs=i["glyphs"]).rows, "x", "y")
+
+
+@query
+def c12_measure_texts(i: Inputs) -> DataFrame:
+    return rounded(la.measure_texts(i.docs.select(F.col("file_name").alias("text"), (F.col("doc_id") % 60 + 8).alias("font_size")), i["glyphs"]), "width")
+
+
 @query
 def c13_crop_pages(i: Inputs) -> DataFrame:
     return la.crop_pages(i["crop_requests"], i.docs, i.pages).rows
@@ -425,6 +463,17 @@ def d4_apply_metadata_edits(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def d4_rewrite_metadata(i: Inputs) -> DataFrame:
+    """The same in a table on disk, of which only the buckets of edited documents are written anew."""
+    folder, docs = f"{shared_folder(i.spark)}/documents-{_run_number()}", i.documents_with_info
+    md.write_documents(docs, folder)
+    md.rewrite_metadata(i.metadata_edits, folder, docs.schema)
+    return md.read_documents(i.spark, folder, docs.schema).select(
+        "doc_id", *[F.try_element_at("info", F.lit(key)).alias(field) for field, key in md.INFO_KEYS.items()]
+    )
+
+
 @query
 def d5_strip_metadata(i: Inputs) -> DataFrame:
     flagged = i.documents_with_info.join(i["labels"].select("doc_id", (F.col("toxic") == 1).alias("strip")), "doc_id", "left")

@@ -266,6 +266,12 @@ select case when doc_id % 89 = 4 then -doc_id else doc_id end as doc_id, cast(k
 from (select doc_id, page_count, @CLICK_NUMBERS@ as k from {docs}) t
 """
 
+# Advances of a font that lacks some of the characters of labels.
+SQL["glyphs"] = """
+select substr('012345689Page of-ivlcdmXLC', k + 1, 1) as glyph, cast(max(280 + 23 * k) as int) as advance
+from (select cast(event_id % 26 as int) as k from {events}) t group by substr('012345689Page of-ivlcdmXLC', k + 1, 1)
+"""
+
 # The share is taken before the scale, so that no product passes 64 bits.
 SQL["compress_sizes"] = """
 select doc_id, case when doc_id % 50 = 0 then cast(0 as bigint) else n * scale end as original_size,

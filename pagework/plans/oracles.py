@@ -987,6 +987,12 @@ oracle(
     .replace("from docs d where d.file_path = u.f", "from present d where d.file_path = u.f")
     .replace("\nt as (", "\npresent as (select d.* from docs d join found f on d.file_path = concat('/', f.name)),\nt as (", 1).lstrip(),
 )
+oracle(
+    "a5_result_counts",
+    ["tool_requests"],
+    "select count(*) as requests, count(*) filter (error is null) as succeeded, count(error) as failed from tool_requests left join said using (request_id)",
+    VALID,
+)
 oracle(
     "a5_results_json",
     ["tool_requests"],
@@ -1052,3 +1058,32 @@ oracle(
        from clicks c left join docs d on d.doc_id = c.doc_id group by c.doc_id
        having any_value(d.doc_id) is null or max(case when action = 'fold' then 1 else 0 end) = 1""",
 )
+
+ORACLES["d4_rewrite_metadata"] = ORACLES["d4_apply_metadata_edits"]
+oracle(
+    "a4_bucketed_manifest",
+    ["doc_pages"],
+    "select doc_id, output_name, part_no, out_no, page_no, count(*) over (partition by output_name) as output_pages from ("
+    + EVERY.format(head="", n=5, source="doc_pages")
+    + ") t",
+)
+oracle(
+    "a4_manifest_by_output",
+    ["doc_pages"],
+    """select doc_id, concat('shelf-', doc_id % 10, '.pdf') as output_name, cast(doc_id as int) as part_no, page_no as out_no, page_no
+       from doc_pages""",
+)
+
+# C12 with a font's advances; half an em for characters it lacks
+EM = """(select coalesce(sum(coalesce(g.advance, 500)), 0) / 1000::double
+         from (select unnest(string_split({text}, '')) as c) u left join glyphs g on g.glyph = u.c)"""
+oracle("c12_measure_texts", ["docs", "glyphs"], f"""
+    select text, font_size, round({EM.format(text="t.text")} * font_size, 6) as width, cast(font_size as double) as height
+    from (select distinct file_name as text, doc_id % 60 + 8 as font_size from docs) t""")
+_plain = ["number_requests", "doc_pages"]
+ORACLES["c12_number_pages_glyphs"] = (
+    ORACLES["c12_number_pages"]
+    .replace(with_clause(_plain).rstrip(), with_clause([*_plain, "glyphs"]).rstrip(), 1)
+    .replace("len(label) * font_size * 0.5::double as tw", EM.format(text="l.label") + " * font_size as tw")
+    .replace("from labelled) t", "from labelled l) t")
+)

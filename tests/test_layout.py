@@ -128,3 +128,22 @@ def test_watermark(docs, pages, table, small_blocks):
 def test_picture_names(pages):
     rows = tuples(la.render_plan(pages.where("doc_id = 4 and page_no > 9"), 150, "jpg"), "image_name", "pixel_width", "pixel_height")
     assert rows[0] == ("d4_page_010.jpg", 1275, 1650)
+
+
+def test_texts_are_measured_by_glyphs(table):
+    glyphs = table("glyph string, advance int", [("a", 400), ("b", 650), (" ", 250), ("𝄞", 900)])
+    texts = table("text string, font_size int", [("ab a", 10), ("ab a", 20), ("ab a", 20), ("a?", 10), ("𝄞", 10), ("", 10), (None, 10), ("b", None)])
+    found = la.measure_texts(texts, glyphs)
+    assert tuples(found) == [("", 10, 0.0, 10.0), ("a?", 10, 9.0, 10.0), ("ab a", 10, 17.0, 10.0), ("ab a", 20, 34.0, 20.0), ("𝄞", 10, 9.0, 10.0)]
+    assert tuples(la.measure_texts(texts, glyphs.limit(0)), "text", "width")[1] == ("a?", 10.0)
+
+
+def test_labels_take_the_glyphs_widths(table, docs, pages):
+    requests = table(
+        "request_id int, doc_id bigint, position string, format string, font_size int, start_page int, start_number int",
+        [(1, 4, "BottomRight", "Number", 10, 1, 8)],
+    )
+    glyphs = table("glyph string, advance int", [("8", 300), ("9", 700), ("1", 100)])
+    found = dict(tuples(la.number_pages(requests, docs, pages, glyphs=glyphs).rows, "label", "x"))
+    assert (found["8"], found["9"], found["11"]) == (612 - 3 - 20, 612 - 7 - 20, 612 - 2 - 20)
+    assert found["12"] == 612 - 6 - 20  # half an em for the unknown 2

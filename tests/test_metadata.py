@@ -97,3 +97,27 @@ def test_strip(documents):
     kept = {r.doc_id: (r.info, r.xmp) for r in md.strip_metadata(documents, F.col("doc_id") < 3).collect()}
     assert kept[1] == ({}, None) and kept[2] == ({}, None)
     assert kept[3][0]["Authors"] == "B" and kept[4] == ({}, "<x/>")
+
+
+def test_a_rewrite_leaves_untouched_buckets_alone(spark, table, tmp_path):
+    folder = str(tmp_path / "documents")
+    docs = table("doc_id bigint, info map<string,string>, xmp string", [(i, {"Title": f"t{i}", "CreationDate": "D:2024"}, None) for i in range(60)])
+    md.write_documents(docs, folder, buckets=8)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "documents").rglob("*.parquet")}
+    before = files()
+    fields = ", ".join(f"{f}: string" for f in md.GATED)
+    full = dict.fromkeys(md.GATED, None) | {"title": "New"}
+    edits = table(f"doc_id bigint, metadata struct<{fields}>", [(7, tuple(full.values())), (999, tuple(full.values()))])
+    for _ in range(2):
+        errors = md.rewrite_metadata(edits, folder, docs.schema, buckets=8)
+        assert [r["doc_id"] for r in errors.collect()] == [999]
+    rows = {r["doc_id"]: r["info"] for r in md.read_documents(spark, folder, docs.schema).collect()}
+    assert len(rows) == 60 and rows[7] == {"Title": "New", "CreationDate": "D:2024"} and rows[8] == {"Title": "t8", "CreationDate": "D:2024"}
+    after = files()
+    touched = {r[0] for r in edits.select(md._bucket(8)).collect()}
+    for path, changed in before.items():
+        if int(path.parent.name.removeprefix("bucket=")) in touched:
+            assert path not in after
+        else:
+            assert after[path] == changed
+    assert len(touched) < len({p.parent for p in before})

@@ -163,3 +163,42 @@ def test_documents_on_disk(spark, table, files_folder):
     scanned = files.scan_pdf_files(spark, files_folder).withColumn("file_path", files.relative_path(F.col("file_path"), files_folder))
     docs = table("doc_id bigint, file_path string, file_size bigint, page_count int", [(1, "a/plain.pdf", 9, 2), (2, "a/locked.pdf", 9, 2), (3, "b/empty.pdf", 9, 2), (4, None, 1, 1)])
     assert tuples(files.on_disk(docs, scanned), "doc_id", "file_size", "page_count") == [(1, 31, 2)]
+
+
+def test_bucketed_manifests_join_without_a_shuffle(spark, table, tmp_path):
+    from pagework.sources.manifest_sink import save_manifest
+
+    rows = [(d, f"out{d % 7}", 1, o, o) for d in range(30) for o in range(1, 5)]
+    manifest = table("doc_id bigint, output_name string, part_no int, out_no int, page_no int", rows)
+    sizes = manifest.groupBy("output_name").agg(F.count("*").alias("n"))
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        save_manifest(manifest, "test_manifest", f"file://{tmp_path}/m", 4)
+        save_manifest(sizes, "test_outputs", f"file://{tmp_path}/o", 4)
+        joined = spark.table("test_manifest").join(spark.table("test_outputs"), "output_name")
+        grouped = spark.table("test_manifest").groupBy("output_name").count()
+        for df in (joined, grouped):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert tuples(joined, "doc_id", "output_name", "out_no", "n") == sorted((d, o, k, 20 if int(o[3:]) < 2 else 16) for d, o, _, k, _ in rows)
+    finally:
+        spark.conf.set(name, before)
+        spark.sql("drop table if exists test_manifest")
+        spark.sql("drop table if exists test_outputs")
+
+
+def test_results_are_written_and_counted_in_one_pass(spark, table, tmp_path):
+    from pagework.operators.outcomes import write_results
+
+    looked = spark.sparkContext.accumulator(0)
+    checked = table("request_id int, errors array<string>", [(1, []), (2, ["a", "b"]), (3, []), (4, [None])])
+
+    def watch(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    counts = write_results(checked.mapInArrow(watch, checked.schema), str(tmp_path / "r"))
+    assert counts == {"requests": 4, "succeeded": 2, "failed": 2} and looked.value == 4
+    assert tuples(spark.read.parquet(str(tmp_path / "r")), "request_id", "success") == [(1, True), (2, False), (3, True), (4, False)]
+    assert write_results(checked.limit(0), str(tmp_path / "e")) == {"requests": 0, "succeeded": 0, "failed": 0}
