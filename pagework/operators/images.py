@@ -6,12 +6,12 @@ object, which several pages may share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import numbers as nu
 from pagework.functions import sqltext as sq
-from pagework.operators.rows import join_pages
+from pagework.operators.rows import block_of, each, join_pages, spread
 
 # Quality presets, and the limits by quality: (up to quality, longest side, JPEG quality).
 PRESETS = {"Low": 50, "Medium": 75, "High": 90}
@@ -50,12 +50,21 @@ def extraction_summary(selection: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def remove_images(selection: DataFrame, images: DataFrame) -> DataFrame:
-    """Images that are still there once the selected pages' image objects are deleted, on whatever page they are used."""
+    """Images that are still there once the selected pages' image objects are deleted, on whatever page they are used.
+
+    An object's uses are gathered by block of pages, so one that stands on every page of a long document is many short rows;
+    whether any of them is selected is then known from one row per block.
+    """
     keys = ["request_id", "doc_id", "xref"]
-    asked = _with_choice(selection, images)
-    gone = asked.where("chosen").select(*keys).distinct()
-    left = asked.where(~F.col("chosen")).join(gone, keys, "left_anti")
-    return left.select("request_id", "doc_id", "page_no", "img_index", "xref")
+    asked = _with_choice(selection, images).select(*keys, block_of(F.col("page_no")).alias("_block"), "page_no", "img_index", "chosen")
+    uses = (
+        spread(asked, *keys, "_block")
+        .groupBy(*keys, "_block")
+        .agg(F.bool_or("chosen").alias("_chosen"), F.collect_list(F.struct("page_no", "img_index")).alias("_uses"))
+    )
+    anywhere = Window.partitionBy(*keys)
+    left = uses.withColumn("_gone", F.max("_chosen").over(anywhere)).where("not _gone")
+    return each(left, F.col("_uses"), "_use").select("request_id", "doc_id", "_use.page_no", "_use.img_index", "xref")
 
 
 def removal_summary(selection: DataFrame, images: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagework.functions import sqltext as sq
+from pagework.operators import rows as page_rows
 from pagework.operators.rows import (
     Outcome,
     attach_docs,
@@ -93,10 +94,19 @@ def select_stride(requests: DataFrame, docs: DataFrame) -> Outcome:
 
 
 def invert_selection(requests: DataFrame, docs: DataFrame, selected: DataFrame) -> Outcome:
-    """Pages of each request's document that are not among its ``selected`` rows."""
+    """Pages of each request's document that are not among its ``selected`` rows.
+
+    Requests and selected pages meet by block of pages, a row a block on either side; page rows are made at the end.
+    """
     known, errors = known_docs(requests.select("request_id", "doc_id"), docs)
-    keys = ["request_id", "doc_id", "page_no"]
-    return Outcome(selected_pages(full_selection(known)).join(selected.select(*keys), keys, "left_anti"), errors)
+    keys = ["request_id", "doc_id", "_block"]
+    taken = selected.select("request_id", "doc_id", block_of(F.col("page_no")).alias("_block"), "page_no")
+    marked = spread(taken, *keys).groupBy(*keys).agg(F.collect_set("page_no").alias("_taken"))
+    asked = each(known.where("page_count >= 1"), F.sequence(F.lit(0), block_of(F.col("page_count"))), "_block")
+    met = asked.select(*keys, "page_count").join(marked, keys, "left")
+    first, last = F.col("_block") * page_rows.BLOCK + 1, F.least(F.col("page_count"), (F.col("_block") + 1) * page_rows.BLOCK)
+    rest = F.array_except(F.sequence(first, last), F.coalesce("_taken", F.array().cast("array<int>")))
+    return Outcome(each(met, rest, "page_no").select("request_id", "doc_id", "page_no"), errors)
 
 
 def invert_spans(selection: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def as_for_large_tables(spark):
 @pytest.mark.parametrize(
     "key, most",
     [
-        ("b9_invert_spans", 3), ("b12_selected_summary", 8), ("c8_duplicate_pages", 5), ("c9_delete_pages", 5),
-        ("c12_number_pages", 4), ("e3_remove_images", 10), ("e5_dedupe_images", 3), ("f3_search_index", 6), ("f6_effective_opens", 9),
+        ("b9_invert_spans", 3), ("b9_invert_selection", 7), ("b12_selected_summary", 8), ("c8_duplicate_pages", 5), ("c9_delete_pages", 5),
+        ("c12_number_pages", 4), ("e3_remove_images", 6), ("e5_dedupe_images", 3), ("f3_search_index", 6), ("f6_effective_opens", 9), ("f2_recent_index", 4),
     ],
 )
 def test_exchanges_of_large_tables(spark, as_for_large_tables, key, most):
