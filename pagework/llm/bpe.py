@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import slices
+from pagework.llm.common import slices, slices_by_bytes
 
 # Fixed value: the pretokenizer's pattern of byte-level BPE vocabularies, with white space by its Unicode property.
 PATTERN = regex.compile(
@@ -31,7 +31,8 @@ PATTERN = regex.compile(
 PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 # Pieces kept with their ids by a worker: only short ones, and the store is emptied when full.
-KEPT_PIECES, KEPT_LENGTH = 1 << 18, 48
+KEPT_PIECES, KEPT_LENGTH = 1 << 19, 48
+SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20  # texts that are cut into pieces together: new pieces are merged side by side
 # Bytes of the longest piece that is merged side by side with others, and how many go together.
 SHORT, TOGETHER = 64, 1 << 14
 NO_PAIR = 1 << 62
@@ -259,7 +260,7 @@ def encode(
 
     def run(batches):
         model = _model(ByteBpe, shared.value)
-        for batch in slices(batches):
+        for batch in slices_by_bytes(batches, SLICE_ROWS, SLICE_BYTES):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = model.encode_all(texts)
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import SLICE
+from pagework.llm.common import SLICE, slices_by_bytes
 
 # The template's own marks.
 HEAD, MIDDLE, END = "<|start_header_id|>", "<|end_header_id|>\n\n", "<|eot_id|>"
@@ -99,17 +99,6 @@ def format_rows(table: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array]:
     return texts, pa.array(np.diff(np.append(first, rows)), pa.int64()), loss
 
 
-def stretches(batch: pa.RecordBatch, rows: int, size: int):
-    """A batch in slices of at most ``rows`` rows and about ``size`` bytes of text; one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def runs(table: pa.Table) -> list[int]:
     """The first row of each run of equal (conversation, part)."""
     keys = list(zip(table["conv"].to_pylist(), table["part"].to_pylist()))
@@ -136,22 +125,21 @@ def format_chats(
 
     def run(batches):
         held, key, piece = None, None, 0  # rows of the last run, its key, and how many pieces of it went out
-        for batch in batches:
-            for few in stretches(batch, SLICE * 4, PIECE_BYTES):
-                table = pa.Table.from_batches([few])
-                if held is not None:
-                    table = pa.concat_tables([held, table])
-                firsts = runs(table)
-                if key_of(table, 0) != key:
-                    piece = 0
-                cut = firsts[-1]  # the last run may go on in what follows
-                if cut:
-                    yield from parts(table.slice(0, cut), piece)
-                    piece = 0
-                held, key = table.slice(cut), key_of(table, cut)
-                if held.num_rows >= block or held.nbytes >= PIECE_BYTES:
-                    yield from parts(held, piece)
-                    held, piece = None, piece + 1
+        for few in slices_by_bytes(batches, SLICE * 4, PIECE_BYTES):
+            table = pa.Table.from_batches([few])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            firsts = runs(table)
+            if key_of(table, 0) != key:
+                piece = 0
+            cut = firsts[-1]  # the last run may go on in what follows
+            if cut:
+                yield from parts(table.slice(0, cut), piece)
+                piece = 0
+            held, key = table.slice(cut), key_of(table, cut)
+            if held.num_rows >= block or held.nbytes >= PIECE_BYTES:
+                yield from parts(held, piece)
+                held, piece = None, piece + 1
         if held is not None and held.num_rows:
             yield from parts(held, piece)
 

@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,20 @@ def slices(batches, rows: int = SLICE):
             yield batch.slice(start, rows)
 
 
+def slices_by_bytes(batches, rows: int, size: int):
+    """Arrow batches cut into slices of at most ``rows`` rows and about ``size`` bytes of their last column, which is text; a
+    slice has one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)
+        ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def spread_key(*columns: str) -> Column:
     """A fixed pseudo-random order of rows, the same in every run."""
     return F.xxhash64(*[F.col(c).cast("string") for c in columns])

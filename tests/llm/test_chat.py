@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from pagework.llm import chat
+from pagework.llm.common import slices_by_bytes
 
 BITS = [*chat.CONTROLS, "\\", "\\\\", "a", "é😀", "\n", "<", "|>", "[", "", " "]
 said = st.lists(st.sampled_from(BITS), max_size=12).map("".join)
@@ -75,5 +76,5 @@ def test_repeated_turns_are_written_in_bounded_pieces(spark):
 
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 10, None, "b" * 500, "", "c" * 60, "d" * 60], pa.string())})
-    assert [s.num_rows for s in chat.stretches(batch, 4, 100)] == [2, 1, 2, 1]
-    assert [s.num_rows for s in chat.stretches(batch, 2, 10_000)] == [2, 2, 2]
+    assert [s.num_rows for s in slices_by_bytes([batch], 4, 100)] == [2, 1, 2, 1]
+    assert [s.num_rows for s in slices_by_bytes([batch, batch], 2, 10_000)] == [2] * 6
