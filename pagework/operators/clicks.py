@@ -83,7 +83,7 @@ def replay_clicks(clicks: DataFrame, docs: DataFrame) -> Outcome:
     stretches = each(checked.where(F.size("errors") == 0), F.expr(_fold()), "_g", "_k").select("doc_id", "_k", "_g.*")
     before = Window.partitionBy("doc_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     placed = stretches.withColumn("_start", F.coalesce(F.sum(F.expr("e - s + 1")).over(before), F.lit(0)))
-    rows = expand(placed, "s", "e", "page_id").select(
+    rows = expand(placed, "s", "e", "page_id", deal=("_k",)).select(
         "doc_id",
         F.expr("cast(_start + page_id - s + 1 as int)").alias("out_no"),
         F.expr("cast(page + page_id - s as int)").alias("page_no"),

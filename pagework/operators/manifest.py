@@ -371,7 +371,8 @@ def merge_docs(requests: DataFrame, docs: DataFrame, dedupe: bool = False) -> Ou
         .withColumn("doc_id", F.lit(None).cast("bigint"))
     )
     sound = placed.where((F.col("_gone") == 0) & (F.col("page_count") >= 1))
-    rows = expand(sound.withColumn("s", F.lit(1)).withColumn("e", F.col("page_count"))).select(
+    spans = sound.withColumn("s", F.lit(1)).withColumn("e", F.col("page_count"))
+    rows = expand(spans, deal=("file_pos",)).select(  # one merge may list a large part of all files
         "request_id",
         "doc_id",
         F.lit("merged.pdf").alias("output_name"),

@@ -91,16 +91,17 @@ def split_outcome(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def expand(rows: DataFrame, start: str = "s", end: str = "e", out: str = "page_no") -> DataFrame:
+def expand(rows: DataFrame, start: str = "s", end: str = "e", out: str = "page_no", deal: tuple[str, ...] = ()) -> DataFrame:
     """One row per number in ``start..end``.
 
     Long spans are first cut at block borders and the short rows are spread by (request, block), so that a document
-    holding a large part of all pages is expanded by many tasks. The fixed partition count keeps adaptive execution from
+    holding a large part of all pages is expanded by many tasks; ``deal`` names further columns to spread by, where a request has
+    many short spans. The fixed partition count keeps adaptive execution from
     packing these small rows together again just before they multiply.
     """
     keys = ["request_id"] if "request_id" in rows.columns else ["doc_id"]
     cut = each(rows, F.sequence(block_of(F.col(start)), block_of(F.col(end))), "_block")
-    cut = spread(cut, *keys, "_block")
+    cut = spread(cut, *keys, *deal, "_block")
     first = F.greatest(F.col(start), F.col("_block") * BLOCK + 1)
     last = F.least(F.col(end), (F.col("_block") + 1) * BLOCK)
     return each(cut, F.sequence(first, last), out).drop("_block")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 from pagework.operators import manifest as mf
 
@@ -185,3 +186,11 @@ def test_merge(docs, table, small_blocks):
         (3, ["No files provided."]),
     ]
     assert mf.merge_docs(requests, docs, dedupe=True).rows.where("request_id = 1").count() == 12
+
+
+def test_one_long_merge_is_expanded_by_many_tasks(spark, table):
+    docs = table("doc_id bigint, file_path string, page_count int", [(i, f"/f{i}", 2) for i in range(200)])
+    requests = table("request_id int, files array<string>", [(1, [f"/f{i}" for i in range(200)])])
+    rows = mf.merge_docs(requests, docs).rows
+    assert rows.select(F.spark_partition_id()).distinct().count() > 4
+    assert [tuple(r) for r in rows.orderBy("out_no").select("doc_id", "page_no").collect()] == [(i, p) for i in range(200) for p in (1, 2)]
