@@ -8,8 +8,8 @@ the same way. A language has its own start value, so phrases of two languages ha
    frequent: a table of bits of fixed size says so, with errors on the safe side only. Fingerprints that collide add up, so no
    frequent phrase is lost.
 2. Once more over the texts: each task groups the occurrences of fingerprints that can be frequent by their exact words, and gives
-   (fingerprint, digest of language and text, count, pointer to one occurrence). A shuffle adds them up, so phrases that share a fingerprint
-   part, and keeps the first pointer; where the sum is large enough, it is followed into the texts.
+   (fingerprint, digest of language and text, count, pointer to one occurrence), packed by bucket of fingerprints. A shuffle adds them
+   up, so phrases that share a fingerprint part, and keeps the first pointer; where the sum is large enough, it is followed into the texts.
 
 So only frequent phrases ever stand as text, and their counts are exact. Cuts and longer phrases are joins on them.
 """
@@ -34,6 +34,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SLOTS = 1 << 26  # bits of a table, 8 MB
 COUNTED = 44  # bits of a fingerprint while only counting: shorter rows, and a sum that may be too large, never too small
 TOGETHER, KEPT, KEPT_WORDS = 1 << 17, 1 << 21, 1 << 19
+BUCKET_BYTES = 8 << 20  # of text for each bucket of fingerprints
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -249,27 +250,36 @@ class Groups:
         total = np.add.reduceat(counts[order], first) if len(first) else counts
         return prints[first], words[first], total, rows[order][first], places[order][first]
 
-    def out(self, words: list[bytes], langs: list[str]):
-        if self.parts:
-            prints, numbers, counts, rows, places = self.grouped(*map(np.concatenate, zip(*self.parts)))
-            self.parts, self.held = [], 0
-            n = len(prints)
-            names = [lang.encode() + BREAK for lang in langs]
-            texts = (names[row[0]] + b" ".join([words[i] for i in row[1:]]) for row in numbers.tolist())
-            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, n)
-            yield record(pa.array([self.size] * n, pa.int32()), pa.array(prints.view(np.int64)), pa.array(digests.view(np.int64)),
-                         pa.array(counts), pa.array(rows), pa.array(places.astype(np.int32)), pa.nulls(n, pa.string()))
+    def out(self, words: list[bytes], langs: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Sizes, fingerprints, digests of language and text, counts, rows, places of the groups so far."""
+        if not self.parts:
+            return None
+        prints, numbers, counts, rows, places = self.grouped(*map(np.concatenate, zip(*self.parts)))
+        self.parts, self.held = [], 0
+        names = [lang.encode() + BREAK for lang in langs]
+        texts = (names[row[0]] + b" ".join([words[i] for i in row[1:]]) for row in numbers.tolist())
+        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(prints))
+        return np.full(len(prints), self.size, np.int32), prints.view(np.int64), digests.view(np.int64), counts, rows, places.astype(np.int32)
 
 
-POINTERS = "size int, print bigint, digest bigint, n bigint, row bigint, at int, lang string"
+COLUMNS = ["size", "print", "digest", "n", "row", "at"]
+KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+PACKED = "bucket bigint, lang string, total bigint, " + ", ".join(f"{c} array<{'int' if k == pa.int32() else 'bigint'}>" for c, k in zip(COLUMNS, KINDS))
 
 
-def record(*columns):
-    return pa.RecordBatch.from_arrays(list(columns), names=["size", "print", "digest", "n", "row", "at", "lang"])
+def packed(columns: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Groups by bucket of their fingerprint, a row for each bucket that has some."""
+    bucket = (columns[1].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    ends = pa.array(np.append(first, len(order)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c[order], k)) for c, k in zip(columns, KINDS)]
+    none = [pa.nulls(len(found), pa.string()), pa.nulls(len(found), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(found), *none, *lists], names=["bucket", "lang", "total", *COLUMNS])
 
 
-def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
-    """A row for each group of a task, and one (size 0) with the words of each of its languages."""
+def point(rows: DataFrame, tables, longest: int, buckets: int, bits: int = 64) -> DataFrame:
+    """The groups of each task, those of one bucket packed in a row, and a row (without bucket) for the words of each of its languages."""
 
     def run(batches):
         words, totals, numbers = Words(), {}, {}
@@ -277,8 +287,9 @@ def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
         known = {n: table.value for n, table in tables.items()}
 
         def out():
-            for group in groups:
-                yield from group.out(words.words, list(numbers))
+            found = [x for x in (group.out(words.words, list(numbers)) for group in groups) if x]
+            if found:
+                yield packed([np.concatenate(c) for c in zip(*found)], buckets)
 
         for item in stretches(batches, words, out, bits):
             if isinstance(item, pa.RecordBatch):
@@ -293,14 +304,35 @@ def point(rows: DataFrame, tables, longest: int, bits: int = 64) -> DataFrame:
                 at, prints = at[held], prints[held]
                 exact = np.stack([np.full(len(at), number), *(stretch.words[at + i] for i in range(group.size))], axis=1)
                 group.add(prints, exact, np.ones(len(at), np.int64), *stretch.pointers(at))
-                if group.held > KEPT // 2:
-                    yield from group.out(words.words, list(numbers))
+            if max(group.held for group in groups) > KEPT // 2:
+                yield from out()
         yield from out()
         n = len(totals)
-        yield record(pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(totals.values(), pa.int64()),
-                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(totals.keys(), pa.string()))
+        lists = [pa.nulls(n, pa.list_(k)) for k in KINDS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64()), *lists],
+            names=["bucket", "lang", "total", *COLUMNS],
+        )
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def add_up(pointers: DataFrame, least: int) -> DataFrame:
+    """(size, n, row, at) of the phrases that stand ``least`` times and more: counts of equal fingerprint and digest added up over all
+    tasks, with the first pointer. A bucket is a bounded stretch of fingerprints."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [np.concatenate([x.values.to_numpy() for x in table[c]]) for c in COLUMNS]
+        order = np.lexsort([columns[i] for i in (5, 4, 2, 1, 0)])
+        size, print_, digest, n, row, at = (c[order] for c in columns)
+        new = np.append(True, (size[1:] != size[:-1]) | (print_[1:] != print_[:-1]) | (digest[1:] != digest[:-1]))
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        kept = total >= least
+        first, total = first[kept], total[kept]
+        return pa.table([pa.array(size[first]), pa.array(total), pa.array(row[first]), pa.array(at[first])], names=["size", "n", "row", "at"])
 
-    return rows.mapInArrow(run, POINTERS)
+    return pointers.filter("bucket is not null").groupBy("bucket").applyInArrow(run, "size int, n bigint, row bigint, at int")
 
 
 def follow(pointers: DataFrame, rows: DataFrame) -> DataFrame:
@@ -338,10 +370,10 @@ def frequent_phrases(
         if sizes and sizes[0] <= longest:
             table = context.broadcast(bit_table(count_prints(rows, sizes, tables, bits).filter(F.col("n") >= least)))
             tables |= {size: table for size in sizes if size <= longest}
-    pointers = written(point(rows, tables, longest, bits), "phrase-pointers")
-    summed = pointers.filter("size > 0").groupBy("size", "print", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("first"))
-    exact = follow(summed.filter(F.col("n") >= least).select("size", "n", "first.*"), rows)
-    totals = pointers.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pointers = written(point(rows, tables, longest, 1 + length // BUCKET_BYTES, bits), "phrase-pointers")
+    exact = follow(add_up(pointers, least), rows).filter(F.col("n") >= least)
+    totals = pointers.filter("bucket is null").groupBy("lang").agg(F.sum("total").alias("total"))
     return written(exact, "phrases"), written(totals, "phrase-totals")
 
 

@@ -72,16 +72,30 @@ def test_colliding_fingerprints_change_nothing(table):
 
 
 def test_groups_part_phrases_that_share_a_fingerprint():
-    groups = co.Groups(2)
+    groups, totals = co.Groups(2), Counter()
     prints, words = np.array([7, 7, 7, 9], np.uint64), np.array([[0, 1, 2], [0, 2, 1], [0, 1, 2], [0, 1, 2]])
     ones, rows = np.ones(4, np.int64), np.arange(4)
     for _ in range(2):
         groups.add(prints, words, ones, rows, rows)
-    parts = [groups.grouped(*map(np.concatenate, zip(*groups.parts)))]
-    totals = Counter()
-    for p, w, n in zip(parts[0][0].tolist(), parts[0][1].tolist(), parts[0][2].tolist()):
-        totals[p, tuple(w)] += n
-    assert totals == {(7, (0, 1, 2)): 4, (7, (0, 2, 1)): 2, (9, (0, 1, 2)): 2}
+    sizes, found, digests, counts, _, _ = groups.out([co.BREAK, b"a", b"b"], ["en"])
+    for p, d, n in zip(found.tolist(), digests.tolist(), counts.tolist()):
+        totals[p, d] += n
+    assert sorted((p, n) for (p, _), n in totals.items()) == [(7, 2), (7, 4), (9, 2)] and set(sizes.tolist()) == {2}
+    assert groups.out([], []) is None
+
+
+def test_packed_groups_add_up(spark):
+    numbers = np.random.default_rng(2)
+    columns = [numbers.integers(1, 3, 500, np.int32), numbers.integers(-9, 9, 500), numbers.integers(0, 3, 500), numbers.integers(1, 5, 500),
+               numbers.integers(0, 50, 500), numbers.integers(0, 9, 500, np.int32)]
+    batches = [co.packed([c[i::4] for c in columns], 5) for i in range(4)]
+    df = spark.createDataFrame([tuple(r.values()) for b in batches for r in b.to_pylist()], co.PACKED)
+    expected, pointer = Counter(), {}
+    for size, p, d, n, row, at in zip(*(c.tolist() for c in columns)):
+        expected[size, p, d] += n
+        pointer[size, p, d] = min(pointer.get((size, p, d), (99, 99)), (row, at))
+    found = sorted(map(tuple, co.add_up(df, 12).collect()))
+    assert found == sorted((key[0], n, *pointer[key]) for key, n in expected.items() if n >= 12) and found
 
 
 def test_fingerprints_are_polynomials():
