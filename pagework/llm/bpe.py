@@ -31,8 +31,8 @@ PATTERN = regex.compile(
 PLAIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]")
 # Pieces kept with their ids by a worker: only short ones, and the store is emptied when full.
-KEPT_PIECES, KEPT_LENGTH = 1 << 19, 48
-SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20  # texts that are cut into pieces together: new pieces are merged side by side
+KEPT_PIECES, KEPT_LENGTH = 1 << 18, 48
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20  # texts that are cut into pieces together: new pieces are merged side by side
 # Bytes of the longest piece that is merged side by side with others, and how many go together.
 SHORT, TOGETHER = 64, 1 << 14
 NO_PAIR = 1 << 62
