@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagework.llm.common import slices, slices_by_bytes
+from pagework.llm.common import give_back, slices, slices_by_bytes
 
 # Fixed value: the pretokenizer's pattern of byte-level BPE vocabularies, with white space by its Unicode property.
 PATTERN = regex.compile(
@@ -272,6 +272,8 @@ def encode(
                 same = (back.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(found, texts))
                 more = [pa.array(list(same), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, *more], names=[*keep, into, *told])
+        model.kept.clear()  # the worker lives on
+        give_back()
 
     told = [round_trip] if round_trip else []
     made = [F.lit(None).cast("array<int>").alias(into), *(F.lit(True).alias(name) for name in told)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,11 +66,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: its Python worker lives on, next to others and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = SLICE):
     """Arrow batches cut into short ones, so that what is made from them stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def slices_by_bytes(batches, rows: int, size: int):
@@ -83,6 +94,7 @@ def slices_by_bytes(batches, rows: int, size: int):
             end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def spread_key(*columns: str) -> Column:

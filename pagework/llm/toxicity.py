@@ -33,7 +33,7 @@ POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 512
 LEAST_ODDS, BY_CHANCE = 0.5, 0.05
 STEPS, RATE, DECAY, BACK = 600, 0.02, 1e-4, 1.0
 HELD_OUT, EVERY = 4, 10  # one training row in so many chooses where to stop, at multiples of this
-KEPT_WORDS, KEPT_LENGTH = 1 << 18, 48
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 48
 TWICE = "+"
 
 
