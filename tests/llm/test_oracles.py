@@ -74,5 +74,7 @@ def test_toxicity_at_every_size(spark, sf, recall):
     scored = QUERIES["op7_toxicity"](spark, folder).collect()
     held = [r["predicted"] for r in scored if r["held_out"] and labels.get(r["doc_id"]) == 0]
     assert 1 - sum(held) / len(held) >= 0.97
+    known = [(labels[r["doc_id"]], r["predicted"]) for r in scored if r["held_out"] and r["doc_id"] in labels]
+    assert sum(a == b for a, b in known) / len(known) >= 0.97
     caught = [r["predicted"] for r in scored if labels.get(r["doc_id"]) == 1 and (sf != "sf0.1" or r["held_out"])]
     assert sum(caught) / len(caught) >= recall
