@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import tuples
@@ -36,6 +37,14 @@ def test_small_expressions(spark):
     assert one(spark, nu.megabytes(F.lit(1572864))) == "1.50"
 
 
+def test_megabytes_round_ties_to_even(spark):
+    numbers = random.Random(3)
+    sizes = [6400000000000, 6659328000000000, 131072, 393216, 655360, 5242, 5243, 1048575, 1043334, 0, -1, -131072, 2**63 - 1]
+    sizes += [numbers.randrange(2 ** numbers.randrange(1, 63)) for _ in range(300)] + [numbers.randrange(1 << 36) << 17 for _ in range(100)]
+    found = spark.createDataFrame([(n,) for n in [*sizes, None]], "n bigint").select("n", nu.megabytes(F.col("n"))).collect()
+    assert all(text == (None if n is None else "%.2f" % (n / 1048576)) for n, text in found)
+
+
 @pytest.mark.parametrize("turn", [0, 45, 90, -30, 180, 270, 405])
 def test_turned_box(spark, turn):
     w, h = 331, 57
