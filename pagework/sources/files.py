@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pagework.operators.rows import Outcome
 
 # The most bytes one row can hold.
 LARGEST = 2**31 - 1 - 16
+# Files that are dealt to one folder on average, and bytes of files that a task holds at once (one file at least).
+DEALT, TOGETHER = 4096, 4 << 20
 
 
 def read_pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +35,82 @@ def relative_path(path: Column, folder: str) -> Column:
     return F.regexp_replace(path, "^.*" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
 
 
+def _places():
+    """A function that tells file system and path of a folder, given as a URI or a path; it travels with the tasks that use it."""
+
+    def place(target: str):
+        if target.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + target[5:].lstrip("/")
+        return fs.FileSystem.from_uri(target)
+
+    return place
+
+
+def deal_files(rows: DataFrame, folders: int) -> DataFrame:
+    """``rows`` whose ``name`` lies in one of so many numbered folders, by its hash. Each can be written to and listed on its own,
+    however many files the names' own folders hold."""
+    number = F.pmod(F.hash("name"), F.lit(folders))
+    return rows.withColumn("name", F.concat(number.cast("string"), F.lit("/"), "name"))
+
+
+def folders_for(files: int) -> int:
+    """How many folders so many files are dealt over."""
+    return max(1, -(-files // DEALT))
+
+
+def dealt_folders(spark: SparkSession, folder: str, folders: int) -> DataFrame:
+    """The numbered folders below ``folder``, each to be listed by a task."""
+    return spark.range(0, folders, 1, folders).select(F.concat(F.lit(folder.rstrip("/") + "/"), F.col("id").cast("string")).alias("folder"))
+
+
+def dealt_name(path: Column, folder: str) -> Column:
+    """The name that a file had before it was dealt to a folder below ``folder``."""
+    return F.regexp_replace(relative_path(path, folder), "^[0-9]+/", "")
+
+
+def read_folders(folders: DataFrame, largest: int = -1) -> DataFrame:
+    """``path, length, content`` of all PDF files below each ``folder``, of any depth; ``content`` is null for files larger than
+    ``largest``, which are not opened.
+
+    A task lists its own folders and no list reaches the driver. As the reader of ``read_pdf_bytes`` does, it passes over empty
+    files, hidden ones (a leading dot or underscore) and hidden folders. A folder that isn't there has no files."""
+    place = _places()
+
+    def run(batches):
+        def hidden(part):
+            return part.startswith(".") or part.startswith("_") and "=" not in part
+
+        def out():
+            columns = [pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(contents, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "length", "content"])
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, root = place(folder)
+                paths, lengths, contents, held = [], [], [], 0
+                for file in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+                    below = file.path[len(root.rstrip("/")) :]
+                    if file.type != fs.FileType.File or not file.size or not below.lower().endswith(".pdf"):
+                        continue
+                    if any(map(hidden, below[1:].split("/"))):
+                        continue
+                    wanted = file.size <= largest
+                    if paths and held + wanted * file.size > TOGETHER:
+                        yield out()
+                        paths, lengths, contents, held = [], [], [], 0
+                    content = None
+                    if wanted:
+                        with store.open_input_file(file.path) as source:
+                            content = source.read()
+                        held += file.size
+                    paths.append(folder.rstrip("/") + below)
+                    lengths.append(file.size)
+                    contents.append(content)
+                yield out()
+
+    return folders.select("folder").mapInArrow(run, "path STRING, length BIGINT, content BINARY")
+
+
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Writes each row's ``content`` to ``folder/name``, and gives ``name, length`` of what was written.
 
@@ -39,10 +118,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     that is run again does no harm. Rows without a name are left out; null content is an empty file. Of rows with one name any may win.
     """
 
-    def place(target: str):
-        if target.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + target[5:].lstrip("/")
-        return fs.FileSystem.from_uri(target)
+    place = _places()
 
     def run(batches):
         store, root = place(folder)
@@ -56,7 +132,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
                 with store.open_output_stream(f"{root}/{name}.part") as out:
                     out.write(content)
                 store.move(f"{root}/{name}.part", f"{root}/{name}")
-            sizes = pa.array([len(c) for c in batch.column(1).to_pylist()], pa.int64())
+            sizes = pc.binary_length(batch.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["name", "length"])
 
     named = rows.where("name is not null").select("name", F.coalesce("content", F.lit(b"")).alias("content"))
@@ -104,10 +180,17 @@ def scan_security(spark: SparkSession, folder: str, largest: int = LARGEST) -> O
     """The same of all PDF files below ``folder``. Files larger than a row can hold are error rows; the reader gets the limit as
     a filter and never opens them."""
     found = read_pdf_bytes(spark, folder)
-    too_large = found.select("path", "length").where(F.col("length") > largest)
-    errors = too_large.select(
+    return Outcome(classify_security(found.where(F.col("length") <= largest)), _too_large(found, largest))
+
+
+def scan_security_of(folders: DataFrame, largest: int = LARGEST) -> Outcome:
+    """The same of all PDF files below each ``folder``, listed and read by tasks."""
+    return Outcome(classify_security(read_folders(folders, largest).where(F.col("length") <= largest)), _too_large(read_folders(folders), largest))
+
+
+def _too_large(found: DataFrame, largest: int) -> DataFrame:
+    return found.select("path", "length").where(F.col("length") > largest).select(
         F.lit(None).cast("bigint").alias("request_id"),
         F.lit(None).cast("bigint").alias("doc_id"),
         F.array(F.concat(F.lit(say.TOO_LARGE), F.col("path"))).alias("errors"),
     )
-    return Outcome(classify_security(found.where(F.col("length") <= largest)), errors)

@@ -159,6 +159,31 @@ def test_the_reader_gets_the_limit_and_no_bytes_where_none_are_asked_for(spark,
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
+@pytest.mark.parametrize("folders", [1, 3, 40])
+def test_dealt_files_are_listed_and_read_by_tasks(spark, table, tmp_path, monkeypatch, folders):
+    """Reading by folders finds what Spark's reader finds, whose list the driver holds."""
+    monkeypatch.setattr(files, "TOGETHER", 50)
+    bodies = {f"a b/{'x' * (i % 3)}/{i}.{'pdf PDF Pdf txt pdf.bak'.split()[i % 5]}": (b"/Encrypt" * (i % 3)) + b"x" * (i % 7) for i in range(60)}
+    bodies |= {"_hidden.pdf": b"x", ".h/a.pdf": b"x", "_k=1/a.pdf": b"xy", "_metadata.pdf": b"x", "5/7.pdf": b"x" * 90}
+    root = f"file://{tmp_path}/files-2"
+    rows = table("name string, content binary", [*bodies.items(), (None, b"x")])
+    files.write_files(files.deal_files(rows, folders), root).write.format("noop").mode("overwrite").save()
+    parts = files.dealt_folders(spark, root, folders)
+    plain = lambda df, c="file_path": df.withColumn(c, files.dealt_name(F.col(c), root))
+    found = files.list_pdf_files(files.read_folders(parts))
+    assert tuples(plain(found)) == tuples(plain(files.scan_pdf_files(spark, root))) and found.count() > 30
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    ours, theirs = files.scan_security_of(parts, largest=16), files.scan_security(spark, root, largest=16)
+    assert tuples(plain(ours.rows)) == tuples(plain(theirs.rows))
+    end = lambda df: sorted(r["errors"][0].rsplit("files-2/", 1)[1] for r in df.collect())
+    assert end(ours.errors) == end(theirs.errors) and ours.errors.count() > 3
+    assert files.read_folders(parts, largest=16).where("(content is null) <> (length > 16) or octet_length(content) <> length").count() == 0
+
+
+def test_folders_hold_a_bounded_number_of_files():
+    assert [files.folders_for(n) for n in (0, 1, files.DEALT, files.DEALT + 1, 10 * files.DEALT)] == [1, 1, 1, 2, 10]
+
+
 def test_documents_on_disk(spark, table, files_folder):
     scanned = files.scan_pdf_files(spark, files_folder).withColumn("file_path", files.relative_path(F.col("file_path"), files_folder))
     docs = table("doc_id bigint, file_path string, file_size bigint, page_count int", [(1, "a/plain.pdf", 9, 2), (2, "a/locked.pdf", 9, 2), (3, "b/empty.pdf", 9, 2), (4, None, 1, 1)])
