@@ -243,6 +243,15 @@ def _model(kind: type, text: str) -> ByteBpe | Decoder:
     return _LOADED[key]
 
 
+def id_lists(lists: pa.ListArray) -> list[list[int | None]]:
+    """Each list as a Python list; without null ids by way of one array, not an Arrow scalar an id."""
+    values = lists.flatten()
+    if values.null_count or lists.null_count:
+        return lists.to_pylist()
+    numbers, ends = values.to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+    return [numbers[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
 def _vocabulary(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as file:
         return df.sparkSession.sparkContext.broadcast(file.read())  # one file, as large for any input
@@ -288,7 +297,7 @@ def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids", into: st
     def run(batches):
         model = _model(Decoder, shared.value)
         for batch in slices(batches):
-            texts = [model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [model.decode(x) for x in id_lists(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, into])
 
     return source.mapInArrow(run, source.select(*[F.col(c) for c in keep], F.lit("").alias(into)).schema)

@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +65,13 @@ def test_any_ids_decode_like_the_library(decoder, library):
     assert decoder.decode([72, None, 10**9, -3]) == decoder.decode([72])
 
 
+def test_lists_of_ids_without_a_scalar_an_id():
+    lists = pa.array([[9], [1, 2, 3], [], [4], [5, 6], [7]], pa.list_(pa.int32()))
+    for column in (lists, lists.slice(1, 4), lists.slice(2, 1), lists.slice(0, 0), pa.array([[1, None], []], pa.list_(pa.int32())),
+                   pa.array([[1, 2], None, [2**40]], pa.list_(pa.int64()))):
+        assert bpe.id_lists(column) == column.to_pylist()
+
+
 def test_one_tree_and_many_trees_agree(model):
     numbers = random.Random(9)
     pieces = [bytes(numbers.choice(b"abrethin nd") for _ in range(numbers.randrange(1, 60))) for _ in range(500)]
