@@ -43,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     kept = jaccard.classes(docs).filter("first and id = copy_id").select(F.col("id").alias("__kept"), F.col("copies").alias("__set")).distinct()
     kept = written(kept, "kept")
-    held = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    held = jaccard.with_digest(held, "text", "__copies")
+    held = jaccard.with_digest(docs.select(*COLUMNS).filter("doc_id is not null"), "text", "__copies")
+    # one join by the window's own keys: whatever the size of ``kept``, the texts are shuffled once
     held = held.join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__copies") == F.col("__set")), "left_semi")
     first = Window.partitionBy("doc_id", "__copies").orderBy("text", "source", "lang", "n_chars")
     one = held.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)

@@ -102,26 +102,27 @@ def mix(
     sized = df.select(
         kept.alias("kept"),
         F.col(source).cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("of"),
         (size if size is not None else words(text)).alias("size"),
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("order"),
         F.xxhash64(F.struct(*[F.col(c) for c in keep])).alias("tie"),
     ).withColumn("bucket", F.substring("order", 1, digits))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = sized.groupBy("source", "of", "bucket").agg(F.sum("size").alias("bucket_size"))
     wanted = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedules, epochs)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        "source", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")
+        "source", "of", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")
     )
     plan = (
         offsets.alias("o")
         .join(wanted.alias("w"), F.expr("o.source <=> w.source"))
-        .select("o.source", "bucket", "bucket_start", "source_size", "schedule", "target")
+        .select("of", "bucket", "bucket_start", "source_size", "schedule", "target")
     )
     inside = (
-        Window.partitionBy("source", "bucket").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("of", "bucket").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     )
     counted = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = counted.alias("c").join(plan.alias("p"), F.expr("c.source <=> p.source and c.bucket = p.bucket"))
+    placed = counted.join(plan, ["of", "bucket"])  # the window's own keys, never null: the rows are not shuffled again
     shares = (
         f"transform(filter(sequence(0, {epochs - 1}), k -> size > 0 and "
         "k * source_size + bucket_start + inside + size / 2D <= target), "

@@ -107,3 +107,21 @@ def test_the_pipeline_keeps_clean_documents_of_small_tables(spark):
             marked = [i in ids for i, t in labels.items() if t == toxic]
             assert least <= sum(marked) / len(marked) <= most, (sf, toxic)
         assert len(corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()) > 0.5 * docs.count()
+
+
+def test_texts_cross_the_network_once_a_stage_and_once_to_be_ordered(spark):
+    """Also where no side of a join is small enough to be broadcast, as in large tables."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "aa", f"s{i % 2}", 0) for i in range(20)], columns)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plans = [stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString() for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mix_sources)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    once, mixed = ([line for line in plan.split("\n") if " Exchange " in line] for plan in plans)
+    assert len(once) == 2 and all("doc_id" in line or "__kept" in line for line in once)
+    assert not [line for line in mixed if "coalesce(source" in line and "bucket" in line]  # the join asks for no other dealing than the window
