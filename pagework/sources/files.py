@@ -18,6 +18,8 @@ from pagework.operators.rows import Outcome
 LARGEST = 2**31 - 1 - 16
 # Files that are dealt to one folder on average, and bytes of files that a task holds at once (one file at least).
 DEALT, TOGETHER = 4096, 4 << 20
+# What names an encryption dictionary.
+ENCRYPT = b"/Encrypt"
 
 
 def read_pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,18 +70,31 @@ def dealt_name(path: Column, folder: str) -> Column:
     return F.regexp_replace(relative_path(path, folder), "^[0-9]+/", "")
 
 
+def _lister():
+    """A function that tells path below ``root`` and entry of each PDF file there, of any depth, without empty and hidden ones; it
+    travels with the tasks that use it."""
+
+    def hidden(part):
+        return part.startswith(".") or part.startswith("_") and "=" not in part
+
+    def listed(store, root):
+        for file in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
+            below = file.path[len(root.rstrip("/")) :]
+            if file.type == fs.FileType.File and file.size and below.lower().endswith(".pdf") and not any(map(hidden, below[1:].split("/"))):
+                yield below, file
+
+    return listed
+
+
 def read_folders(folders: DataFrame, largest: int = -1) -> DataFrame:
     """``path, length, content`` of all PDF files below each ``folder``, of any depth; ``content`` is null for files larger than
     ``largest``, which are not opened.
 
     A task lists its own folders and no list reaches the driver. As the reader of ``read_pdf_bytes`` does, it passes over empty
     files, hidden ones (a leading dot or underscore) and hidden folders. A folder that isn't there has no files."""
-    place = _places()
+    place, listed = _places(), _lister()
 
     def run(batches):
-        def hidden(part):
-            return part.startswith(".") or part.startswith("_") and "=" not in part
-
         def out():
             columns = [pa.array(paths, pa.string()), pa.array(lengths, pa.int64()), pa.array(contents, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["path", "length", "content"])
@@ -88,12 +103,7 @@ def read_folders(folders: DataFrame, largest: int = -1) -> DataFrame:
             for folder in batch.column(0).to_pylist():
                 store, root = place(folder)
                 paths, lengths, contents, held = [], [], [], 0
-                for file in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-                    below = file.path[len(root.rstrip("/")) :]
-                    if file.type != fs.FileType.File or not file.size or not below.lower().endswith(".pdf"):
-                        continue
-                    if any(map(hidden, below[1:].split("/"))):
-                        continue
+                for below, file in listed(store, root):
                     wanted = file.size <= largest
                     if paths and held + wanted * file.size > TOGETHER:
                         yield out()
@@ -111,6 +121,35 @@ def read_folders(folders: DataFrame, largest: int = -1) -> DataFrame:
     return folders.select("folder").mapInArrow(run, "path STRING, length BIGINT, content BINARY")
 
 
+def search_folders(folders: DataFrame, wanted: bytes, largest: int | None = None) -> DataFrame:
+    """``path, found`` of the files of ``read_folders``: whether ``wanted`` is among their bytes. Files larger than ``largest`` are left
+    out; where it is None there are none of them.
+
+    A task reads a file in pieces of ``TOGETHER`` bytes that overlap by what could be cut apart, until it finds ``wanted`` or the file
+    ends. So a file may be larger than a row, or the task's memory, can hold."""
+    place, listed = _places(), _lister()
+
+    def run(batches):
+        def holds(store, file):
+            with store.open_input_stream(file.path) as source:
+                before = b""
+                while piece := source.read(TOGETHER):
+                    piece = before + piece
+                    if wanted in piece:
+                        return True
+                    before = piece[len(piece) - min(len(piece), len(wanted) - 1) :]
+            return False
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, root = place(folder)
+                files = [(b, f) for b, f in listed(store, root) if largest is None or f.size <= largest]
+                paths, found = [folder.rstrip("/") + b for b, _ in files], [holds(store, f) for _, f in files]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.bool_())], names=["path", "found"])
+
+    return folders.select("folder").mapInArrow(run, "path STRING, found BOOLEAN")
+
+
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
     """Writes each row's ``content`` to ``folder/name``, and gives ``name, length`` of what was written.
 
@@ -168,7 +207,10 @@ def classify_security(files: DataFrame) -> DataFrame:
     Bytes cannot tell whether an encrypted file opens without a password, so ``can_be_processed`` is null for those. The search
     is in the bytes; no text is made of them.
     """
-    encrypted = F.contains("content", F.lit(b"/Encrypt"))
+    return _security(files, F.contains("content", F.lit(ENCRYPT)))
+
+
+def _security(files: DataFrame, encrypted: Column) -> DataFrame:
     return files.select(
         F.col("path").alias("file_path"),
         encrypted.alias("is_encrypted"),
@@ -183,9 +225,11 @@ def scan_security(spark: SparkSession, folder: str, largest: int = LARGEST) -> O
     return Outcome(classify_security(found.where(F.col("length") <= largest)), _too_large(found, largest))
 
 
-def scan_security_of(folders: DataFrame, largest: int = LARGEST) -> Outcome:
-    """The same of all PDF files below each ``folder``, listed and read by tasks."""
-    return Outcome(classify_security(read_folders(folders, largest).where(F.col("length") <= largest)), _too_large(read_folders(folders), largest))
+def scan_security_of(folders: DataFrame, largest: int | None = None) -> Outcome:
+    """The same of all PDF files below each ``folder``, listed and searched by tasks. Files of any size are searched whole; only where
+    ``largest`` is given are larger ones error rows instead."""
+    errors = _too_large(read_folders(folders), LARGEST if largest is None else largest)
+    return Outcome(_security(search_folders(folders, ENCRYPT, largest), F.col("found")), errors.where(F.lit(largest is not None)))
 
 
 def _too_large(found: DataFrame, largest: int) -> DataFrame:

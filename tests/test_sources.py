@@ -180,6 +180,28 @@ def test_dealt_files_are_listed_and_read_by_tasks(spark, table, tmp_path, monkey
     assert files.read_folders(parts, largest=16).where("(content is null) <> (length > 16) or octet_length(content) <> length").count() == 0
 
 
+def test_files_of_any_size_are_searched_whole(spark, table, tmp_path, monkeypatch):
+    """The query left out files above a limit; now none is, and a mark that lies across two pieces is found."""
+    monkeypatch.setattr(files, "TOGETHER", 10)
+    bodies = {f"{n}.pdf": b"x" * n + b"/Encrypt" + b"y" * (n % 7) for n in (*range(25), 9000)}
+    bodies |= {"none.pdf": b"x" * 9000, "cut.pdf": b"/Encrypx" * 20 + b"/Encryp", "short.pdf": b"/E"}
+    root = f"file://{tmp_path}/files-3"
+    files.write_files(files.deal_files(table("name string, content binary", [*bodies.items()]), 3), root).write.format("noop").mode("overwrite").save()
+    found = files.scan_security_of(files.dealt_folders(spark, root, 3))
+    assert found.errors.count() == 0
+    ours = tuples(found.rows.withColumn("file_path", files.dealt_name(F.col("file_path"), root)), "file_path", "is_encrypted")
+    assert ours == sorted((name, b"/Encrypt" in body) for name, body in bodies.items())
+
+
+def test_the_query_scans_every_file_it_wrote(spark):
+    from pagework.plans.catalog import QUERIES
+
+    sizes = {r["file_path"][1:]: r["file_size"] for r in QUERIES["a1_scan_written_files"](spark, "/root/testdata/sf0.001").collect()}
+    assert max(sizes.values()) > 6000
+    found = QUERIES["a2_scan_security"](spark, "/root/testdata/sf0.001")
+    assert sorted(r["file_path"] for r in found.collect()) == sorted(sizes)
+
+
 def test_folders_hold_a_bounded_number_of_files():
     assert [files.folders_for(n) for n in (0, 1, files.DEALT, files.DEALT + 1, 10 * files.DEALT)] == [1, 1, 1, 2, 10]
 
